@@ -41,6 +41,22 @@ def nth_check_date(c: Column | str, n: int) -> Column:
     ).otherwise(F.make_date(year, F.lit(AUTUMN_CHECK[0]), F.lit(AUTUMN_CHECK[1])))
 
 
+def checks_between(start: Column | str, until: Column | str) -> Column:
+    """Number of check dates strictly after ``start`` and strictly before ``until``.
+
+    "The n-th check date after start lies before until" is the same as this
+    count reaching n, which is much cheaper than building n dates.  The value is
+    zero or negative when no check date lies between.
+    """
+    start = F.col(start) if isinstance(start, str) else start
+    until = F.col(until) if isinstance(until, str) else until
+    md_start = F.month(start) * 100 + F.dayofmonth(start)
+    md_until = F.month(until) * 100 + F.dayofmonth(until)
+    first = 2 * F.year(start) + F.when(md_start < _WINTER, 0).when(md_start < _AUTUMN, 1).otherwise(2)
+    last = 2 * F.year(until) + F.when(md_until <= _WINTER, -1).when(md_until <= _AUTUMN, 0).otherwise(1)
+    return last - first + 1
+
+
 def shift_check_dates(d: date | None, n: int) -> date | None:
     """Driver-side form of :func:`nth_check_date`, for window bounds."""
     _require(n)

@@ -15,13 +15,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import cleaning as X
 from cohortspark.operators import aggregates as A
-from cohortspark.operators.joins import with_group_minimum
-from cohortspark.operators.labels import LabelSpec, NEVER_STARTED, MATRICULATING, label_name, survived
+from cohortspark.operators.labels import LabelSpec, NEVER_STARTED, MATRICULATING, label_name, labelled
 from cohortspark.operators.ranks import percent_rank_by
 
 Tables = Mapping[str, DataFrame]
@@ -130,41 +129,66 @@ def college_alumni(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> D
     return rows.groupBy("collegeid").agg(F.count(F.lit(1)).alias("alum_count"))
 
 
-def enrolment_attributes(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
-    """F50, F51, F76-F78; subject and major are unknown for rows outside the bound."""
+def enrolment_columns(b: Bounds, wanted: Sequence[str]) -> dict[str, Column]:
+    """Expressions over one enrolment row for F50, F51, F76-F78.
+
+    Subject and major are unknown for rows outside the bound.
+    """
     inside = X.half_open("start_date", b.lower, b.upper)
     cols = {
-        "start_date": F.col("start_date"),
-        "is_spring": X.winter_start("start_date"),
-        "degree_type": F.col("degree_type"),
+        "start_date": lambda: F.col("start_date"),
+        "is_spring": lambda: X.winter_start("start_date"),
+        "degree_type": lambda: F.col("degree_type"),
+        "degree_subject": lambda: F.when(inside, F.col("degree_subject")),
+        "major": lambda: F.when(inside, F.col("major")),
     }
-    for c in ("degree_subject", "major"):
-        if c in wanted:
-            cols[c] = F.when(inside, F.col(c))
-    return t["enrollments"].select("enrollid", *[cols[c].alias(c) for c in wanted])
+    return {c: cols[c]() for c in wanted}
+
+
+def enrolment_attributes(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
+    """F50, F51, F76-F78."""
+    return t["enrollments"].select("enrollid", *[c.alias(n) for n, c in enrolment_columns(b, wanted).items()])
+
+
+def age_column() -> Column:
+    return X.completed_years("start_date", "date_of_birth")
 
 
 def enrolment_age(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
     """F02."""
     born = t["students"].select("studentid", "date_of_birth")
-    return t["enrollments"].join(born, "studentid", "left").select(
-        "enrollid", X.completed_years("start_date", "date_of_birth").alias("age_at_enrollment")
-    )
+    return t["enrollments"].join(born, "studentid", "left").select("enrollid", age_column().alias("age_at_enrollment"))
+
+
+def network_columns(wanted: Sequence[str], o: Options) -> dict[str, Column]:
+    return {c: X.member("network", [o.networks[c]]) for c in wanted}
 
 
 def enrolment_network(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
     """F52, F53."""
     nets = t["students"].select("studentid", "network")
-    return t["enrollments"].join(nets, "studentid", "left").select(
-        "enrollid", *[X.member("network", [o.networks[c]]).alias(c) for c in wanted]
-    )
+    joined = t["enrollments"].join(nets, "studentid", "left")
+    return joined.select("enrollid", *[c.alias(n) for n, c in network_columns(wanted, o).items()])
 
 
-def first_enrolment(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
-    """no earlier enrolment that really started."""
+def first_starts(t: Tables) -> DataFrame:
+    """Earliest start of an enrolment that really started, per student."""
     started = F.when(F.col("status") != NEVER_STARTED, F.col("start_date"))
-    rows = with_group_minimum(t["enrollments"].select("enrollid", "studentid", "start_date", "status"), "studentid", started, "__first")
-    return rows.select("enrollid", X.not_before("__first", "start_date").alias("is_first_enrollment"))
+    return t["enrollments"].groupBy("studentid").agg(F.min(started).alias("__first"))
+
+
+def first_column() -> Column:
+    return X.not_before("__first", "start_date")
+
+
+def first_enrolment(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
+    """no earlier enrolment that really started.
+
+    The group minimum is aggregated and joined back (J12), not windowed, so a
+    student with very many rows does not end up in one task.
+    """
+    rows = t["enrollments"].select("enrollid", "studentid", "start_date").join(first_starts(t), "studentid", "left")
+    return rows.select("enrollid", first_column().alias("is_first_enrollment"))
 
 
 def _courses(t: Tables, columns: Sequence[str]) -> DataFrame:
@@ -288,8 +312,8 @@ def attendance_averages(t: Tables, b: Bounds, wanted: Sequence[str], o: Options,
 
 def survival(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
     """F42-F49 used as restrictors: unbounded labels by enrolment."""
-    numbers = {label_name(n): n for n in range(1, 9)}
-    return t["enrollments"].select("enrollid", *[survived(numbers[c]).alias(c) for c in wanted])
+    numbers = [n for n in range(1, 9) if label_name(n) in wanted]
+    return labelled(t["enrollments"], numbers).select("enrollid", *wanted)
 
 
 FAMILIES: dict[str, Build] = {

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.calendar import nth_check_date, shift_check_dates
+from cohortspark.functions.calendar import checks_between, shift_check_dates
 from cohortspark.functions.cleaning import half_open
 from cohortspark.operators.rows import mandatory
 
@@ -27,26 +27,43 @@ def label_name(n: int) -> str:
     return f"persist_{n}_halfyear"
 
 
-def survived(n: int, start="start_date", status="status", end="end_date", verified="date_last_verified") -> Column:
+def survived(n: int, until_end: Column | None = None, until_verified: Column | None = None) -> Column:
     """Did the record outlive its n-th check date?  True, false or unknown.
 
     Graduated and still-attending records only ever prove survival: when their
-    date lies before the check date the answer is unknown, not false.
+    date lies before the check date the answer is unknown, not false.  The two
+    arguments are the check dates outlived by the end and by the last
+    verification, when the caller has them as columns already.
     """
-    check = nth_check_date(start, n)
-    state, end, verified = F.col(status), F.col(end), F.col(verified)
+    by_end = checks_between("start_date", "end_date") if until_end is None else until_end
+    by_verified = checks_between("start_date", "date_last_verified") if until_verified is None else until_verified
+    state = F.col("status")
     return (
         F.when(state == NEVER_STARTED, False)
-        .when(state.isin(*LEFT), check < end)
-        .when((state == GRADUATED) & (check < end), True)
-        .when((state == ATTENDING) & (check < verified), True)
+        .when(state.isin(*LEFT), by_end >= n)
+        .when((state == GRADUATED) & (by_end >= n), True)
+        .when((state == ATTENDING) & (by_verified >= n), True)
+    )
+
+
+def labelled(rows: DataFrame, half_years: Sequence[int]) -> DataFrame:
+    """Add label columns; the outlived check dates are counted once per row."""
+    counted = rows.withColumns(
+        {
+            "__by_end": checks_between("start_date", "end_date"),
+            "__by_verified": checks_between("start_date", "date_last_verified"),
+        }
+    )
+    by_end, by_verified = F.col("__by_end"), F.col("__by_verified")
+    return counted.withColumns({label_name(n): survived(n, by_end, by_verified) for n in half_years}).drop(
+        "__by_end", "__by_verified"
     )
 
 
 def label_table(enrolments: DataFrame, half_years: Sequence[int] = HALF_YEARS, ids: Sequence[str] = ("enrollid", "studentid", "collegeid")) -> DataFrame:
     """One boolean per half-year, in one projection; rows need a start date and a status."""
     known = mandatory(enrolments, ["start_date", "status"])
-    return known.select(*ids, *[survived(n).alias(label_name(n)) for n in half_years])
+    return labelled(known, half_years).select(*ids, *[label_name(n) for n in half_years])
 
 
 def label_violations(enrolments: DataFrame, key: str = "enrollid") -> DataFrame:
@@ -81,7 +98,7 @@ class LabelSpec:
         """Rows with a known label whose start date lies in the shifted window."""
         lo, hi = self.bounds(lower, upper)
         rows = enrolments.filter(half_open("start_date", lo, hi) & F.col("status").isNotNull() & F.col("start_date").isNotNull())
-        return rows.select("enrollid", "studentid", "collegeid", *keep, survived(self.n).alias(self.column)).filter(
+        return labelled(rows, [self.n]).select("enrollid", "studentid", "collegeid", *keep, self.column).filter(
             F.col(self.column).isNotNull()
         )
 
@@ -93,17 +110,17 @@ def transitions(enrolments: DataFrame, lower: date | None, upper: date | None, l
     is known and its start lies in the window shifted by n check dates.  All
     steps come out of one scan: each row is expanded to the steps it belongs to.
     """
+    known = labelled(mandatory(enrolments, ["start_date", "status"]), range(1, last + 1))
     steps = []
     for n in range(1, last + 1):
         lo, hi = LabelSpec(n).bounds(lower, upper)
-        outcome = survived(n)
+        outcome = F.col(label_name(n))
         inside = half_open("start_date", lo, hi) & outcome.isNotNull()
         if n > 1:
-            inside = inside & F.coalesce(survived(n - 1), F.lit(False))
+            inside = inside & F.coalesce(F.col(label_name(n - 1)), F.lit(False))
         steps.append(
             F.when(inside, F.struct(F.lit(f"{n - 1}->{n}").alias("transition"), outcome.alias("persist")))
         )
-    known = mandatory(enrolments, ["start_date", "status"])
     return (
         known.withColumn("__s", F.explode(F.array_compact(F.array(*steps))))
         .select(*enrolments.columns, "__s.transition", "__s.persist")
@@ -123,7 +140,7 @@ def spine_by_window(enrolments: DataFrame, label: LabelSpec, windows, part: str
         hits.append(F.when(half_open("start_date", lo, hi), F.lit(w.window_id)))
     known = mandatory(enrolments, ["start_date", "status"])
     return (
-        known.withColumn(label.column, survived(label.n))
+        labelled(known, [label.n])
         .filter(F.col(label.column).isNotNull())
         .withColumn("window_id", F.explode(F.array_compact(F.array(*hits))))
         .select("window_id", "enrollid", "studentid", "collegeid", *keep, label.column)

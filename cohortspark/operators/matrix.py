@@ -10,9 +10,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators.features import CATALOGUE, FAMILIES, Bounds, Feature, Options, Tables
+from cohortspark.operators import features as FT
+from cohortspark.operators.features import CATALOGUE, FAMILIES, Bounds, Options, Tables
 from cohortspark.operators.joins import left_joins
-from cohortspark.operators.labels import LabelSpec
+from cohortspark.operators.labels import HALF_YEARS, LabelSpec, label_name, labelled
 from cohortspark.operators.post import PostPlan, learn
 
 IDS = ("enrollid", "studentid", "collegeid")
@@ -68,35 +69,79 @@ def postprocess_steps(names: Sequence[str]) -> dict[str, str]:
     return {c: CATALOGUE[n].post for n in names for c in CATALOGUE[n].columns if CATALOGUE[n].post}
 
 
-def build_features(tables: Tables, names: Sequence[str], bounds: Bounds, options: Options) -> list[tuple[str, DataFrame]]:
-    """One ``(key, frame)`` per family, with every wanted column of the family.
+#: Families that are expressions over the enrolment row itself: no join at all.
+ROW_LOCAL = ("enrolment_attributes", "survival")
+#: Families that only need the student's own row next to the enrolment row.
+STUDENT_LOCAL = ("student_attributes", "enrolment_age", "enrolment_network")
 
-    M02: bounded facts lie before the split in train and test alike; families
-    without a bound ignore it.
-    """
-    grouped: dict[str, list[Feature]] = defaultdict(list)
+
+def _by_family(names: Sequence[str]) -> dict[str, list[str]]:
+    grouped: dict[str, list[str]] = defaultdict(list)
     for name in dict.fromkeys(names):
-        grouped[CATALOGUE[name].family].append(CATALOGUE[name])
-    parts = []
-    for family, features in grouped.items():
-        wanted = [c for f in features for c in f.columns]
-        parts.append((features[0].key, FAMILIES[family](tables, bounds, wanted, options)))
-    # enrolment first, then student, then college: neighbours share a partitioning
-    return sorted(parts, key=lambda p: IDS.index(p[0]))
-
-
-def restricted(spine: DataFrame, tables: Tables, restrictions: Sequence[Restriction], options: Options) -> DataFrame:
-    """Unbounded restrictors, applied as semi joins on the enrolment id."""
-    grouped: dict[str, list[Restriction]] = defaultdict(list)
-    for r in restrictions:
-        grouped[CATALOGUE[r.feature].family].append(r)
-    for family, group in grouped.items():
-        wanted = list(dict.fromkeys(CATALOGUE[r.feature].columns[0] for r in group))
-        keep = FAMILIES[family](tables, Bounds(), wanted, options)
-        for r in group:
-            keep = keep.filter(r.condition())
-        spine = spine.join(keep.select("enrollid"), "enrollid", "left_semi")
-    return spine
+        feature = CATALOGUE[name]
+        grouped[feature.family] += [c for c in feature.columns if c not in grouped[feature.family]]
+    return grouped
+
+
+def _add_row_local(rows: DataFrame, family: str, wanted: Sequence[str], bounds: Bounds) -> DataFrame:
+    if family == "survival":
+        return labelled(rows, [n for n in HALF_YEARS if label_name(n) in wanted])
+    fresh = {c: e for c, e in FT.enrolment_columns(bounds, wanted).items() if c not in rows.columns or c in ("degree_subject", "major")}
+    return rows.withColumns(fresh) if fresh else rows
+
+
+def restricted(rows: DataFrame, tables: Tables, restrictions: Sequence[Restriction], options: Options) -> DataFrame:
+    """Keep enrolment rows whose unbounded restrictors hold.
+
+    ``rows`` comes from the enrolments table, whose id is its primary key, so a
+    restrictor computed from the same row is a plain filter; any other
+    restrictor is a semi join on the enrolment id.
+    """
+    columns = rows.columns
+    for family, wanted in _by_family([r.feature for r in restrictions]).items():
+        conditions = [r.condition() for r in restrictions if CATALOGUE[r.feature].family == family]
+        local = family in ROW_LOCAL
+        source = _add_row_local(rows, family, wanted, Bounds()) if local else FAMILIES[family](tables, Bounds(), wanted, options)
+        for condition in conditions:
+            source = source.filter(condition)
+        rows = source.select(*columns) if local else rows.join(source.select("enrollid"), "enrollid", "left_semi")
+    return rows
+
+
+def add_features(spine: DataFrame, tables: Tables, names: Sequence[str], bounds: Bounds, options: Options) -> DataFrame:
+    """Attach every wanted feature column, one join per family.
+
+    ``spine`` still carries the enrolment columns.  Enrolment-level features are
+    expressions over that row, after the student's row or first start date is
+    joined where needed, so nothing is ever joined on the enrolment id; what
+    remains are joins by student, then by college, which share a partitioning.
+    Bounded facts lie before the split in train and test alike (M02).
+    """
+    families = _by_family(names)
+    student, college = [], []
+    for family, wanted in families.items():
+        if family in ROW_LOCAL:
+            spine = _add_row_local(spine, family, wanted, bounds)
+    if any(f in families for f in STUDENT_LOCAL):
+        needed = list(families.get("student_attributes", ()))
+        needed += ["date_of_birth"] if "enrolment_age" in families else []
+        needed += ["network"] if "enrolment_network" in families else []
+        student.append(tables["students"].select("studentid", *needed))
+    if "first_enrolment" in families:
+        student.append(FT.first_starts(tables))
+    for family, wanted in families.items():
+        if family not in ROW_LOCAL + STUDENT_LOCAL + ("first_enrolment",):
+            key = next(f.key for f in CATALOGUE.values() if f.family == family)
+            (student if key == "studentid" else college).append(FAMILIES[family](tables, bounds, wanted, options))
+    joined = left_joins(spine, [("studentid", f) for f in student] + [("collegeid", f) for f in college])
+    extra = {}
+    if "enrolment_age" in families:
+        extra["age_at_enrollment"] = FT.age_column()
+    if "enrolment_network" in families:
+        extra |= FT.network_columns(families["enrolment_network"], options)
+    if "first_enrolment" in families:
+        extra["is_first_enrollment"] = FT.first_column()
+    return joined.withColumns(extra) if extra else joined
 
 
 def assemble(tables: Tables, spec: MatrixSpec, part: str = "train") -> DataFrame:
@@ -105,10 +150,10 @@ def assemble(tables: Tables, spec: MatrixSpec, part: str = "train") -> DataFrame
     Keys and target come first, feature columns follow in the order asked for.
     """
     lower, upper = spec.target_bounds(part)
-    spine = spec.target.spine(tables["enrollments"], lower, upper)
-    spine = restricted(spine, tables, spec.restrictions, spec.options)
-    bounds = Bounds(None, spec.split)
-    joined = left_joins(spine, build_features(tables, spec.features, bounds, spec.options))
+    rows = restricted(tables["enrollments"], tables, spec.restrictions, spec.options)
+    carried = [c for c in rows.columns if c not in IDS]
+    spine = spec.target.spine(rows, lower, upper, keep=carried)
+    joined = add_features(spine, tables, spec.features, Bounds(None, spec.split), spec.options)
     return joined.select(*IDS, spec.target.column, *[f"`{c}`" for c in feature_columns(spec.features)])
 
 

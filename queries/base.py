@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,7 +107,9 @@ FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
 }
 
 
+@lru_cache(maxsize=64)
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table; the lazy frame is kept so that footers are read once."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
