@@ -207,6 +207,7 @@ def nearest(
     payload: str,
     exclude_self: bool = False,
     block_rows: int = 4096,
+    query_rows: int = 65536,
     sample_pivots: int = 32,
 ) -> DataFrame:
     """Exact k nearest points per query: ``(query_id, point_id, distance, payload)``.
@@ -216,8 +217,10 @@ def nearest(
     triangle inequality allows a point there to be among its k nearest, so
     distances are computed inside (block, query part) tasks with numpy and each
     task emits only its k best per query: pairs are never materialised.
+    Queries are cut into parts of about ``query_rows`` (sized by one count job).
     Ties go to the smaller point id.
     """
+    query_parts = max(1, math.ceil(queries.count() / query_rows))
     need = k + 1 if exclude_self else k
     pts = points.select(F.col(point_id).alias("pid"), F.col(vector).cast("array<double>").alias("v"), F.col(payload).alias("payload"))
     qs = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
@@ -267,9 +270,9 @@ def nearest(
         .withColumn("__bound", bound)
         .withColumn("g", F.explode(F.filter("__reach", lambda g: g["close"] <= F.col("__bound") * (1 + slack) + slack)))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("g.last_part"))))
-        .select(F.col("g.pivot").alias("pivot"), "part", F.pmod(F.xxhash64("qid"), F.lit(16)).cast("int").alias("qpart"), "qid", "v")
+        .select(F.col("g.pivot").alias("pivot"), "part", F.pmod(F.xxhash64("qid"), F.lit(query_parts)).cast("int").alias("qpart"), "qid", "v")
     )
-    spread = near.select("pivot", "part", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("qpart"), "pid", "v", "payload")
+    spread = near.select("pivot", "part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("qpart"), "pid", "v", "payload")
 
     id_type, pay_type = qs.schema["qid"].dataType, pts.schema["payload"].dataType
     schema = T.StructType(

@@ -146,7 +146,7 @@ _FEATURE_SQL = f"""
 firsts AS (SELECT studentid, min(start_date) AS f FROM enrolment WHERE status <> 'Did not matriculate' GROUP BY 1),
 enr AS (SELECT e.enrollid, NOT coalesce(f.f < e.start_date, FALSE) AS is_first_enrollment,
     month(e.start_date) IN (12, 1, 2, 3, 4) AS is_spring,
-    CAST(date_sub('year', p.date_of_birth, e.start_date) AS INT) AS age_at_enrollment
+    CAST(date_part('year', age(CAST(e.start_date AS TIMESTAMP), CAST(p.date_of_birth AS TIMESTAMP))) AS INT) AS age_at_enrollment
   FROM enrolment e LEFT JOIN firsts f USING (studentid) LEFT JOIN person p USING (studentid)),
 graded AS (SELECT *, percent_rank() OVER (PARTITION BY course_number ORDER BY percent_grade ASC NULLS LAST) AS pr,
     high_school_class - year_taken AS gap FROM course),
