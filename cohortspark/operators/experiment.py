@@ -50,28 +50,33 @@ class Evaluation:
     confusion: Mapping[str, int]
 
 
-def evaluate(scored: DataFrame, label: str, slices: int | None = None) -> Evaluation:
+SMALL = 100_000
+
+
+def evaluate(scored: DataFrame, label: str) -> Evaluation:
     """The metrics of one experiment.
 
-    Class 0 is ranked by the reversed score.  The scored frame is persisted
-    for the handful of aggregate jobs that each return one row.
+    Class 0 is ranked by the reversed score; the AUC is the same for either
+    class.  The scored frame is persisted for a few jobs that each return one
+    small row; frames beyond ``SMALL`` rows are ranked in value slices.
     """
-    base = scored.select(ROW_KEY, F.col(label).cast("int").alias("y"), "score", (-F.col("score")).alias("score0"), "predicted")
+    base = scored.select(ROW_KEY, F.col(label).cast("int").alias("y"), (-F.col("score")).alias("score0"), "predicted")
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        top = lambda k: E.precision_top_k(base, k, "y", "score0", ROW_KEY, pos_label=0, slices=slices).first()
         cells = {f"{r['label']}->{r['predicted']}": r["n"] for r in E.confusion(base, "y", "predicted").collect()}
-        auc = E.auc(base, "y", "score", slices=slices).first()
-        aupr = E.pr_area(base, "y", "score0", pos_label=0, slices=slices).first()
-        t10, t25 = top(0.1), top(0.25)
-        return Evaluation(
-            rows=sum(cells.values()),
-            auc=auc["auc"] if auc else None,
-            precision0_top10=t10["precision"] if t10 else None,
-            precision0_top25=t25["precision"] if t25 else None,
-            aupr0=aupr["aupr"] if aupr else None,
-            confusion=cells,
-        )
+        rows = sum(cells.values())
+        if not rows:
+            return Evaluation(0, None, None, None, None, cells)
+        slices = None if rows <= SMALL else E.DEFAULT_SLICES
+        found = E.ranking_summary(base, "y", "score0", (0.1, 0.25), 0, slices).first()
+        precision = []
+        for i in range(2):
+            r, hits = found[f"r{i}"], found[f"hits{i}"]
+            if found[f"take{i}"]:
+                more = E.edge_hits(base, "y", "score0", ROW_KEY, found[f"edge{i}"], found[f"take{i}"], 0, slices).first()
+                hits += more["hits"] or 0
+            precision.append(hits / r if r else 0.0)
+        return Evaluation(rows, found["auc"], precision[0], precision[1], found["aupr"], cells)
     finally:
         base.unpersist()
 
@@ -90,7 +95,6 @@ def run_experiment(
     target: str,
     model: ModelSpec,
     null_policy: str = "strict",
-    slices: int | None = None,
 ) -> dict:
     """Common columns -> null policy -> fit -> score -> metrics on train and test.
 
@@ -109,8 +113,8 @@ def run_experiment(
         clean = apply_null_policy(df.select(*[f"`{c}`" for c in columns], *keys), null_policy, columns)
         parts[name] = (rows, with_row_key(clean))
     scorer = fit(model, parts["train"][1], predictors, target)
-    seen = evaluate(scorer.score(parts["train"][1]), target, slices)
-    held = evaluate(scorer.score(parts["test"][1]), target, slices)
+    seen = evaluate(scorer.score(parts["train"][1]), target)
+    held = evaluate(scorer.score(parts["test"][1]), target)
     return {
         "seconds": time.time() - start,
         "target": target,

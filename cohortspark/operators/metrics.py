@@ -152,6 +152,46 @@ def precision_top_k(
     )
 
 
+def ranking_summary(scored: DataFrame, label: str, score: str, ks: Sequence[float], pos_label: int = 1, slices: int | None = DEFAULT_SLICES) -> DataFrame:
+    """AUC, precision-recall area and top-k hits of one frame from one pass over its cells.
+
+    Per ``k`` the row holds ``r`` (rows wanted), ``hits`` (positives on score
+    levels wholly inside), and, when the cut falls inside a level, that level's
+    score ``edge`` and the number of rows to ``take`` from it.
+    """
+    t = score_table(scored, (), label, score, pos_label, slices)
+    size, through = F.col("p_total") + F.col("n_total"), F.col("tp") + F.col("fp")
+    above = through - F.col("p") - F.col("n")
+    wins = F.sum(F.col("p").cast("double") * (F.col("n_before") + F.col("n") / 2))
+    pairs = F.sum("p").cast("double") * F.sum("n")
+    previous = F.when(above > 0, (F.col("tp") - F.col("p")) / F.when(above > 0, above)).otherwise(F.lit(1.0))
+    step = F.when(F.col("p_total") > 0, F.col("p") / F.when(F.col("p_total") > 0, F.col("p_total")))
+    aggs = [
+        F.when(pairs > 0, wins / pairs).alias("auc"),
+        F.sum(step * (F.col("tp") / through + previous) / 2).alias("aupr"),
+    ]
+    for i, k in enumerate(ks):
+        r = F.floor(F.lit(float(k)) * size)
+        cut = (above < r) & (through > r)
+        aggs += [
+            F.max(r).alias(f"r{i}"),
+            F.sum(F.when(through <= r, F.col("p")).otherwise(0)).alias(f"hits{i}"),
+            F.max(F.when(cut, F.col("score"))).alias(f"edge{i}"),
+            F.max(F.when(cut, r - above)).alias(f"take{i}"),
+        ]
+    return t.agg(*aggs)
+
+
+def edge_hits(scored: DataFrame, label: str, score: str, tie: str, edge: float, take: int, pos_label: int = 1, slices: int | None = DEFAULT_SLICES) -> DataFrame:
+    """Positives among the first ``take`` rows, by ``tie``, of one score level."""
+    level = scored.filter((F.col(score) == F.lit(edge)) & F.col(label).isNotNull())
+    by_tie = level.groupBy(F.col(tie).alias("__tie")).agg(
+        F.sum(positive(label, pos_label).cast("int")).alias("__h"), F.count(F.lit(1)).alias("__c")
+    )
+    placed = ordered_totals(by_tie, (), "__tie", ["__c"], slices)
+    return placed.agg(F.sum(F.when(F.col("__c_before") + F.col("__c") <= take, F.col("__h"))).alias("hits"))
+
+
 def confusion(scored: DataFrame, label: str, predicted: str, group: Sequence[str] = ()) -> DataFrame:
     """Counts by true and predicted class, at most four rows per group."""
     return scored.groupBy(*group, positive(label).cast("int").alias("label"), positive(predicted).cast("int").alias("predicted")).agg(

@@ -7,6 +7,7 @@ the usual single-node library; ``fit`` returns a scorer whose ``score`` adds
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -228,13 +229,14 @@ def nearest(
     def dist(a: Column, b: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
 
-    # a fixed number of pivots, the points with the smallest id hash
-    pivots = pts.select("pid", "v").orderBy(F.xxhash64("pid"), "pid").limit(sample_pivots)
-    pivot_list = pivots.agg(F.collect_list(F.struct(F.xxhash64("pid").alias("h"), "v")).alias("p"))
-    centres = pivot_list.select(F.array_sort("p").alias("p")).scalar()
+    # a fixed number of pivots, the points with the smallest id hash; at most
+    # ``sample_pivots`` vectors come to the driver
+    pivots = pts.select("pid", "v").orderBy(F.xxhash64("pid"), "pid").limit(sample_pivots).collect()
+    constant = lambda value, ddl: F.from_json(F.lit(json.dumps(value)), ddl)
+    centres = constant([list(r["v"]) for r in pivots], "array<array<double>>")
 
     def placed(df: DataFrame) -> DataFrame:
-        scored = F.transform(centres, lambda c, i: F.struct(dist(F.col("v"), c["v"]).alias("d"), i.alias("i")))
+        scored = F.transform(centres, lambda c, i: F.struct(dist(F.col("v"), c).alias("d"), i.alias("i")))
         return df.withColumn("__near", F.array_min(scored)).withColumns({"pivot": F.col("__near.i"), "r": F.col("__near.d")}).drop("__near")
 
     # blocks: consecutive runs of points of one pivot, spread by hash so that a
@@ -245,14 +247,18 @@ def nearest(
     near = near.withColumn("part", F.pmod(F.xxhash64("pid"), F.ceil(F.col("n") / block_rows)).cast("int"))
     groups = near.groupBy("pivot").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("n"), F.max("part").alias("last_part"))
     # one row per pivot
-    summary = groups.agg(F.collect_list(F.struct("pivot", "radius", "n", "last_part")).alias("g")).scalar()
+    known = sorted(groups.collect(), key=lambda r: r["pivot"])
+    summary = constant(
+        [{"pivot": r["pivot"], "radius": r["radius"], "n": r["n"], "last_part": r["last_part"], "v": list(pivots[r["pivot"]]["v"])} for r in known],
+        "array<struct<pivot:int,radius:double,n:bigint,last_part:int,v:array<double>>>",
+    )
 
     # distance bound: the nearest pivots that together hold enough points
     reach = F.transform(
         summary,
         lambda g: F.struct(
-            (dist(F.col("v"), F.element_at(centres, g["pivot"] + 1)["v"]) + g["radius"]).alias("far"),
-            (dist(F.col("v"), F.element_at(centres, g["pivot"] + 1)["v"]) - g["radius"]).alias("close"),
+            (dist(F.col("v"), g["v"]) + g["radius"]).alias("far"),
+            (dist(F.col("v"), g["v"]) - g["radius"]).alias("close"),
             g["n"].alias("n"), g["pivot"].alias("pivot"), g["last_part"].alias("last_part"),
         ),
     )

@@ -32,11 +32,10 @@ def _slice_number(cells: DataFrame, group: Sequence[str], order: str, slices: in
         bounds = cells.groupBy(*group).agg(sketch.alias("__cuts"))
         right = bounds.select(*[F.col(g).alias(f"__r_{g}") for g in group], "__cuts")
         cells = cells.join(right, _null_safe(cells, right, group)).drop(*[f"__r_{g}" for g in group])
-        cuts_col = F.col("__cuts")
     else:
-        cuts_col = cells.agg(sketch.alias("__cuts")).scalar()
+        cells = cells.withColumn("__cuts", cells.agg(sketch.alias("__cuts")).scalar())
     number = F.when(F.col(order).isNull(), slices).otherwise(
-        F.size(F.filter(cuts_col, lambda b: b < F.col(order)))
+        F.size(F.filter("__cuts", lambda b: b < F.col(order)))
     )
     return cells.withColumn("__slice", number.cast("int")).drop("__cuts")
 

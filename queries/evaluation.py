@@ -339,7 +339,8 @@ def _doc_features(spark, sf):
         (F.col("lang") == "en").cast("double").alias("english"),
     )
     y = raw(spark, sf, "labels").select("doc_id", "quality")
-    return d.join(y, "doc_id")
+    # text measures are used by many fits: keep them once
+    return d.join(y, "doc_id").persist()
 
 
 _DOC = ["chars", "words", "letters", "sentences", "english"]
