@@ -89,17 +89,18 @@ def _estimator(spec: ModelSpec, rows: int):
     depth = min(int(p.get("max_depth") or 10), 30)
     leaf = int(p.get("min_samples_leaf", 1))
     seed = int(p.get("random_state") or 0)
+    rounds = int(p.get("max_iter", 100))
     if spec.name == "LogisticRegression" or (spec.name == "SGD" and p.get("loss") == "log"):
         if spec.name == "SGD":
             penalty = float(p.get("alpha", 1e-4))
         mix = 1.0 if p.get("penalty", "l2") == "l1" else 0.0
-        return C.LogisticRegression(regParam=penalty, elasticNetParam=mix, standardization=False, maxIter=100, **common)
+        return C.LogisticRegression(regParam=penalty, elasticNetParam=mix, standardization=False, maxIter=rounds, **common)
     if spec.name == "SVM" or (spec.name == "SGD" and p.get("loss", "hinge") == "hinge"):
         if p.get("kernel", "linear") != "linear":
             raise ValueError("only the linear kernel is available")
         if spec.name == "SGD":
             penalty = float(p.get("alpha", 1e-4))
-        return C.LinearSVC(regParam=penalty, standardization=False, maxIter=100, **common)
+        return C.LinearSVC(regParam=penalty, standardization=False, maxIter=rounds, **common)
     if spec.name == "RandomForest":
         subset = {"auto": "sqrt", "sqrt": "sqrt", "log2": "log2", None: "all"}.get(p.get("max_features", "auto"), str(p.get("max_features")))
         return C.RandomForestClassifier(

@@ -332,10 +332,10 @@ def k_fold_sizes(spark, sf):
 def _doc_features(spark, sf):
     d = raw(spark, sf, "documents").select(
         "doc_id",
-        F.col("n_chars").cast("double").alias("chars"),
-        F.size(F.split("text", r"\s+")).cast("double").alias("words"),
+        F.log1p("n_chars").alias("chars"),
+        F.log1p(F.size(F.split("text", r"\s+"))).alias("words"),
         (F.length(F.regexp_replace("text", r"[^A-Za-z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("letters"),
-        F.size(F.split("text", r"[.!?]")).cast("double").alias("sentences"),
+        F.log1p(F.size(F.split("text", r"[.!?]"))).alias("sentences"),
         (F.col("lang") == "en").cast("double").alias("english"),
     )
     y = raw(spark, sf, "labels").select("doc_id", "quality")
@@ -349,7 +349,7 @@ _DOC = ["chars", "words", "letters", "sentences", "english"]
 @query("kfold_auc")
 def kfold_auc(spark, sf):
     """Mean and standard error of the AUC over folds."""
-    scores = XP.k_fold_scores(_doc_features(spark, sf), "doc_id", _DOC, "quality", ModelSpec("LogisticRegression"), k=5)
+    scores = XP.k_fold_scores(_doc_features(spark, sf), "doc_id", _DOC, "quality", ModelSpec("LogisticRegression", {"max_iter": 20}), k=5)
     return XP.k_fold_auc(scores, "quality")
 
 
@@ -359,13 +359,13 @@ def model_grid(spark, sf):
     folded = k_folds(_doc_features(spark, sf), "doc_id", 2).withColumnRenamed("doc_id", XP.ROW_KEY).persist()
     train, test = folded.filter("fold = 0").drop("fold"), folded.filter("fold = 1").drop("fold")
     grids = {
-        "LogisticRegression": {"C": [0.1, 1.0], "penalty": "l2"},
-        "SVM": {"C": 1.0},
+        "LogisticRegression": {"C": [0.1, 1.0], "penalty": "l2", "max_iter": 20},
+        "SVM": {"C": 1.0, "max_iter": 10},
         "RandomForest": {"n_estimators": 10, "max_depth": 5},
         "GBC": {"n_estimators": 5},
         "DTC": {"max_depth": 4},
         "GNB": {},
-        "SGD": {"loss": "log"},
+        "SGD": {"loss": "log", "max_iter": 20},
         "AdaBoost": {"n_estimators": 3},
     }
     rows = []
@@ -382,7 +382,7 @@ def auc_by_feature_group(spark, sf):
     folded = k_folds(_doc_features(spark, sf), "doc_id", 2)
     groups = {"length": ["chars", "words", "sentences"], "content": ["letters", "english"]}
     rows = XP.auc_by_feature_group(
-        folded.filter("fold = 0"), folded.filter("fold = 1"), groups, "quality", "doc_id", ModelSpec("LogisticRegression"), n_boot=5
+        folded.filter("fold = 0"), folded.filter("fold = 1"), groups, "quality", "doc_id", ModelSpec("LogisticRegression", {"max_iter": 20}), n_boot=5
     )
     return spark.createDataFrame(rows, "feature_group string, lower double, auc double, upper double")
 
