@@ -10,6 +10,7 @@ External id columns carry the partner profile's letter (``a_``/``b_``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
@@ -58,6 +59,11 @@ def _struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl) if ddl.strip() else T.StructType([])
 
 
+def _names(ddl: str) -> list[str]:
+    """Column names of a DDL text; needs no session, unlike the types."""
+    return re.findall(r"(\w+) [A-Z]+(?:\([\d,]+\))?", ddl)
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     column: str
@@ -85,10 +91,10 @@ class TableContract:
         return T.StructType(_struct(self.partner_ids).fields + _struct(self.data).fields)
 
     def data_columns(self) -> list[str]:
-        return _struct(self.data).names
+        return _names(self.data)
 
     def id_columns(self) -> list[str]:
-        return _struct(self.ids).names
+        return _names(self.ids)
 
     def conform(self, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         """Cast to the contract's types in its column order; absent columns become null.

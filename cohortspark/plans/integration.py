@@ -52,7 +52,7 @@ MANIFEST_B = (
     LoadJob("studentid", {"students": "students"}, PB.studentid),
     LoadJob("schoolid", {"schools": "schools"}, PB.schoolid),
     LoadJob("students", {"students": "students"}, PB.students),
-    LoadJob("schools", {"schools": "schools"}, PB.schools),
+    LoadJob("schools", {"schools": "schools"}, PB.schools, ("own_organization",)),
     LoadJob("enrollments", {"enrollments": "enrolments"}, PB.enrollments, ("majors",)),
     LoadJob("contacts", {"contacts": "contacts"}, PB.contacts),
     LoadJob("acttests", {"tests": "tests"}, PB.acttests),

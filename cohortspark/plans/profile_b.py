@@ -112,7 +112,7 @@ def acttests(tests: DataFrame) -> DataFrame:
     )
 
 
-def schools(schools: DataFrame, own_organization: str = "B") -> DataFrame:
+def schools(schools: DataFrame, own_organization: str = "PARTNER B") -> DataFrame:
     """Schools whose kind names the own organisation belong to it and are charters."""
     own = F.col("kind").contains(own_organization)
     kind = X.classify("kind", [(("Charter", own_organization), "charter"), *SCHOOL_KIND])
