@@ -139,9 +139,10 @@ def integrate_table(table: str, a: Mapping[str, DataFrame], b: Mapping[str, Data
         side = RESOLUTION[table].get(letter)
         if side is None or table not in partner:
             continue
-        lookups = [IdLookup(ids[t], on, id_col, t, how) for t, on, id_col, how in side.lookups]
-        frame = contract.conform(partner[table])
-        parts.append(PartnerSource(frame, lookups, side.empty))
+        # an id table no partner delivered resolves to unknown ids
+        lookups = [IdLookup(ids[t], on, id_col, t, how) for t, on, id_col, how in side.lookups if t in ids]
+        unknown = [t for t, *_ in side.lookups if t not in ids]
+        parts.append(PartnerSource(contract.conform(partner[table]), lookups, [*side.empty, *unknown]))
     id_columns = [c for c in contract.id_columns() if c != "enrollid"]
     out = integrate(parts, id_columns, contract.data_columns())
     if table == "enrollments":
