@@ -40,6 +40,10 @@ def _c(c: Column | str) -> Column:
 def recode(c: Column | str, mapping: Mapping) -> Column:
     """Replace mapped values, pass others through; a target may be null."""
     c = _c(c)
+    if len(mapping) > 4:
+        # one constant map keeps the generated code small; a long CASE does not
+        pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+        return F.when(F.map_contains_key(pairs, c), F.try_element_at(pairs, c)).otherwise(c)
     out = None
     for key, value in mapping.items():
         hit = c == F.lit(key)

@@ -44,9 +44,10 @@ def auc(scored: DataFrame, label: str, score: str, group: Sequence[str] = (), sl
     """ROC AUC with ties counted half; null when one class is missing."""
     t = score_table(scored, group, label, score, 1, slices)
     wins = F.sum(F.col("p").cast("double") * (F.col("n_before") + F.col("n") / 2))
-    pairs = F.sum("p").cast("double") * F.sum("n")
+    positives, negatives = F.max("p_total"), F.max("n_total")
+    pairs = positives.cast("double") * negatives
     return t.groupBy(*group).agg(
-        F.when(pairs > 0, wins / pairs).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives")
+        F.when(pairs > 0, wins / pairs).alias("auc"), positives.alias("positives"), negatives.alias("negatives")
     )
 
 
@@ -163,7 +164,7 @@ def ranking_summary(scored: DataFrame, label: str, score: str, ks: Sequence[floa
     size, through = F.col("p_total") + F.col("n_total"), F.col("tp") + F.col("fp")
     above = through - F.col("p") - F.col("n")
     wins = F.sum(F.col("p").cast("double") * (F.col("n_before") + F.col("n") / 2))
-    pairs = F.sum("p").cast("double") * F.sum("n")
+    pairs = F.max("p_total").cast("double") * F.max("n_total")
     previous = F.when(above > 0, (F.col("tp") - F.col("p")) / F.when(above > 0, above)).otherwise(F.lit(1.0))
     step = F.when(F.col("p_total") > 0, F.col("p") / F.when(F.col("p_total") > 0, F.col("p_total")))
     aggs = [

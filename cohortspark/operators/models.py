@@ -7,7 +7,6 @@ the usual single-node library; ``fit`` returns a scorer whose ``score`` adds
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -25,6 +24,7 @@ from cohortspark.session import cut_lineage
 
 FEATURES, LABEL, WEIGHT = "__features", "__label", "__weight"
 _CUT_EVERY = 10
+_SCRATCH = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -227,58 +227,56 @@ def nearest(
     pts = points.select(F.col(point_id).alias("pid"), F.col(vector).cast("array<double>").alias("v"), F.col(payload).alias("payload"))
     qs = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
 
-    def dist(a: Column, b: Column) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
-
     # a fixed number of pivots, the points with the smallest id hash; at most
-    # ``sample_pivots`` vectors come to the driver
+    # ``sample_pivots`` vectors come to the driver and travel with the tasks
     pivots = pts.select("pid", "v").orderBy(F.xxhash64("pid"), "pid").limit(sample_pivots).collect()
-    constant = lambda value, ddl: F.from_json(F.lit(json.dumps(value)), ddl)
-    centres = constant([list(r["v"]) for r in pivots], "array<array<double>>")
-
-    def placed(df: DataFrame) -> DataFrame:
-        scored = F.transform(centres, lambda c, i: F.struct(dist(F.col("v"), c).alias("d"), i.alias("i")))
-        return df.withColumn("__near", F.array_min(scored)).withColumns({"pivot": F.col("__near.i"), "r": F.col("__near.d")}).drop("__near")
-
-    # blocks: consecutive runs of points of one pivot, spread by hash so that a
-    # pivot holding a third of all points becomes many blocks
-    near = placed(pts)
-    per_pivot = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-    near = near.join(F.broadcast(per_pivot), "pivot")  # at most sample_pivots rows
-    near = near.withColumn("part", F.pmod(F.xxhash64("pid"), F.ceil(F.col("n") / block_rows)).cast("int"))
-    groups = near.groupBy("pivot").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("n"), F.max("part").alias("last_part"))
-    # one row per pivot
-    known = sorted(groups.collect(), key=lambda r: r["pivot"])
-    summary = constant(
-        [{"pivot": r["pivot"], "radius": r["radius"], "n": r["n"], "last_part": r["last_part"], "v": list(pivots[r["pivot"]]["v"])} for r in known],
-        "array<struct<pivot:int,radius:double,n:bigint,last_part:int,v:array<double>>>",
-    )
-
-    # distance bound: the nearest pivots that together hold enough points
-    reach = F.transform(
-        summary,
-        lambda g: F.struct(
-            (dist(F.col("v"), g["v"]) + g["radius"]).alias("far"),
-            (dist(F.col("v"), g["v"]) - g["radius"]).alias("close"),
-            g["n"].alias("n"), g["pivot"].alias("pivot"), g["last_part"].alias("last_part"),
-        ),
-    )
-    bound = F.aggregate(
-        F.array_sort("__reach"),
-        F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(float("inf")).alias("bound")),
-        lambda acc, g: F.struct(
-            (acc["seen"] + g["n"]).alias("seen"),
-            F.when((acc["seen"] < need) & (acc["seen"] + g["n"] >= need), g["far"]).otherwise(acc["bound"]).alias("bound"),
-        ),
-    )["bound"]
-    slack = 1e-9
-    visits = (
-        qs.withColumn("__reach", reach)
-        .withColumn("__bound", bound)
-        .withColumn("g", F.explode(F.filter("__reach", lambda g: g["close"] <= F.col("__bound") * (1 + slack) + slack)))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("g.last_part"))))
-        .select(F.col("g.pivot").alias("pivot"), "part", F.pmod(F.xxhash64("qid"), F.lit(query_parts)).cast("int").alias("qpart"), "qid", "v")
-    )
+    centres = np.array([r["v"] for r in pivots], dtype="float64")
+
+    def to_pivots(vectors: np.ndarray) -> np.ndarray:
+        diff = vectors[:, None, :] - centres[None, :, :]
+        return np.sqrt(np.einsum("npd,npd->np", diff, diff))
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = to_pivots(np.stack(pdf["v"].to_numpy()))
+                yield pdf.assign(pivot=d.argmin(axis=1).astype("int32"), r=d.min(axis=1))
+
+    placed_schema = T.StructType([*pts.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("r", T.DoubleType())])
+
+    # blocks: the points of one pivot, spread by hash so that a pivot holding a
+    # third of all points becomes many blocks
+    near = pts.mapInPandas(place, placed_schema)
+    per_pivot = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius"))
+    # one row per pivot comes back
+    known = sorted(per_pivot.collect(), key=lambda r: r["pivot"])
+    used = np.array([r["pivot"] for r in known])
+    sizes = np.array([r["n"] for r in known])
+    radii = np.array([r["radius"] for r in known])
+    blocks = -(-sizes // block_rows)
+    block_count = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(used, blocks) for x in pair]), F.col("pivot"))
+    near = near.withColumn("part", F.pmod(F.xxhash64("pid"), block_count).cast("int"))
+
+    def visit(batches):
+        """Blocks each query has to look at: (pivot, part, qid, v)."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d = to_pivots(np.stack(pdf["v"].to_numpy()))[:, used]
+            far, close = d + radii, d - radii
+            order = np.argsort(far, axis=1, kind="stable")
+            enough = (np.cumsum(sizes[order], axis=1) >= min(need, sizes.sum())).argmax(axis=1)
+            # the nearest pivots that together hold enough points bound the k-th distance
+            bound = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)
+            rows, cols = np.nonzero(close <= bound * (1 + 1e-9) + 1e-9)
+            counts = blocks[cols]
+            rows, cols = np.repeat(rows, counts), np.repeat(cols, counts)
+            part = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            out = pdf.iloc[rows]
+            yield pd.DataFrame({"pivot": used[cols].astype("int32"), "part": part.astype("int32"), "qid": out["qid"].to_numpy(), "v": out["v"].to_numpy()})
+
+    visit_schema = T.StructType([T.StructField("pivot", T.IntegerType()), T.StructField("part", T.IntegerType()), *qs.schema.fields])
+    visits = qs.mapInPandas(visit, visit_schema).withColumn("qpart", F.pmod(F.xxhash64("qid"), F.lit(query_parts)).cast("int"))
     spread = near.select("pivot", "part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("qpart"), "pid", "v", "payload")
 
     id_type, pay_type = qs.schema["qid"].dataType, pts.schema["payload"].dataType
@@ -287,19 +285,29 @@ def nearest(
     )
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in ("qid", "pid", "d2", "payload")})
         if q.empty or p.empty:
-            return empty
+            return pd.DataFrame({c: [] for c in ("qid", "pid", "d2", "payload")})
         p = p.sort_values("pid", kind="stable")
         pm, pid, pay = np.stack(p["v"].to_numpy()), p["pid"].to_numpy(), p["payload"].to_numpy()
-        out = []
+        qm, qid = np.stack(q["v"].to_numpy()), q["qid"].to_numpy()
         keep = min(need, len(pid))
-        qv, qid = q["v"].to_numpy(), q["qid"].to_numpy()
-        for i in range(len(qid)):
-            diff = pm - qv[i]
-            d2 = np.round(np.einsum("ij,ij->i", diff, diff), 9)
-            top = np.argsort(d2, kind="stable")[:keep]
-            out.append(pd.DataFrame({"qid": qid[i], "pid": pid[top], "d2": d2[top], "payload": pay[top]}))
+        # bounded scratch: a few million differences at a time
+        chunk = max(1, _SCRATCH // pm.size)
+        out = []
+        for at in range(0, len(qid), chunk):
+            diff = qm[at : at + chunk, None, :] - pm[None, :, :]
+            d2 = np.round(np.einsum("qpd,qpd->qp", diff, diff), 9)
+            top = np.argsort(d2, axis=1, kind="stable")[:, :keep]
+            out.append(
+                pd.DataFrame(
+                    {
+                        "qid": np.repeat(qid[at : at + chunk], keep),
+                        "pid": pid[top].ravel(),
+                        "d2": np.take_along_axis(d2, top, 1).ravel(),
+                        "payload": pay[top].ravel(),
+                    }
+                )
+            )
         return pd.concat(out)
 
     keys = ["pivot", "part", "qpart"]

@@ -8,6 +8,7 @@ local running sum plus an offset.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,20 +25,34 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
     return cond
 
 
-def _slice_number(cells: DataFrame, group: Sequence[str], order: str, slices: int) -> DataFrame:
-    """Number each row by approximate quantile of its value inside the group."""
-    cuts = [i / slices for i in range(1, slices)]
-    sketch = F.percentile_approx(order, cuts, 10000)
+def _slice_number(cells: DataFrame, group: Sequence[str], order: str, slices: int, sums: Sequence[str]) -> DataFrame:
+    """Number each row by approximate quantile of its value inside the group.
+
+    The number is how many of the ``slices - 1`` cut points lie below the value,
+    counted in two steps (every ``step``-th cut first) to keep it cheap per row.
+    The sketch reads the counts in ``sums`` too: with the same columns in use,
+    Spark recognises the sketch, the slice totals and the rows as one exchange
+    and scans the source once.
+    """
+    quantiles = [i / slices for i in range(1, slices)]
+    step = max(1, math.isqrt(slices))
+    counted = sum((F.col(s) for s in sums), F.lit(0)) >= 0
+    value = F.when(counted, F.col(order))
+    sketch = cells.groupBy(*group).agg(F.percentile_approx(value, quantiles, 10000).alias("__cuts"))
+    every = F.transform(F.array(*[F.lit(i) for i in range(step, slices, step)]), lambda i: F.element_at("__cuts", i))
+    bounds = sketch.withColumn("__every", F.when(F.col("__cuts").isNotNull(), every))
     if group:
-        bounds = cells.groupBy(*group).agg(sketch.alias("__cuts"))
-        right = bounds.select(*[F.col(g).alias(f"__r_{g}") for g in group], "__cuts")
+        right = bounds.select(*[F.col(g).alias(f"__r_{g}") for g in group], "__cuts", "__every")
         cells = cells.join(right, _null_safe(cells, right, group)).drop(*[f"__r_{g}" for g in group])
     else:
-        cells = cells.withColumn("__cuts", cells.agg(sketch.alias("__cuts")).scalar())
-    number = F.when(F.col(order).isNull(), slices).otherwise(
-        F.size(F.filter("__cuts", lambda b: b < F.col(order)))
-    )
-    return cells.withColumn("__slice", number.cast("int")).drop("__cuts")
+        packed = bounds.select(F.struct("__cuts", "__every").alias("b")).scalar()
+        cells = cells.withColumn("__b", packed).withColumns({"__cuts": F.col("__b.__cuts"), "__every": F.col("__b.__every")}).drop("__b")
+    value = F.col(order)
+    below = lambda b: b < value
+    placed = cells.withColumn("__coarse", F.size(F.filter("__every", below)) * step)
+    number = F.col("__coarse") + F.size(F.filter(F.slice("__cuts", F.col("__coarse") + 1, F.lit(step)), below))
+    slice_number = F.when(value.isNull(), slices).otherwise(number).cast("int")
+    return placed.withColumn("__slice", slice_number).drop("__cuts", "__every", "__coarse")
 
 
 def ordered_totals(
@@ -65,7 +80,7 @@ def ordered_totals(
     if isinstance(slices, Column):
         sliced = cells.withColumn("__slice", slices)
     else:
-        sliced = _slice_number(cells, group, order, slices)
+        sliced = _slice_number(cells, group, order, slices, sums)
     keys = [*group, "__slice"]
     per_slice = sliced.groupBy(*keys).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     # one row per slice: at most ``slices`` rows per group meet in a task here
@@ -78,6 +93,8 @@ def ordered_totals(
     )
     inside = W.partitionBy(*keys).orderBy(asc).rowsBetween(W.unboundedPreceding, -1)
     local = sliced.withColumns({f"__l_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
+    if not group and not isinstance(slices, Column):
+        offsets = F.broadcast(offsets)  # slices + 1 rows at most
     joined = local.join(offsets, _null_safe(local, offsets, keys))
     return joined.withColumns({f"{s}_before": F.col(f"__l_{s}") + F.col(f"__o_{s}") for s in sums}).drop(
         "__slice", *[f"__r_{k}" for k in keys], *[f"__l_{s}" for s in sums], *[f"__o_{s}" for s in sums]

@@ -98,7 +98,7 @@ def bootstrap_auc(
     cells = score_cells(scored, group, label, score)
     largest = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
     slices = max(1, math.ceil(largest / cells_per_task))
-    sliced = _slice_number(cells, group, "score", slices) if slices > 1 else cells.withColumn("__slice", F.lit(0))
+    sliced = _slice_number(cells, group, "score", slices, ["p", "n"]) if slices > 1 else cells.withColumn("__slice", F.lit(0))
     keyed = sliced.withColumn("__key", _cell_key(seed, [*group, "score"]))
 
     fields = [keyed.schema[g] for g in group] + [

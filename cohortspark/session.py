@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # let the skew rule split a hot partition even when that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the JVM does not compile methods beyond 8000 bytes; split the code instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
