@@ -80,7 +80,7 @@ FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1999-01-01', INTERV
 )
 def window_schedule(spark, sf):
     """Windows generated in Spark, with the orders that fall into each training period."""
-    w = windows_frame(spark, date(1996, 1, 1), date(1999, 1, 1), 24, 12, 6)
+    w = windows_frame(spark, date(1996, 1, 1), date(1999, 1, 1), 24, 12, 10)
     # half-year slots turn the range condition into an equality on month numbers
     month = lambda c: F.year(c) * 12 + F.month(c)
     per_month = raw(spark, sf, "orders").groupBy(month("o_orderdate").alias("m")).agg(F.count(F.lit(1)).alias("n"))
@@ -101,7 +101,7 @@ def window_schedule(spark, sf):
             for n in range(1, 9)
         )
         + """) SELECT transition, count(*) AS n, CAST(sum(CAST(persist AS INT)) AS BIGINT) AS n_persist,
-  round(avg(CAST(persist AS INT)), 6) AS rate FROM steps WHERE persist IS NOT NULL GROUP BY transition""",
+  round(avg(CAST(persist AS INT)), 10) AS rate FROM steps WHERE persist IS NOT NULL GROUP BY transition""",
     ),
 )
 def transition_rates(spark, sf):
@@ -109,7 +109,7 @@ def transition_rates(spark, sf):
     t = transitions(view(spark, sf, "enrolment"), TRAIN_START, SPLIT)
     hit = F.col("persist").cast("int")
     return t.groupBy("transition").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(hit).alias("n_persist"), F.round(F.avg(hit), 6).alias("rate")
+        F.count(F.lit(1)).alias("n"), F.sum(hit).alias("n_persist"), F.round(F.avg(hit), 10).alias("rate")
     )
 
 
@@ -139,7 +139,7 @@ def flagship_spec(features=MATRIX_FEATURES, **kw) -> MatrixSpec:
 
 
 def _rounded(df, columns):
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 10) for c in columns})
 
 
 _FEATURE_SQL = f"""
@@ -185,10 +185,10 @@ _FLOATS = ("maxrankyear12", "avgrankyear11", "year12_unweightedgpa", "avgnetpric
         f"""WITH {_FEATURE_SQL}, {_SPINE}
 SELECT s.enrollid, s.studentid, s.collegeid, s.persist_3_halfyear, enr.is_first_enrollment, enr.is_spring,
   enr.age_at_enrollment, p.is_female, p.ever_special_ed, CAST(adv.numberapsyear12 AS BIGINT) AS numberapsyear12,
-  CAST(adv.numberhonsyear11 AS BIGINT) AS numberhonsyear11, round(adv.maxrankyear12, 6) AS maxrankyear12,
-  round(adv.avgrankyear11, 6) AS avgrankyear11, round(gpa.year12_unweightedgpa, 6) AS year12_unweightedgpa,
-  alum.alum_count, round(c.avgnetprice, 6) AS avgnetprice, c.is4year, con.num_contacts,
-  CAST(con.total_unsuccessful_contacts AS BIGINT) AS total_unsuccessful_contacts, round(att.avghstardy, 6) AS "AvgHSTardy"
+  CAST(adv.numberhonsyear11 AS BIGINT) AS numberhonsyear11, round(adv.maxrankyear12, 10) AS maxrankyear12,
+  round(adv.avgrankyear11, 10) AS avgrankyear11, round(gpa.year12_unweightedgpa, 10) AS year12_unweightedgpa,
+  alum.alum_count, round(c.avgnetprice, 10) AS avgnetprice, c.is4year, con.num_contacts,
+  CAST(con.total_unsuccessful_contacts AS BIGINT) AS total_unsuccessful_contacts, round(att.avghstardy, 10) AS "AvgHSTardy"
 FROM spine s {_JOINS}""",
     ),
 )
@@ -211,7 +211,7 @@ SELECT enrollid, studentid, collegeid, persist_3_halfyear AS persist, is_spring,
             for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
         )
         + """,
-  CAST(avgnetprice IS NULL AS INT) AS avgnetprice_isnull, round(coalesce(avgnetprice, 0), 6) AS avgnetprice,
+  CAST(avgnetprice IS NULL AS INT) AS avgnetprice_isnull, round(coalesce(avgnetprice, 0), 10) AS avgnetprice,
   coalesce(alum_count, 0) AS alum_count FROM m""",
     ),
 )

@@ -285,14 +285,14 @@ a AS (SELECT studentid, """
         + """, CASE WHEN count(v) FILTER (gap <= 1) = 2 THEN avg(v) FILTER (gap <= 1) END AS avg_y11_y12_unweightedgpa,
   CASE WHEN count(v) FILTER (gap > 1 AND gap < 4) = 2 THEN avg(v) FILTER (gap > 1 AND gap < 4) END AS avg_y9_y10_unweightedgpa FROM g GROUP BY 1)
 SELECT studentid, """
-        + ", ".join(f"round({c}, 6) AS {c}" for c in _GPA_COLUMNS[:-1])
-        + ", round(avg_y11_y12_unweightedgpa - avg_y9_y10_unweightedgpa, 6) AS unweighted_gpa_diff FROM a",
+        + ", ".join(f"round({c}, 10) AS {c}" for c in _GPA_COLUMNS[:-1])
+        + ", round(avg_y11_y12_unweightedgpa - avg_y9_y10_unweightedgpa, 10) AS unweighted_gpa_diff FROM a",
     ),
 )
 def guarded_average(spark, sf):
     """Averages guarded by an exact count, and their difference, in one aggregate."""
     out = FT.gpa_years(tables(spark, sf), FT.Bounds(), _GPA_COLUMNS, FT.Options())
-    return out.select("studentid", *[F.round(c, 6).alias(c) for c in _GPA_COLUMNS])
+    return out.select("studentid", *[F.round(c, 10).alias(c) for c in _GPA_COLUMNS])
 
 
 _AVG = tuple(c for c in FT._AVERAGES if c != "YearlyAvgAttendance")
@@ -307,7 +307,7 @@ _TYPES = {"Tardy": "'tardy'", "Suspended": "'suspended'", "Excused": "'excused'"
   WHERE attendance_type IS NOT NULL AND high_school_class - school_year BETWEEN 0 AND 6 GROUP BY ALL)
 SELECT studentid, """
         + ", ".join(
-            f'round(avg(n) FILTER (t IN ({_TYPES[c[5:]]}) AND gap {"<= 3" if c[3:5] == "HS" else ">= 4"}), 6) AS "{c}"' for c in _AVG
+            f'round(avg(n) FILTER (t IN ({_TYPES[c[5:]]}) AND gap {"<= 3" if c[3:5] == "HS" else ">= 4"}), 10) AS "{c}"' for c in _AVG
         )
         + " FROM cells GROUP BY 1",
     ),
@@ -315,7 +315,7 @@ SELECT studentid, """
 def nested_average(spark, sf):
     """Twelve means of per-year counts from one two-stage aggregation."""
     out = FT.attendance_averages(tables(spark, sf), FT.Bounds(), _AVG, FT.Options())
-    return out.select("studentid", *[F.round(c, 6).alias(c) for c in _AVG])
+    return out.select("studentid", *[F.round(c, 10).alias(c) for c in _AVG])
 
 
 @query(
@@ -324,13 +324,13 @@ def nested_average(spark, sf):
         "attendance person",
         f"""WITH cells AS (SELECT a.studentid, attendance_type, high_school_class - school_year AS gap, count(*) AS n FROM attendance a JOIN person p USING (studentid)
   WHERE attendance_type IS NOT NULL AND high_school_class - school_year BETWEEN 0 AND 3 AND attendance_date < DATE '1999-03-01' GROUP BY ALL)
-SELECT studentid, round(avg(n), 6) AS "YearlyAvgAttendance" FROM cells GROUP BY 1""",
+SELECT studentid, round(avg(n), 10) AS "YearlyAvgAttendance" FROM cells GROUP BY 1""",
     ),
 )
 def yearly_average_bounded(spark, sf):
     """the generic yearly average, bounded by date."""
     out = FT.attendance_averages(tables(spark, sf), FT.Bounds(None, date(1999, 3, 1)), ["YearlyAvgAttendance"], FT.Options())
-    return out.select("studentid", F.round("YearlyAvgAttendance", 6).alias("YearlyAvgAttendance")).filter("YearlyAvgAttendance IS NOT NULL")
+    return out.select("studentid", F.round("YearlyAvgAttendance", 10).alias("YearlyAvgAttendance")).filter("YearlyAvgAttendance IS NOT NULL")
 
 
 @query(
@@ -356,13 +356,13 @@ _MEDIA = ("click", "purchase", "signup", "view")
     "percent_share",
     oracle(
         "contact",
-        "SELECT studentid, " + ", ".join(f"round(100.0 * count(*) FILTER (contact_medium = '{m}') / count(*), 6) AS \"{m}\"" for m in _MEDIA) + " FROM contact WHERE contact_medium IS NOT NULL GROUP BY 1",
+        "SELECT studentid, " + ", ".join(f"round(100.0 * count(*) FILTER (contact_medium = '{m}') / count(*), 10) AS \"{m}\"" for m in _MEDIA) + " FROM contact WHERE contact_medium IS NOT NULL GROUP BY 1",
     ),
 )
 def percent_share(spark, sf):
     """Share of contacts per medium."""
     out = A.pivot_shares(view(spark, sf, "contact"), "studentid", "contact_medium", _MEDIA)
-    return out.select("studentid", *[F.round(m, 6).alias(m) for m in _MEDIA])
+    return out.select("studentid", *[F.round(m, 10).alias(m) for m in _MEDIA])
 
 
 @query(
@@ -403,7 +403,7 @@ def _rank_sql(source: str, tail: str) -> str:
         "course",
         f"""WITH r AS (SELECT *, high_school_class - year_taken AS gap, percent_rank() OVER (PARTITION BY course_number ORDER BY percent_grade ASC NULLS LAST) AS pr FROM {source})
 SELECT studentid, """
-        + ", ".join(f"round({s}(pr) FILTER (gap = {12 - y}), 6) AS {s}rankyear{y}" for s in ("max", "min", "avg") for y in (12, 11, 10))
+        + ", ".join(f"round({s}(pr) FILTER (gap = {12 - y}), 10) AS {s}rankyear{y}" for s in ("max", "min", "avg") for y in (12, 11, 10))
         + f" FROM r WHERE semester_taken <> 3 AND gap BETWEEN 0 AND 2 {tail} GROUP BY 1",
     )
 
@@ -412,14 +412,14 @@ SELECT studentid, """
 def rank_family(spark, sf):
     """Nine aggregates over one percent rank per course, nulls last."""
     out = FT.course_ranks(tables(spark, sf), FT.Bounds(None, SPLIT), _RANKS, FT.Options())
-    return out.select("studentid", *[F.round(c, 6).alias(c) for c in _RANKS])
+    return out.select("studentid", *[F.round(c, 10).alias(c) for c in _RANKS])
 
 
 @query("rank_family_point_in_time", _rank_sql(f"(SELECT * FROM course WHERE grade_available < DATE '{SPLIT}')", ""))
 def rank_family_point_in_time(spark, sf):
     """W01 with the option to rank only what was known at the split."""
     out = FT.course_ranks(tables(spark, sf), FT.Bounds(None, SPLIT), _RANKS, FT.Options(rank_point_in_time=True))
-    return out.select("studentid", *[F.round(c, 6).alias(c) for c in _RANKS])
+    return out.select("studentid", *[F.round(c, 10).alias(c) for c in _RANKS])
 
 
 @query(
@@ -482,14 +482,14 @@ def best_score(spark, sf):
     "group_mean_first",
     oracle(
         "course",
-        """SELECT studentid, round(avg(percent_grade), 6) AS percent_grade, round(avg(credit_hours), 6) AS credit_hours,
+        """SELECT studentid, round(avg(percent_grade), 10) AS percent_grade, round(avg(credit_hours), 10) AS credit_hours,
   arg_min(course_number, (grade_available, course_number)) AS course_number FROM course GROUP BY 1""",
     ),
 )
 def group_mean_first(spark, sf):
     """Group means plus the first other attribute by a stated order."""
     out = A.group_mean_first(view(spark, sf, "course"), "studentid", ["percent_grade", "credit_hours"], "course_number", ["grade_available", "course_number"])
-    return out.select("studentid", F.round("percent_grade", 6).alias("percent_grade"), F.round("credit_hours", 6).alias("credit_hours"), "course_number")
+    return out.select("studentid", F.round("percent_grade", 10).alias("percent_grade"), F.round("credit_hours", 10).alias("credit_hours"), "course_number")
 
 
 @query(
