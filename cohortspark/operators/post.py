@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.operators.ranks import DEFAULT_SLICES, ordered_totals
+
 ONE_HOT, NULL_DUMMY, FILL_ZERO, FILL_MEDIAN = "one_hot", "null_dummy", "fill_zero", "fill_median"
 STEPS = (ONE_HOT, NULL_DUMMY, FILL_ZERO, FILL_MEDIAN)
 
@@ -59,15 +61,30 @@ class PostPlan:
                     out.append(quoted(c).isNull().cast("int").alias(f"{c}_isnull"))
             elif step == FILL_ZERO:
                 out.append(F.coalesce(quoted(c), _zero(df, c)).alias(c))
-            elif step == FILL_MEDIAN:
+            elif step == FILL_MEDIAN and c in self.medians:
                 out.append(F.coalesce(quoted(c), F.lit(self.medians[c])).alias(c))
             else:
                 out.append(quoted(c))
         return df.select(*out)
 
 
+def exact_median(df: DataFrame, column: str, slices: int | None = DEFAULT_SLICES) -> float | None:
+    """Median of a column without nulls, from ordered counts per value.
+
+    The built-in exact percentile merges all distinct values in one task; here
+    only the one or two middle values are picked from sliced running counts.
+    """
+    value = quoted(column).cast("double")
+    cells = df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    placed = ordered_totals(cells, (), "v", ["c"], slices)
+    at = lambda i: F.max(F.when((F.col("c_before") <= i) & (i < F.col("c_before") + F.col("c")), F.col("v")))
+    low, high = F.floor((F.col("c_total") - 1) / 2), F.floor(F.col("c_total") / 2)
+    return placed.agg(((at(low) + at(high)) / 2).alias("m")).first()["m"]
+
+
 def learn(train: DataFrame, steps: Mapping[str, str], test: DataFrame | None = None, approximate_median: bool = False) -> PostPlan:
-    """Learn a plan from the training rows (one aggregate job, one result row).
+    """Learn a plan from the training rows (one aggregate job with one result row;
+    exact medians add one job per column).
 
     With ``test``, categories that do not occur there are dropped, so that both
     matrices have the same columns after separate encoding would be intersected.
@@ -81,9 +98,10 @@ def learn(train: DataFrame, steps: Mapping[str, str], test: DataFrame | None = N
     median = [c for c, s in steps.items() if s == FILL_MEDIAN]
     aggs = [F.collect_set(quoted(c)).alias(f"h{i}") for i, c in enumerate(hot)]
     aggs += [F.count_if(quoted(c).isNull()).alias(f"d{i}") for i, c in enumerate(dummy)]
-    mid = (lambda c: F.percentile_approx(c, 0.5)) if approximate_median else F.median
-    aggs += [mid(quoted(c)).alias(f"m{i}") for i, c in enumerate(median)]
+    if approximate_median:
+        aggs += [F.percentile_approx(quoted(c), 0.5).alias(f"m{i}") for i, c in enumerate(median)]
     row = train.agg(*aggs).first() if aggs else None
+    medians = {c: row[f"m{i}"] if approximate_median else exact_median(train, c) for i, c in enumerate(median)}
     categories = {c: sorted(row[f"h{i}"]) for i, c in enumerate(hot)}
     if test is not None and hot:
         seen = test.agg(*[F.collect_set(quoted(c)).alias(f"h{i}") for i, c in enumerate(hot)]).first()
@@ -92,7 +110,7 @@ def learn(train: DataFrame, steps: Mapping[str, str], test: DataFrame | None = N
         steps=steps,
         categories=categories,
         with_nulls=frozenset(c for i, c in enumerate(dummy) if row[f"d{i}"] > 0),
-        medians={c: float(row[f"m{i}"]) for i, c in enumerate(median) if row[f"m{i}"] is not None},
+        medians={c: float(m) for c, m in medians.items() if m is not None},
     )
 
 

@@ -24,10 +24,10 @@ def permutation_position(df: DataFrame, key: str, seed: int = 0, out: str = "pos
 
     The permutation orders rows by ``md5(seed:key)``.  The leading hex digits
     are a monotone bucket, so positions are a bucket offset plus a position
-    inside the bucket: no global sort in one task.  4096 offsets at most.
+    inside the bucket: no global sort in one task.  65536 offsets at most.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    keyed = df.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, 3))
+    keyed = df.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, 4))
     sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -38,7 +38,7 @@ def permutation_position(df: DataFrame, key: str, seed: int = 0, out: str = "pos
     inside = W.partitionBy("__bucket").orderBy("__digest", key)
     return (
         keyed.withColumn("__pos", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), "__bucket")  # three hex digits: at most 4096 rows
+        .join(F.broadcast(offsets), "__bucket")  # four hex digits: at most 65536 rows
         .withColumn(out, F.col("__offset") + F.col("__pos"))
         .drop("__digest", "__bucket", "__pos", "__offset")
     )

@@ -422,6 +422,14 @@ def rank_family_point_in_time(spark, sf):
     return out.select("studentid", *[F.round(c, 10).alias(c) for c in _RANKS])
 
 
+@query("rank_family_plain", _rank_sql("course", f"AND grade_available < DATE '{SPLIT}'"))
+def rank_family_plain(spark, sf):
+    """W01, F60-F68 with one window over the distinct grades of a course: same result."""
+    options = FT.Options(rank_slices=None)
+    out = FT.course_ranks(tables(spark, sf), FT.Bounds(None, SPLIT), _RANKS, options)
+    return out.select("studentid", *[F.round(c, 10).alias(c) for c in _RANKS])
+
+
 @query(
     "percent_rank_sliced",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(percent_rank() OVER (PARTITION BY l_returnflag ORDER BY price ASC NULLS LAST), 9) AS pr
