@@ -10,10 +10,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from cohortspark.llm.common import SPACES, ascii_lower, col, fresh, table, whole, written
+from cohortspark.llm.common import SPACES, col, fresh, table, whole, written
 
 DROP, PENDING, SUMMARY = 0, 1, 2
+_SPACES = SPACES.encode()
 _FOUND = "kind int, h1 long, h2 long, doc long, ver long, pos int, n int, cnt long, head int"
 
 
@@ -25,10 +27,30 @@ def _identity(id_col: str, text_col: str) -> tuple[Column, Column]:
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(h1, h2, doc, ver, pos, n): 128 hash bits per line key of enough characters."""
     doc, ver = _identity(id_col, text_col)
-    lines = F.split(ascii_lower(whole(text_col)), "\n")
-    rows = docs.select(doc.alias("doc"), ver.alias("ver"), F.size(lines).alias("n"), F.posexplode(lines).alias("pos", "line"))
-    rows = rows.withColumn("key", F.btrim("line", F.lit(SPACES))).filter(F.char_length("key") >= min_chars)
-    return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "ver", "pos", "n")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+            for lo in range(0, len(texts), 512):
+                hashes, rows, positions, sizes = [], [], [], []
+                for i, text in enumerate(texts[lo : lo + 512], lo):
+                    lines = text.split(b"\n")
+                    for pos, line in enumerate(lines):
+                        key = line.strip(_SPACES).lower()  # of bytes: A-Z only
+                        if len(key) >= min_chars and (min_chars < 2 or len(key.decode()) >= min_chars):
+                            hashes.append(xxh3_128_digest(key))
+                            rows.append(i)
+                            positions.append(pos)
+                            sizes.append(len(lines))
+                both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(positions, pa.int32()), pa.array(sizes, pa.int32())],
+                    names=["h1", "h2", "doc", "ver", "pos", "n"],
+                )
+
+    rows = docs.select(doc.alias("doc"), ver.alias("ver"), whole(text_col).alias("text"))
+    return rows.mapInArrow(cut, "h1 long, h2 long, doc long, ver long, pos int, n int")
 
 
 def _changes(columns: list[np.ndarray]) -> np.ndarray:
