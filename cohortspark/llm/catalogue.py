@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import exact, lines
+from cohortspark.llm import exact, lines, packing, shards
 
-QUERIES = {"op1_exact_dedup": exact.op1_exact_dedup, "op2_line_dedup": lines.op2_line_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact.op1_exact_dedup,
+    "op2_line_dedup": lines.op2_line_dedup,
+    "op3_min_cost_resharding": shards.op3_min_cost_resharding,
+    "op4_length_buckets": packing.op4_length_buckets,
+}
 ORACLES = {"op1_exact_dedup": exact.ORACLE, "op2_line_dedup": lines.ORACLE}
