@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import exact, lines, packing, shards
+from cohortspark.llm import bpe, exact, lines, merkle, packing, shards
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_min_cost_resharding": shards.op3_min_cost_resharding,
     "op4_length_buckets": packing.op4_length_buckets,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op8_merkle_fingerprints": merkle.op8_merkle_fingerprints,
 }
 ORACLES = {"op1_exact_dedup": exact.ORACLE, "op2_line_dedup": lines.ORACLE}
