@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm.common import col, table, whole
 
 #: Characters of a span that is encoded directly, bytes of a piece that is, and cached pieces.
-LEAF, SHORT, CACHED = 8192, 48, 400_000
+LEAF, SHORT, CACHED = 8192, 48, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,6 +59,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, short: int = SHORT):
         self.ranks, self.pattern, self.leaf, self.short = ranks, regex.compile(pattern), leaf, short
         self.tokens = {r: t for t, r in ranks.items()}
+        self.none = max(self.tokens) + 1
         self.cache: dict[str, tuple[int, ...]] = {}
 
     # inside a piece
@@ -67,14 +68,17 @@ class Codec:
         """Merge the pair of lowest rank, the leftmost first, until none is left."""
         ranks = self.ranks
         if len(data) <= self.short:
+            get, none = ranks.get, self.none
             parts = [data[i : i + 1] for i in range(len(data))]
-            while len(parts) > 1:
-                pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-                best = min((r for r in pairs if r is not None), default=None)
-                if best is None:
-                    break
+            pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+            while pairs and (best := min(pairs)) < none:
                 i = pairs.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                parts[i] += parts[i + 1]
+                del parts[i + 1], pairs[i]
+                if i:
+                    pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+                if i < len(pairs):
+                    pairs[i] = get(parts[i] + parts[i + 1], none)
             return [ranks[p] for p in parts]
         end = list(range(1, len(data) + 1))
         before = list(range(-1, len(data) - 1))
@@ -127,10 +131,6 @@ class Codec:
             data = piece.encode()
             one = self.ranks.get(data)
             ids = (one,) if one is not None else tuple(self.halves(data))
-            if len(data) <= self.short:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
-                self.cache[piece] = ids
         return ids
 
     # over pieces
@@ -138,10 +138,15 @@ class Codec:
     def encode_span(self, text: str, lo: int, hi: int) -> Span:
         if hi - lo <= self.leaf:
             pieces, cache = self.pattern.findall(text, lo, hi), self.cache
-            try:
-                ids = list(chain.from_iterable(map(cache.__getitem__, pieces)))
-            except KeyError:
-                ids = list(chain.from_iterable(map(self.piece, pieces)))
+            if len(cache) >= CACHED:
+                cache.clear()
+            new = set(pieces).difference(cache)
+            for p in new:
+                cache[p] = self.piece(p)
+            ids = list(chain.from_iterable(map(cache.__getitem__, pieces)))
+            for p in new:
+                if len(p) > self.short:  # so the cache is bounded in bytes too
+                    del cache[p]
             return Span(lo, hi, ids, pieces[-8:])
         mid = (lo + hi) // 2
         return self.join(text, self.encode_span(text, lo, mid), self.encode_span(text, mid, hi))
