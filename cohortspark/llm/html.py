@@ -77,7 +77,7 @@ def tokens(page: str) -> Iterator[Token]:
                 yield Token("w:boiler" if boiler else "w:bare", entities.escape(inner), len(inner.split()), boiler > 0, False)
             continue
         name = tag.group(1).lower()
-        closed = []
+        closed, inside = [], boiler > 0
         if piece[1] == "/":
             if any(n == name for n, _ in stack):
                 while not closed or closed[-1][0] != name:
@@ -102,7 +102,7 @@ def tokens(page: str) -> Iterator[Token]:
         for n, was_boiler in closed:
             boiler -= was_boiler
             raw -= n in RAW
-        yield Token(f"t:{name}" if name in BLOCKS else "t:inline", "", 0, boiler > 0, name in BLOCKS)
+        yield Token(f"t:{name}" if name in BLOCKS else "t:inline", "", 0, inside or boiler > 0, name in BLOCKS)
 
 
 def labelled_counts(page: str) -> Counter:
@@ -176,7 +176,7 @@ def score(t: Token, weights: dict[str, float]) -> float:
     """Words count each, tags once.  Text of a known boilerplate element counts once
     however long it is: it is left out anyway, and must not part the article around it."""
     if t.boiler:
-        return weights["w:boiler"] / 4 if t.words else 0.0
+        return weights["w:boiler"] / 16 if t.words else 0.0
     return weights.get(t.kind, TAG_WEIGHT) * (t.words if t.kind[0] == "w" else 1)
 
 
