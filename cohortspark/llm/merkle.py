@@ -13,7 +13,7 @@ PASSAGE_ENDS = r".,;:!?|%&*#$)\]>\"nsd"
 _CUT = f"(?<=[{PASSAGE_ENDS}][{SPACE_CLASS}])(?![{SPACE_CLASS}])"
 #: A paragraph whose digest begins with one of these ends its section.
 SECTION_ENDS = "[0-3]"
-#: The key of rows without an id.
+#: The key of rows without an id; no id may have this value.
 NO_ID = -(1 << 63)
 
 
@@ -102,9 +102,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for its smallest beginning.  A single document is its own next document.  An
     empty table gives an empty result.
     """
-    rows = docs.select(
-        col(id_col).cast("long").alias("doc_id"), F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), whole(text_col).alias("text")
-    )
+    # both sides of the joins below read the same (key, text) rows, so one shuffle of the texts serves both
+    rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), whole(text_col).alias("text"))
     sizes = rows.select("key", F.char_length("text").alias("n"))
     follow = successors(sizes.select("key"))
     # what the next document must give: its fingerprint, and as many characters as the longest row of the id can take
@@ -118,7 +117,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     n, k = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("given.head", F.lit(1), k))
-    made = rows.join(heads, "key").select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("given.next_print").alias("next_print"))
+    doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
+    made = rows.join(heads, "key").select(doc_id, n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("given.next_print").alias("next_print"))
     made = made.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print",
