@@ -257,8 +257,8 @@ def _known(lookup: dict[str, int]) -> dict[str, tuple[int, ...]]:
     return _KNOWN[key]
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id and score of every whole text; with ``keep`` all columns of ``docs`` and ``score`` behind them.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """doc_id and score of every whole text; with ``keep`` all columns of ``docs`` and the score under that name.
 
     A null or empty text gets the score of a text without votes.
     """
@@ -273,8 +273,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out.append(1 / (1 + np.exp(-np.clip(bias + sum(weights[i] * v for i, v in got.items()), -30, 30))))
         return pa.array(out, pa.float64())
 
-    made = rate(whole(text_col)).alias("score")
-    return docs.select("*", made) if keep else docs.select(col(id_col).alias("doc_id"), made)
+    made = rate(whole(text_col))
+    return docs.select("*", made.alias(keep)) if keep else docs.select(col(id_col).alias("doc_id"), made.alias("score"))
 
 
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
