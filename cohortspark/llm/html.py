@@ -38,8 +38,8 @@ _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Weights without labelled pages: log odds that a token of the kind is inside the article.
-DEFAULT_WEIGHTS = {"w:boiler": -4.0, "w:link": -1.0, "w:article": 2.0, "w:paragraph": 1.0, "w:bare": 0.25}
-TAG_WEIGHT, TAG_FLOOR = -0.25, -1.0
+DEFAULT_WEIGHTS = {"w:boiler": -4.0, "w:link": -1.0, "w:article": 3.0, "w:paragraph": 2.0, "w:bare": 0.25}
+TAG_WEIGHT, TAG_FLOOR = -0.1, -1.0
 
 
 class Token:

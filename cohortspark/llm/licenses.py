@@ -140,9 +140,9 @@ def _compiled(words: str) -> re.Pattern:
 
 def _keyword(words: str) -> str:
     """The longest literal word of a name; every match holds it."""
-    plain = re.sub(r"\([^()]*\)\?", " ", re.sub(r"\S*\[[^ ]*", " ", words))
-    plain = re.sub(r"\([^()]*\)\S*", " ", plain)
-    return max((w for w in plain.split() if "?" not in w), key=len, default="licen")
+    plain = re.sub(r"\([^()]*\)\?", " ", words)
+    plain = re.sub(r"\S*\([^()]*\)\S*", " ", plain)
+    return max((w for w in plain.split() if re.fullmatch("[a-z0-9]+", w)), key=len, default="licen")
 
 
 def build_rules(signatures: str = SIGNATURES) -> list[Rule]:
