@@ -18,8 +18,10 @@ from cohortspark.llm.common import col, table, whole, written
 from cohortspark.llm.components import components
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-#: Documents and tokens of a verification block; weight of a chance match against a key.
-BLOCK_DOCS, BLOCK_TOKENS, CHANCE = 1000, 1_000_000, 50.0
+#: Documents and tokens of a verification block; weights, in keys, of a chance match and of emitted light segments.
+BLOCK_DOCS, BLOCK_TOKENS, CHANCE, BLANK = 1000, 1_000_000, 50.0, 10_000.0
+#: Bounds of the sample that tells common shingles.
+SAMPLE_DOCS, MOST_COMMON = 6_000, 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,17 +45,17 @@ def shingle_set(text: str, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Band:
-    """How sets of sizes low..high are cut: segments, how many of them with deletions, empty ones to pass over."""
+    """How sets of sizes low..high are cut: segments, how many of them with deletions, light ones to spare."""
 
     low: int
     high: int
     segments: int
     deletions: int
-    empties: int
+    spare: int
 
 
 @lru_cache(maxsize=8)
-def bands(threshold: int, largest: int = 1 << 40) -> list[Band]:
+def bands(threshold: int, largest: int = 1 << 26) -> list[Band]:
     """Size bands and their allocation.
 
     Sets that link differ in size by the factor threshold at most, so their bands
@@ -65,35 +67,42 @@ def bands(threshold: int, largest: int = 1 << 40) -> list[Band]:
     Among the q that keep m + q = H + 1 the cheapest is taken: the keys a set emits
     plus the chance matches of its segments, which are likelier the shorter they are.
 
-    Two empty segments match too, and would bring together everything; so without
-    deletions m grows by ``empties``, and sets with no more empty segments than
-    that need not emit them: two such sets share at most so many empty segments,
-    and one more than those must match.
+    Some segments match by chance: empty ones, and those of common shingles only.
+    Whether a segment is of this light kind depends on its content, so equal
+    segments are light together.  Without deletions m grows by ``spare``, and sets
+    with no more light segments than that do not emit them: spare + 1 segments
+    match, of which at most ``spare`` are light in such a set.  Sets with more
+    emit theirs, and the empty ones only if those alone are more.
     """
     out, low = [], 1
     while low <= largest:
         high = low * 100 // threshold
         differ = (100 - threshold) * 2 * high // (100 + threshold)
-        best = None
         smaller = out[-1].low if out else low
-        for q in range(min((differ + 1) // 2, 64) + 1):
-            m = differ + 1 - q
-            empties = 0
-            if q == 0 and m > 1:
-                mean = m * math.exp(-smaller / m)
-                empties = math.ceil(mean + 2 * math.sqrt(mean))
-                m += empties
-            blank = m * math.exp(-smaller / m) if q else 0.0  # empty segments, which meet far more others
-            cost = m + q * high / m + CHANCE * (m * 2.0 ** (-high / m) + 10 * blank)
+        best = None
+        plans = [(differ + 1 - q, q, 0) for q in range(1, min((differ + 1) // 2, 64) + 1)] + [(differ + 1 + e, 0, e) for e in range(min(2 * differ, 400) + 1)]
+        for m, q, spare in plans:
+            mean = m * math.exp(-0.9 * smaller / m) if m > 1 else 0.0
+            blank = _more_than(spare, mean)  # chance that a set emits light segments
+            cost = m + q * high / m + CHANCE * m * 2.0 ** (-high / m) + BLANK * blank
             if best is None or cost < best[0]:
-                best = (cost, Band(low, high, m, q, empties))
+                best = (cost, Band(low, high, m, q, spare))
         out.append(best[1])
         low = high + 1
     return out
 
 
-def band_keys(tokens: np.ndarray, band: Band, number: int) -> np.ndarray:
-    """The keys of one set in one band."""
+def _more_than(k: int, mean: float) -> float:
+    """The chance that a Poisson variable exceeds ``k``."""
+    term = total = math.exp(-mean)
+    for i in range(1, k + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1.0 - total)
+
+
+def band_keys(tokens: np.ndarray, common: np.ndarray, band: Band, number: int) -> np.ndarray:
+    """The keys of one set in one band; ``common`` marks its common shingles."""
     m = band.segments
     segment = (tokens >> np.uint64(7)) % np.uint64(m)
     order = np.argsort(segment, kind="stable")
@@ -102,8 +111,12 @@ def band_keys(tokens: np.ndarray, band: Band, number: int) -> np.ndarray:
     sums = np.add.reduceat(mixed, starts)
     filled = part[starts]
     salt = np.uint64((number + 1) * int(_ODD[1]) % (1 << 64))
-    keys = [_mix(sums + filled * _ODD[2] + salt)]
-    if len(filled) < m and (band.deletions or m - len(filled) > band.empties):
+    full, blanks = _mix(sums + filled * _ODD[2] + salt), m - len(filled)
+    heavy = np.add.reduceat((~common[order]).astype(np.int64), starts) > 0
+    if not band.deletions and m - heavy.sum() <= band.spare:
+        return full[heavy]
+    keys = [full]
+    if blanks and (band.deletions or blanks > band.spare):
         blank = np.setdiff1d(np.arange(m, dtype=np.uint64), filled)
         keys.append(_mix(blank * _ODD[2] + salt))
     if band.deletions:
@@ -113,21 +126,43 @@ def band_keys(tokens: np.ndarray, band: Band, number: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def join_keys(tokens: np.ndarray, threshold: int) -> np.ndarray:
-    """Two sets that link and are not equal have a key in common."""
+def join_keys(tokens: np.ndarray, threshold: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Two sets that link and are not equal have a key in common, whatever the shingles called common (sorted)."""
     size = len(tokens)
     if not size:
         return tokens
     plan = bands(threshold)
     own = bisect_right(plan, size, key=lambda b: b.low) - 1
+    common = np.zeros(0, np.uint64) if common is None else common
+    known = np.isin(tokens, common, assume_unique=True) if len(common) else np.zeros(size, bool)
     out = []
     for number in (own, own + 1):
         band = plan[number]
         if (100 - threshold) * 2 * band.high >= 100 + threshold:  # else only equal sets link
-            out.append(band_keys(tokens, band, number))
+            out.append(band_keys(tokens, known, band, number))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
+    """Shingles that occur in three or more of about ``SAMPLE_DOCS`` documents; at most ``MOST_COMMON``.
+
+    They only steer which segments are emitted; every choice of them gives the same links.
+    """
+    total = docs.count()
+    cut = 1_000_000 if total <= SAMPLE_DOCS else max(1, int(1_000_000 * SAMPLE_DOCS / total))
+    sample = docs.filter(F.pmod(F.xxhash64(col(id_col)), F.lit(1_000_000)) < cut).select(whole(text_col).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), n) for t in batch.column(0)]
+            tokens, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(times.astype(np.int64))], names=["token", "times"])
+
+    rows = sample.mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).filter("times >= 3")
+    top = rows.orderBy(F.desc("times"), "token").limit(MOST_COMMON).toArrow()
+    return np.sort(top.column("token").to_numpy().view(np.uint64))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: int) -> DataFrame:
     """(doc_id, n_shingles, node, h1, keys): the 128-bit digest of the set and its join keys.
 
@@ -135,9 +170,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: int
     the shuffle once per task.
     """
     rows = docs.select(col(id_col).alias("doc_id"), whole(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        common = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
@@ -147,7 +184,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: int
                     node = xxh3_128_digest(tokens.tobytes())
                     sizes.append(len(tokens))
                     nodes.append(node)
-                    keys.append(np.zeros(0, np.int64) if node in seen else join_keys(tokens, threshold).view(np.int64))
+                    keys.append(np.zeros(0, np.int64) if node in seen else join_keys(tokens, threshold, common).view(np.int64))
                     seen.add(node)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

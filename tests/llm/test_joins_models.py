@@ -85,8 +85,10 @@ def test_linked_sets_share_a_key(threshold):
         b = set(list(a)[out:]) | set(rng.integers(0, 1 << 62, rng.integers(0, 1 + size * (100 - threshold) // 100)).tolist())
         if a != b and 100 * len(a & b) >= threshold * len(a | b):
             pairs += 1
-            keys = [jaccard.join_keys(np.array(sorted(s), np.uint64), threshold) for s in (a, b)]
-            assert len(np.intersect1d(*keys))
+            for share in (0, 3, 10):  # whatever counts as common
+                common = np.array(sorted(x for x in a | b if x % 10 < share), np.uint64)
+                keys = [jaccard.join_keys(np.array(sorted(s), np.uint64), threshold, common) for s in (a, b)]
+                assert len(np.intersect1d(*keys))
     assert pairs > 100 or threshold == 95
 
 
