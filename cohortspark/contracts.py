@@ -99,8 +99,8 @@ class TableContract:
     def conform(self, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         """Cast to the contract's types in its column order; absent columns become null.
 
-        Values that do not fit a type become null (the matching ``not null`` or
-        range rule reports them), they never abort the job.
+        Values that do not fit a type become null and never abort the job;
+        :meth:`lost_values` reports each of them.
         """
         schema = schema or self.partner_schema()
         have = set(df.columns)
@@ -111,6 +111,23 @@ class TableContract:
             ]
         )
 
+    def lost_values(self, df: DataFrame, key: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+        """``(table, rule, key, value)`` for every known value that :meth:`conform` turns into null."""
+        have = set(df.columns)
+        cells = [
+            F.when(
+                F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(),
+                F.struct(F.lit(f"{f.name}: fits {f.dataType.simpleString()}").alias("rule"), F.col(f.name).cast("string").alias("value")),
+            )
+            for f in (schema or self.partner_schema()).fields
+            if f.name in have
+        ]
+        if not cells:
+            return df.sparkSession.createDataFrame([], "table string, rule string, key string, value string")
+        name = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+        found = df.select(name.alias("key"), F.explode(F.array_compact(F.array(*cells))).alias("c"))
+        return found.select(F.lit(self.name).alias("table"), "c.rule", "key", "c.value")
+
     def violations(self, df: DataFrame, key: Sequence[str], as_of: date, parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """All broken rules of a frame: ``(table, rule, key, value)``."""
         have = set(df.columns)

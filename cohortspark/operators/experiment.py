@@ -15,7 +15,7 @@ from cohortspark.operators import metrics as E
 from cohortspark.operators.matrix import MatrixSpec, assemble, feature_columns, postprocess, subset
 from cohortspark.operators.models import ModelSpec, fit
 from cohortspark.operators.resample import k_folds, replicate_weight
-from cohortspark.operators.rows import apply_null_policy, common_columns, null_counts
+from cohortspark.operators.rows import any_null, apply_null_policy, common_columns, null_counts
 
 ROW_KEY = "row_key"
 
@@ -50,15 +50,12 @@ class Evaluation:
     confusion: Mapping[str, int]
 
 
-SMALL = 100_000
-
-
 def evaluate(scored: DataFrame, label: str) -> Evaluation:
     """The metrics of one experiment.
 
     Class 0 is ranked by the reversed score; the AUC is the same for either
     class.  The scored frame is persisted for a few jobs that each return one
-    small row; frames beyond ``SMALL`` rows are ranked in value slices.
+    small row; they are ranked in value slices, whatever their size.
     """
     base = scored.select(ROW_KEY, F.col(label).cast("int").alias("y"), (-F.col("score")).alias("score0"), "predicted")
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
@@ -67,13 +64,12 @@ def evaluate(scored: DataFrame, label: str) -> Evaluation:
         rows = sum(cells.values())
         if not rows:
             return Evaluation(0, None, None, None, None, cells)
-        slices = None if rows <= SMALL else E.DEFAULT_SLICES
-        found = E.ranking_summary(base, "y", "score0", (0.1, 0.25), 0, slices).first()
+        found = E.ranking_summary(base, "y", "score0", (0.1, 0.25), 0).first()
         precision = []
         for i in range(2):
             r, hits = found[f"r{i}"], found[f"hits{i}"]
             if found[f"take{i}"]:
-                more = E.edge_hits(base, "y", "score0", ROW_KEY, found[f"edge{i}"], found[f"take{i}"], 0, slices).first()
+                more = E.edge_hits(base, "y", "score0", ROW_KEY, found[f"edge{i}"], found[f"take{i}"], 0).first()
                 hits += more["hits"] or 0
             precision.append(hits / r if r else 0.0)
         return Evaluation(rows, found["auc"], precision[0], precision[1], found["aupr"], cells)
@@ -156,7 +152,7 @@ def run_grid(
         try:
             for group in feature_groups:
                 for chosen in feature_lists(group, products):
-                    train, test, plan = postprocess(*[subset(m, spec, chosen) for m in matrices], chosen)
+                    train, test, plan = postprocess(*[subset(m, spec, chosen, ROW_KEY) for m in matrices], chosen)
                     predictors = [o for c in feature_columns(chosen) for o in plan.outputs(c)]
                     for name, grid in models.items():
                         for params in parameter_grid(grid):
@@ -180,8 +176,9 @@ def results_frame(spark, rows: Sequence[Mapping]) -> DataFrame:
 
 
 def k_fold_scores(df: DataFrame, key: str, features: Sequence[str], target: str, model: ModelSpec, k: int = 10, seed: int = 0) -> DataFrame:
-    """Out-of-fold scores of all rows with their fold; k fits on the driver loop."""
-    folded = k_folds(df.na.drop("any", subset=[*features, target]), key, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    """Out-of-fold scores of all rows without nulls, with their fold; k fits on the driver loop."""
+    # the folds are cut over all rows, then rows with nulls go from every part
+    folded = k_folds(df, key, k, seed).filter(~any_null([*features, target])).persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for i in range(k):
         scorer = fit(model, folded.filter(F.col("fold") != i), features, target)
@@ -192,7 +189,7 @@ def k_fold_scores(df: DataFrame, key: str, features: Sequence[str], target: str,
 
 def k_fold_auc(scores: DataFrame, target: str) -> DataFrame:
     """AUC per fold reduced to mean and standard error."""
-    per_fold = E.auc(scores, target, "score", ["fold"], slices=None)
+    per_fold = E.auc(scores, target, "score", ["fold"])
     return E.mean_and_error(per_fold, "auc")
 
 
@@ -209,7 +206,7 @@ def auc_by_feature_group(
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for name, features in groups.items():
-            measure = lambda scorer: E.auc(scorer.score(test), target, "score", slices=None).first()["auc"]
+            measure = lambda scorer: E.auc(scorer.score(test), target, "score").first()["auc"]
             estimate = measure(fit(model, train, features, target))
             values = []
             for b in range(n_boot):

@@ -7,16 +7,14 @@ from itertools import combinations
 
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.operators import metrics as E
 from cohortspark.operators.models import FEATURES, assemble_vector
 from cohortspark.operators.resample import bootstrap_auc, bootstrap_mean
-
-PAIRWISE_LIMIT = 12
+from cohortspark.operators.rows import any_null, quoted
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -26,31 +24,39 @@ def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataF
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(a, b, corr)`` over rows without nulls.
+    """``(a, b, corr)`` over rows without nulls; null where a column is constant.
 
-    Few columns: one aggregate per pair in a single pass.  Many columns: the
-    Spark ML correlation, whose result is one p x p matrix.
+    One aggregate per pair in a single pass, whatever the number of columns.
     """
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).na.drop("any")
-    if len(columns) <= PAIRWISE_LIMIT:
-        pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-        one = rows.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-        cells = []
-        for i, (a, b) in enumerate(pairs):
-            for x, y in {(a, b), (b, a)}:
-                cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{i}").alias("corr")))
-        return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-    matrix = Correlation.corr(assemble_vector(rows, columns), FEATURES).first()[0].toArray()
-    data = [(a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return df.sparkSession.createDataFrame(data, "a string, b string, corr double")
+    rows = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
+    rows = rows.filter(~any_null(columns))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    one = rows.agg(*[pair_correlation(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    cells = []
+    for i, (a, b) in enumerate(pairs):
+        for x, y in {(a, b), (b, a)}:
+            cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{i}").alias("corr")))
+    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def _both(x: Column, y: Column) -> Column:
+    """``x`` where both are known."""
+    return F.when(x.isNotNull() & y.isNotNull(), x)
+
+
+def pair_correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over known pairs; null, not an error, when one side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(_both(x, y)) * F.stddev_pop(_both(y, x)))
 
 
 def pairwise_fit(df: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Correlation and regression line of every column pair per group, one pass."""
     aggs, cells = [], []
     for i, (x, y) in enumerate(combinations(columns, 2)):
-        xs, ys = F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")
-        aggs += [F.corr(xs, ys).alias(f"r{i}"), F.regr_slope(ys, xs).alias(f"s{i}"), F.regr_intercept(ys, xs).alias(f"i{i}")]
+        xs, ys = quoted(x).cast("double"), quoted(y).cast("double")
+        slope = F.try_divide(F.covar_pop(xs, ys), F.var_pop(_both(xs, ys)))
+        line = F.avg(_both(ys, xs)) - slope * F.avg(_both(xs, ys))
+        aggs += [pair_correlation(xs, ys).alias(f"r{i}"), slope.alias(f"s{i}"), line.alias(f"i{i}")]
         cells.append(
             F.struct(
                 F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("corr"),

@@ -438,16 +438,19 @@ def windowed_aggregates(facts: DataFrame, key: str, date_col: str, windows, meas
     ``measures`` maps an output name to ``fn(inside) -> aggregate Column`` where
     ``inside`` is the predicate "before the split of this window".  The windows
     are a short configuration list, so each becomes one conditional aggregate
-    per measure and the result is turned into rows afterwards.
+    per measure and the result is turned into rows afterwards.  A key without a
+    fact before the split has no row for that window.
     """
     aggs, packed = [], []
     for w in windows:
         inside = X.half_open(date_col, None, w.split)
-        fields = [F.lit(w.window_id).alias(id_name)]
+        aggs.append(F.count_if(inside).alias(f"__rows_{w.window_id}"))
+        fields = [F.lit(w.window_id).alias(id_name), F.col(f"__rows_{w.window_id}").alias("__rows")]
         for name, fn in measures.items():
             column = f"__{name}_{w.window_id}"
             aggs.append(fn(inside).alias(column))
             fields.append(F.col(column).alias(name))
         packed.append(F.struct(*fields))
     wide = facts.groupBy(key).agg(*aggs)
-    return wide.select(key, F.explode(F.array(*packed)).alias("__w")).select(key, "__w.*")
+    cells = wide.select(key, F.explode(F.array(*packed)).alias("__w")).select(key, "__w.*")
+    return cells.filter("__rows > 0").drop("__rows")

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-NULL_SPREAD = 97
+#: Hash buckets of surrogate ids.  The ids follow from it, so it is one value for every cluster.
+ID_BUCKETS = 65_536
 
 
 def union_distinct(frames: Sequence[DataFrame]) -> DataFrame:
@@ -29,19 +30,16 @@ def append_frames(frames: Sequence[DataFrame], distinct: bool = True) -> DataFra
     return out.distinct() if distinct else out
 
 
-def assign_ids(frames: Sequence[DataFrame], id_name: str, buckets: int | None = None) -> DataFrame:
+def assign_ids(frames: Sequence[DataFrame], id_name: str, buckets: int = ID_BUCKETS) -> DataFrame:
     """Dense surrogate ids 1..n on the distinct union of external ids.
 
-    Rows are hashed into ``buckets`` (by default eight per shuffle partition, at
-    least 1024, so that a bucket stays small on a large cluster); an id is the number of rows in earlier
-    buckets plus the position inside the bucket.  The result depends on content
-    only, needs no global sort and no single-partition window over the rows:
+    Rows are hashed into ``buckets``; an id is the number of rows in earlier
+    buckets plus the position inside the bucket.  The result depends on the content
+    and on ``buckets`` only, not on the cluster, needs no global sort and no single-partition window over the rows:
     the running offset is taken over at most ``buckets`` counts.
     """
     ids = union_distinct(frames)
     natural = ids.columns
-    if buckets is None:
-        buckets = max(1024, 8 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = ids.withColumn("__bucket", F.pmod(F.xxhash64(*natural), F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -61,7 +59,7 @@ def spread_null_key(key: Column, spread_on: Sequence[str]) -> Column:
     Rows whose external id is unknown would otherwise all meet in one shuffle
     partition of an outer join.
     """
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(NULL_SPREAD)).cast("string")
+    salt = F.xxhash64(*spread_on).cast("string")
     return F.coalesce(key.cast("string"), F.concat(F.lit("\u0000"), salt))
 
 

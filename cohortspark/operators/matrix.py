@@ -157,9 +157,14 @@ def assemble(tables: Tables, spec: MatrixSpec, part: str = "train") -> DataFrame
     return joined.select(*IDS, spec.target.column, *[f"`{c}`" for c in feature_columns(spec.features)])
 
 
-def subset(matrix: DataFrame, spec: MatrixSpec, features: Sequence[str]) -> DataFrame:
-    """Chosen features plus the target; keys are never predictors."""
-    return matrix.select(*[f"`{c}`" for c in feature_columns(features)], spec.target.column)
+def subset(matrix: DataFrame, spec: MatrixSpec, features: Sequence[str], row_key: str | None = None) -> DataFrame:
+    """Chosen features plus the target; keys are never predictors.
+
+    ``row_key`` names a column that carries the enrolment id, so that rows which
+    are equal otherwise stay apart.
+    """
+    key = [] if row_key is None else [F.col("enrollid").alias(row_key)]
+    return matrix.select(*[f"`{c}`" for c in feature_columns(features)], spec.target.column, *key)
 
 
 def postprocess(train: DataFrame, test: DataFrame | None, features: Sequence[str]) -> tuple[DataFrame, DataFrame | None, PostPlan]:

@@ -104,7 +104,8 @@ def precision_top_k(
 ) -> DataFrame:
     """Share of positives among the ``int(k*n)`` highest scores.
 
-    Equal scores are taken in ascending order of the numeric ``tie`` column.
+    Equal scores are taken in ascending order of the numeric ``tie`` column; of
+    rows that are equal in both, positives come first.
     Whole score levels above the cut are summed from cells; only the level the
     cut falls into is looked at row by row, again through ordered totals, so
     there is no global sort and no limit over the rows.
@@ -133,9 +134,9 @@ def precision_top_k(
         F.sum("__hit").alias("__h"), F.count(F.lit(1)).alias("__c"), F.max("__take").alias("__take")
     )
     placed = ordered_totals(by_tie, group, "__tie", ["__c"], slices)
-    partial = placed.filter(F.col("__c_before") + F.col("__c") <= F.col("__take")).groupBy(*group).agg(
-        F.sum("__h").alias("hits_edge")
-    )
+    # of rows equal in score and tie, positives come first
+    room = F.col("__take") - F.col("__c_before")
+    partial = placed.filter(room > 0).groupBy(*group).agg(F.sum(F.least("__h", room)).alias("hits_edge"))
     if group:
         renamed = partial.select(*[F.col(g).alias(f"__r_{g}") for g in group], "hits_edge")
         cond = F.lit(True)
@@ -190,7 +191,8 @@ def edge_hits(scored: DataFrame, label: str, score: str, tie: str, edge: float,
         F.sum(positive(label, pos_label).cast("int")).alias("__h"), F.count(F.lit(1)).alias("__c")
     )
     placed = ordered_totals(by_tie, (), "__tie", ["__c"], slices)
-    return placed.agg(F.sum(F.when(F.col("__c_before") + F.col("__c") <= take, F.col("__h"))).alias("hits"))
+    room = F.lit(take) - F.col("__c_before")
+    return placed.agg(F.sum(F.when(room > 0, F.least("__h", room))).alias("hits"))
 
 
 def confusion(scored: DataFrame, label: str, predicted: str, group: Sequence[str] = ()) -> DataFrame:

@@ -81,12 +81,23 @@ class Scorer:
         return sorted(pairs, key=lambda kv: -kv[1])
 
 
+#: The deepest tree Spark ML grows.
+MAX_DEPTH = 30
+
+
+def _depth(wanted) -> int:
+    """Unlimited (None) is the deepest tree there is; more than that is an error, never a silent cap."""
+    if wanted is not None and int(wanted) > MAX_DEPTH:
+        raise ValueError(f"max_depth {wanted} is beyond {MAX_DEPTH}, the deepest tree available")
+    return MAX_DEPTH if wanted is None else int(wanted)
+
+
 def _estimator(spec: ModelSpec, rows: int):
     """Spark ML estimator for a spec; ``rows`` converts C to a per-row penalty."""
     p = dict(spec.params)
     common = dict(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT)
     penalty = 1.0 / (float(p.get("C", 1.0)) * max(rows, 1))
-    depth = min(int(p.get("max_depth") or 10), 30)
+    depth = _depth(p.get("max_depth"))
     leaf = int(p.get("min_samples_leaf", 1))
     seed = int(p.get("random_state") or 0)
     rounds = int(p.get("max_iter", 100))
@@ -109,7 +120,7 @@ def _estimator(spec: ModelSpec, rows: int):
         )
     if spec.name == "GBC":
         return C.GBTClassifier(
-            maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)), maxDepth=min(int(p.get("max_depth", 3)), 30),
+            maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)), maxDepth=_depth(p.get("max_depth", 3)),
             subsamplingRate=float(p.get("subsample", 1.0)), minInstancesPerNode=leaf, seed=seed, **common,
         )
     if spec.name == "DTC":
@@ -220,12 +231,13 @@ def nearest(
     distances are computed inside (block, query part) tasks with numpy and each
     task emits only its k best per query: pairs are never materialised.
     Queries are cut into parts of about ``query_rows`` (sized by one count job).
-    Ties go to the smaller point id.
+    Ties go to the smaller point id.  ``point_id`` is unique; query rows that
+    repeat an id (and so its vector) are one query.
     """
     query_parts = max(1, math.ceil(queries.count() / query_rows))
     need = k + 1 if exclude_self else k
     pts = points.select(F.col(point_id).alias("pid"), F.col(vector).cast("array<double>").alias("v"), F.col(payload).alias("payload"))
-    qs = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+    qs = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["qid"])
 
     # a fixed number of pivots, the points with the smallest id hash; at most
     # ``sample_pivots`` vectors come to the driver and travel with the tasks
@@ -296,7 +308,7 @@ def nearest(
         out = []
         for at in range(0, len(qid), chunk):
             diff = qm[at : at + chunk, None, :] - pm[None, :, :]
-            d2 = np.round(np.einsum("qpd,qpd->qp", diff, diff), 9)
+            d2 = np.einsum("qpd,qpd->qp", diff, diff)
             top = np.argsort(d2, axis=1, kind="stable")[:, :keep]
             out.append(
                 pd.DataFrame(
@@ -338,7 +350,7 @@ def neighbour_votes(neighbours: DataFrame, query_id: str, payload: str, weights:
     totals = weighted.groupBy(query_id, payload).agg(F.sum("__w").alias("__v"))
     whole = totals.groupBy(query_id).agg(
         F.sum("__v").alias("__all"),
-        F.min(F.struct((-F.round("__v", 9)).alias("n"), F.col(payload).alias("c"), F.col("__v").alias("v"))).alias("__best"),
+        F.min(F.struct((-F.col("__v")).alias("n"), F.col(payload).alias("c"), F.col("__v").alias("v"))).alias("__best"),
     )
     return whole.select(query_id, F.col("__best.c").alias("predicted"), (F.col("__best.v") / F.col("__all")).alias("share"))
 
@@ -352,9 +364,12 @@ class NeighbourScorer:
     weights: str = "uniform"
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``score`` (weight share of class 1) and ``predicted``; needs a unique key column ``row_key``."""
+        """Adds ``score`` (weight share of class 1) and ``predicted``; rows of one ``row_key`` are alike.
+
+        Training rows that repeat are points of their own.
+        """
         vec = F.array(*[F.col(f"`{c}`").cast("double") for c in self.features])
-        points = self.train.select(F.xxhash64(*[f"`{c}`" for c in self.train.columns]).alias("pid0"), vec.alias("v"), (F.col(self.label).cast("int") >= 1).cast("int").alias("y"))
+        points = self.train.select(F.monotonically_increasing_id().alias("pid0"), vec.alias("v"), (F.col(self.label).cast("int") >= 1).cast("int").alias("y"))
         queries = df.select("row_key", vec.alias("v"))
         nn = nearest(queries, points, self.k, "row_key", "pid0", "v", "y")
         if self.weights == "distance":

@@ -8,6 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> Column:
+    """A column by its literal name: dots and backticks are part of it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def any_null(columns: Sequence[str]) -> Column:
+    """True where one of the columns is null."""
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | quoted(c).isNull()
+    return bad
+
+
 def add_empty_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Typed all-null columns, ``{name: type}``."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()})
@@ -20,15 +33,12 @@ def lower_names(df: DataFrame) -> DataFrame:
 
 def mandatory(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Keep rows whose mandatory columns are all known."""
-    return df.na.drop(subset=list(columns))
+    return df.filter(~any_null(columns))
 
 
 def mandatory_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Row counts before and after the mandatory filter, in one pass."""
-    known = F.lit(True)
-    for c in columns:
-        known = known & F.col(c).isNotNull()
-    return df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(known).alias("rows_after"))
+    return df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(~any_null(columns)).alias("rows_after"))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -36,7 +46,7 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     columns = list(columns or df.columns)
     return df.agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
+        *[F.count_if(quoted(c).isNull()).alias(c) for c in columns],
     )
 
 
@@ -44,7 +54,7 @@ def null_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """``(column, nulls, percent)`` per column, one pass over the data."""
     columns = list(columns or df.columns)
     counts = null_counts(df, columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("nulls")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).alias("nulls")) for c in columns])
     return counts.select("__rows", F.explode(pairs).alias("p")).select(
         F.col("p.column").alias("column"),
         F.col("p.nulls").alias("nulls"),
@@ -54,8 +64,8 @@ def null_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Drop columns without any value.  Runs one aggregate job that returns one row."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c] > 0])
+    counts = df.agg(*[F.count(quoted(c)).alias(c) for c in df.columns]).first()
+    return df.select(*[quoted(c) for c in df.columns if counts[c] > 0])
 
 
 class NullRowsError(ValueError):
@@ -71,11 +81,8 @@ def apply_null_policy(df: DataFrame, policy: str = "strict", columns: Sequence[s
         raise ValueError("policy must be 'lax' or 'strict'")
     columns = list(columns or df.columns)
     if policy == "lax":
-        return df.na.drop("any", subset=columns)
-    bad = F.lit(False)
-    for c in columns:
-        bad = bad | F.col(c).isNull()
-    if df.filter(bad).limit(1).count():
+        return df.filter(~any_null(columns))
+    if df.filter(any_null(columns)).limit(1).count():
         raise NullRowsError("rows with nulls under the strict null policy")
     return df
 
@@ -85,8 +92,8 @@ def drop_flagged(df: DataFrame, suffix: str = "_isnull") -> DataFrame:
     flags = [c for c in df.columns if c.endswith(suffix)]
     if not flags:
         return df
-    total = sum((F.col(c) for c in flags), F.lit(0))
-    return df.filter(total == 0).drop(*flags)
+    total = sum((quoted(c) for c in flags), F.lit(0))
+    return df.filter(total == 0).drop(*[quoted(c) for c in flags])
 
 
 def distinct_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -64,19 +64,30 @@ MANIFEST_B = (
 )
 
 
-def run_manifest(manifest: Sequence[LoadJob], raw: Mapping[str, DataFrame], settings: Mapping | None = None) -> dict[str, DataFrame]:
-    """Every clean table of a partner as a lazy frame under its contract."""
+def run_manifest(manifest: Sequence[LoadJob], raw: Mapping[str, DataFrame], settings: Mapping | None = None, skip: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Every clean table of a partner as a lazy frame under its contract.
+
+    A job whose input is missing is an error unless ``skip`` names its table.
+    """
     settings = settings or {}
     out = {}
     for job in manifest:
-        if not set(job.inputs.values()) <= set(raw):
+        if job.table in skip:
             continue
+        missing = sorted(set(job.inputs.values()) - set(raw))
+        if missing:
+            raise ValueError(f"{job.table}: missing input {', '.join(missing)}; pass it or skip the table")
         args = {arg: raw[name] for arg, name in job.inputs.items()}
         args |= {name: settings[name] for name in job.uses if name in settings}
         out[job.table] = CONTRACTS[job.table].conform(job.cleaner(**args))
     return out
 
 
+def missing_tables(manifest: Sequence[LoadJob], raw: Mapping[str, DataFrame]) -> list[str]:
+    """The tables whose inputs are not all in ``raw``; for a caller that means to skip them."""
+    return [job.table for job in manifest if not set(job.inputs.values()) <= set(raw)]
+
+
 @dataclass(frozen=True)
 class Side:
     """How one partner's rows of an integrated table find their ids."""
@@ -167,6 +178,8 @@ def build_warehouse(
     as_of: date,
     overwrite: bool = True,
     namespaces: Sequence[str] = NAMESPACES,
+    skip_a: Sequence[str] = (),
+    skip_b: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
     """The whole load: partner tables, id tables, integrated tables, each written once.
 
@@ -182,8 +195,8 @@ def build_warehouse(
         return spark.table(name)
 
     clean = []
-    for ns, manifest, raw in ((ns_a, MANIFEST_A, raw_a), (ns_b, MANIFEST_B, raw_b)):
-        tables = run_manifest(manifest, raw, {"as_of": as_of, **settings})
+    for ns, manifest, raw, skip in ((ns_a, MANIFEST_A, raw_a, skip_a), (ns_b, MANIFEST_B, raw_b, skip_b)):
+        tables = run_manifest(manifest, raw, {"as_of": as_of, **settings}, skip)
         clean.append({t: keep(df, f"{ns}.{t}") for t, df in tables.items()})
     a, b = clean
     out = {t: keep(df, f"{common}.{t}") for t, df in integrate_ids(a, b).items()}

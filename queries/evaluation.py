@@ -218,7 +218,8 @@ _WIN_VALUES = ", ".join(f"({w.window_id}, DATE '{w.start}', DATE '{w.split}')" f
     f"""WITH win(window_id, lo, split) AS (VALUES {_WIN_VALUES})
 SELECT o.o_custkey AS studentid, w.window_id, count(*) FILTER (o.o_orderdate < w.split) AS n_orders,
   nullif(count(*) FILTER (o.o_orderdate < w.split AND o.o_orderstatus = 'F'), 0) AS n_done,
-  max(CASE WHEN o.o_orderdate < w.split THEN o.o_totalprice END) AS best FROM orders o CROSS JOIN win w GROUP BY 1, 2""",
+  max(CASE WHEN o.o_orderdate < w.split THEN o.o_totalprice END) AS best FROM orders o CROSS JOIN win w GROUP BY 1, 2
+HAVING count(*) FILTER (o.o_orderdate < w.split) > 0""",
 )
 def windowed_features(spark, sf):
     """Point-in-time counts for every window from one scan and one shuffle."""

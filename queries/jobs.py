@@ -637,6 +637,7 @@ def _partners(spark, sf):
             "contact_notes": view(spark, sf, "raw_a_notes").withColumn("Date_of_Contact__c", F.col("d").cast("string")),
         },
         {"as_of": AS_OF, "majors": majors, "degrees": degrees, "blocked": _BLOCKED, "placeholders": ["BATCH"], "shared_schools": ["School 2"]},
+        skip=("acttests", "aptests", "colleges", "schools"),
     )
     contacts = view(spark, sf, "raw_b_contacts")
     b = I.run_manifest(
@@ -647,6 +648,7 @@ def _partners(spark, sf):
             "attendance": view(spark, sf, "raw_b_attendance").withColumn("attendance_date", F.col("d").cast("string")),
         },
         {"majors": majors, "own_organization": "Partner B"},
+        skip=("schoolid", "schools", "acttests", "courses"),
     )
     return a, b
 
