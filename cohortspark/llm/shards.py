@@ -91,7 +91,7 @@ def reshard(
     capacities: list[int] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 64 << 20,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Where each row goes: doc_id, text, size, text_crc32, old, block, shard, slot, affected.
 
