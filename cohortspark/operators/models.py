@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Model, classification as C
+from pyspark.ml import Model
+from pyspark.ml import classification as C
+from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -44,10 +46,13 @@ def assemble_vector(df: DataFrame, features: Sequence[str], label: str | None =
 
 
 def _class_weight(df: DataFrame, balanced) -> DataFrame:
-    """``balanced`` or an explicit ``{class: weight}`` scales the row weight."""
+    """``balanced`` or an explicit ``{class: weight}`` scales the row weight.
+
+    ``subsample`` balances too, with the class shares of all training rows.
+    """
     if not balanced:
         return df
-    if balanced in ("balanced", "auto"):
+    if balanced in ("balanced", "auto", "subsample", "balanced_subsample"):
         counts = {r[LABEL]: r["n"] for r in df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
         total = sum(counts.values())
         balanced = {k: total / (len(counts) * n) for k, n in counts.items()}
@@ -64,10 +69,13 @@ class Scorer:
     model: Model
     features: Sequence[str]
     margin: bool = False
+    shares: bool = False
 
     def score(self, df: DataFrame) -> DataFrame:
         vectors = assemble_vector(df, self.features)
         raw = self.model.transform(vectors)
+        if self.shares:
+            return raw.withColumn("score", F.col("prediction")).withColumn("predicted", (F.col("score") > 0.5).cast("int")).drop(FEATURES, "prediction")
         source = "rawPrediction" if self.margin else "probability"
         return raw.withColumn("score", vector_to_array(source)[1]).withColumn("predicted", F.col("prediction").cast("int")).drop(
             FEATURES, "rawPrediction", "probability", "prediction"
@@ -81,6 +89,43 @@ class Scorer:
         return sorted(pairs, key=lambda kv: -kv[1])
 
 
+#: Parameters each model takes; any other is an error.
+PARAMETERS = {
+    "LogisticRegression": {"C", "penalty", "max_iter", "class_weight", "random_state"},
+    "SVM": {"C", "kernel", "penalty", "max_iter", "class_weight", "random_state"},
+    "SGD": {"loss", "alpha", "penalty", "l1_ratio", "max_iter", "class_weight", "random_state"},
+    "RandomForest": {"n_estimators", "max_depth", "max_features", "min_samples_leaf", "min_samples_split", "criterion", "bootstrap", "class_weight", "random_state"},
+    "GBC": {"n_estimators", "learning_rate", "max_depth", "subsample", "min_samples_leaf", "min_samples_split", "random_state"},
+    "DTC": {"max_depth", "max_features", "min_samples_leaf", "min_samples_split", "criterion", "class_weight", "random_state"},
+    "GNB": set(),
+    "AdaBoost": {"n_estimators", "learning_rate", "algorithm", "random_state"},
+    "KNN": {"n_neighbors", "weights"},
+}
+
+
+def check_parameters(spec: ModelSpec) -> None:
+    """Raise for what Spark's learners cannot do, instead of fitting something else under the same label."""
+    if spec.name not in PARAMETERS:
+        raise ValueError(f"unknown model {spec.name!r}")
+    p = spec.params
+    unknown = sorted(set(p) - PARAMETERS[spec.name])
+    if unknown:
+        raise ValueError(f"{spec.name} has no parameter {', '.join(unknown)}")
+    hinge = spec.name == "SVM" or (spec.name == "SGD" and p.get("loss", "hinge") == "hinge")
+    wrong = {
+        "kernel": p.get("kernel", "linear") != "linear",  # only the linear kernel is available
+        "loss": p.get("loss", "hinge") not in ("hinge", "log"),
+        "penalty": p.get("penalty", "l2") not in (("l2",) if hinge else ("l2", "l1", "elasticnet") if spec.name == "SGD" else ("l2", "l1")),
+        "min_samples_split": int(p.get("min_samples_split", 2)) > 2,
+        "max_features": spec.name == "DTC" and p.get("max_features") is not None,
+        "algorithm": p.get("algorithm", "SAMME") != "SAMME",
+        "weights": p.get("weights", "uniform") not in ("uniform", "distance"),
+    }
+    for name, bad in wrong.items():
+        if bad:
+            raise ValueError(f"{spec.name}: {name}={p[name]!r} is not available")
+
+
 #: The deepest tree Spark ML grows.
 MAX_DEPTH = 30
 
@@ -93,7 +138,13 @@ def _depth(wanted) -> int:
 
 
 def _estimator(spec: ModelSpec, rows: int):
-    """Spark ML estimator for a spec; ``rows`` converts C to a per-row penalty."""
+    """Spark ML estimator for a spec; ``rows`` converts C to a per-row penalty.
+
+    Trees by Gini impurity are grown as regression trees of the 0/1 label: the
+    splits are the same, since the variance is half the impurity, but Spark's
+    classification trees merge leaves of one predicted class and so lose the
+    shares that rank the rows.
+    """
     p = dict(spec.params)
     common = dict(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT)
     penalty = 1.0 / (float(p.get("C", 1.0)) * max(rows, 1))
@@ -104,16 +155,19 @@ def _estimator(spec: ModelSpec, rows: int):
     if spec.name == "LogisticRegression" or (spec.name == "SGD" and p.get("loss") == "log"):
         if spec.name == "SGD":
             penalty = float(p.get("alpha", 1e-4))
-        mix = 1.0 if p.get("penalty", "l2") == "l1" else 0.0
+        mix = {"l2": 0.0, "l1": 1.0, "elasticnet": float(p.get("l1_ratio", 0.15))}[p.get("penalty", "l2")]
         return C.LogisticRegression(regParam=penalty, elasticNetParam=mix, standardization=False, maxIter=rounds, **common)
     if spec.name == "SVM" or (spec.name == "SGD" and p.get("loss", "hinge") == "hinge"):
-        if p.get("kernel", "linear") != "linear":
-            raise ValueError("only the linear kernel is available")
         if spec.name == "SGD":
             penalty = float(p.get("alpha", 1e-4))
         return C.LinearSVC(regParam=penalty, standardization=False, maxIter=rounds, **common)
     if spec.name == "RandomForest":
         subset = {"auto": "sqrt", "sqrt": "sqrt", "log2": "log2", None: "all"}.get(p.get("max_features", "auto"), str(p.get("max_features")))
+        if p.get("criterion", "gini") == "gini":
+            return R.RandomForestRegressor(
+                numTrees=int(p.get("n_estimators", 10)), maxDepth=depth, minInstancesPerNode=leaf, impurity="variance",
+                featureSubsetStrategy=subset, bootstrap=bool(p.get("bootstrap", True)), seed=seed, **common,
+            )
         return C.RandomForestClassifier(
             numTrees=int(p.get("n_estimators", 10)), maxDepth=depth, minInstancesPerNode=leaf, impurity=p.get("criterion", "gini"),
             featureSubsetStrategy=subset, bootstrap=bool(p.get("bootstrap", True)), seed=seed, **common,
@@ -124,6 +178,8 @@ def _estimator(spec: ModelSpec, rows: int):
             subsamplingRate=float(p.get("subsample", 1.0)), minInstancesPerNode=leaf, seed=seed, **common,
         )
     if spec.name == "DTC":
+        if p.get("criterion", "gini") == "gini":
+            return R.DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=leaf, impurity="variance", seed=seed, **common)
         return C.DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=leaf, impurity=p.get("criterion", "gini"), seed=seed, **common)
     if spec.name == "GNB":
         return C.NaiveBayes(modelType="gaussian", **common)
@@ -132,6 +188,7 @@ def _estimator(spec: ModelSpec, rows: int):
 
 def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str, weight: str | None = None):
     """Fit one model; AdaBoost and KNN have their own drivers below."""
+    check_parameters(spec)
     data = _class_weight(assemble_vector(train, features, label, weight), spec.params.get("class_weight"))
     if spec.name == "AdaBoost":
         return fit_stumps(data, features, int(spec.params.get("n_estimators", 50)), float(spec.params.get("learning_rate", 1.0)))
@@ -140,7 +197,8 @@ def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str,
     needs_rows = spec.name in ("LogisticRegression", "SVM")
     rows = data.agg(F.sum(WEIGHT)).first()[0] or 1 if needs_rows else 1
     margin = spec.name == "SVM" or (spec.name == "SGD" and spec.params.get("loss", "hinge") == "hinge")
-    return Scorer(_estimator(spec, rows).fit(data), features, margin)
+    shares = spec.name in ("RandomForest", "DTC") and spec.params.get("criterion", "gini") == "gini"
+    return Scorer(_estimator(spec, rows).fit(data), features, margin, shares)
 
 
 # --- D03: boosted stumps ----------------------------------------------------------

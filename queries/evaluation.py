@@ -10,7 +10,7 @@ from cohortspark.operators import metrics as E
 from cohortspark.operators import post as P
 from cohortspark.operators.features import windowed_aggregates
 from cohortspark.operators.labels import LabelSpec, spine_by_window, transitions
-from cohortspark.operators.models import ModelSpec, nearest, neighbour_votes
+from cohortspark.operators.models import ModelSpec, fit, nearest, neighbour_votes
 from cohortspark.operators.resample import bootstrap_auc, bootstrap_mean, k_folds
 from queries.base import SPLIT, TRAIN_START, check_sql, oracle, query, raw, survived_sql, view
 from queries.matrices import WINDOWS
@@ -388,6 +388,77 @@ def auc_by_feature_group(spark, sf):
     return spark.createDataFrame(rows, "feature_group string, lower double, auc double, upper double")
 
 
+_LABELLED = """d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS x1, CAST(lang = 'en' AS DOUBLE) AS x2, CAST(n_chars > 1500 AS DOUBLE) AS x3,
+  quality AS y FROM documents JOIN labels USING (doc_id))"""
+
+
+def _labelled(spark, sf):
+    return raw(spark, sf, "documents").join(raw(spark, sf, "labels"), "doc_id").select(
+        "doc_id", F.col("n_chars").cast("double").alias("x1"), (F.col("lang") == "en").cast("double").alias("x2"),
+        (F.col("n_chars") > 1500).cast("double").alias("x3"), F.col("quality").alias("y"),
+    )
+
+
+@query(
+    "gnb_scores",
+    f"""WITH {_LABELLED}, e AS (SELECT 1e-9 * greatest(var_pop(x1), var_pop(x2)) AS eps, count(*) AS n FROM d),
+c AS (SELECT y, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2 FROM d GROUP BY y),
+l AS (SELECT doc_id, c.y, ln(c.n / e.n) - (ln(2 * pi() * (v1 + eps)) + (x1 - m1) ** 2 / (v1 + eps) + ln(2 * pi() * (v2 + eps)) + (x2 - m2) ** 2 / (v2 + eps)) / 2 AS ll
+  FROM d, c, e),
+s AS (SELECT doc_id, 1 / (1 + exp(sum(CASE WHEN y = 0 THEN ll ELSE -ll END))) AS score FROM l GROUP BY 1)
+SELECT doc_id, round(score, 6) AS score, CAST(score > 0.5 AS INT) AS predicted FROM s""",
+)
+def gnb_scores(spark, sf):
+    """Class means and variances in closed form."""
+    d = _labelled(spark, sf)
+    return fit(ModelSpec("GNB"), d, ["x1", "x2"], "y").score(d).select("doc_id", F.round("score", 6).alias("score"), "predicted")
+
+
+@query(
+    "logit_scores",
+    f"WITH {_LABELLED} SELECT x2, count(*) AS n, round(avg(y), 3) AS score FROM d GROUP BY 1",
+)
+def logit_scores(spark, sf):
+    """With one binary feature and hardly any penalty the scores are the class shares."""
+    d = _labelled(spark, sf)
+    scored = fit(ModelSpec("LogisticRegression", {"C": 1e9, "max_iter": 200}), d, ["x2"], "y").score(d)
+    return scored.groupBy("x2").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("score"))
+
+
+@query(
+    "tree_scores",
+    f"""WITH {_LABELLED}, f AS (SELECT doc_id, 'x2' AS f, x2 AS x, y FROM d UNION ALL SELECT doc_id, 'x3', x3, y FROM d),
+leaf AS (SELECT f, x, count(*) AS n, avg(y) AS p FROM f GROUP BY 1, 2),
+best AS (SELECT f FROM leaf GROUP BY f ORDER BY sum(n * p * (1 - p)), f LIMIT 1)
+SELECT doc_id, round(p, 9) AS score, CAST(p > 0.5 AS INT) AS predicted FROM f JOIN best USING (f) JOIN leaf USING (f, x)""",
+)
+def tree_scores(spark, sf):
+    """A tree of depth one, against a search of all splits."""
+    d = _labelled(spark, sf)
+    return fit(ModelSpec("DTC", {"max_depth": 1}), d, ["x2", "x3"], "y").score(d).select("doc_id", F.round("score", 9).alias("score"), "predicted")
+
+
+@query(
+    "knn_scores",
+    """WITH e AS (SELECT vec_id, embedding[1:4] AS v, CAST(label >= 5 AS INT) AS y FROM embeddings),
+pairs AS (SELECT a.vec_id AS q, b.y, list_sum(list_transform(list_zip(a.v, b.v), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2)) AS d2, b.vec_id AS p
+  FROM e a JOIN e b ON a.vec_id % 2 = 1 AND b.vec_id % 2 = 0),
+nn AS (SELECT *, sqrt(d2) AS d FROM pairs QUALIFY row_number() OVER (PARTITION BY q ORDER BY d2, p) <= 5),
+s AS (SELECT q AS vec_id, avg(y) AS u,
+  CASE WHEN min(d) = 0 THEN avg(y) FILTER (d = 0) ELSE sum(y / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0) END AS w FROM nn GROUP BY 1)
+SELECT vec_id, round(u, 6) AS uniform, round(w, 6) AS weighted FROM s""",
+)
+def knn_scores(spark, sf):
+    """The neighbour scorer with both weightings, train and test apart."""
+    e = raw(spark, sf, "embeddings")
+    names = [f"v{i}" for i in range(4)]
+    e = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)], (F.col("label") >= 5).cast("int").alias("y"))
+    train, test = e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", XP.ROW_KEY)
+    scores = [fit(ModelSpec("KNN", {"n_neighbors": 5, "weights": w}), train, names, "y").score(test) for w in ("uniform", "distance")]
+    a, b = (s.select(F.col(XP.ROW_KEY).alias("vec_id"), F.round("score", 6).alias(n)) for s, n in zip(scores, ("uniform", "weighted")))
+    return a.join(b, "vec_id")
+
+
 _KNN = """pairs AS (SELECT a.vec_id AS q, b.vec_id AS p, b.label AS label,
   round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 9) AS d2
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),

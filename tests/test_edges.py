@@ -13,7 +13,7 @@ from cohortspark.operators import metrics as E
 from cohortspark.operators import rows as R
 from cohortspark.operators.experiment import evaluate, k_fold_scores
 from cohortspark.operators.features import windowed_aggregates
-from cohortspark.operators.models import ModelSpec, _depth, fit, nearest
+from cohortspark.operators.models import ModelSpec, _depth, check_parameters, fit, nearest
 from cohortspark.plans import integration as I
 
 
@@ -127,3 +127,19 @@ def test_a_window_without_facts_has_no_row(spark):
     windows = [Win(0, date(2011, 1, 1)), Win(1, date(2013, 1, 1))]
     out = windowed_aggregates(facts, "k", "d", windows, {"n": lambda p: F.count(F.when(p, 1))}).collect()
     assert sorted(map(tuple, out)) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+@pytest.mark.parametrize(
+    "name,params",
+    [("SVM", {"kernel": "rbf"}), ("SVM", {"penalty": "l1"}), ("SGD", {"loss": "hinge", "penalty": "l1"}), ("SGD", {"loss": "modified_huber"}), ("DTC", {"max_features": 3}),
+     ("RandomForest", {"min_samples_split": 5}), ("AdaBoost", {"algorithm": "SAMME.R"}), ("GNB", {"priors": 1}), ("KNN", {"weights": "x"}), ("Other", {})],
+)
+def test_parameters_that_spark_lacks_are_refused(name, params):
+    with pytest.raises(ValueError):
+        check_parameters(ModelSpec(name, params))
+
+
+def test_parameters_that_are_taken(spark):
+    check_parameters(ModelSpec("SGD", {"loss": "log", "penalty": "elasticnet"}))
+    df = spark.createDataFrame([(float(i % 3), int(i % 3 > 1)) for i in range(60)], "x double, y int")
+    fit(ModelSpec("RandomForest", {"n_estimators": 2, "max_depth": 2, "class_weight": "subsample", "min_samples_split": 2}), df, ["x"], "y")
