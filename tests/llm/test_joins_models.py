@@ -131,6 +131,19 @@ def test_classifier_follows_soft_targets():
     assert abs(w[0] - 2) < 0.05 and abs(w[1]) < 0.05 and abs(b + 1) < 0.05
 
 
+def test_classifier_on_separable_repeated_columns():
+    """Many equal columns that tell the classes apart without error: the weights stay small and the scores right."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(6000) < 0.1).astype(float)
+    word = [y * (rng.random(6000) < 0.5) for _ in range(10)]
+    x = np.stack([c for c in word for _ in range(4)] + [c * rng.integers(0, 3, 6000) for c in word], 1)
+    w, b = toxicity.fit_classifier(x, np.where(y > 0, 0.9999, 0.0001))
+    scores = 1 / (1 + np.exp(-(x @ w + b)))
+    hit = x.any(1)
+    assert np.abs(w).max() < 50 and abs(b) < 50
+    assert (scores[hit] > 0.5).all() and (scores[~hit] < 0.5).all()
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op6_weak_supervision(spark, sf).toPandas()
