@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from cohortspark.functions.calendar import nth_check_date, rolling_windows, windows_frame
+from cohortspark.operators import experiment as XP
 from cohortspark.operators import features as FT
 from cohortspark.operators.labels import LabelSpec, label_table, spine_by_window, transitions
 from cohortspark.operators.matrix import MatrixSpec, Restriction, analysis_frame, assemble, postprocess
@@ -236,3 +238,13 @@ def full_catalogue(spark, sf):
     options = FT.Options(networks={"is_partner_a": "AFRICA", "is_partner_b": "ASIA"})
     names = [n for n in FT.CATALOGUE if n != "PersistThreeSemesters"]
     return assemble(tables(spark, sf), flagship_spec(names, options=options), "train")
+
+
+@query("experiment_grid")
+def experiment_grid(spark, sf):
+    """Windows x models x feature lists on the flagship matrix, one row per experiment."""
+    features = ("numberAPsYear12", "totalNumberofContacts", "SpringEnrollment", "avgNetPrice")
+    specs = [flagship_spec(features), replace(flagship_spec(features), split=date(1999, 9, 1), test_end=SPLIT)]
+    models = {"GNB": {}, "DTC": {"max_depth": [1, 3]}}
+    rows = XP.run_grid(tables(spark, sf), specs, models, [features], null_policy="lax")
+    return XP.results_frame(spark, rows).drop("seconds")
