@@ -32,6 +32,8 @@ PATTERNS = {
 MAX_LABELLED, MAX_VOTERS, STEM_MIN, STEM_MAX = 12_000, 400, 4, 8
 #: The least G statistic of a lexicon voter: what chance does not reach among many thousand words.
 LEAST_G = 24.0
+#: Words whose voters a worker remembers.
+KNOWN_WORDS = 150_000
 _WORD = regex.compile(r"\p{L}+")
 _PATTERNS = [regex.compile(p) for p in PATTERNS.values()]
 
@@ -67,7 +69,7 @@ def strengths(text: str, lookup: dict[str, int], known: dict[str, tuple[int, ...
         hit = known.get(word)
         if hit is None:
             hit = tuple(lookup[s] for s in stems(word) if s in lookup)
-            if len(known) >= 500_000:
+            if len(known) >= KNOWN_WORDS:
                 known.clear()
             known[word] = hit
         for i in hit:
