@@ -195,6 +195,21 @@ def test_pipeline_against_brute_force(spark, odd_docs, tmp_path):
     assert Counter((r.doc_id, r.n_tokens) for r in got) == want
 
 
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    """Of 25 exact and of 25 near copies (one line of each differs) one document reaches packing with its full text."""
+    body = "\n".join(f"line {i} of {t}" for i, (_, t) in enumerate(near_copies(5, 12, 1)))
+    near = "\n".join(f"row {i} in {t}" for i, (_, t) in enumerate(near_copies(8, 12, 1)))
+    rows = [(100 + i, body) for i in range(25)] + [(200 + i, f"{near}\nown {i}") for i in range(25)] + [(300, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    cut = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()}
+    assert cut[100] == body and cut[200] == f"{near}\nown 0" and {cut[100 + i] for i in range(1, 25)} == {""}
+    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got[100] == len(body.split()) and got[200] == len(near.split()) + 2 and got[300] == 1
+    assert [i for i, n in got.items() if n > 2] == [100, 200]
+
+
 def test_stages_keep_the_columns(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "packing"]
