@@ -134,7 +134,8 @@ class Rule:
 
 
 def _compiled(words: str) -> re.Pattern:
-    body = words.replace(" ", "\0").encode().replace(b"\0", _GAP)
+    """Words with gaps between them; " ?" is a gap that may be absent."""
+    body = words.replace(" ?", "\1").replace(" ", "\0").encode().replace(b"\1", rb"(?:" + _GAP + rb")?").replace(b"\0", _GAP)
     return re.compile(rb"(?<![" + _WORD + rb"])(?:" + body + rb")(?![" + _WORD + rb"])")
 
 

@@ -144,6 +144,29 @@ def test_rules():
         assert re.fullmatch(rb"[a-z0-9]+", rule.keyword)
 
 
+@pytest.mark.parametrize(
+    "name,label",
+    [
+        ("Creative Commons Attribution 4.0 International", "cc-by-4.0"),
+        ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa-4.0"),
+        ("Creative Commons Attribution-Share Alike 3.0 Unported", "cc-by-sa-3.0"),
+        ("Creative Commons Attribution-NoDerivs 2.0 Generic", "cc-by-nd-2.0"),
+        ("Creative Commons Attribution-NoDerivatives 4.0 International", "cc-by-nd-4.0"),
+        ("Creative Commons Attribution-NonCommercial 4.0 International", "cc-by-nc-4.0"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "cc-by-nc-sa-4.0"),
+        ("Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported", "cc-by-nc-nd-3.0"),
+        ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", "cc-by-nc-nd-4.0"),
+        ("Creative Commons Attribution-ShareAlike", "cc-by-sa"),
+        ("the Beerware License", "beerware"),
+        ("THE BEER-WARE LICENSE", "beerware"),
+        ("BigCode OpenRAIL-M", "bigcode-openrail-m"),
+        ("BigScience Open RAIL-M License", "bigcode-openrail-m"),
+    ],
+)
+def test_official_names(name, label):
+    assert SCANNER.scan(f"See {name}.")[5] == label
+
+
 def test_gate_hides_no_match():
     """Every rule, run on texts without the gate, finds nothing that the gate would miss."""
     texts = [n.replace("[sc]", "c") for line in licenses.SIGNATURES.splitlines() for n in licenses._fields(line)[1].split(";")]
