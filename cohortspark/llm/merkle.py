@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import SPACE_CLASS, col, table, whole
 
-#: A passage ends behind white space that follows one of these characters.  The
-#: rule looks at the content only, so an edit moves no passage end elsewhere.
-PASSAGE_ENDS = r".,;:!?|%&*#$)\]>\"nsd"
-_CUT = f"(?<=[{PASSAGE_ENDS}][{SPACE_CLASS}])(?![{SPACE_CLASS}])"
+#: Words with the white space behind them; a run of 16 bytes or more without white
+#: space (unspaced scripts, long tokens) is cut too, behind every byte 7 modulo 16.
+_RUN_ENDS = "".join(f"\\x{b:02x}" for b in range(256) if b % 16 == 7)
+_WORDS = f"(?<=[{SPACE_CLASS}])(?![{SPACE_CLASS}])|(?<=[{_RUN_ENDS}])(?<=[^{SPACE_CLASS}]{{16}})"
+#: One word in so many ends its passage.
+PASSAGE_WORDS = 3
+#: Ends a passage; no byte read as a Latin-1 character equals it.
+_END = "\u0100"
 #: A paragraph whose digest begins with one of these ends its section.
 SECTION_ENDS = "[0-3]"
 #: The key of rows without an id; no id may have this value.
@@ -26,10 +32,30 @@ def paragraph_digests(text: Column) -> Column:
     return F.transform(paragraphs(text), lambda p: F.sha2(p.cast("binary"), 256))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sections(leaves: Column) -> Column:
+    """The sections in order: digest, and the positions (from 0) of their first and last paragraph.
+
+    A section goes up to a paragraph whose digest closes it, or to the end.
+    """
+
+    def made(leaves: Column, ends: Column) -> Column:
+        first = lambda j: F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
+        digest = lambda e, j: F.sha2(F.array_join(F.slice(leaves, first(j) + 1, e - first(j) + 1), ",").cast("binary"), 256)
+        return F.transform(ends, lambda e, j: F.struct(digest(e, j).alias("digest"), first(j).alias("first"), e.alias("last")))
+
+    closes = lambda leaves, i: (i == F.size(leaves) - 1) | F.substring(F.get(leaves, i), 1, 1).rlike(SECTION_ENDS)
+    ends = lambda leaves: F.filter(F.sequence(F.lit(0), F.size(leaves) - 1), lambda i: closes(leaves, i))
+    return _let(leaves, lambda x: _let(ends(x), lambda e: made(x, e)))
+
+
 def section_digests(leaves: Column) -> Column:
-    """SHA-256 of each section: paragraphs up to one whose digest closes it."""
-    joined = F.regexp_replace(F.array_join(leaves, ","), f"((?:^|,){SECTION_ENDS}[0-9a-f]{{63}}),", "$1;")
-    return F.transform(F.split(joined, ";"), lambda s: F.sha2(s.cast("binary"), 256))
+    """SHA-256 of each section."""
+    return F.transform(sections(leaves), lambda s: s["digest"])
 
 
 def root(sections: Column) -> Column:
@@ -37,8 +63,18 @@ def root(sections: Column) -> Column:
 
 
 def passage_hashes(text: Column) -> Column:
-    """The distinct 32-bit hashes of the passages inside the paragraphs, as 8 hex digits each."""
-    return F.array_distinct(F.transform(F.split(text, _CUT), lambda p: F.lpad(F.hex(F.pmod(F.xxhash64(p), F.lit(1 << 32))), 8, "0")))
+    """The distinct 32-bit hashes of the passages inside the paragraphs, as 8 hex digits each.
+
+    A passage ends with its paragraph, behind a word whose hash says so, and at the
+    cuts inside a long run without white space.  The rule looks at the content only,
+    so an edit moves no passage end elsewhere, and at bytes, so it fits any script.
+    Empty passages do not count; an empty text has none.
+    """
+    words = F.split(F.decode(text.cast("binary"), "ISO-8859-1"), _WORDS)
+    ends = lambda w: (F.pmod(F.xxhash64(w), F.lit(PASSAGE_WORDS)) == 0) | ~F.substring(w, -1, 1).rlike(f"[{SPACE_CLASS}]")
+    marked = F.array_join(F.transform(words, lambda w: F.when(ends(w), F.concat(w, F.lit(_END))).otherwise(w)), "")
+    passages = F.array_remove(F.split(F.translate(marked, "\n", _END), _END), "")
+    return F.array_distinct(F.transform(passages, lambda p: F.lpad(F.hex(F.pmod(F.xxhash64(p), F.lit(1 << 32))), 8, "0")))
 
 
 def fingerprint(text: Column) -> Column:
@@ -47,13 +83,14 @@ def fingerprint(text: Column) -> Column:
 
 
 def _passages(print_: Column) -> Column:
-    return F.split(F.substring_index(print_, ":", -1), "(?<=\\G.{8})")
+    # Spark's split keeps an empty string behind the last cut
+    return F.array_remove(F.split(F.substring_index(print_, ":", -1), "(?<=\\G.{8})"), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """1.0 for equal roots, else the share of equal passages in the larger of two fingerprints."""
     x, y = _passages(a), _passages(b)
-    share = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
+    share = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), 1.0).otherwise(share)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -93,6 +94,43 @@ def test_fingerprint_cases(spark, odd_docs, no_docs):
     assert {r.doc_id: r.edited_sha256 for r in got} == edited(wide)
 
 
+def passages_brute(text):
+    white, out, words, at = " \t\n\x0b\x0c\r", "", [], 0
+    text = text.encode().decode("latin-1")
+    for i in range(1, len(text)):
+        gap = text[i - 1] in white and text[i] not in white
+        run = i >= 16 and ord(text[i - 1]) % 16 == 7 and not set(text[i - 16 : i]) & set(white)
+        if gap or run:
+            words.append(text[at:i])
+            at = i
+    for w in [*words, text[at:]]:
+        h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+        h -= (1 << 64) * (h >> 63)
+        out += w + ("\0\0" if w[-1:] not in white or h % merkle.PASSAGE_WORDS == 0 else "")
+    return {xxhash.xxh64(p.encode(), seed=42).intdigest() % (1 << 32) for p in out.replace("\n", "\0\0").split("\0\0")} - {xxhash.xxh64(b"", seed=42).intdigest() % (1 << 32)}
+
+
+def test_exact_likeness(spark, texts):
+    han = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(300))
+    one = "\n".join(f"tok{i}e" for i in range(60))
+    pairs = [(t, u) for t, u in zip(list(texts.values())[:80], list(texts.values())[1:81])]
+    pairs = [(t or "", (t or "")[: len(t or "") // 2] + (u or "")[:300]) for t, u in pairs] + [(t or "", u or "") for t, u in pairs]
+    pairs += [("", "x"), ("", ""), ("one", "two"), ("a. ", "b. "), (han, han[:200] + "x" + han[200:]), (one, one.replace("tok9e", "new"))]
+    rows = spark.createDataFrame(pairs, "t string, u string")
+    got = rows.select("t", "u", merkle.likeness(merkle.fingerprint(F.col("t")), merkle.fingerprint(F.col("u"))).alias("s")).collect()
+    for r in got:
+        a, b = passages_brute(r.t), passages_brute(r.u)
+        assert r.s == (1.0 if r.t == r.u else len(a & b) / max(len(a), len(b))), (r.t, r.u)
+    share = {(r.t, r.u): r.s for r in got}
+    assert share["one", "two"] == share["a. ", "b. "] == share["", "x"] == 0
+    assert share[pairs[-2]] > 0.8 and share[pairs[-1]] > 0.9
+
+
+def test_disjoint_texts_are_not_near(spark):
+    rows = [(2, "alpha beta"), (1, "gamma\ndelta epsilon, zeta")]
+    assert [r.near_next for r in merkle.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0, 0]
+
+
 def test_successors_over_many_blocks(spark):
     ids = [3, 9, 10, 11, 500, 10**6, -4]
     got = {r.key: r.next_key for r in merkle.successors(spark.createDataFrame([(i,) for i in ids], "key long"), block_rows=2).collect()}
