@@ -95,13 +95,86 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
-    """Positions (from 0) of the paragraphs of ``a`` that ``b`` lacks: where the trees differ.
+    """Positions (from 0) of the paragraphs of ``a`` that ``b`` lacks at any place.
 
-    ``a`` and ``b`` are arrays of paragraph digests.
+    ``a`` and ``b`` are arrays of paragraph digests.  Moves and counts do not show
+    here; :func:`differing_branches` finds them.
     """
     return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: ~F.array_contains(b, F.get(a, i)))
 
 
+def _unlike(a: Column, b: Column) -> Column:
+    """Two sorted arrays in a struct (a, b): the entries in which two sequences differ, one array a side.
+
+    The sequences are arrays of structs (digest, at); the results hold the ``at``.
+    The k-th copies of a digest on both sides are partners.  What has no partner
+    differs; so do the remaining ones where, in the order of their side, the digests
+    at the same place are unequal (moves).  Equal sequences alone give two empty
+    arrays.  The cost is that of a sort.
+    """
+    entry = lambda side: lambda x: F.struct(x["digest"].alias("digest"), F.lit(side).alias("side"), x["at"].alias("at"))
+    both = F.sort_array(F.concat(F.transform(a, entry(0)), F.transform(b, entry(1))))
+
+    def runs(both: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(both), F.lit(1))),
+            lambda k: (k == 1) | (F.get(both, k - 1)["digest"] != F.get(both, k - 2)["digest"]),
+        )
+        end = lambda s, j: F.coalesce(F.get(s, j + 1), F.size(both) + 1)
+        return _let(starts, lambda s: F.transform(s, lambda k, j: F.slice(both, k, end(s, j) - k)))
+
+    def parted(run: Column) -> Column:
+        n = F.size(F.filter(run, lambda x: x["side"] == 0))
+        k = F.least(n, F.size(run) - n)
+        lone = F.concat(F.slice(run, k + 1, n - k), F.slice(run, n + k + 1, F.size(run) - n - k))
+        return F.struct(lone.alias("lone"), F.slice(run, F.lit(1), k).alias("a"), F.slice(run, n + 1, k).alias("b"))
+
+    def partners(parts: Column, side: str) -> Column:
+        flat = F.flatten(F.transform(parts, lambda p: p[side]))
+        return F.sort_array(F.transform(flat, lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest"))))
+
+    def moved(parts: Column) -> Column:
+        pairs = F.arrays_zip(partners(parts, "a").alias("a"), partners(parts, "b").alias("b"))
+        return F.filter(pairs, lambda x: x["a"]["digest"] != x["b"]["digest"])
+
+    def out(parts: Column) -> Column:
+        lone = F.flatten(F.transform(parts, lambda p: p["lone"]))
+        one = lambda lone, off, n, side: F.sort_array(
+            F.concat(F.transform(F.filter(lone, lambda x: x["side"] == n), lambda x: x["at"]), F.transform(off, lambda x: x[side]["at"]))
+        ).alias(side)
+        return _let(lone, lambda lone: _let(moved(parts), lambda off: F.struct(one(lone, off, 0, "a"), one(lone, off, 1, "b"))))
+
+    return _let(both, lambda both: _let(F.transform(runs(both), parted), out))
+
+
+def differing_branches(a: Column, b: Column) -> Column:
+    """Where the trees of two arrays of paragraph digests differ, from the sections down.
+
+    A struct of four sorted arrays of positions (from 0): a_sections, a_paragraphs,
+    b_sections, b_paragraphs.  The digests of the sections are compared first; only
+    the paragraphs of differing sections are compared with each other, by count and
+    place (:func:`_unlike`).  All four are empty for equal trees; unequal ones always
+    have a differing section and a differing paragraph on one side at least.
+    """
+    numbered = lambda s: F.transform(s, lambda x, i: F.struct(x["digest"].alias("digest"), i.alias("at")))
+
+    def inside(leaves: Column, parts: Column, which: Column) -> Column:
+        at = F.flatten(F.transform(which, lambda i: F.sequence(F.get(parts, i)["first"], F.get(parts, i)["last"])))
+        return F.transform(at, lambda i: F.struct(F.get(leaves, i).alias("digest"), i.alias("at")))
+
+    def below(a: Column, b: Column, x: Column, y: Column, at: Column) -> Column:
+        found = _unlike(inside(a, x, at["a"]), inside(b, y, at["b"]))
+        return _let(
+            found,
+            lambda f: F.struct(
+                at["a"].alias("a_sections"), f["a"].alias("a_paragraphs"), at["b"].alias("b_sections"), f["b"].alias("b_paragraphs")
+            ),
+        )
+
+    top = lambda a, b, x, y: _let(_unlike(numbered(x), numbered(y)), lambda at: below(a, b, x, y, at))
+    return _let(a, lambda a: _let(b, lambda b: _let(sections(a), lambda x: _let(sections(b), lambda y: top(a, b, x, y)))))
+
+
 def tree(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the struct ``merkle``: root, sections, paragraphs (digests)."""
     leaves = paragraph_digests(whole(text_col))
@@ -129,7 +202,7 @@ def successors(ids: DataFrame, block_rows: int = 20_000) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each document and of its edited text, and their likeness.
+    """Fingerprints of each document and of its edited text, their likeness, and where their trees differ.
 
     The edited text is the document with its last floor(n_chars / 3) code points
     replaced by the first as many of the next document in descending id order.
@@ -159,11 +232,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made = made.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print",
+        differing_branches(paragraph_digests(F.col("text")), paragraph_digests(F.col("edited"))).alias("differing"),
     )
     return made.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
+        "differing",
     )
 
 

@@ -146,6 +146,67 @@ def test_differing_branches(spark):
     assert len(tree.paragraphs) == 3 and tree.paragraphs[0] == hashlib.sha256(b"a").hexdigest()
 
 
+def unlike_brute(a, b):
+    """(at of a, at of b) of sequences of (digest, at)."""
+    rest_a, rest_b = Counter(d for d, _ in a) - Counter(d for d, _ in b), Counter(d for d, _ in b) - Counter(d for d, _ in a)
+
+    def split(side, rest):
+        lone, kept, left = [], [], {d: n for d, n in Counter(d for d, _ in side).items()}
+        for d, at in reversed(side):  # the last copies are those without a partner
+            if rest[d] > 0:
+                rest[d] -= 1
+                lone.append(at)
+            else:
+                kept.append((d, at))
+        return lone, kept[::-1]
+
+    (lone_a, kept_a), (lone_b, kept_b) = split(a, rest_a), split(b, rest_b)
+    off = [(x[1], y[1]) for x, y in zip(kept_a, kept_b) if x[0] != y[0]]
+    return sorted(lone_a + [x for x, _ in off]), sorted(lone_b + [y for _, y in off])
+
+
+def branches_brute(t, u):
+    def tree(text):
+        parts, leaves = [[]], [hashlib.sha256(p.encode()).hexdigest() for p in text.split("\n")]
+        for i, d in enumerate(leaves):
+            parts[-1].append((d, i))
+            if d[0] in "0123" and i < len(leaves) - 1:
+                parts.append([])
+        return parts
+
+    x, y = tree(t), tree(u)
+    whole = lambda parts: [(tuple(d for d, _ in p), i) for i, p in enumerate(parts)]
+    s, v = unlike_brute(whole(x), whole(y))
+    p, q = unlike_brute([e for i in s for e in x[i]], [e for i in v for e in y[i]])
+    return s, p, v, q
+
+
+def test_branches_against_brute_force(spark, texts):
+    rnd = random.Random(4)
+    pairs = [("a\nb\nc", "a\nX\nc"), ("a\nb", "b\na"), ("a\na\nb", "a\nb"), ("a\nb", "a\nb\nb"), ("a\nb\nc", "a\nc"), ("", ""), ("", "\n"), ("x", "")]
+    for _ in range(300):
+        lines = [rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(1, 25))]
+        other = list(lines)
+        for _ in range(rnd.randrange(4)):
+            i, j = rnd.randrange(len(other) + 1), rnd.randrange(len(other) + 1)
+            other = rnd.choice([other[:i] + other[i + 1 :], other[:i] + ["new"] + other[i:], other[:i] + other[j : j + 3] + other[i:], other[::-1] if i == j else other])
+        pairs.append(("\n".join(lines), "\n".join(other)))
+    pairs += [(t or "", (u or "")[:500] + (t or "")) for t, u in zip(list(texts.values())[:30], list(texts.values())[1:31])]
+    rows = spark.createDataFrame(pairs, "t string, u string")
+    both = merkle.differing_branches(merkle.paragraph_digests(F.col("t")), merkle.paragraph_digests(F.col("u"))).alias("d")
+    for r in rows.select("t", "u", both).collect():
+        d = r.d
+        assert (d.a_sections, d.a_paragraphs, d.b_sections, d.b_paragraphs) == branches_brute(r.t, r.u), (r.t, r.u)
+        assert (r.t == r.u) == (not d.a_paragraphs + d.b_paragraphs) == (not d.a_sections + d.b_sections)
+
+
+def test_query_gives_branches(spark):
+    rows = merkle.fingerprints(spark.createDataFrame([(2, "a\nb\nc\nd\ne\nf"), (1, "x\ny\nz\n\n\n")], "doc_id long, text string")).collect()
+    for r in rows:
+        assert r.differing.a_paragraphs + r.differing.b_paragraphs and r.fingerprint != r.edited_fingerprint
+        assert min(r.differing.a_paragraphs) >= 3  # the kept two thirds do not differ
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
