@@ -313,7 +313,7 @@ def bootstrap_auc_ci(spark, sf):
 def bootstrap_mean_ci(spark, sf):
     """Feature means per outcome and window with a bootstrap interval."""
     m = _windowed_matrix(spark, sf)
-    return V.window_means(m, "persist_3_halfyear", "window_id", ["n_orders", "price"], n_boot=300)
+    return V.window_means(m, "persist_3_halfyear", "window_id", ["n_orders", "price"], n_boot=1500)
 
 
 @query(
@@ -350,7 +350,7 @@ _DOC = ["chars", "words", "letters", "sentences", "english"]
 @query("kfold_auc")
 def kfold_auc(spark, sf):
     """Mean and standard error of the AUC over folds."""
-    scores = XP.k_fold_scores(_doc_features(spark, sf), "doc_id", _DOC, "quality", ModelSpec("LogisticRegression", {"max_iter": 20}), k=5)
+    scores = XP.k_fold_scores(_doc_features(spark, sf), "doc_id", _DOC, "quality", ModelSpec("LogisticRegression", {"max_iter": 20}), k=10)
     return XP.k_fold_auc(scores, "quality")
 
 
