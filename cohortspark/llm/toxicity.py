@@ -86,6 +86,58 @@ def strengths(text: str, lookup: dict[str, int], known: dict[str, tuple[int, ...
 # the label model
 
 
+@dataclass
+class Sparse:
+    """Rows of few values, by row: row ``i`` holds ``at[ends[i]:ends[i+1]]`` and ``value[...]``.
+
+    The dense matrix never exists whole; what needs it takes blocks of ``BLOCK`` rows.
+    """
+
+    ends: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+    width: int
+
+    BLOCK = 512
+
+    @staticmethod
+    def of(dense: np.ndarray) -> Sparse:
+        row, at = np.nonzero(dense)
+        return Sparse(np.r_[0, np.cumsum(np.bincount(row, minlength=len(dense)))], at, dense[row, at], dense.shape[1])
+
+    @property
+    def rows(self) -> int:
+        return len(self.ends) - 1
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(self.ends))
+
+    def part(self, columns: np.ndarray) -> Sparse:
+        """The given columns only, numbered in their order."""
+        place = np.full(self.width, -1)
+        place[columns] = np.arange(len(columns))
+        keep = place[self.at] >= 0
+        return Sparse(np.r_[0, np.cumsum(keep)][self.ends], place[self.at[keep]], self.value[keep], len(columns))
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row_of(), self.value * weights[self.at], self.rows)
+
+    def summed(self, by_row: np.ndarray) -> np.ndarray:
+        """Per column, the values weighted by row."""
+        return np.bincount(self.at, self.value * np.repeat(by_row, np.diff(self.ends)), self.width)
+
+    def gram(self, by_row: np.ndarray) -> np.ndarray:
+        """Column products weighted by row: width x width."""
+        out = np.zeros((self.width, self.width))
+        for lo in range(0, self.rows, self.BLOCK):
+            hi = min(lo + self.BLOCK, self.rows)
+            cut = slice(self.ends[lo], self.ends[hi])
+            block = np.zeros((hi - lo, self.width))
+            block[np.repeat(np.arange(hi - lo), np.diff(self.ends[lo : hi + 1])), self.at[cut]] = self.value[cut]
+            out += block.T @ (block * by_row[lo:hi, None])
+        return out
+
+
 @dataclass
 class LabelModel:
     """Class-conditional firing rates of voters, and weights that discount correlated ones."""
@@ -95,14 +147,13 @@ class LabelModel:
     fire_clean: np.ndarray
     share: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def odds(self, votes: Sparse) -> np.ndarray:
         on = np.log(self.fire_toxic / self.fire_clean) * self.share
         off = np.log((1 - self.fire_toxic) / (1 - self.fire_clean)) * self.share
-        odds = np.log(self.prior / (1 - self.prior)) + off.sum() + votes @ (on - off)
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return np.clip(np.log(self.prior / (1 - self.prior)) + off.sum() + votes.times(on - off), -30, 30)
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> tuple[LabelModel, np.ndarray]:
+def fit_label_model(votes: Sparse, labels: np.ndarray, rounds: int = 15) -> tuple[LabelModel, np.ndarray]:
     """Expectation maximisation over the votes; the annotation is one more voter.
 
     votes: rows x voters of 0/1; labels: 1, 0, or -1 where there is none.  The
@@ -112,38 +163,38 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) ->
     whose residuals go with those of others shares its evidence with them.
     Returns the model of the voters and the posterior of every row.
     """
-    rows, m = votes.shape
+    rows, m = votes.rows, votes.width
     given = labels >= 0
     p = np.where(given, np.where(labels == 1, 0.95, 0.05), 0.1)
     share, model, post = np.ones(m), None, p
     for step in range(rounds):
         w, v = post.sum() + 1e-9, (1 - post).sum() + 1e-9
         prior = float(np.clip((post.sum() + 1) / (rows + 10), 1e-4, 0.9))
-        hit = (votes.T @ post + 0.05) / (w + 1)
-        miss = (votes.T @ (1 - post) + 0.05) / (v + 1)
-        hit, miss = np.clip(hit, 1e-6, 1 - 1e-6), np.clip(miss, 1e-6, 1 - 1e-6)
-        if step in (1, rounds // 2):  # correlations, from the residuals of the current classes
-            r = votes - np.outer(post, hit) - np.outer(1 - post, miss)
-            sd = np.sqrt((r * r).mean(0)) + 1e-9
-            corr = np.abs((r.T @ r) / rows / np.outer(sd, sd))
+        in_toxic, in_clean = votes.summed(post), votes.summed(1 - post)
+        hit, miss = np.clip((in_toxic + 0.05) / (w + 1), 1e-6, 1 - 1e-6), np.clip((in_clean + 0.05) / (v + 1), 1e-6, 1 - 1e-6)
+        if step in (1, rounds // 2):  # correlations, from the residuals votes - post x hit - (1 - post) x miss, expanded
+            mean = np.outer(in_toxic, hit) + np.outer(in_clean, miss)
+            both = (post * (1 - post)).sum() * np.outer(hit, miss)
+            fitted = (post * post).sum() * np.outer(hit, hit) + ((1 - post) ** 2).sum() * np.outer(miss, miss) + both + both.T
+            cross = (votes.gram(np.ones(rows)) - mean - mean.T + fitted) / rows
+            sd = np.sqrt(np.maximum(np.diag(cross), 0)) + 1e-9
+            corr = np.abs(cross / np.outer(sd, sd))
             share = 1 / np.maximum(1, np.where(corr > 0.2, corr, 0).sum(1))
         model = LabelModel(prior, hit, miss, share)
-        odds = np.log(model.posterior(votes)) - np.log1p(-np.minimum(model.posterior(votes), 1 - 1e-12))
         sens = np.clip((post * (labels == 1)).sum() / max((post * given).sum(), 1e-9), 0.75, 0.995)
         spec = np.clip(((1 - post) * (labels == 0)).sum() / max(((1 - post) * given).sum(), 1e-9), 0.75, 0.995)
         says = np.where(labels == 1, np.log(sens / (1 - spec)), np.where(labels == 0, np.log((1 - sens) / spec), 0.0))
-        post = 1 / (1 + np.exp(-np.clip(odds + says, -30, 30)))
+        post = 1 / (1 + np.exp(-np.clip(model.odds(votes) + says, -30, 30)))
     return model, post
 
 
-def fit_classifier(x: np.ndarray, target: np.ndarray, ridge: float = 0.2, steps: int = 40) -> tuple[np.ndarray, float]:
+def fit_classifier(x: Sparse, target: np.ndarray, ridge: float = 0.2, steps: int = 40) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by Newton steps that never raise the penalised loss.
 
     Separable data would send plain Newton steps to infinity; each step is halved
     until the loss falls.  The bias is hardly penalised.
     """
-    rows, m = x.shape
-    a = np.hstack([x, np.ones((rows, 1))])
+    m = x.width
     w = np.zeros(m + 1)
     share = np.clip(target.mean(), 1e-3, 0.999)
     w[-1] = np.log(share / (1 - share))
@@ -151,14 +202,19 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, ridge: float = 0.2, steps:
     penalty[-1] = 1e-3
 
     def loss(v: np.ndarray) -> float:
-        z = a @ v
+        z = x.times(v[:-1]) + v[-1]
         return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * (penalty * v * v).sum())
 
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - target) + penalty * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), grad)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w[:-1]) + w[-1], -30, 30)))
+        bend = p * (1 - p)
+        grad = np.r_[x.summed(p - target), (p - target).sum()] + penalty * w
+        curve = np.diag(penalty)
+        curve[:-1, :-1] += x.gram(bend)
+        curve[-1, :-1] = curve[:-1, -1] = x.summed(bend)
+        curve[-1, -1] += bend.sum()
+        step = np.linalg.solve(curve, grad)
         size = 1.0
         while (then := loss(w - size * step)) > now - 1e-4 * size * (grad @ step) and size > 1e-6:
             size /= 2
@@ -248,15 +304,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         got = sample.select("text", "toxic").mapInArrow(vote, f"toxic {kind}, at array<int>, value array<float>").toArrow()
     finally:
         sample.unpersist()
-    n, rows = len(voters), got.num_rows
-    x = np.zeros((rows, 2 * n + len(PATTERNS)), np.float32)
-    at = got.column("at").combine_chunks()
-    where = np.repeat(np.arange(rows), np.diff(at.offsets.to_numpy()))
-    x[where, at.values.to_numpy()] = got.column("value").combine_chunks().values.to_numpy()
+    n, at = len(voters), got.column("at").combine_chunks()
+    x = Sparse(at.offsets.to_numpy().astype(np.int64), at.values.to_numpy(), got.column("value").combine_chunks().values.to_numpy().astype(np.float64), 2 * n + len(PATTERNS))
     labels_ = (got.column("toxic").to_numpy() == 1).astype(np.int64)
-    votes = np.hstack([x[:, :n], x[:, 2 * n :]]).astype(np.float64)
-    _, target = fit_label_model(votes, labels_)
-    weights, bias = fit_classifier(x.astype(np.float64), target)
+    _, target = fit_label_model(x.part(np.r_[:n, 2 * n : x.width]), labels_)
+    weights, bias = fit_classifier(x, target)
     return Model(voters, weights, bias)
 
 

@@ -17,8 +17,8 @@ def odd_docs(spark):
         (9, "one"), (9, "one"), (10, "ONE"), (None, "no id"), (None, None), (11, "word " * 30_000), (12, long_text(9)), (13, long_text(9)[:-4] + "end"),
         (-5, base), (14, "a\r\nb\x0b\x0cc\n"),
     ]
-    rows = [(i, t, "en", None, 0, i, "k", "d", 1) for i, t in rows]
-    ddl = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, digest string, bitmap string, score int"
+    rows = [(i, t, "en", None, 0, i, "k", "d", 1, "dot") for i, t in rows]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, digest string, bitmap string, score int, `x.Y z` string"
     return spark.createDataFrame(rows, ddl).repartition(3)
 
 
