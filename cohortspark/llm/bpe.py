@@ -194,15 +194,23 @@ class Codec:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def _codec(shared, pattern: str) -> Codec:
-    """The codec of this worker process; its piece cache outlives the task."""
-    if id(shared) not in _CODECS:
+def _digest(ranks: dict[bytes, int], pattern: str) -> str:
+    """Names a vocabulary and its pattern by their content."""
+    h = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        h.update(f"\n{rank} {token.hex()}".encode())
+    return h.hexdigest()
+
+
+def _codec(name: str, shared, pattern: str) -> Codec:
+    """The codec of this worker process for the vocabulary ``name``; its piece cache outlives the task."""
+    if name not in _CODECS:
         _CODECS.clear()
-        _CODECS[id(shared)] = Codec(shared.value, pattern)
-    return _CODECS[id(shared)]
+        _CODECS[name] = Codec(shared.value, pattern)
+    return _CODECS[name]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,10 +220,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, bytes (binary) for (doc_id, ids) rows; null ids give no bytes."""
-    shared = tokens.sparkSession.sparkContext.broadcast(ranks)
+    shared, name = tokens.sparkSession.sparkContext.broadcast(ranks), _digest(ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = _codec(name, shared, pattern)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "bytes"])
 
@@ -241,11 +249,11 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
 
 def _mapped(docs, ranks, pattern, id_col, text_col, schema, make, kinds) -> DataFrame:
     # the vocabulary is bounded and read by the driver, so executors need no file
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), _digest(ranks, pattern)
     names = ["doc_id", *[x.split()[0] for x in schema.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = _codec(name, shared, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)

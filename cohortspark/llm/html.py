@@ -29,6 +29,8 @@ BOILER_WORDS = re.compile(
     r"footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|paywall|popup|promo|promoted|related|replies|respond|"
     r"search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|subscription|toolbar|widget|complementary|alert)(?:$|[\s_-])"
 )
+#: What an open <head> can hold; anything else ends it.
+IN_HEAD = {"head", "title", "base", "link", "meta", "style", "script", "noscript", "template"}
 ARTICLE = {"article", "main"}
 PAGE = {"html", "body", *ARTICLE}
 PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt", "figcaption"}
@@ -56,7 +58,8 @@ def tokens(page: str) -> Iterator[Token]:
 
     A stack of open elements tells what encloses a run.  An end tag closes its
     element and all inside it; one without an open element is ignored, and so an
-    element that nothing closes reaches to the end of its parent.
+    element that nothing closes reaches to the end of its parent.  Text, or a tag that
+    it cannot hold, ends an open <head>.
     """
     stack: list[tuple[str, bool]] = []  # name, opens boilerplate
     boiler = raw = at = 0
@@ -64,6 +67,8 @@ def tokens(page: str) -> Iterator[Token]:
         m = _TOKEN.match(page, at)
         piece, at = m.group(), m.end()
         if piece[0] != "<" or piece == "<":
+            if stack and stack[-1][0] == "head" and piece.strip():
+                boiler, raw = boiler - stack.pop()[1], raw - 1
             if raw:
                 continue
             names = {n for n, _ in stack}
@@ -83,8 +88,11 @@ def tokens(page: str) -> Iterator[Token]:
                 while not closed or closed[-1][0] != name:
                     closed.append(stack.pop())
         elif name not in VOID and not piece.endswith("/>"):
+            head = next((i for i, (n, _) in enumerate(stack) if n == "head"), None)
             if name == "body":
                 closed, stack = stack, []
+            elif head is not None and name not in IN_HEAD and not any(n in RAW for n, _ in stack[head + 1 :]):
+                closed, stack = stack[head:], stack[:head]
             elif name in ("p", "li"):  # an open one ends here; inline elements inside stay open
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in BLOCKS:

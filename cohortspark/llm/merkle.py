@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import SPACE_CLASS, col, table, whole
+from cohortspark.llm.common import SPACE_CLASS, col, table, whole, written
 
 #: Words with the white space behind them; a run of 16 bytes or more without white
 #: space (unspaced scripts, long tokens) is cut too, behind every byte 7 modulo 16.
@@ -182,23 +182,22 @@ def tree(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("merkle", made)
 
 
-def successors(ids: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def successors(ids: DataFrame, blocks: int | None = None) -> DataFrame:
     """(key, next_key) for the distinct values of ``key``, in descending order and round again.
 
-    Blocks of equal width order the keys without a global sort; the highest key of
-    each block closes the gap to the block above it.
+    Range partitions of about equal counts order the keys, however they lie in
+    their range.  They are written once, so that both sides below see the same
+    blocks; the highest key of each block closes the gap to the block above it.
+    ``blocks`` is the number of shuffle partitions unless given.
     """
-    keys = ids.select("key").distinct()
-    low, high, n = keys.filter(F.col("key") > NO_ID).agg(F.min("key"), F.max("key"), F.count("key")).first()
-    low, high = (NO_ID, NO_ID) if n == 0 else (low, high)
-    width = max(1, -(-(high - low + 1) // max(1, -(-n // block_rows))))
-    block = F.floor((F.col("key").cast("decimal(38,0)") - low) / F.lit(width).cast("decimal(38,0)")).cast("long")
-    rows = keys.withColumn("block", F.when(F.col("key") == NO_ID, F.lit(-1)).otherwise(block))
+    spark = ids.sparkSession
+    parts = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(ids.select("key").distinct().repartitionByRange(parts, "key").withColumn("block", F.spark_partition_id()), "keys")
     tops = rows.groupBy("block").agg(F.max("key").alias("top"))
     # one row per block
-    below = tops.select("block", F.lead("top").over(Window.orderBy(F.desc("block"))).alias("below"))
+    below = tops.select("block", F.lead("top", 1).over(Window.orderBy(F.desc("block"))).alias("below"), F.max("top").over(Window.partitionBy()).alias("high"))
     inside = F.lead("key").over(Window.partitionBy("block").orderBy(F.desc("key")))
-    return rows.withColumn("inside", inside).join(below, "block").select("key", F.coalesce("inside", "below", F.lit(high)).alias("next_key"))
+    return rows.withColumn("inside", inside).join(F.broadcast(below), "block").select("key", F.coalesce("inside", "below", "high").alias("next_key"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,6 +45,20 @@ def test_long_pieces():
         assert SMALL[3].encode(piece) == PEER.encode_ordinary(piece)
 
 
+def test_codecs_go_by_content():
+    """A second vocabulary under the same address or pattern never gets the first one's ids."""
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    one, two = {bytes([b]): b for b in range(256)}, {bytes([b]): 255 - b for b in range(256)}
+    names = [bpe._digest(v, ".+") for v in (one, two, dict(reversed(one.items())))]
+    assert names[0] == names[2] != names[1] != bpe._digest(two, ".")
+    for name, ranks in zip(names, (one, two)):
+        assert bpe._codec(name, Shared(ranks), ".+").encode("ab") == [ranks[b"a"], ranks[b"b"]]
+
+
 def test_bpe_query_and_tables(odd_docs, no_docs):
     got = bpe.round_trip(odd_docs, RANKS, public_tokenizers.PATTERN).collect()
     ids = lambda t: np.asarray(PEER.encode_ordinary(t), "<u4").tobytes()
@@ -132,10 +146,20 @@ def test_disjoint_texts_are_not_near(spark):
 
 
 def test_successors_over_many_blocks(spark):
-    ids = [3, 9, 10, 11, 500, 10**6, -4]
-    got = {r.key: r.next_key for r in merkle.successors(spark.createDataFrame([(i,) for i in ids], "key long"), block_rows=2).collect()}
-    order = sorted(ids, reverse=True)
-    assert got == dict(zip(order, order[1:] + order[:1]))
+    ids = [3, 9, 10, 11, 500, 10**6, -4, merkle.NO_ID]
+    for blocks in (1, 3, 20):
+        got = {r.key: r.next_key for r in merkle.successors(spark.createDataFrame([(i,) for i in [*ids, 3, 9]], "key long"), blocks).collect()}
+        order = sorted(ids, reverse=True)
+        assert got == dict(zip(order, order[1:] + order[:1]))
+
+
+def test_successor_blocks_stay_even_with_an_outlier(spark):
+    """20,000 dense ids and one far away: no block holds more than twice the mean."""
+    ids = spark.range(20_000).select(F.col("id").alias("key")).union(spark.sql("SELECT 4611686018427387904L AS key"))
+    found = merkle.successors(ids, 8)
+    assert found.filter("next_key <> key - 1").count() == 2  # below the outlier, and round again
+    blocks = [r["count"] for r in ids.distinct().repartitionByRange(8, "key").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(blocks) <= 2 * 20_001 / 8
 
 
 def test_differing_branches(spark):
@@ -318,6 +342,18 @@ def test_broken_pages(page, text):
     assert html.extract(page, dict(html.DEFAULT_WEIGHTS)) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=x><p>Body text of the page goes on</p>",
+        "<head><title>T</title><style>p {}</style>Body text of the page goes on",
+        "<head><link rel=x><div><p>Body text of the page goes on</div>",
+    ],
+)
+def test_unclosed_head_hides_nothing(page):
+    assert html.extract(page, dict(html.DEFAULT_WEIGHTS)) == "Body text of the page goes on"
+
+
 def test_best_region():
     rnd = random.Random(2)
     for _ in range(200):
