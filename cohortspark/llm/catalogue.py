@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import bpe, exact, html, jaccard, licenses, lines, merkle, packing, shards, toxicity
+from cohortspark.llm import bpe, centroids, conversations, exact, html, jaccard, licenses, lines, merkle, packing, shards, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -14,6 +14,8 @@ QUERIES = {
     "op10_max_subsequence_html": html.op10_max_subsequence_html,
     "op6_weak_supervision": toxicity.op6_weak_supervision,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op11_cyk_repair": conversations.op11_cyk_repair,
+    "op12_pca_centroids": centroids.op12_pca_centroids,
     "op8_merkle_fingerprints": merkle.op8_merkle_fingerprints,
 }
 ORACLES = {"op1_exact_dedup": exact.ORACLE, "op2_line_dedup": lines.ORACLE}
