@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortspark.operators import metrics as E
+from cohortspark.operators import refit
 from cohortspark.operators.matrix import MatrixSpec, assemble, feature_columns, postprocess, subset
 from cohortspark.operators.models import ModelSpec, fit
-from cohortspark.operators.resample import k_folds, replicate_weight
+from cohortspark.operators.resample import k_folds
 from cohortspark.operators.rows import any_null, apply_null_policy, common_columns, null_counts
+from cohortspark.session import stored
 
 ROW_KEY = "row_key"
 
@@ -55,7 +57,7 @@ def evaluate(scored: DataFrame, label: str) -> Evaluation:
 
     Class 0 is ranked by the reversed score; the AUC is the same for either
     class.  The scored frame is persisted for a few jobs that each return one
-    small row; they are ranked in value slices, whatever their size.
+    small row; they are ranked over range partitions, whatever their size.
     """
     base = scored.select(ROW_KEY, F.col(label).cast("int").alias("y"), (-F.col("score")).alias("score0"), "predicted")
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
@@ -176,9 +178,16 @@ def results_frame(spark, rows: Sequence[Mapping]) -> DataFrame:
 
 
 def k_fold_scores(df: DataFrame, key: str, features: Sequence[str], target: str, model: ModelSpec, k: int = 10, seed: int = 0) -> DataFrame:
-    """Out-of-fold scores of all rows without nulls, with their fold; k fits on the driver loop."""
+    """Out-of-fold scores of all rows without nulls, with their fold.
+
+    A logistic regression with an l2 penalty is fitted for all folds at once (see
+    ``refit``); other models are fitted one after the other on the written folds.
+    """
     # the folds are cut over all rows, then rows with nulls go from every part
-    folded = k_folds(df, key, k, seed).filter(~any_null([*features, target])).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = stored(k_folds(df, key, k, seed).filter(~any_null([*features, target])), "folds")
+    if model.name == "LogisticRegression" and model.params.get("penalty", "l2") == "l2" and not model.params.get("class_weight"):
+        scored = refit.k_fold_scores(folded, "fold", k, features, target, float(model.params.get("C", 1.0)))
+        return scored.select(key, "fold", target, "score", (F.col("score") > 0.5).cast("int").alias("predicted"))
     out = None
     for i in range(k):
         scorer = fit(model, folded.filter(F.col("fold") != i), features, target)
@@ -191,31 +200,3 @@ def k_fold_auc(scores: DataFrame, target: str) -> DataFrame:
     """AUC per fold reduced to mean and standard error."""
     per_fold = E.auc(scores, target, "score", ["fold"])
     return E.mean_and_error(per_fold, "auc")
-
-
-def auc_by_feature_group(
-    train: DataFrame, test: DataFrame, groups: Mapping[str, Sequence[str]], target: str, key: str, model: ModelSpec, n_boot: int, alpha: float = 0.05, seed: int = 0
-) -> list[dict]:
-    """Test AUC per feature group with a refit bootstrap interval, worst first.
-
-    A replicate re-weights the training rows (Poisson weight from a hash of the
-    id and the replicate) and refits; only one number per refit comes back.
-    """
-    out = []
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for name, features in groups.items():
-            measure = lambda scorer: E.auc(scorer.score(test), target, "score").first()["auc"]
-            estimate = measure(fit(model, train, features, target))
-            values = []
-            for b in range(n_boot):
-                weighted = train.withColumn("__boot", replicate_weight(key, b, seed)).filter(F.col("__boot") > 0)
-                values.append(measure(fit(model, weighted, features, target, "__boot")))
-            values = sorted(v for v in values if v is not None)
-            at = lambda q: values[min(int(q * len(values)), len(values) - 1)]
-            out.append({"feature_group": name, "lower": at(alpha / 2), "auc": estimate, "upper": at(1 - alpha / 2)})
-    finally:
-        train.unpersist()
-        test.unpersist()
-    return sorted(out, key=lambda r: r["auc"])

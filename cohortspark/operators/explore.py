@@ -102,15 +102,15 @@ def window_means(df: DataFrame, target: str, window: str, columns: Sequence[str]
     return bootstrap_mean(long, "value", [window, target, "feature"], n_boot, alpha)
 
 
-def auc_by_feature(df: DataFrame, target: str, index: str, columns: Sequence[str], slices: int | None = None) -> DataFrame:
+def auc_by_feature(df: DataFrame, target: str, index: str, columns: Sequence[str]) -> DataFrame:
     """Each feature used as a score, AUC per index value, in one job."""
-    return E.auc(unpivot(df, [index, target], columns), target, "value", [index, "feature"], slices)
+    return E.auc(unpivot(df, [index, target], columns), target, "value", [index, "feature"])
 
 
 def auc_by_feature_ci(df: DataFrame, target: str, index: str, columns: Sequence[str], n_boot: int = 1500, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """The same with a bootstrap interval."""
     long = unpivot(df, [index, target], columns)
     group = [index, "feature"]
-    point = E.auc(long, target, "value", group, None)
+    point = E.auc(long, target, "value", group)
     interval = bootstrap_auc(long, target, "value", group, n_boot, alpha, seed)
     return point.join(interval, group, "left")

@@ -55,11 +55,10 @@ class Options:
     latest_nulls: str = "first"
     networks: Mapping[str, str] = field(default_factory=lambda: {"is_partner_a": "A", "is_partner_b": "B"})
     contact_media: Sequence[str] = CONTACT_MEDIA
-    # courses are ranked in slices of whole grade points, so that no course is one
-    # task however many rows and distinct grades it has; a monotone expression of
-    # the grade, a number of quantile slices, or None for one window per course.
-    # The ranks are the same.
-    rank_slices: str | int | None = "floor(percent_grade)"
+    # None: courses are ranked over range partitions of (course, grade), at the price of
+    # a job of their own.  A monotone expression of the grade cuts each course at its
+    # values instead and stays lazy.  The ranks are the same.
+    rank_slices: str | None = "floor(percent_grade)"
 
 
 Build = Callable[[Tables, Bounds, Sequence[str], Options], DataFrame]
@@ -222,7 +221,7 @@ def course_ranks(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> Dat
     rows = _courses(t, ["course_number", "percent_grade", "semester_taken"])
     if o.rank_point_in_time:
         rows = rows.filter(inside)
-    slices = F.expr(o.rank_slices) if isinstance(o.rank_slices, str) else o.rank_slices
+    slices = F.expr(o.rank_slices) if o.rank_slices else None
     ranked = percent_rank_by(rows, ["course_number"], "percent_grade", "__rank", slices)
     rows = ranked.filter(inside & F.col("__gap").isin(0, 1, 2) & (F.col("semester_taken") != SUMMER_TERM))
     cols = {}

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortspark.operators.ranks import DEFAULT_SLICES, ordered_totals
+from cohortspark.operators.ranks import ordered_totals, ranged
 
 
 def positive(label: str | Column, pos_label: int = 1) -> Column:
@@ -34,26 +35,39 @@ def score_cells(scored: DataFrame, group: Sequence[str], label: str, score: str,
     )
 
 
-def score_table(scored, group, label, score, pos_label: int = 1, slices: int | None = DEFAULT_SLICES) -> DataFrame:
+def score_table(scored, group, label, score, pos_label: int = 1) -> DataFrame:
     """Cells with ``tp``/``fp`` counted at ``score >= threshold`` and class totals."""
-    t = ordered_totals(score_cells(scored, group, label, score, pos_label), group, "score", ["p", "n"], slices)
+    t = ordered_totals(score_cells(scored, group, label, score, pos_label), group, "score", ["p", "n"])
     return t.withColumns({"tp": F.col("p_total") - F.col("p_before"), "fp": F.col("n_total") - F.col("n_before")})
 
 
-def auc(scored: DataFrame, label: str, score: str, group: Sequence[str] = (), slices: int | None = DEFAULT_SLICES) -> DataFrame:
-    """ROC AUC with ties counted half; null when one class is missing."""
-    t = score_table(scored, group, label, score, 1, slices)
-    wins = F.sum(F.col("p").cast("double") * (F.col("n_before") + F.col("n") / 2))
-    positives, negatives = F.max("p_total"), F.max("n_total")
+def auc(scored: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
+    """ROC AUC with ties counted half; null when one class is missing.
+
+    The wins of a range partition against itself, and of its positives against all
+    negatives before it, add up; so no row needs its offset, only parts do.
+    """
+    return auc_of_cells(score_cells(scored, group, label, score), group)
+
+
+def auc_of_cells(cells: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """E03 from one row (group..., score, p, n) per group and score."""
+    cut = ranged(cells, group, ["score"])
+    inside = W.partitionBy("__part", "__k").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    wins = F.col("p").cast("double") * (F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("n") / 2)
+    per_part = cut.withColumn("__w", wins).groupBy("__part", "__k").agg(F.sum("__w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    earlier = W.partitionBy("__k").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    placed = per_part.withColumn("below", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    positives, negatives = F.sum("p"), F.sum("n")
     pairs = positives.cast("double") * negatives
-    return t.groupBy(*group).agg(
-        F.when(pairs > 0, wins / pairs).alias("auc"), positives.alias("positives"), negatives.alias("negatives")
-    )
+    total = F.sum(F.col("w") + F.col("p").cast("double") * F.col("below"))
+    counts = [F.when(pairs > 0, total / pairs).alias("auc"), positives.alias("positives"), negatives.alias("negatives")]
+    return placed.groupBy("__k").agg(*counts).select(*[F.col(f"__k.`{g}`").alias(g) for g in group], "auc", "positives", "negatives") if group else placed.agg(*counts)
 
 
-def pr_area(scored: DataFrame, label: str, score: str, group: Sequence[str] = (), pos_label: int = 1, slices: int | None = DEFAULT_SLICES) -> DataFrame:
+def pr_area(scored: DataFrame, label: str, score: str, group: Sequence[str] = (), pos_label: int = 1) -> DataFrame:
     """Trapezoid area under precision against recall, starting at (0, 1)."""
-    t = score_table(scored, group, label, score, pos_label, slices)
+    t = score_table(scored, group, label, score, pos_label)
     above_tp, above_n = F.col("tp") - F.col("p"), F.col("tp") + F.col("fp") - F.col("p") - F.col("n")
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     previous = F.when(above_n > 0, above_tp / F.when(above_n > 0, above_n)).otherwise(F.lit(1.0))
@@ -61,9 +75,9 @@ def pr_area(scored: DataFrame, label: str, score: str, group: Sequence[str] = ()
     return t.groupBy(*group).agg(F.sum(step * (precision + previous) / 2).alias("aupr"))
 
 
-def roc_points(scored: DataFrame, label: str, score: str, group: Sequence[str] = (), slices: int | None = DEFAULT_SLICES) -> DataFrame:
+def roc_points(scored: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """One point per distinct score plus the origin (null threshold)."""
-    t = score_table(scored, group, label, score, 1, slices)
+    t = score_table(scored, group, label, score)
     rate = lambda a, total: F.when(F.col(total) > 0, F.col(a) / F.when(F.col(total) > 0, F.col(total)))
     points = t.select(*group, F.col("score").alias("threshold"), rate("fp", "n_total").alias("fpr"), rate("tp", "p_total").alias("tpr"))
     if group:
@@ -76,12 +90,12 @@ def roc_points(scored: DataFrame, label: str, score: str, group: Sequence[str] =
     return points.unionByName(origin)
 
 
-def population_curve(scored: DataFrame, label: str, score: str, group: Sequence[str] = (), pos_label: int = 1, slices: int | None = DEFAULT_SLICES) -> DataFrame:
+def population_curve(scored: DataFrame, label: str, score: str, group: Sequence[str] = (), pos_label: int = 1) -> DataFrame:
     """Precision and recall against the fraction of rows at or above each threshold.
 
     Thresholds below the one that first reaches full recall are left out.
     """
-    t = score_table(scored, group, label, score, pos_label, slices).filter(F.col("tp") - F.col("p") < F.col("p_total"))
+    t = score_table(scored, group, label, score, pos_label).filter(F.col("tp") - F.col("p") < F.col("p_total"))
     above = F.col("tp") + F.col("fp")
     return t.select(
         *group,
@@ -100,7 +114,6 @@ def precision_top_k(
     tie: str,
     group: Sequence[str] = (),
     pos_label: int = 1,
-    slices: int | None = DEFAULT_SLICES,
 ) -> DataFrame:
     """Share of positives among the ``int(k*n)`` highest scores.
 
@@ -110,7 +123,7 @@ def precision_top_k(
     cut falls into is looked at row by row, again through ordered totals, so
     there is no global sort and no limit over the rows.
     """
-    t = score_table(scored, group, label, score, pos_label, slices)
+    t = score_table(scored, group, label, score, pos_label)
     size = F.col("p_total") + F.col("n_total")
     cut = F.floor(F.lit(float(k)) * size)
     through = F.col("tp") + F.col("fp")
@@ -133,7 +146,7 @@ def precision_top_k(
     by_tie = in_level.groupBy(*group, "__tie").agg(
         F.sum("__hit").alias("__h"), F.count(F.lit(1)).alias("__c"), F.max("__take").alias("__take")
     )
-    placed = ordered_totals(by_tie, group, "__tie", ["__c"], slices)
+    placed = ordered_totals(by_tie, group, "__tie", ["__c"])
     # of rows equal in score and tie, positives come first
     room = F.col("__take") - F.col("__c_before")
     partial = placed.filter(room > 0).groupBy(*group).agg(F.sum(F.least("__h", room)).alias("hits_edge"))
@@ -154,14 +167,14 @@ def precision_top_k(
     )
 
 
-def ranking_summary(scored: DataFrame, label: str, score: str, ks: Sequence[float], pos_label: int = 1, slices: int | None = DEFAULT_SLICES) -> DataFrame:
+def ranking_summary(scored: DataFrame, label: str, score: str, ks: Sequence[float], pos_label: int = 1) -> DataFrame:
     """AUC, precision-recall area and top-k hits of one frame from one pass over its cells.
 
     Per ``k`` the row holds ``r`` (rows wanted), ``hits`` (positives on score
     levels wholly inside), and, when the cut falls inside a level, that level's
     score ``edge`` and the number of rows to ``take`` from it.
     """
-    t = score_table(scored, (), label, score, pos_label, slices)
+    t = score_table(scored, (), label, score, pos_label)
     size, through = F.col("p_total") + F.col("n_total"), F.col("tp") + F.col("fp")
     above = through - F.col("p") - F.col("n")
     wins = F.sum(F.col("p").cast("double") * (F.col("n_before") + F.col("n") / 2))
@@ -184,13 +197,13 @@ def ranking_summary(scored: DataFrame, label: str, score: str, ks: Sequence[floa
     return t.agg(*aggs)
 
 
-def edge_hits(scored: DataFrame, label: str, score: str, tie: str, edge: float, take: int, pos_label: int = 1, slices: int | None = DEFAULT_SLICES) -> DataFrame:
+def edge_hits(scored: DataFrame, label: str, score: str, tie: str, edge: float, take: int, pos_label: int = 1) -> DataFrame:
     """Positives among the first ``take`` rows, by ``tie``, of one score level."""
     level = scored.filter((F.col(score) == F.lit(edge)) & F.col(label).isNotNull())
     by_tie = level.groupBy(F.col(tie).alias("__tie")).agg(
         F.sum(positive(label, pos_label).cast("int")).alias("__h"), F.count(F.lit(1)).alias("__c")
     )
-    placed = ordered_totals(by_tie, (), "__tie", ["__c"], slices)
+    placed = ordered_totals(by_tie, (), "__tie", ["__c"])
     room = F.lit(take) - F.col("__c_before")
     return placed.agg(F.sum(F.when(room > 0, F.least("__h", room))).alias("hits"))
 

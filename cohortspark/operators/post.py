@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.operators.ranks import DEFAULT_SLICES, ordered_totals
+from cohortspark.operators.ranks import ordered_totals
 
 ONE_HOT, NULL_DUMMY, FILL_ZERO, FILL_MEDIAN = "one_hot", "null_dummy", "fill_zero", "fill_median"
 STEPS = (ONE_HOT, NULL_DUMMY, FILL_ZERO, FILL_MEDIAN)
@@ -68,7 +68,7 @@ class PostPlan:
         return df.select(*out)
 
 
-def exact_median(df: DataFrame, column: str, slices: int | None = DEFAULT_SLICES) -> float | None:
+def exact_median(df: DataFrame, column: str) -> float | None:
     """Median of a column without nulls, from ordered counts per value.
 
     The built-in exact percentile merges all distinct values in one task; here
@@ -76,7 +76,7 @@ def exact_median(df: DataFrame, column: str, slices: int | None = DEFAULT_SLICES
     """
     value = quoted(column).cast("double")
     cells = df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    placed = ordered_totals(cells, (), "v", ["c"], slices)
+    placed = ordered_totals(cells, (), "v", ["c"])
     at = lambda i: F.max(F.when((F.col("c_before") <= i) & (i < F.col("c_before") + F.col("c")), F.col("v")))
     low, high = F.floor((F.col("c_total") - 1) / 2), F.floor(F.col("c_total") / 2)
     return placed.agg(((at(low) + at(high)) / 2).alias("m")).first()["m"]

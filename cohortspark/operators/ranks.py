@@ -1,21 +1,20 @@
 """Ordered totals and ranks without single-task sorts (W01, W05; basis of E03-E07).
 
-Everything here first aggregates to one row per (group, value).  The rows of a
-group that must be seen in order can then be cut into value slices: totals per
-slice are few and are accumulated on their own, and each slice only needs its
-local running sum plus an offset.
+Everything here first aggregates to one row per (group, value).  Those cells are
+dealt to range partitions by (group, value), so that a group of any size spreads
+over as many partitions as it fills; sums run inside a partition, and the totals
+of a group's parts, a few rows, give each part its offset.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_SLICES = 256
+from cohortspark.session import stored
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -25,84 +24,56 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
     return cond
 
 
-def _slice_number(cells: DataFrame, group: Sequence[str], order: str, slices: int, sums: Sequence[str]) -> DataFrame:
-    """Number each row by approximate quantile of its value inside the group.
+def ranged(cells: DataFrame, group: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``cells`` dealt to range partitions by (group, order), nulls last, with ``__part``, their number in order, and ``__k``, the group.
 
-    The number is how many of the ``slices - 1`` cut points lie below the value,
-    counted in two steps (every ``step``-th cut first) to keep it cheap per row.
-    The sketch reads the counts in ``sums`` too: with the same columns in use,
-    Spark recognises the sketch, the slice totals and the rows as one exchange
-    and scans the source once.
+    Written once: two readings of the exchange would draw its bounds twice.  The
+    number of partitions is that of the session's shuffles unless given, so it grows
+    with the cluster.  Runs a job when called.
     """
-    quantiles = [i / slices for i in range(1, slices)]
-    step = max(1, math.isqrt(slices))
-    counted = sum((F.col(s) for s in sums), F.lit(0)) >= 0
-    value = F.when(counted, F.col(order))
-    sketch = cells.groupBy(*group).agg(F.percentile_approx(value, quantiles, 10000).alias("__cuts"))
-    every = F.transform(F.array(*[F.lit(i) for i in range(step, slices, step)]), lambda i: F.element_at("__cuts", i))
-    bounds = sketch.withColumn("__every", F.when(F.col("__cuts").isNotNull(), every))
-    if group:
-        right = bounds.select(*[F.col(g).alias(f"__r_{g}") for g in group], "__cuts", "__every")
-        cells = cells.join(right, _null_safe(cells, right, group)).drop(*[f"__r_{g}" for g in group])
-    else:
-        packed = bounds.select(F.struct("__cuts", "__every").alias("b")).scalar()
-        cells = cells.withColumn("__b", packed).withColumns({"__cuts": F.col("__b.__cuts"), "__every": F.col("__b.__every")}).drop("__b")
-    value = F.col(order)
-    below = lambda b: b < value
-    placed = cells.withColumn("__coarse", F.size(F.filter("__every", below)) * step)
-    number = F.col("__coarse") + F.size(F.filter(F.slice("__cuts", F.col("__coarse") + 1, F.lit(step)), below))
-    slice_number = F.when(value.isNull(), slices).otherwise(number).cast("int")
-    return placed.withColumn("__slice", slice_number).drop("__cuts", "__every", "__coarse")
+    keys = [F.col(c).asc_nulls_last() for c in (*group, *order)]
+    parts = parts or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a struct is equal field by field, nulls included
+    named = F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("all"))
+    return stored(cells.repartitionByRange(parts, *keys).withColumns({"__part": F.spark_partition_id(), "__k": named}), "ordered")
 
 
 def ordered_totals(
-    cells: DataFrame,
-    group: Sequence[str],
-    order: str,
-    sums: Sequence[str],
-    slices: int | Column | None = None,
+    cells: DataFrame, group: Sequence[str], order: str | Sequence[str], sums: Sequence[str], slices: Column | None = None, parts: int | None = None
 ) -> DataFrame:
     """Add ``{s}_before`` (rows of the group with a smaller value) and ``{s}_total``.
 
-    ``cells`` holds one row per (group, value); null values come last.
-    ``slices``: ``None`` sorts each group in one window (right when a group has
-    few distinct values); a number cuts each group at that many approximate
-    quantiles; a column is a caller's own monotone slice of the value.
+    ``cells`` holds one row per (group, order); null values come last.  They are cut
+    by range partitions (see :func:`ranged`), or, without a job of their own, by
+    ``slices``, a caller's monotone column of the value.
     """
-    asc = F.col(order).asc_nulls_last()
+    order = [order] if isinstance(order, str) else list(order)
     if slices is None:
-        part = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
-        before = part.orderBy(asc).rowsBetween(W.unboundedPreceding, -1)
-        cols = {f"{s}_before": F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums}
-        cols |= {f"{s}_total": F.sum(s).over(part) for s in sums}
-        return cells.withColumns(cols)
-
-    if isinstance(slices, Column):
-        sliced = cells.withColumn("__slice", slices)
+        cut = ranged(cells, group, order, parts)
     else:
-        sliced = _slice_number(cells, group, order, slices, sums)
-    keys = [*group, "__slice"]
-    per_slice = sliced.groupBy(*keys).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    # one row per slice: at most ``slices`` rows per group meet in a task here
-    over_group = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
-    earlier = over_group.orderBy(F.col("__slice").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys],
+        cut = cells.withColumns({"__part": slices, "__k": F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("all"))})
+    per_part = cut.groupBy("__part", "__k").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    # a group has one row per part here
+    earlier = W.partitionBy("__k").orderBy(F.col("__part").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_part.select(
+        F.struct("__part").alias("__at"),
+        "__k",
         *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__o_{s}") for s in sums],
-        *[F.sum(f"__t_{s}").over(over_group).alias(f"{s}_total") for s in sums],
+        *[F.sum(f"__t_{s}").over(W.partitionBy("__k")).alias(f"{s}_total") for s in sums],
     )
-    inside = W.partitionBy(*keys).orderBy(asc).rowsBetween(W.unboundedPreceding, -1)
-    local = sliced.withColumns({f"__l_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
-    if not group and not isinstance(slices, Column):
-        offsets = F.broadcast(offsets)  # slices + 1 rows at most
-    joined = local.join(offsets, _null_safe(local, offsets, keys))
+    cut = cut.withColumn("__at", F.struct("__part"))
+    inside = W.partitionBy("__at", "__k").orderBy(*[F.col(o).asc_nulls_last() for o in order]).rowsBetween(W.unboundedPreceding, -1)
+    local = cut.withColumns({f"__l_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
+    if not group and slices is None:
+        offsets = F.broadcast(offsets)  # one row per partition
+    joined = local.join(offsets, ["__at", "__k"])
     return joined.withColumns({f"{s}_before": F.col(f"__l_{s}") + F.col(f"__o_{s}") for s in sums}).drop(
-        "__slice", *[f"__r_{k}" for k in keys], *[f"__l_{s}" for s in sums], *[f"__o_{s}" for s in sums]
+        "__at", "__part", "__k", *[f"__l_{s}" for s in sums], *[f"__o_{s}" for s in sums]
     )
 
 
 def percent_rank_by(
-    df: DataFrame, group: Sequence[str], value: str, out: str = "percent_rank", slices: int | Column | None = None
+    df: DataFrame, group: Sequence[str], value: str, out: str = "percent_rank", slices: Column | None = None
 ) -> DataFrame:
     """Percent rank of each row inside its group, null values last.
 

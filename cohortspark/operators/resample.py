@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.operators.metrics import score_cells
-from cohortspark.operators.ranks import _slice_number
+from cohortspark.operators.ranks import ranged
 
 # replicate weights are drawn for this many cells at a time inside a task
 _CELL_CHUNK = 1024
@@ -51,17 +52,58 @@ def k_folds(df: DataFrame, key: str, k: int, seed: int = 0, out: str = "fold") -
     return placed.withColumn(out, fold).drop("__position", "__rows")
 
 
-def _rng(key: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=int(key) & 0xFFFFFFFFFFFFFFFF))
+# Replicate weights are a function of (key, counter) in whole numbers, which any
+# engine computes alike: two rounds x -> x^5 modulo a prime p, a permutation since 5
+# and p - 1 share no factor, around a linear step with the key's second half.
+PRIME, STEP, SPREAD = (1 << 31) - 1, 1_103_515_245, 69_621
+#: Counts from which a Poisson weight is drawn from the normal approximation.
+NORMAL_FROM = 64
+#: Counters of one replicate: two for positives (or any value), two for negatives.
+STREAMS = 4
 
 
-def _draw(keys: np.ndarray, lam: np.ndarray, n_boot: int) -> np.ndarray:
-    """Poisson weights, one row per cell; each row depends only on the cell's own key."""
-    return np.stack([_rng(k).poisson(l, n_boot) for k, l in zip(keys, lam)]).astype("float64")
+def weight_key(seed: int, columns: Sequence[str | Column]) -> tuple[Column, Column]:
+    """Two numbers below ``PRIME`` from the md5 of ``seed|column|...``; columns as text, null as ``~``."""
+    text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("~")) for c in columns]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *text).cast("binary"))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % PRIME
+    return part(1), part(9)
 
 
-def _cell_key(seed: int, columns: Sequence[str]):
-    return F.xxhash64(F.lit(seed), *columns)
+def uniforms(k1: np.ndarray, k2: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """keys x counters of numbers between 0 and 1."""
+    def mixed(x: np.ndarray) -> np.ndarray:
+        y = x * x % PRIME
+        return y * y % PRIME * x % PRIME
+
+    x = (k1[:, None] + (counters + 1) * STEP) % PRIME
+    return (mixed((mixed(x) * SPREAD + k2[:, None]) % PRIME) + 0.5) / PRIME
+
+
+@lru_cache(maxsize=NORMAL_FROM)
+def _thresholds(count: int) -> np.ndarray:
+    """Cumulative Poisson probabilities with mean ``count``."""
+    k = np.arange(int(count + 12 * math.sqrt(count) + 20) + 1)
+    return np.cumsum(np.exp(k * math.log(count) - count - np.array([math.lgamma(i + 1) for i in k])))
+
+
+def poisson_weights(k1: np.ndarray, k2: np.ndarray, counts: np.ndarray, replicates: int | np.ndarray, stream: int = 0) -> np.ndarray:
+    """Poisson weights, cells x replicates; each depends only on its cell's key and count, and on the replicate's number.
+
+    ``replicates`` is how many there are, or the numbers wanted.
+    """
+    numbers = np.arange(replicates) if np.isscalar(replicates) else replicates
+    counters = numbers.astype(np.int64) * STREAMS + stream
+    u = uniforms(k1, k2, counters)
+    out = np.zeros(u.shape)
+    for c in np.unique(counts[counts > 0]):
+        rows = np.flatnonzero(counts == c)
+        if c < NORMAL_FROM:
+            out[rows] = np.searchsorted(_thresholds(int(c)), u[rows], side="right")
+        else:
+            v = uniforms(k1[rows], k2[rows], counters + 1)
+            out[rows] = np.maximum(np.floor(c + np.sqrt(float(c)) * np.sqrt(-2 * np.log(u[rows])) * np.cos(2 * np.pi * v) + 0.5), 0)
+    return out
 
 
 def _interval(per_replicate: DataFrame, group: Sequence[str], value: str, alpha: float) -> DataFrame:
@@ -82,27 +124,23 @@ def bootstrap_auc(
     n_boot: int = 1500,
     alpha: float = 0.05,
     seed: int = 0,
-    cells_per_task: int = 50_000,
+    parts: int | None = None,
 ) -> DataFrame:
     """Percentile interval of the ROC AUC per group.
 
     A resample gives every row a Poisson(1) weight; rows with the same score and
-    class are one cell, whose weight is Poisson(count).  Cells are cut into value
-    slices of about ``cells_per_task``; a task returns, for every replicate, the
-    slice's class weights and the wins inside the slice.  Slices then combine in
+    class are one cell, whose weight is Poisson(count).  Cells lie in range
+    partitions by (group, score); a task returns, for every replicate, the class
+    weights of its part of a group and the wins inside it.  Parts then combine in
     value order.  No n x n_boot matrix exists anywhere.
 
-    One small count job sizes the slices.  Replicates with one class only are
-    left out of the order statistics.
+    Replicates with one class only are left out of the order statistics.
     """
-    cells = score_cells(scored, group, label, score)
-    largest = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    slices = max(1, math.ceil(largest / cells_per_task))
-    sliced = _slice_number(cells, group, "score", slices, ["p", "n"]) if slices > 1 else cells.withColumn("__slice", F.lit(0))
-    keyed = sliced.withColumn("__key", _cell_key(seed, [*group, "score"]))
-
+    k1, k2 = weight_key(seed, [*group, "score"])
+    cells = score_cells(scored, group, label, score).withColumns({"__k1": k1, "__k2": k2})
+    keyed = ranged(cells, group, ["score"], parts).drop("__k")
     fields = [keyed.schema[g] for g in group] + [
-        T.StructField("__slice", T.IntegerType()),
+        T.StructField("__part", T.IntegerType()),
         T.StructField("rep", T.IntegerType()),
         T.StructField("p", T.DoubleType()),
         T.StructField("n", T.DoubleType()),
@@ -115,20 +153,20 @@ def bootstrap_auc(
         p_sum, n_sum, wins = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
         for at in range(0, len(pdf), _CELL_CHUNK):
             part = pdf.iloc[at : at + _CELL_CHUNK]
-            keys = part["__key"].to_numpy()
-            wp = _draw(keys, part["p"].to_numpy(), n_boot)
-            wn = _draw(keys ^ 0x5DEECE66D, part["n"].to_numpy(), n_boot)
+            keys = part["__k1"].to_numpy(), part["__k2"].to_numpy()
+            wp = poisson_weights(*keys, part["p"].to_numpy(), n_boot)
+            wn = poisson_weights(*keys, part["n"].to_numpy(), n_boot, 2)
             below = n_sum + np.cumsum(wn, axis=0) - wn
             wins += (wp * (below + wn / 2)).sum(axis=0)
             p_sum += wp.sum(axis=0)
             n_sum += wn.sum(axis=0)
         out = {g: pdf[g].iloc[0] for g in names}
-        out |= {"__slice": int(pdf["__slice"].iloc[0]), "rep": np.arange(n_boot, dtype="int32"), "p": p_sum, "n": n_sum, "wins": wins}
+        out |= {"__part": int(pdf["__part"].iloc[0]), "rep": np.arange(n_boot, dtype="int32"), "p": p_sum, "n": n_sum, "wins": wins}
         return pd.DataFrame(out)
 
-    per_slice = keyed.groupBy(*group, "__slice").applyInPandas(replicate, T.StructType(fields))
-    order = W.partitionBy(*group, "rep").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    combined = per_slice.withColumn("__below", F.coalesce(F.sum("n").over(order), F.lit(0.0)))
+    per_part = keyed.groupBy(*group, "__part").applyInPandas(replicate, T.StructType(fields))
+    order = W.partitionBy(*group, "rep").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    combined = per_part.withColumn("__below", F.coalesce(F.sum("n").over(order), F.lit(0.0)))
     total_p, total_n = F.sum("p"), F.sum("n")
     per_rep = combined.groupBy(*group, "rep").agg(
         F.when((total_p > 0) & (total_n > 0), F.sum(F.col("wins") + F.col("p") * F.col("__below")) / (total_p * total_n)).alias("auc")
@@ -150,8 +188,9 @@ def bootstrap_mean(
     Cells are spread over ``tasks`` parts per group by hash, so a hot group is
     never one task; the parts add up.
     """
+    k1, k2 = weight_key(seed, [*group, "v"])
     cells = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    keyed = cells.withColumn("__key", _cell_key(seed, [*group, "v"])).withColumn("__part", F.pmod("__key", F.lit(tasks)).cast("int"))
+    keyed = cells.withColumns({"__k1": k1, "__k2": k2}).withColumn("__part", (F.col("__k1") % tasks).cast("int"))
     fields = [keyed.schema[g] for g in group] + [
         T.StructField("rep", T.IntegerType()), T.StructField("w", T.DoubleType()), T.StructField("wv", T.DoubleType())
     ]
@@ -161,14 +200,14 @@ def bootstrap_mean(
         w_sum, wv_sum = np.zeros(n_boot), np.zeros(n_boot)
         for at in range(0, len(pdf), _CELL_CHUNK):
             part = pdf.iloc[at : at + _CELL_CHUNK]
-            w = _draw(part["__key"].to_numpy(), part["c"].to_numpy(), n_boot)
+            w = poisson_weights(part["__k1"].to_numpy(), part["__k2"].to_numpy(), part["c"].to_numpy(), n_boot)
             w_sum += w.sum(axis=0)
             wv_sum += (w * part["v"].to_numpy()[:, None]).sum(axis=0)
         out = {g: pdf[g].iloc[0] for g in names}
         return pd.DataFrame(out | {"rep": np.arange(n_boot, dtype="int32"), "w": w_sum, "wv": wv_sum})
 
-    parts = keyed.groupBy(*group, "__part").applyInPandas(replicate, T.StructType(fields))
-    per_rep = parts.groupBy(*group, "rep").agg(F.when(F.sum("w") > 0, F.sum("wv") / F.sum("w")).alias("mean"))
+    sums = keyed.groupBy(*group, "__part").applyInPandas(replicate, T.StructType(fields))
+    per_rep = sums.groupBy(*group, "rep").agg(F.when(F.sum("w") > 0, F.sum("wv") / F.sum("w")).alias("mean"))
     interval = _interval(per_rep, group, "mean", alpha)
     point = cells.groupBy(*group).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("rows"))
     right = interval.select(*[F.col(g).alias(f"__r_{g}") for g in group], "lower", "upper", "replicates")
@@ -178,16 +217,11 @@ def bootstrap_mean(
     return point.join(right, cond, "left").drop(*[f"__r_{g}" for g in group])
 
 
-def replicate_weight(key: str, replicate: int, seed: int = 0):
-    """Poisson(1) weight of a row in one replicate, from a hash of its id.
-
-    Inverse distribution function on a 30-bit uniform number; 12 is beyond it.
-    """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(replicate), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    out, cumulative, term = None, 0.0, math.exp(-1)
-    for n in range(13):
-        cumulative += term
-        hit = u < cumulative
-        out = F.when(hit, float(n)) if out is None else out.when(hit, float(n))
-        term /= n + 1
-    return out.otherwise(13.0)
+def replicate_weight(key: str, replicate: int, seed: int = 0) -> Column:
+    """The same Poisson(1) weight of a row in one replicate, as a column."""
+    k1, k2 = weight_key(seed, [key])
+    square = lambda x: x * x % PRIME
+    mixed = lambda x: square(square(x)) * x % PRIME
+    step = (F.lit(replicate * STREAMS + 1).cast("long") * STEP + k1) % PRIME
+    u = (mixed((mixed(step) * SPREAD + k2) % PRIME) + 0.5) / PRIME
+    return sum((F.when(u >= F.lit(float(t)), 1.0).otherwise(0.0) for t in _thresholds(1)[:20]), F.lit(0.0))

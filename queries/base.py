@@ -196,3 +196,38 @@ def survived_sql(n: int, p: str = "") -> str:
         f"WHEN 'Graduated' THEN CASE WHEN {c} < {p}end_date THEN TRUE END "
         f"WHEN 'Attending' THEN CASE WHEN {c} < {p}date_last_verified THEN TRUE END END"
     )
+
+
+# --- replicate weights of the bootstraps, as SQL ---
+
+_P = (1 << 31) - 1
+#: Cumulative Poisson probabilities per mean below 64.
+POISSON_SQL = """pois AS (SELECT c, list(cum ORDER BY k) AS cums FROM (SELECT c, k, sum(exp(k * ln(c) - c - lgamma(k + 1))) OVER (PARTITION BY c ORDER BY k) AS cum
+  FROM (SELECT unnest(range(1, 64)) AS c) CROSS JOIN (SELECT unnest(range(0, 200)) AS k) WHERE k <= floor(c + 12 * sqrt(c) + 20)) GROUP BY c)"""
+
+
+def weight_sql(name: str, source: str, key: str, counts: dict[str, tuple[str, int]], reps: int) -> str:
+    """CTEs that end in ``name``: ``source`` x replicates, with a Poisson weight column per entry of ``counts``.
+
+    ``key`` is the text whose md5 gives the two halves of the key; an entry is
+    (expression of the mean, stream).  Follows the definition, not the Spark code:
+    two rounds x -> x^5 modulo 2^31 - 1 around a linear step.
+    """
+    fifth = lambda x: f"((({x} * {x} % {_P}) * ({x} * {x} % {_P}) % {_P}) * {x} % {_P})"
+    half = lambda at: f"CAST('0x' || substr(h, {at}, 8) AS BIGINT) % {_P}"
+    first, second, third, weights = [], [], [], []
+    for col, (mean, stream) in counts.items():
+        for j in (0, 1):
+            first.append(f"(k1 + (CAST(rep AS BIGINT) * 4 + {stream + j + 1}) * 1103515245) % {_P} AS {col}{j}")
+            second.append(f"({fifth(f'{col}{j}')} * 69621 + k2) % {_P} AS {col}{j}")
+            third.append(f"({fifth(f'{col}{j}')} + 0.5) / {_P} AS {col}{j}")
+        weights.append(
+            f"CASE WHEN {mean} = 0 THEN 0 WHEN {mean} < 64 THEN len(list_filter((SELECT map(list(c), list(cums)) FROM pois)[CAST({mean} AS BIGINT)], lambda t: t <= {col}0))"
+            f" ELSE greatest(floor({mean} + sqrt({mean}) * sqrt(-2 * ln({col}0)) * cos(2 * pi() * {col}1) + 0.5), 0) END AS {col}"
+        )
+    drop = ", ".join(f"{c}{j}" for c in counts for j in (0, 1))
+    return f"""{name}_k AS (SELECT *, {half(1)} AS k1, {half(9)} AS k2 FROM (SELECT *, md5({key}) AS h FROM {source})),
+{name}_0 AS (SELECT * EXCLUDE (h), {', '.join(first)} FROM {name}_k CROSS JOIN (SELECT unnest(range({reps})) AS rep)),
+{name}_1 AS (SELECT * EXCLUDE ({drop}), {', '.join(second)} FROM {name}_0),
+{name}_2 AS (SELECT * EXCLUDE ({drop}), {', '.join(third)} FROM {name}_1),
+{name} AS (SELECT * EXCLUDE ({drop}), {', '.join(weights)} FROM {name}_2)"""

@@ -8,11 +8,13 @@ from cohortspark.operators import experiment as XP
 from cohortspark.operators import explore as V
 from cohortspark.operators import metrics as E
 from cohortspark.operators import post as P
+from cohortspark.operators import refit
 from cohortspark.operators.features import windowed_aggregates
 from cohortspark.operators.labels import LabelSpec, spine_by_window, transitions
 from cohortspark.operators.models import ModelSpec, fit, nearest, neighbour_votes
 from cohortspark.operators.resample import bootstrap_auc, bootstrap_mean, k_folds
-from queries.base import SPLIT, TRAIN_START, check_sql, oracle, query, raw, survived_sql, view
+from cohortspark.session import stored
+from queries.base import POISSON_SQL, SPLIT, TRAIN_START, check_sql, oracle, query, raw, survived_sql, view, weight_sql
 from queries.matrices import WINDOWS
 
 # --- postprocessing ---------------------------------------------------------------
@@ -108,7 +110,7 @@ aucs AS (SELECT {g}sum(y) AS np, count(*) - sum(y) AS nn,
     ),
 )
 def auc_exact(spark, sf):
-    """Exact AUC with ties, by value slices."""
+    """Exact AUC with ties."""
     return E.auc(view(spark, sf, "scored"), "quality", "score").withColumn("auc", F.round("auc", 9))
 
 
@@ -301,19 +303,72 @@ def auc_by_transition(spark, sf):
 
 # --- resampling -----------------------------------------------------------------------------
 
-@query("bootstrap_auc_ci")
+def _interval_sql(table: str, group: str, value: str) -> str:
+    """lower, upper and replicates: the order statistics int(q * m) of the known values."""
+    at = lambda q: f"list_sort(list({value}))[1 + CAST(floor({q} * count(*)) AS BIGINT)]"
+    return f"SELECT {group}, {at(0.025)} AS lower, {at(0.975)} AS upper, CAST(count(*) AS INT) AS replicates FROM {table} WHERE {value} IS NOT NULL GROUP BY ALL"
+
+
+def _bootstrap_auc_sql(src: str, group: str, label: str, score: str, text: str) -> str:
+    """CTEs ending in bi: group..., lower, upper, replicates of the AUC over weighted cells."""
+    return f"""bc AS (SELECT {group}, {score} AS score, count(*) FILTER (CAST({label} AS INT) = 1) AS p, count(*) FILTER (CAST({label} AS INT) = 0) AS n
+  FROM {src} WHERE {label} IS NOT NULL AND {score} IS NOT NULL GROUP BY ALL),
+{POISSON_SQL}, {weight_sql('bw', 'bc', text, {'wp': ('p', 0), 'wn': ('n', 2)}, 1500)},
+br AS (SELECT *, sum(wn) OVER (PARTITION BY {group}, rep ORDER BY score) - wn AS below FROM bw),
+ba AS (SELECT {group}, rep, CASE WHEN sum(wp) > 0 AND sum(wn) > 0 THEN sum(wp * (below + wn / 2)) / (sum(wp) * sum(wn)) END AS a FROM br GROUP BY ALL),
+bi AS ({_interval_sql('ba', group, 'a')})"""
+
+
+@query(
+    "bootstrap_auc_ci",
+    oracle(
+        "scored",
+        f"""WITH {_auc_sql('scored', 'lang', 'quality', 'score')},
+{_bootstrap_auc_sql('scored', 'lang', 'quality', 'score', "'0|' || lang || '|' || CAST(score AS VARCHAR)")}
+SELECT lang, round(a, 9) AS auc, CAST(np AS BIGINT) AS positives, CAST(nn AS BIGINT) AS negatives, round(lower, 9) AS lower, round(upper, 9) AS upper, replicates
+FROM aucs LEFT JOIN bi USING (lang)""",
+    ),
+)
 def bootstrap_auc_ci(spark, sf):
-    """AUC with a bootstrap interval, per language."""
+    """AUC with a bootstrap interval of 1,500 replicates, per language."""
     s = view(spark, sf, "scored")
-    point = E.auc(s, "quality", "score", ["lang"])
-    return point.join(bootstrap_auc(s, "quality", "score", ["lang"], n_boot=1500), "lang", "left")
+    both = E.auc(s, "quality", "score", ["lang"]).join(bootstrap_auc(s, "quality", "score", ["lang"], n_boot=1500), "lang", "left")
+    return both.withColumns({c: F.round(c, 9) for c in ("auc", "lower", "upper")})
+
 
+@query(
+    "auc_by_window_ci",
+    oracle(
+        "enrolment provider",
+        f"""WITH {_WMATRIX}, lv AS (SELECT * FROM long WHERE feature <> 'spend'), {_auc_sql('lv', 'window_id, feature', 'y', 'value')},
+{_bootstrap_auc_sql('lv', 'window_id, feature', 'y', 'value', "'0|' || window_id || '|' || feature || '|' || CAST(value AS VARCHAR)")}
+SELECT window_id, feature, round(a, 9) AS auc, CAST(np AS BIGINT) AS positives, CAST(nn AS BIGINT) AS negatives, round(lower, 9) AS lower, round(upper, 9) AS upper, replicates
+FROM aucs LEFT JOIN bi USING (window_id, feature)""",
+    ),
+)
+def auc_by_window_ci(spark, sf):
+    """Each feature as a score, per rolling window, with a bootstrap interval of 1,500 replicates."""
+    out = V.auc_by_feature_ci(_windowed_matrix(spark, sf), "persist_3_halfyear", "window_id", ["n_orders", "price"])
+    return out.withColumns({c: F.round(c, 9) for c in ("auc", "lower", "upper")})
 
-@query("bootstrap_mean_ci")
+
+@query(
+    "bootstrap_mean_ci",
+    oracle(
+        "enrolment provider",
+        f"""WITH {_WMATRIX}, mc AS (SELECT window_id, y, feature, value AS v, count(*) AS c FROM long WHERE feature <> 'spend' AND value IS NOT NULL GROUP BY ALL),
+{POISSON_SQL}, {weight_sql('mw', 'mc', "'0|' || window_id || '|' || y || '|' || feature || '|' || CAST(v AS VARCHAR)", {'w': ('c', 0)}, 1500)},
+mr AS (SELECT window_id, y, feature, rep, sum(w * v) / nullif(sum(w), 0) AS m FROM mw GROUP BY ALL),
+mi AS ({_interval_sql('mr', 'window_id, y, feature', 'm')}),
+mp AS (SELECT window_id, y, feature, sum(v * c) / sum(c) AS mean, CAST(sum(c) AS BIGINT) AS rows FROM mc GROUP BY ALL)
+SELECT window_id, y AS persist_3_halfyear, feature, round(mean, 6) AS mean, rows, round(lower, 6) AS lower, round(upper, 6) AS upper, replicates
+FROM mp LEFT JOIN mi USING (window_id, y, feature)""",
+    ),
+)
 def bootstrap_mean_ci(spark, sf):
-    """Feature means per outcome and window with a bootstrap interval."""
-    m = _windowed_matrix(spark, sf)
-    return V.window_means(m, "persist_3_halfyear", "window_id", ["n_orders", "price"], n_boot=1500)
+    """Feature means per outcome and window with a bootstrap interval of 1,500 replicates."""
+    out = V.window_means(_windowed_matrix(spark, sf), "persist_3_halfyear", "window_id", ["n_orders", "price"], n_boot=1500)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "lower", "upper")})
 
 
 @query(
@@ -340,8 +395,8 @@ def _doc_features(spark, sf):
         (F.col("lang") == "en").cast("double").alias("english"),
     )
     y = raw(spark, sf, "labels").select("doc_id", "quality")
-    # text measures are used by many fits: keep them once
-    return d.join(y, "doc_id").persist()
+    # text measures are used by many fits: write them once
+    return stored(d.join(y, "doc_id"), "doc-features")
 
 
 _DOC = ["chars", "words", "letters", "sentences", "english"]
@@ -379,13 +434,10 @@ def model_grid(spark, sf):
 
 @query("auc_by_feature_group")
 def auc_by_feature_group(spark, sf):
-    """AUC per feature group with a refit bootstrap interval."""
+    """AUC per feature group with an interval from 1,500 refits; see ``refit_bootstrap_shares`` for the hard check."""
     folded = k_folds(_doc_features(spark, sf), "doc_id", 2)
     groups = {"length": ["chars", "words", "sentences"], "content": ["letters", "english"]}
-    rows = XP.auc_by_feature_group(
-        folded.filter("fold = 0"), folded.filter("fold = 1"), groups, "quality", "doc_id", ModelSpec("LogisticRegression", {"max_iter": 20}), n_boot=5
-    )
-    return spark.createDataFrame(rows, "feature_group string, lower double, auc double, upper double")
+    return refit.auc_by_feature_group(folded.filter("fold = 0"), folded.filter("fold = 1"), groups, "quality", "doc_id")
 
 
 _LABELLED = """d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS x1, CAST(lang = 'en' AS DOUBLE) AS x2, CAST(n_chars > 1500 AS DOUBLE) AS x3,
@@ -399,6 +451,29 @@ def _labelled(spark, sf):
     )
 
 
+_FOLDS = """fo AS (SELECT *, CAST(floor(((row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id)) * {k} - 1) / count(*) OVER ()) AS INT) AS fold FROM d)"""
+
+
+@query(
+    "refit_bootstrap_shares",
+    f"""WITH {_LABELLED}, {_FOLDS.format(k=2)}, {POISSON_SQL},
+tr AS (SELECT * FROM fo WHERE fold = 0), {weight_sql('rw', 'tr', "'0|' || doc_id", {'w': ('1', 0)}, 1500)},
+al AS (SELECT doc_id, rep + 1 AS rep, w, x2, x3, y FROM rw UNION ALL SELECT doc_id, 0, 1, x2, x3, y FROM tr),
+lo AS (SELECT rep, w, y, 'english' AS g, x2 AS x FROM al UNION ALL SELECT rep, w, y, 'long', x3 FROM al),
+sh AS (SELECT g, rep, sum(w * y * x) / nullif(sum(w * x), 0) AS s1, sum(w * y * (1 - x)) / nullif(sum(w * (1 - x)), 0) AS s0 FROM lo GROUP BY ALL),
+te AS (SELECT 'english' AS g, x2 AS x, y FROM fo WHERE fold = 1 UNION ALL SELECT 'long', x3, y FROM fo WHERE fold = 1),
+tc AS (SELECT g, sum(y * x) AS p1, sum(y * (1 - x)) AS p0, sum((1 - y) * x) AS n1, sum((1 - y) * (1 - x)) AS n0 FROM te GROUP BY g),
+au AS (SELECT g, rep, CASE WHEN s1 > s0 THEN (p1 * n0 + (p1 * n1 + p0 * n0) / 2) / ((p1 + p0) * (n1 + n0)) WHEN s1 < s0 THEN (p0 * n1 + (p1 * n1 + p0 * n0) / 2) / ((p1 + p0) * (n1 + n0)) ELSE 0.5 END AS a FROM sh JOIN tc USING (g)),
+it AS ({_interval_sql('(SELECT * FROM au WHERE rep > 0)', 'g', 'a')})
+SELECT g AS feature_group, round(lower, 9) AS lower, round(a, 9) AS auc, round(upper, 9) AS upper, replicates FROM it JOIN (SELECT * FROM au WHERE rep = 0) USING (g)""",
+)
+def refit_bootstrap_shares(spark, sf):
+    """1,500 refits on one binary feature without penalty order the test rows by weighted class shares."""
+    folded = k_folds(_labelled(spark, sf), "doc_id", 2)
+    out = refit.auc_by_feature_group(folded.filter("fold = 0"), folded.filter("fold = 1"), {"english": ["x2"], "long": ["x3"]}, "y", "doc_id", C=1e15)
+    return out.withColumns({c: F.round(c, 9) for c in ("lower", "auc", "upper")})
+
+
 @query(
     "gnb_scores",
     f"""WITH {_LABELLED}, e AS (SELECT 1e-9 * greatest(var_pop(x1), var_pop(x2)) AS eps, count(*) AS n FROM d),

@@ -424,7 +424,7 @@ def rank_family_point_in_time(spark, sf):
 
 @query("rank_family_plain", _rank_sql("course", f"AND grade_available < DATE '{SPLIT}'"))
 def rank_family_plain(spark, sf):
-    """W01, F60-F68 with one window over the distinct grades of a course: same result."""
+    """W01, F60-F68 over range partitions of (course, grade): same result."""
     options = FT.Options(rank_slices=None)
     out = FT.course_ranks(tables(spark, sf), FT.Bounds(None, SPLIT), _RANKS, options)
     return out.select("studentid", *[F.round(c, 10).alias(c) for c in _RANKS])
@@ -436,9 +436,9 @@ def rank_family_plain(spark, sf):
 FROM (SELECT *, CASE WHEN l_linenumber <> 4 THEN l_extendedprice END AS price FROM lineitem)""",
 )
 def percent_rank_sliced(spark, sf):
-    """W01 on three huge groups with near-unique values: sliced ordered totals."""
+    """W01 on three huge groups with near-unique values: ordered totals by range partitions."""
     li = raw(spark, sf, "lineitem").withColumn("price", F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice")))
-    out = percent_rank_by(li, ["l_returnflag"], "price", "pr", slices=64)
+    out = percent_rank_by(li, ["l_returnflag"], "price", "pr")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.round("pr", 9).alias("pr"))
 
 

@@ -38,12 +38,11 @@ def test_repeated_rows_in_the_neighbour_scorer(spark):
     assert [round(r.score, 9) for r in out] == [round(1 / 3, 9)] * 3
 
 
-@pytest.mark.parametrize("slices", [None, 4])
-def test_top_k_cuts_through_equal_ties(spark, slices):
+def test_top_k_cuts_through_equal_ties(spark):
     df = spark.createDataFrame([(1, 0.5, 7)] * 4 + [(0, 0.5, 7)] * 2, "y int, s double, t long")
-    assert E.precision_top_k(df, 0.5, "y", "s", "t", slices=slices).first()["precision"] == 1.0
+    assert E.precision_top_k(df, 0.5, "y", "s", "t").first()["precision"] == 1.0
     two = df.withColumn("g", F.lit("a")).unionByName(df.withColumn("g", F.lit(None)))
-    assert [r["precision"] for r in E.precision_top_k(two, 0.5, "y", "s", "t", ["g"], slices=slices).collect()] == [1.0, 1.0]
+    assert [r["precision"] for r in E.precision_top_k(two, 0.5, "y", "s", "t", ["g"]).collect()] == [1.0, 1.0]
 
 
 def test_evaluation_with_equal_row_keys(spark):

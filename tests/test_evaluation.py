@@ -29,8 +29,7 @@ def test_auc_ties_and_single_class(spark):
 def test_auc_equals_spark_evaluator(scored):
     raw = scored.withColumn("y", F.col("y").cast("double"))
     expected = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0).evaluate(raw)
-    assert E.auc(scored, "y", "s", slices=16).first().auc == pytest.approx(expected, abs=1e-12)
-    assert E.auc(scored, "y", "s", slices=None).first().auc == pytest.approx(expected, abs=1e-12)
+    assert E.auc(scored, "y", "s").first().auc == pytest.approx(expected, abs=1e-12)
 
 
 def test_precision_at_small_k_is_zero(spark):
@@ -44,11 +43,11 @@ def test_precision_top_k_equals_sort(scored, k):
     rows = sorted(scored.collect(), key=lambda r: (-r.s, r.id))
     r = int(k * len(rows))
     expected = sum(1 - x.y for x in rows[:r]) / r
-    assert E.precision_top_k(scored, k, "y", "s", "id", pos_label=0, slices=8).first().precision == pytest.approx(expected)
+    assert E.precision_top_k(scored, k, "y", "s", "id", pos_label=0).first().precision == pytest.approx(expected)
 
 
 def test_summary_agrees_with_single_metrics(scored):
-    row = E.ranking_summary(scored, "y", "s", (0.1,), 1, 8).first()
+    row = E.ranking_summary(scored, "y", "s", (0.1,), 1).first()
     assert row.auc == pytest.approx(E.auc(scored, "y", "s").first().auc)
     assert row.aupr == pytest.approx(E.pr_area(scored, "y", "s").first().aupr)
     hits = row.hits0 + (E.edge_hits(scored, "y", "s", "id", row.edge0, row.take0).first().hits if row.take0 else 0)
@@ -74,7 +73,7 @@ def test_bootstrap_interval_brackets_estimate_and_repeats(scored):
     estimate = E.auc(scored, "y", "s").first().auc
     a = bootstrap_auc(scored, "y", "s", n_boot=200, seed=1).first()
     b = bootstrap_auc(scored.repartition(7), "y", "s", n_boot=200, seed=1).first()
-    c = bootstrap_auc(scored, "y", "s", n_boot=200, seed=1, cells_per_task=10).first()
+    c = bootstrap_auc(scored, "y", "s", n_boot=200, seed=1, parts=40).first()
     assert a.lower <= estimate <= a.upper and a.replicates == 200
     assert (a.lower, a.upper) == (b.lower, b.upper)
     assert (c.lower, c.upper) == (pytest.approx(a.lower), pytest.approx(a.upper))

@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortspark.operators import aggregates as A
@@ -10,7 +11,7 @@ from cohortspark.operators import joins as J
 from cohortspark.operators import post as P
 from cohortspark.operators import quality as Q
 from cohortspark.operators import rows as R
-from cohortspark.operators.ranks import ordered_totals, percent_rank_by
+from cohortspark.operators.ranks import ordered_totals, percent_rank_by, ranged
 
 D = date.fromisoformat
 
@@ -21,16 +22,29 @@ def test_percent_rank_puts_null_last(spark):
     assert got == {("c", 1.0): 0.0, ("c", 2.0): 0.5, ("c", None): 1.0, ("d", 5.0): 0.0, (None, 1.0): 0.0, (None, 3.0): 1.0}
 
 
-@pytest.mark.parametrize("slices", [2, 7, 64])
-def test_sliced_totals_equal_one_window(spark, slices):
+@pytest.mark.parametrize("parts", [1, 2, 7, 64])
+def test_ordered_totals_equal_one_window(spark, parts):
     df = spark.range(5000).select(
-        (F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 != 0, F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")).alias("v")
+        F.when(F.col("id") % 4 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 != 0, F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")).alias("v")
     )
+    plain = lambda cells, group: cells.withColumns(
+        {
+            "n_before": F.coalesce(F.sum("n").over(W.partitionBy(*group, F.lit(1)).orderBy(F.col("v").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+            "n_total": F.sum("n").over(W.partitionBy(*group, F.lit(1))),
+        }
+    )
+    key = lambda d: sorted((str(r.g), r.v is None, r.v or 0, r.n, r.n_before, r.n_total) for r in d.collect())
     cells = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    key = lambda d: sorted((r.g, r.v is None, r.v or 0, r.n, r.n_before, r.n_total) for r in d.collect())
-    assert key(ordered_totals(cells, ["g"], "v", ["n"], slices)) == key(ordered_totals(cells, ["g"], "v", ["n"]))
+    assert key(ordered_totals(cells, ["g"], "v", ["n"], parts=parts)) == key(plain(cells, ["g"]))
     whole = df.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.lit(0))
-    assert key(ordered_totals(whole, [], "v", ["n"], slices)) == key(ordered_totals(whole, [], "v", ["n"]))
+    assert key(ordered_totals(whole, [], "v", ["n"], parts=parts)) == key(plain(whole, []))
+
+
+def test_a_hot_group_fills_all_range_partitions(spark):
+    """One group with nearly all cells is spread evenly, whatever its values."""
+    cells = spark.range(40_000).select(F.lit("hot").alias("g"), F.exp(F.col("id") / 1000).alias("v")).union(spark.sql("SELECT 'other', 1D"))
+    sizes = [r["count"] for r in ranged(cells, ["g"], ["v"], 8).groupBy("__part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
 
 
 def test_caller_slices(spark):

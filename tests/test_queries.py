@@ -8,7 +8,7 @@ from queries.catalogue import ORACLES, QUERIES
 from tests.compare import compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"model_grid", "kfold_auc", "auc_by_feature_group"}
+SLOW = {"model_grid"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
