@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import bpe, centroids, conversations, exact, html, jaccard, licenses, lines, merkle, packing, shards, toxicity
+from cohortspark.llm import bpe, centroids, conversations, exact, html, jaccard, licenses, lines, merkle, mixing, packing, shards, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op11_cyk_repair": conversations.op11_cyk_repair,
     "op12_pca_centroids": centroids.op12_pca_centroids,
+    "op13_weighted_mix": mixing.op13_weighted_mix,
     "op8_merkle_fingerprints": merkle.op8_merkle_fingerprints,
 }
-ORACLES = {"op1_exact_dedup": exact.ORACLE, "op2_line_dedup": lines.ORACLE}
+ORACLES = {"op1_exact_dedup": exact.ORACLE, "op2_line_dedup": lines.ORACLE, "op13_weighted_mix": mixing.ORACLE}
