@@ -95,6 +95,14 @@ def group_mean_first(df: DataFrame, key: str, means: Sequence[str], first: str,
     )
 
 
+def latest_values(date_col: str, tie: Sequence[str], values: Sequence[str], nulls: str = "first") -> Column:
+    """W02 as a struct whose maximum over a group ends in ``v``, the values of its latest row."""
+    d = F.col(date_col)
+    unknown = d.isNull() if nulls == "first" else d.isNotNull()
+    order = F.struct(unknown.alias("u"), d.alias("d"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)])
+    return F.struct(order.alias("o"), F.struct(*values).alias("v"))
+
+
 def latest_by_key(df: DataFrame, key: Sequence[str], date_col: str, tie: Sequence[str], values: Sequence[str], nulls: str = "first") -> DataFrame:
     """Values of the latest row per key.
 
@@ -102,11 +110,7 @@ def latest_by_key(df: DataFrame, key: Sequence[str], date_col: str, tie: Sequenc
     nulls first does; ``'last'`` prefers dated rows.  ``tie`` breaks equal dates,
     largest first.  A struct maximum combines on the map side.
     """
-    d = F.col(date_col)
-    unknown = d.isNull() if nulls == "first" else d.isNotNull()
-    order = F.struct(unknown.alias("u"), d.alias("d"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)])
-    packed = F.struct(order.alias("o"), F.struct(*values).alias("v"))
-    return df.groupBy(*key).agg(F.max(packed).alias("__last")).select(*key, "__last.v.*")
+    return df.groupBy(*key).agg(F.max(latest_values(date_col, tie, values, nulls)).alias("__last")).select(*key, "__last.v.*")
 
 
 def crosstab_counts(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:

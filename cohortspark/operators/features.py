@@ -201,16 +201,32 @@ def _courses(t: Tables, columns: Sequence[str]) -> DataFrame:
     return rows.withColumn("__gap", X.years_before("high_school_class", "year_taken"))
 
 
-def advanced_courses(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
-    """Six conditional sums over one scan."""
-    rows = _courses(t, ["was_ap", "was_honors"]).filter(X.half_open("grade_available", b.lower, b.upper) & F.col("__gap").isin(0, 1, 2))
+def advanced_columns() -> dict[str, Column]:
+    """F54-F59 over course rows with ``__gap``: six conditional sums."""
     cols = {}
     for k in range(3):
         cols[f"numberapsyear{12 - k}"] = A.sum_flag(F.col("was_ap"), F.col("__gap") == k)
         cols[f"numberhonsyear{12 - k}"] = A.sum_flag(F.col("was_honors"), F.col("__gap") == k)
+    return cols
+
+
+def advanced_courses(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
+    """One scan."""
+    rows = _courses(t, ["was_ap", "was_honors"]).filter(X.half_open("grade_available", b.lower, b.upper) & F.col("__gap").isin(0, 1, 2))
+    cols = advanced_columns()
     return rows.groupBy("studentid").agg(*[cols[c].alias(c) for c in wanted])
 
 
+def rank_columns() -> dict[str, Column]:
+    """F60-F68 over course rows with ``__gap`` and ``__rank``: nine conditional aggregates."""
+    cols = {}
+    for k in range(3):
+        rank = F.when((F.col("__gap") == k) & (F.col("semester_taken") != SUMMER_TERM), F.col("__rank"))
+        for name, fn in (("max", F.max), ("min", F.min), ("avg", F.avg)):
+            cols[f"{name}rankyear{12 - k}"] = fn(rank)
+    return cols
+
+
 def course_ranks(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
     """One percent rank per course, nine conditional aggregates on top.
 
@@ -224,11 +240,7 @@ def course_ranks(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> Dat
     slices = F.expr(o.rank_slices) if o.rank_slices else None
     ranked = percent_rank_by(rows, ["course_number"], "percent_grade", "__rank", slices)
     rows = ranked.filter(inside & F.col("__gap").isin(0, 1, 2) & (F.col("semester_taken") != SUMMER_TERM))
-    cols = {}
-    for k in range(3):
-        rank = F.when(F.col("__gap") == k, F.col("__rank"))
-        for name, fn in (("max", F.max), ("min", F.min), ("avg", F.avg)):
-            cols[f"{name}rankyear{12 - k}"] = fn(rank)
+    cols = rank_columns()
     return rows.groupBy("studentid").agg(*[cols[c].alias(c) for c in wanted])
 
 
@@ -238,15 +250,25 @@ def best_act(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFra
     return rows.groupBy("studentid").agg(F.max("score_composite").alias("max_composite_act_score"))
 
 
-def contact_counts(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
-    """One scan, one distinct count."""
-    rows = t["contacts"].filter(X.half_open("contact_date", b.lower, b.upper))
-    cols = {
+def contact_columns(o: Options) -> dict[str, Column]:
+    """F70-F75 over contact rows: counts, the struct of the last successful one, percent per medium of those with one."""
+    known = F.count("contact_medium")
+    share = lambda m: F.when(known > 0, F.lit(100.0) * F.count(F.when(F.col("contact_medium") == m, 1)) / F.when(known > 0, known))
+    last = A.latest_values("contact_date", ["contact_medium"], ["contact_medium"], o.latest_nulls)
+    return {
         "num_contacts": F.count(F.lit(1)),
         "student_initiated_contacts": A.count_where(F.col("initiated_by_student")),
         "total_unsuccessful_contacts": A.count_where(~F.col("was_successful")),
         "number_counselors": F.count_distinct("counselor_id"),
+        "last_contact_medium": F.max(F.when(F.col("was_successful"), last))["v"]["contact_medium"],
+        **{m: share(m) for m in o.contact_media},
     }
+
+
+def contact_counts(t: Tables, b: Bounds, wanted: Sequence[str], o: Options) -> DataFrame:
+    """One scan, one distinct count."""
+    rows = t["contacts"].filter(X.half_open("contact_date", b.lower, b.upper))
+    cols = contact_columns(o)
     return rows.groupBy("studentid").agg(*[cols[c].alias(c) for c in wanted])
 
 

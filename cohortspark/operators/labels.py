@@ -127,21 +127,23 @@ def transitions(enrolments: DataFrame, lower: date | None, upper: date | None, l
     )
 
 
-def spine_by_window(enrolments: DataFrame, label: LabelSpec, windows, part: str = "train", keep: Sequence[str] = ()) -> DataFrame:
+def spine_by_window(enrolments: DataFrame, label: LabelSpec, windows, part: str | Sequence[str] = "train", keep: Sequence[str] = ()) -> DataFrame:
     """Spine rows of every rolling window in one scan, with a ``window_id``.
 
     The windows are a short configuration list; each row is expanded to the
-    windows that contain its start date, so there is no range join.
+    windows that contain its start date, so there is no range join.  With several
+    parts the rows carry their ``part`` too, from the same scan.
     """
+    parts = [part] if isinstance(part, str) else list(part)
     hits = []
-    for w in windows:
-        lower, upper = (w.start, w.split) if part == "train" else (w.split, w.end)
-        lo, hi = label.bounds(lower, upper)
-        hits.append(F.when(half_open("start_date", lo, hi), F.lit(w.window_id)))
+    for p in parts:
+        for w in windows:
+            lo, hi = label.bounds(*((w.start, w.split) if p == "train" else (w.split, w.end)))
+            hits.append(F.when(half_open("start_date", lo, hi), F.struct(F.lit(w.window_id).alias("window_id"), F.lit(p).alias("part"))))
     known = mandatory(enrolments, ["start_date", "status"])
     return (
         labelled(known, [label.n])
         .filter(F.col(label.column).isNotNull())
-        .withColumn("window_id", F.explode(F.array_compact(F.array(*hits))))
-        .select("window_id", "enrollid", "studentid", "collegeid", *keep, label.column)
+        .withColumn("__at", F.explode(F.array_compact(F.array(*hits))))
+        .select("__at.window_id", *([] if isinstance(part, str) else ["__at.part"]), "enrollid", "studentid", "collegeid", *keep, label.column)
     )

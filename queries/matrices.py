@@ -11,8 +11,9 @@ from cohortspark.functions.calendar import nth_check_date, rolling_windows, wind
 from cohortspark.operators import experiment as XP
 from cohortspark.operators import features as FT
 from cohortspark.operators.labels import LabelSpec, label_table, spine_by_window, transitions
-from cohortspark.operators.matrix import MatrixSpec, Restriction, analysis_frame, assemble, postprocess
-from queries.base import SPLIT, TEST_END, TRAIN_START, check_sql, oracle, query, raw, survived_sql, tables, view
+from cohortspark.operators.matrix import MatrixSpec, Restriction, analysis_frame, assemble, feature_columns, postprocess
+from cohortspark.operators.windowed import assemble_windows
+from queries.base import MEDIA, SPLIT, TEST_END, TRAIN_START, check_sql, oracle, query, raw, survived_sql, tables, view
 
 _CHECKS = (1, 2, 3, 8, -1, -2, -3, -8)
 
@@ -224,6 +225,73 @@ def analysis(spark, sf):
     return _rounded(frame, ["avgnetprice"])
 
 
+WINDOW_FEATURES = (
+    *MATRIX_FEATURES, "highestCompositeACT", "mediumOfLastSuccessfulContact", "numberOfCounselors", "numberContactsInitiatedByStudent",
+    "ContactMediumPercentages", "TotalAttendance", "YearlyAvgAttendance", "AvgHSAway", "AvgMSTardy", "minRankYear10", "degreeSubject", "Major",
+)
+
+#: Feature columns that are compared to ten digits.
+ROUNDED = {c: c in {*_FLOATS, "minrankyear10", *FT.CONTACT_MEDIA, "YearlyAvgAttendance", "AvgHSAway", "AvgMSTardy"} for c in feature_columns(WINDOW_FEATURES)}
+_ATT = "a.attendance_type IN ('tardy', 'unexcused', 'suspended', 'excused', 'early_dismissal')"
+_UPPER = "gap BETWEEN 0 AND 3"
+_SHARES = ", ".join(f"100.0::DOUBLE * count(*) FILTER (m = '{m}') / nullif(count(m), 0) AS \"{m}\"" for m in FT.CONTACT_MEDIA)
+_TOTALS = ", ".join(
+    f"CASE WHEN sum(n) FILTER ({_UPPER}) > 0 THEN CAST(coalesce(sum(n) FILTER ({_UPPER} AND attendance_type = '{t}'), 0) AS BIGINT) END AS \"HSTotal_{t}\""
+    for t in FT.ATTENDANCE_TYPES
+)
+_WINDOW_COLUMNS = {
+    "is_first_enrollment": "enr.is_first_enrollment", "is_spring": "enr.is_spring", "age_at_enrollment": "enr.age_at_enrollment",
+    "is_female": "p.is_female", "ever_special_ed": "p.ever_special_ed", "numberapsyear12": "CAST(adv.aps AS BIGINT)",
+    "numberhonsyear11": "CAST(adv.hons AS BIGINT)", "maxrankyear12": "adv.maxr", "avgrankyear11": "adv.avgr", "minrankyear10": "adv.minr",
+    "year12_unweightedgpa": "gpa.year12_unweightedgpa", "alum_count": "alum.alum_count", "avgnetprice": "c.avgnetprice", "is4year": "c.is4year",
+    "degree_subject": "CASE WHEN s.start_date < s.split THEN s.degree_subject END", "major": "CASE WHEN s.start_date < s.split THEN s.major END",
+}
+
+
+@query(
+    "windowed_catalogue",
+    oracle(
+        _VIEWS + " test_score",
+        f"""WITH win(window_id, lo, split, hi) AS (VALUES {_WINDOW_ROWS}), {_FEATURE_SQL.strip().split("graded AS")[0].rstrip().rstrip(",")},
+parts AS (SELECT window_id, split, 'train' AS part, lo AS a, split AS b FROM win UNION ALL SELECT window_id, split, 'test', split, hi FROM win),
+shifted AS (SELECT window_id, split, part, {check_sql('a', -3)} AS a, {check_sql('b', -3)} AS b FROM parts),
+s AS (SELECT w.window_id, w.part, w.split, e.*, {survived_sql(3, 'e.')} AS persist_3_halfyear FROM enrolment e JOIN shifted w ON e.start_date >= w.a AND e.start_date < w.b
+  WHERE ({survived_sql(3, 'e.')}) IS NOT NULL AND e.degree_type = '1-URGENT' AND ({survived_sql(2, 'e.')})),
+graded AS (SELECT *, percent_rank() OVER (PARTITION BY course_number ORDER BY percent_grade ASC NULLS LAST) AS pr, high_school_class - year_taken AS gap FROM course),
+adv AS (SELECT w.window_id, studentid, sum(CASE WHEN gap = 0 THEN CAST(was_ap AS INT) END) AS aps, sum(CASE WHEN gap = 1 THEN CAST(was_honors AS INT) END) AS hons,
+    max(CASE WHEN gap = 0 AND semester_taken <> 3 THEN pr END) AS maxr, avg(CASE WHEN gap = 1 AND semester_taken <> 3 THEN pr END) AS avgr,
+    min(CASE WHEN gap = 2 AND semester_taken <> 3 THEN pr END) AS minr
+  FROM graded JOIN win w ON grade_available < w.split GROUP BY 1, 2),
+gpa AS (SELECT t.studentid, CASE WHEN count(unweighted_gpa) = 1 THEN avg(unweighted_gpa) END AS year12_unweightedgpa
+  FROM school_term t JOIN person p USING (studentid) WHERE p.high_school_class = t.school_year GROUP BY 1),
+alum AS (SELECT w.window_id, collegeid, count(*) AS alum_count FROM enrolment JOIN win w ON start_date < w.split
+  WHERE status NOT IN ('Matriculating', 'Did not matriculate') GROUP BY 1, 2),
+ct AS (SELECT *, CASE contact_medium {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in MEDIA.items())} ELSE contact_medium END AS m FROM contact),
+con AS (SELECT w.window_id, studentid, count(*) AS num_contacts, nullif(count(*) FILTER (initiated_by_student), 0) AS student_initiated_contacts,
+    nullif(count(*) FILTER (NOT was_successful), 0) AS total_unsuccessful_contacts, count(DISTINCT counselor_id) AS number_counselors,
+    (list(m ORDER BY contact_date DESC, m DESC NULLS LAST) FILTER (was_successful))[1] AS last_contact_medium, {_SHARES}
+  FROM ct JOIN win w ON contact_date < w.split GROUP BY 1, 2),
+act AS (SELECT w.window_id, studentid, max(score_composite) AS max_composite_act_score FROM test_score JOIN win w ON date < w.split WHERE test_level = 'ACT' GROUP BY 1, 2),
+allc AS (SELECT a.studentid, p.high_school_class - a.school_year AS gap, attendance_type, count(*) AS n FROM attendance a JOIN person p USING (studentid)
+  WHERE {_ATT} AND p.high_school_class - a.school_year BETWEEN 0 AND 6 GROUP BY ALL),
+alla AS (SELECT studentid, avg(n) FILTER ({_UPPER} AND attendance_type = 'tardy') AS "AvgHSTardy", avg(n) FILTER (gap > 3 AND attendance_type = 'tardy') AS "AvgMSTardy",
+  avg(n) FILTER ({_UPPER} AND attendance_type IN ('tardy', 'unexcused', 'early_dismissal')) AS "AvgHSAway" FROM allc GROUP BY 1),
+winc AS (SELECT w.window_id, a.studentid, p.high_school_class - a.school_year AS gap, attendance_type, count(*) AS n FROM attendance a JOIN person p USING (studentid)
+  JOIN win w ON a.attendance_date < w.split WHERE {_ATT} AND p.high_school_class - a.school_year BETWEEN 0 AND 6 GROUP BY ALL),
+wina AS (SELECT window_id, studentid, avg(n) FILTER ({_UPPER}) AS "YearlyAvgAttendance", {_TOTALS} FROM winc GROUP BY 1, 2)
+SELECT s.window_id, s.part, s.enrollid, s.studentid, s.collegeid, s.persist_3_halfyear, {', '.join(
+            (f'round({_WINDOW_COLUMNS.get(c) or chr(34) + c + chr(34)}, 10)' if ROUNDED[c] else (_WINDOW_COLUMNS.get(c) or chr(34) + c + chr(34))) + f' AS "{c}"' for c in feature_columns(WINDOW_FEATURES))}
+FROM s LEFT JOIN enr USING (enrollid) LEFT JOIN person p USING (studentid) LEFT JOIN adv USING (window_id, studentid) LEFT JOIN gpa USING (studentid)
+LEFT JOIN con USING (window_id, studentid) LEFT JOIN act USING (window_id, studentid) LEFT JOIN alla USING (studentid) LEFT JOIN wina USING (window_id, studentid)
+LEFT JOIN alum USING (window_id, collegeid) LEFT JOIN provider c USING (collegeid)""",
+    ),
+)
+def windowed_catalogue(spark, sf):
+    """The point-in-time catalogue of every rolling window, train and test, from one job."""
+    out = assemble_windows(tables(spark, sf), flagship_spec(WINDOW_FEATURES), WINDOWS)
+    return _rounded(out, [c for c in feature_columns(WINDOW_FEATURES) if ROUNDED[c]])
+
+
 @query("matrix_train_test")
 def matrix_train_test(spark, sf):
     """Train and test matrices encoded alike, stacked with their part."""
