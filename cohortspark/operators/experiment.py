@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import time
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
+from threading import Lock, get_ident
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortspark.operators import metrics as E
 from cohortspark.operators import refit
-from cohortspark.operators.matrix import MatrixSpec, assemble, feature_columns, postprocess, subset
+from cohortspark.operators.matrix import MatrixSpec, feature_columns, postprocess, subset
 from cohortspark.operators.models import ModelSpec, fit
+from cohortspark.operators.post import PostPlan
 from cohortspark.operators.resample import k_folds
 from cohortspark.operators.rows import any_null, apply_null_policy, common_columns, null_counts
+from cohortspark.operators.windowed import assemble_windows, part_of, window_of
 from cohortspark.session import stored
+from cohortspark.sources.writers import RESULT_SCHEMA, append_results, finished_runs
 
 ROW_KEY = "row_key"
 
@@ -50,6 +57,7 @@ class Evaluation:
     precision0_top25: float | None
     aupr0: float | None
     confusion: Mapping[str, int]
+    report: Sequence[Mapping] = ()
 
 
 def evaluate(scored: DataFrame, label: str) -> Evaluation:
@@ -74,7 +82,8 @@ def evaluate(scored: DataFrame, label: str) -> Evaluation:
                 more = E.edge_hits(base, "y", "score0", ROW_KEY, found[f"edge{i}"], found[f"take{i}"], 0).first()
                 hits += more["hits"] or 0
             precision.append(hits / r if r else 0.0)
-        return Evaluation(rows, found["auc"], precision[0], precision[1], found["aupr"], cells)
+        report = [r.asDict() for r in E.class_report(base, "y", "predicted").collect()]
+        return Evaluation(rows, found["auc"], precision[0], precision[1], found["aupr"], cells, report)
     finally:
         base.unpersist()
 
@@ -107,7 +116,7 @@ def run_experiment(
     for name, df in (("train", train), ("test", test)):
         counted = null_counts(df, columns).first().asDict()
         rows = counted.pop("__rows")
-        nulls[name] = max(counted.values()) if counted else 0
+        nulls[name] = counted
         clean = apply_null_policy(df.select(*[f"`{c}`" for c in columns], *keys), null_policy, columns)
         parts[name] = (rows, with_row_key(clean))
     scorer = fit(model, parts["train"][1], predictors, target)
@@ -123,8 +132,10 @@ def run_experiment(
         "test_rows": held.rows,
         "train_rows_dropped": parts["train"][0] - seen.rows,
         "test_rows_dropped": parts["test"][0] - held.rows,
-        "train_max_nulls": nulls["train"],
-        "test_max_nulls": nulls["test"],
+        "train_max_nulls": max(nulls["train"].values(), default=0),
+        "test_max_nulls": max(nulls["test"].values(), default=0),
+        "train_nulls": nulls["train"],
+        "test_nulls": nulls["test"],
         "auc": held.auc,
         "auc_train": seen.auc,
         "precision0_top10": held.precision0_top10,
@@ -132,9 +143,39 @@ def run_experiment(
         "aupr0_test": held.aupr0,
         "aupr0_train": seen.aupr0,
         "confusion": dict(held.confusion),
+        "confusion_train": dict(seen.confusion),
+        "class_report": list(held.report),
+        "coefficients": dict(scorer.coefficients()) if hasattr(scorer, "coefficients") else {},
     }
 
 
+def experiment_id(spec: MatrixSpec, features: Sequence[str], model: ModelSpec, null_policy: str) -> str:
+    """A name of the experiment by its content: dates, target, restrictions, options, features, model and policy."""
+    parts = [spec.target.column, spec.train_start, spec.split, spec.test_end, [[r.feature, r.text, str(r.predicate)] for r in spec.restrictions], spec.options]
+    parts += [list(features), model.name, sorted((k, str(v)) for k, v in model.params.items()), null_policy]
+    return hashlib.sha256(json.dumps(parts, default=str).encode()).hexdigest()
+
+
+def encoded_windows(tables, specs: Sequence[MatrixSpec], features: Sequence[str]) -> list[tuple[DataFrame, DataFrame, PostPlan]]:
+    """Per spec the encoded train and test matrix and what the training rows taught.
+
+    Specs that differ in their dates only are windows of one job; each encoded part
+    is a table of the shared folder that all experiments of its window select from.
+    """
+    same: dict[tuple, list[int]] = {}
+    for i, s in enumerate(specs):
+        same.setdefault((s.target, tuple((r.feature, r.text, str(r.predicate)) for r in s.restrictions), str(s.options)), []).append(i)
+    out: list = [None] * len(specs)
+    for members in same.values():
+        spec = replace(specs[members[0]], features=list(features))
+        matrix = stored(assemble_windows(tables, spec, [window_of(specs[i], i) for i in members]), "windows")
+        for i in members:
+            parts = [subset(part_of(matrix, i, p), spec, features, ROW_KEY) for p in ("train", "test")]
+            train, test, plan = postprocess(*parts, features)
+            out[i] = stored(train, "train"), stored(test, "test"), plan
+    return out
+
+
 def run_grid(
     tables,
     specs: Sequence[MatrixSpec],
@@ -142,38 +183,60 @@ def run_grid(
     feature_groups: Sequence[Sequence[str]],
     products: int | None = None,
     null_policy: str = "strict",
+    results: str | None = None,
+    workers: int = 4,
 ) -> list[dict]:
     """Windows x models x parameters x feature lists.
 
-    The two matrices of a window hold the union of all features; they are
-    persisted once and every experiment is a selection from them.
+    All windows are assembled in one job and encoded once; every experiment is a
+    selection of columns.  Experiments run ``workers`` at a time, each in a fair
+    pool of its own.  With ``results``, a path, finished experiments are appended
+    there as they end, and those the table already holds are not run again: a grid
+    that stopped goes on where it was.  An experiment that fails does not stop the
+    others; its error is raised when they are done.
     """
-    results = []
-    for spec in specs:
-        matrices = [assemble(tables, spec, p).persist(StorageLevel.MEMORY_AND_DISK) for p in ("train", "test")]
-        try:
-            for group in feature_groups:
-                for chosen in feature_lists(group, products):
-                    train, test, plan = postprocess(*[subset(m, spec, chosen, ROW_KEY) for m in matrices], chosen)
-                    predictors = [o for c in feature_columns(chosen) for o in plan.outputs(c)]
-                    for name, grid in models.items():
-                        for params in parameter_grid(grid):
-                            row = run_experiment(train, test, predictors, spec.target.column, ModelSpec(name, params), null_policy)
-                            row |= {
-                                "train_start": spec.train_start, "split_date": spec.split, "test_end": spec.test_end,
-                                "restrictions": [f"{r.feature} {r.text}" for r in spec.restrictions],
-                            }
-                            results.append(row)
-        finally:
-            for m in matrices:
-                m.unpersist()
-    return results
+    spark = next(iter(tables.values())).sparkSession
+    features = list(dict.fromkeys(f for g in feature_groups for f in g))
+    done = finished_runs(spark, results) if results else set()
+    wanted = []
+    for i, spec in enumerate(specs):
+        for chosen in dict.fromkeys(c for g in feature_groups for c in feature_lists(g, products)):
+            for name, grid in models.items():
+                for params in parameter_grid(grid):
+                    model = ModelSpec(name, params)
+                    run = experiment_id(spec, chosen, model, null_policy)
+                    if run not in done:
+                        wanted.append((run, i, chosen, model))
+    if not wanted:
+        return []
+    matrices = encoded_windows(tables, specs, features)
+    lock, rows = Lock(), []
+
+    def one(job) -> None:
+        run, i, chosen, model = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{get_ident()}")
+        spec, (train, test, plan) = specs[i], matrices[i]
+        predictors = [o for c in feature_columns(chosen) for o in plan.outputs(c)]
+        row = run_experiment(train, test, predictors, spec.target.column, model, null_policy)
+        row |= {
+            "run_id": run, "train_start": spec.train_start, "split_date": spec.split, "test_end": spec.test_end,
+            "restrictions": [f"{r.feature} {r.text}" for r in spec.restrictions],
+        }
+        with lock:
+            rows.append(row)
+            if results:
+                append_results(spark, [row], results)
+
+    with ThreadPoolExecutor(workers) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(one), job) for job in wanted]
+    order = {job[0]: k for k, job in enumerate(wanted)}
+    for f in futures:
+        f.result()
+    return sorted(rows, key=lambda r: order[r["run_id"]])
 
 
 def results_frame(spark, rows: Sequence[Mapping]) -> DataFrame:
     """Experiment rows as a frame (one row per experiment)."""
-    from cohortspark.sources.writers import RESULT_SCHEMA
-
     return spark.createDataFrame([Row(**{f.name: r.get(f.name) for f in RESULT_SCHEMA.fields}) for r in rows], RESULT_SCHEMA)
 
 

@@ -84,6 +84,9 @@ def add_columns(target: DataFrame, updates: DataFrame, on: str, columns: Sequenc
     return joined.select(*out)
 
 
+CLASS_REPORT = T.StructType(
+    [T.StructField("class", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "f1")], T.StructField("support", T.LongType())]
+)
 #: One row per experiment (K09); nested values hold the report parts.
 RESULT_SCHEMA = T.StructType(
     [
@@ -110,6 +113,11 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("aupr0_test", T.DoubleType()),
         T.StructField("aupr0_train", T.DoubleType()),
         T.StructField("confusion", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("confusion_train", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("class_report", T.ArrayType(CLASS_REPORT)),
+        T.StructField("coefficients", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("train_nulls", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("test_nulls", T.MapType(T.StringType(), T.LongType())),
     ]
 )
 
@@ -121,6 +129,14 @@ def append_results(spark: SparkSession, rows: Sequence[Row | dict], path: str) -
     spark.createDataFrame(full, RESULT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def finished_runs(spark: SparkSession, path: str) -> set[str]:
+    """Ids of the experiments already in the result table; none where there is no table yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return set()
+    return {r["run_id"] for r in spark.read.schema(RESULT_SCHEMA).parquet(path).select("run_id").distinct().collect()}
+
+
 def text_report(result: Mapping) -> str:
     """Plain-text report of one result row."""
     lines = []
