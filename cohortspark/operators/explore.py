@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortspark.operators import metrics as E
-from cohortspark.operators.models import FEATURES, assemble_vector
+from cohortspark.operators.gram import Moments, moments, principal_axes
 from cohortspark.operators.resample import bootstrap_auc, bootstrap_mean
 from cohortspark.operators.rows import any_null, quoted
 
@@ -24,19 +22,13 @@ def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataF
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(a, b, corr)`` over rows without nulls; null where a column is constant.
+    """``(a, b, corr)`` over rows without nulls; null where a column is constant or there are no rows.
 
-    One aggregate per pair in a single pass, whatever the number of columns.
+    One pass of p x p sums, whatever the number of columns; runs a job when called.
     """
-    rows = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
-    rows = rows.filter(~any_null(columns))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = rows.agg(*[pair_correlation(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{i}").alias("corr")))
-    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    corr = moments(df, columns).correlation()
+    rows = [(a, b, None if np.isnan(corr[i, j]) else float(corr[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 
 def _both(x: Column, y: Column) -> Column:
@@ -67,28 +59,38 @@ def pairwise_fit(df: DataFrame, columns: Sequence[str], group: Sequence[str]) ->
     return wide.select(*group, F.explode(F.array(*cells)).alias("__c")).select(*group, "__c.*")
 
 
-def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Vector column ``scaled`` with mean 0 and sample deviation 1."""
-    vectors = assemble_vector(df.na.drop("any", subset=list(columns)), columns)
-    return StandardScaler(inputCol=FEATURES, outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
+def _axes(df: DataFrame, columns: Sequence[str]) -> tuple[Moments, np.ndarray, np.ndarray]:
+    """Moments, and eigenvalues and axes of the standardised columns; constant ones have no part in them."""
+    m = moments(df, columns)
+    corr = m.correlation()
+    corr[np.isnan(corr)] = 0.0
+    return m, *principal_axes(corr)
+
+
+def standardised(df: DataFrame, columns: Sequence[str], m: Moments | None = None) -> list[Column]:
+    """Each column with mean 0 and sample deviation 1; 0 where it is constant."""
+    m = moments(df, columns) if m is None else m
+    scale = m.deviation()
+    return [(quoted(c).cast("double") - float(u)) / float(s) if s > 0 else F.lit(0.0) for c, u, s in zip(columns, m.mean, scale)]
 
 
 def pca_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Explained variance per component and its running total (p values)."""
-    scaled = standardised(df, columns)
-    ratios = PCA(k=len(columns), inputCol="scaled", outputCol="pc").fit(scaled).explainedVariance.toArray()
-    total, rows = 0.0, []
-    for i, r in enumerate(ratios):
-        total += float(r)
-        rows.append((i, float(r), total))
+    """Explained variance per component of the standardised columns and its running total (p values)."""
+    _, values, _ = _axes(df, columns)
+    shares = np.maximum(values, 0) / max(values.sum(), 1e-300)
+    rows = [(i, float(r), float(t)) for i, (r, t) in enumerate(zip(shares, np.cumsum(shares)))]
     return df.sparkSession.createDataFrame(rows, "component int, variance double, cumulative double")
 
 
 def pca_project(df: DataFrame, columns: Sequence[str], keep: Sequence[str], components: int = 1) -> DataFrame:
-    """Rows projected on the first components of the standardised columns."""
-    scaled = standardised(df, columns)
-    out = PCA(k=components, inputCol="scaled", outputCol="pc").fit(scaled).transform(scaled)
-    return out.select(*keep, *[vector_to_array("pc")[i].alias(f"pc{i}") for i in range(components)])
+    """Rows without nulls projected on the first components of the standardised columns.
+
+    A projection is an expression of the row: no vectors, no model.
+    """
+    m, _, axes = _axes(df, columns)
+    scaled = standardised(df, columns, m)
+    score = lambda k: sum((z * float(w) for z, w in zip(scaled, axes[:, k])), F.lit(0.0))
+    return df.filter(~any_null(columns)).select(*keep, *[score(i).alias(f"pc{i}") for i in range(components)])
 
 
 def window_counts(df: DataFrame, target: str, window: str) -> DataFrame:

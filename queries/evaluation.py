@@ -588,13 +588,69 @@ def pairwise_fit(spark, sf):
     return out.select("year", "l_returnflag", "x", "y", *[F.round(c, 6).alias(c) for c in ("corr", "slope", "intercept")])
 
 
-@query("pca_variance")
+def _jacobi_sql(names, sweeps: int = 7) -> str:
+    """CTEs that end in ``jz``: eigenvalues d0.. and axes v{row}{axis} of the columns' correlation matrix, by cyclic Jacobi rotations.
+
+    Every rotation is a one-row table; independent of the Spark side, which sums
+    products once and leaves the axes to a library.
+    """
+    n = len(names)
+    up = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    first = ", ".join("1.0::DOUBLE AS a%d%d" % (i, j) if i == j else f"corr({names[i]}, {names[j]}) AS a{i}{j}" for i, j in cells)
+    unit = ", ".join(f"{float(i == j)}::DOUBLE AS v{i}{j}" for i in range(n) for j in range(n))
+    ctes, last = [f"j0 AS MATERIALIZED (SELECT {first}, {unit} FROM lineitem)"], "j0"
+    for k, (p, q) in enumerate([(p, q) for _ in range(sweeps) for p in range(n) for q in range(p + 1, n)], 1):
+        half = f"({up(q, q)} - {up(p, p)}) / (2 * {up(p, q)})"
+        turn = f"CASE WHEN abs({up(p, q)}) < 1e-18 THEN 0 ELSE CASE WHEN {half} < 0 THEN -1 ELSE 1 END / (abs({half}) + sqrt({half} * {half} + 1)) END"
+        ctes.append(f"t{k} AS MATERIALIZED (SELECT *, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s FROM (SELECT *, {turn} AS t FROM {last}))")
+        out = []
+        for i, j in cells:
+            if (i, j) == (p, q):
+                e = "0::DOUBLE"
+            elif (i, j) == (p, p):
+                e = f"{up(p, p)} - t * {up(p, q)}"
+            elif (i, j) == (q, q):
+                e = f"{up(q, q)} + t * {up(p, q)}"
+            elif p in (i, j):
+                o = j if i == p else i
+                e = f"c * {up(o, p)} - s * {up(o, q)}"
+            elif q in (i, j):
+                o = j if i == q else i
+                e = f"s * {up(o, p)} + c * {up(o, q)}"
+            else:
+                e = up(i, j)
+            out.append(f"{e} AS a{i}{j}")
+        for i in range(n):
+            for j in range(n):
+                out.append((f"c * v{i}{p} - s * v{i}{q}" if j == p else f"s * v{i}{p} + c * v{i}{q}" if j == q else f"v{i}{j}") + f" AS v{i}{j}")
+        ctes.append(f"j{k} AS MATERIALIZED (SELECT {', '.join(out)} FROM t{k})")
+        last = f"j{k}"
+    return ",\n".join([*ctes, f"jz AS MATERIALIZED (SELECT {', '.join(f'a{i}{i} AS d{i}' for i in range(n))}, * FROM {last})"])
+
+
+_DIAGONAL = "[" + ", ".join(f"d{i}" for i in range(len(_NUM))) + "]"
+_TOP = lambda i: "CASE list_max(" + _DIAGONAL + ") " + " ".join(f"WHEN d{k} THEN v{i}{k}" for k in range(len(_NUM))) + " END"
+_Z = [f"(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem))" for c in _NUM]
+
+
+@query(
+    "pca_variance",
+    f"""WITH {_jacobi_sql(_NUM)}, e AS (SELECT unnest(list_reverse_sort({_DIAGONAL})) AS v, generate_subscripts({_DIAGONAL}, 1) AS i FROM jz)
+SELECT CAST(i - 1 AS INT) AS component, round(v / {len(_NUM)}, 9) AS variance, round(sum(v / {len(_NUM)}) OVER (ORDER BY i), 9) AS cumulative FROM e""",
+)
 def pca_variance(spark, sf):
     """Explained variance of the standardised columns."""
-    return V.pca_variance(raw(spark, sf, "lineitem"), _NUM)
+    out = V.pca_variance(raw(spark, sf, "lineitem"), _NUM)
+    return out.withColumns({c: F.round(c, 9) for c in ("variance", "cumulative")})
 
 
-@query("pca_project")
+@query(
+    "pca_project",
+    f"""WITH {_jacobi_sql(_NUM)}, w AS (SELECT {', '.join(f'{_TOP(i)} AS w{i}' for i in range(len(_NUM)))} FROM jz),
+u AS (SELECT *, CASE greatest({', '.join(f'abs(w{i})' for i in range(len(_NUM)))}) {' '.join(f'WHEN abs(w{i}) THEN sign(w{i})' for i in range(len(_NUM)))} END AS side FROM w)
+SELECT l_orderkey, l_linenumber, round(side * ({' + '.join(f'{z} * w{i}' for i, z in enumerate(_Z))}), 6) AS pc0 FROM lineitem, u""",
+)
 def pca_project(spark, sf):
     """Projection on the first component."""
-    return V.pca_project(raw(spark, sf, "lineitem"), _NUM, ["l_orderkey", "l_linenumber"])
+    return V.pca_project(raw(spark, sf, "lineitem"), _NUM, ["l_orderkey", "l_linenumber"]).withColumn("pc0", F.round("pc0", 6))
