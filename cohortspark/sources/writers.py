@@ -73,9 +73,12 @@ def join_to_ids(temp: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 def add_columns(target: DataFrame, updates: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
     """Add or update columns by key; rows without an update keep their value.
 
-    A matched update wins even when its value is null.
+    A matched update wins even when its value is null.  Each target row is updated
+    at most once: of several updates of a key the one with the largest values counts,
+    and the target keeps its rows.
     """
-    fresh = updates.select(on, *[F.col(c).alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
+    fresh = updates.groupBy(on).agg(F.max(F.struct(*columns)).alias("__u"))
+    fresh = fresh.select(on, *[F.col("__u")[c].alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
     joined = target.join(fresh, on, "left")
     out = []
     for c in target.columns:

@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from cohortspark.operators import joins as J
 from cohortspark.operators import post as P
 from cohortspark.operators import quality as Q
 from cohortspark.operators import rows as R
+from cohortspark.sources.writers import add_columns
 from cohortspark.operators.ranks import ordered_totals, percent_rank_by, ranged
 
 D = date.fromisoformat
@@ -189,3 +191,27 @@ def test_blocked_ids_keep_null(spark):
     assert [r.k for r in R.exclude_ids(df, "k", ["a"]).collect()] == ["b", None]
     blocked = spark.createDataFrame([("a",)], "x string")
     assert {r.k for r in R.exclude_ids(df, "k", blocked).collect()} == {"b", None}
+
+
+def test_one_hot_of_any_width(spark, monkeypatch):
+    train = spark.range(30_000).select(F.concat(F.lit("c"), F.col("id") % 20_000).alias("a b"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("k"), F.col("id"))
+    test = spark.createDataFrame([("c7", 1, 1), ("new", None, 2), (None, 2, 3)], "`a b` string, k long, id long")
+    coded, held, widths = P.sparse_one_hot(train, ["a b", "k"], test)
+    assert widths == [20_000, 3]
+    rows = coded.select("id", "k", "one_hot").limit(200).collect()
+    assert all(r.one_hot.size == 20_003 and r.one_hot.numNonzeros() == (1 if r.k is None else 2) for r in rows)
+    assert {r.id: r.one_hot.numNonzeros() for r in held.collect()} == {1: 2, 2: 0, 3: 1}
+    at = P.category_positions(train, "a b")
+    same = P.category_positions(train.repartition(3).orderBy("id"), "a b")
+    stats = at.agg(F.min("position"), F.max("position"), F.count_distinct("position")).first()
+    assert tuple(stats) == (0, 19_999, 20_000) and at.exceptAll(same).count() == 0
+    with pytest.raises(ValueError, match="sparse_one_hot"):
+        P.learn(train, {"a b": P.ONE_HOT})
+    model = LogisticRegression(featuresCol="one_hot", labelCol="y", maxIter=3).fit(coded.withColumn("y", (F.col("k") == 1).cast("double")).na.fill(0.0, ["y"]))
+    assert model.numFeatures == 20_003
+
+
+def test_repeated_updates_do_not_multiply_rows(spark):
+    target = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (2, "c", 0)], "id int, v string, w int")
+    updates = spark.createDataFrame([(2, 5), (2, 7), (3, 9)], "id int, w int")
+    assert sorted(map(tuple, add_columns(target, updates, "id", ["w"]).collect())) == [(1, "a", 0), (2, "b", 7), (2, "c", 7)]
