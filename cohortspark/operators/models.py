@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.session import cut_lineage
+from cohortspark.session import cut_lineage, stored
 
 FEATURES, LABEL, WEIGHT = "__features", "__label", "__weight"
 _CUT_EVERY = 10
@@ -268,6 +268,29 @@ def fit_stumps(data: DataFrame, features: Sequence[str], rounds: int, learning_r
 
 # --- D09: exact nearest neighbours ----------------------------------------------------
 
+#: Most pivots: their vectors are on the driver and travel with the tasks.
+MAX_PIVOTS = 1024
+#: Blocks' best lists of a query meet in so many groups before they meet as one.
+TOP_GROUPS = 32
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """Centres around which points lie in blocks."""
+
+    centres: np.ndarray
+
+    def distances(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the distances to all pivots; they differ by rounding only."""
+        norms = (v * v).sum(1)[:, None] + (self.centres * self.centres).sum(1)
+        d2, slack = norms - 2 * v @ self.centres.T, 1e-12 * norms + 1e-30
+        return np.sqrt(np.maximum(d2 - slack, 0)), np.sqrt(np.maximum(d2, 0) + slack)
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype("float64")
+
+
 def nearest(
     queries: DataFrame,
     points: DataFrame,
@@ -279,87 +302,77 @@ def nearest(
     exclude_self: bool = False,
     block_rows: int = 4096,
     query_rows: int = 65536,
-    sample_pivots: int = 32,
+    sample_pivots: int | None = None,
+    visited: dict | None = None,
 ) -> DataFrame:
-    """Exact k nearest points per query: ``(query_id, point_id, distance, payload)``.
-
-    Points are sorted into blocks of at most ``block_rows`` around pivots; a
-    block keeps its centre and radius.  A query visits a block only when the
-    triangle inequality allows a point there to be among its k nearest, so
-    distances are computed inside (block, query part) tasks with numpy and each
-    task emits only its k best per query: pairs are never materialised.
-    Queries are cut into parts of about ``query_rows`` (sized by one count job).
-    Ties go to the smaller point id.  ``point_id`` is unique; query rows that
-    repeat an id (and so its vector) are one query.
+    """Exact k nearest points per query: ``(query_id, neighbour, distance, payload)``.
+
+    Points lie in blocks of about ``block_rows`` around pivots, about the square
+    root of their number (``MAX_PIVOTS`` at most, then pivots hold several blocks).
+    First every query searches one block of its own pivot; the k-th distance found
+    there is its bound.  Then it visits the other blocks that the triangle
+    inequality allows to hold a nearer point.  Distances are computed inside
+    (block, query part) tasks that emit their k best per query, and these meet in
+    two levels, so neither pairs nor long lists exist.  A block is copied once per
+    ``query_rows`` queries that visit it, so copies stay below the visits.
+
+    Ties go to the smaller point id; points that share an id are points of their
+    own.  Query rows that repeat an id (and so its vector) are one query.  Rows
+    with a null vector take no part; without points there are no rows.  ``visited``
+    gets the number of blocks, of queries and of their visits.  Writes points and
+    first results to the shared folder and runs four small jobs when called.
     """
-    query_parts = max(1, math.ceil(queries.count() / query_rows))
     need = k + 1 if exclude_self else k
-    pts = points.select(F.col(point_id).alias("pid"), F.col(vector).cast("array<double>").alias("v"), F.col(payload).alias("payload"))
-    qs = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["qid"])
-
-    # a fixed number of pivots, the points with the smallest id hash; at most
-    # ``sample_pivots`` vectors come to the driver and travel with the tasks
-    pivots = pts.select("pid", "v").orderBy(F.xxhash64("pid"), "pid").limit(sample_pivots).collect()
-    centres = np.array([r["v"] for r in pivots], dtype="float64")
-
-    def to_pivots(vectors: np.ndarray) -> np.ndarray:
-        diff = vectors[:, None, :] - centres[None, :, :]
-        return np.sqrt(np.einsum("npd,npd->np", diff, diff))
+    known = F.col(vector).isNotNull()
+    pts = points.filter(known).select(F.col(point_id).alias("pid"), F.col(vector).cast("array<double>").alias("v"), F.col(payload).alias("payload"))
+    qs = queries.filter(known).select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["qid"])
+    total = pts.count()
+    count = sample_pivots or min(MAX_PIVOTS, math.isqrt(max(total - 1, 0)) + 1)
+    # the points with the smallest id hash, ``count`` at most
+    chosen = pts.select("pid", "v").orderBy(F.xxhash64("pid"), "pid", "v").limit(count).collect()
+    id_type, pid_type, pay_type = qs.schema["qid"].dataType, pts.schema["pid"].dataType, pts.schema["payload"].dataType
+    best_schema = T.StructType(
+        [T.StructField("qid", id_type), T.StructField("block", T.LongType()), T.StructField("d2", T.DoubleType()), T.StructField("pid", pid_type), T.StructField("payload", pay_type)]
+    )
+    if not chosen:
+        none = queries.sparkSession.createDataFrame([], best_schema)
+        return none.select(F.col("qid").alias(query_id), F.col("pid").alias("neighbour"), F.col("d2").alias("distance"), F.col("payload").alias(payload))
+    pivots = Pivots(np.array([r["v"] for r in chosen], dtype="float64"))
 
     def place(batches):
         for pdf in batches:
             if len(pdf):
-                d = to_pivots(np.stack(pdf["v"].to_numpy()))
+                _, d = pivots.distances(_vectors(pdf["v"]))
                 yield pdf.assign(pivot=d.argmin(axis=1).astype("int32"), r=d.min(axis=1))
 
     placed_schema = T.StructType([*pts.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("r", T.DoubleType())])
-
-    # blocks: the points of one pivot, spread by hash so that a pivot holding a
-    # third of all points becomes many blocks
-    near = pts.mapInPandas(place, placed_schema)
-    per_pivot = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius"))
+    near = stored(pts.mapInPandas(place, placed_schema).withColumn("at", F.monotonically_increasing_id()), "points")
     # one row per pivot comes back
-    known = sorted(per_pivot.collect(), key=lambda r: r["pivot"])
-    used = np.array([r["pivot"] for r in known])
-    sizes = np.array([r["n"] for r in known])
-    radii = np.array([r["radius"] for r in known])
+    of_pivot = sorted(near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius")).collect(), key=lambda r: r["pivot"])
+    used = np.array([r["pivot"] for r in of_pivot])
+    sizes, radii = np.array([r["n"] for r in of_pivot]), np.array([r["radius"] for r in of_pivot])
     blocks = -(-sizes // block_rows)
-    block_count = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(used, blocks) for x in pair]), F.col("pivot"))
-    near = near.withColumn("part", F.pmod(F.xxhash64("pid"), block_count).cast("int"))
-
-    def visit(batches):
-        """Blocks each query has to look at: (pivot, part, qid, v)."""
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = to_pivots(np.stack(pdf["v"].to_numpy()))[:, used]
-            far, close = d + radii, d - radii
-            order = np.argsort(far, axis=1, kind="stable")
-            enough = (np.cumsum(sizes[order], axis=1) >= min(need, sizes.sum())).argmax(axis=1)
-            # the nearest pivots that together hold enough points bound the k-th distance
-            bound = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)
-            rows, cols = np.nonzero(close <= bound * (1 + 1e-9) + 1e-9)
-            counts = blocks[cols]
-            rows, cols = np.repeat(rows, counts), np.repeat(cols, counts)
-            part = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-            out = pdf.iloc[rows]
-            yield pd.DataFrame({"pivot": used[cols].astype("int32"), "part": part.astype("int32"), "qid": out["qid"].to_numpy(), "v": out["v"].to_numpy()})
+    lookup = lambda values: F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(used, values) for x in pair]), F.col("pivot"))
+    # the points of one pivot are spread by row, so that a pivot with a third of all points, or of equal ones, becomes many blocks
+    near = near.withColumn("part", F.pmod(F.xxhash64("at"), lookup(blocks)).cast("int")).drop("at", "r")
 
-    visit_schema = T.StructType([T.StructField("pivot", T.IntegerType()), T.StructField("part", T.IntegerType()), *qs.schema.fields])
-    visits = qs.mapInPandas(visit, visit_schema).withColumn("qpart", F.pmod(F.xxhash64("qid"), F.lit(query_parts)).cast("int"))
-    spread = near.select("pivot", "part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("qpart"), "pid", "v", "payload")
+    visit_fields = [T.StructField("pivot", T.IntegerType()), T.StructField("part", T.IntegerType()), *qs.schema.fields]
 
-    id_type, pay_type = qs.schema["qid"].dataType, pts.schema["payload"].dataType
-    schema = T.StructType(
-        [T.StructField("qid", id_type), T.StructField("pid", pts.schema["pid"].dataType), T.StructField("d2", T.DoubleType()), T.StructField("payload", pay_type)]
-    )
+    def own(batches):
+        """The one block a query searches first: (pivot, part, qid, v)."""
+        for pdf in batches:
+            if len(pdf):
+                _, d = pivots.distances(_vectors(pdf["v"]))
+                at = d[:, used].argmin(axis=1)
+                part = np.arange(len(pdf)) % blocks[at]
+                yield pd.DataFrame({"pivot": used[at].astype("int32"), "part": part.astype("int32"), "qid": pdf["qid"].to_numpy(), "v": pdf["v"].to_numpy()})
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if q.empty or p.empty:
-            return pd.DataFrame({c: [] for c in ("qid", "pid", "d2", "payload")})
+            return pd.DataFrame({c: [] for c in ("qid", "block", "d2", "pid", "payload")})
         p = p.sort_values("pid", kind="stable")
-        pm, pid, pay = np.stack(p["v"].to_numpy()), p["pid"].to_numpy(), p["payload"].to_numpy()
-        qm, qid = np.stack(q["v"].to_numpy()), q["qid"].to_numpy()
+        pm, pid, pay = _vectors(p["v"]), p["pid"].to_numpy(), p["payload"].to_numpy()
+        qm, qid = _vectors(q["v"]), q["qid"].to_numpy()
         keep = min(need, len(pid))
         # bounded scratch: a few million differences at a time
         chunk = max(1, _SCRATCH // pm.size)
@@ -368,24 +381,60 @@ def nearest(
             diff = qm[at : at + chunk, None, :] - pm[None, :, :]
             d2 = np.einsum("qpd,qpd->qp", diff, diff)
             top = np.argsort(d2, axis=1, kind="stable")[:, :keep]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "qid": np.repeat(qid[at : at + chunk], keep),
-                        "pid": pid[top].ravel(),
-                        "d2": np.take_along_axis(d2, top, 1).ravel(),
-                        "payload": pay[top].ravel(),
-                    }
-                )
-            )
-        return pd.concat(out)
+            out.append(pd.DataFrame({"qid": np.repeat(qid[at : at + chunk], keep), "d2": np.take_along_axis(d2, top, 1).ravel(), "pid": pid[top].ravel(), "payload": pay[top].ravel()}))
+        found = pd.concat(out)
+        found.insert(1, "block", int(p["pivot"].iloc[0]) * (1 << 32) + int(p["part"].iloc[0]))
+        return found
+
+    def searched(visits: DataFrame, loads: dict[int, int]) -> DataFrame:
+        """The k best of every visit; ``loads`` are the visits per pivot, which all its blocks get."""
+        copies = lookup([max(1, math.ceil(loads.get(int(p), 0) / query_rows)) for p in used])
+        spread = near.filter(F.col("pivot").isin([int(p) for p in used if loads.get(int(p))])) if len(loads) < len(used) else near
+        spread = spread.withColumn("qpart", F.explode(F.sequence(F.lit(0), copies - 1)))
+        keys = ["pivot", "part", "qpart"]
+        cut = visits.withColumn("qpart", F.pmod(F.xxhash64("qid"), copies).cast("int"))
+        return cut.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(best, best_schema)
+
+    first = stored(qs.mapInPandas(own, T.StructType(visit_fields)), "own-block")
+    # a pivot's queries are dealt over its blocks, so one of them gets a share
+    loads = {r["pivot"]: r["n"] for r in first.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = stored(searched(first, loads), "own-best")
+    bound = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= need, F.max("d2")).alias("bound"))
 
-    keys = ["pivot", "part", "qpart"]
-    partial = visits.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(best, schema)
+    def visit(batches):
+        """The other blocks a query has to look at: (pivot, part, qid, v)."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            low, high = (d[:, used] for d in pivots.distances(_vectors(pdf["v"])))
+            far = high + radii
+            order = np.argsort(far, axis=1, kind="stable")
+            # without k points in the own block: the nearest pivots that together hold enough bound the k-th distance
+            enough = (np.cumsum(sizes[order], axis=1) >= min(need, sizes.sum())).argmax(axis=1)
+            reach = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0]
+            reach = np.fmin(reach, np.sqrt(pdf["bound"].to_numpy(dtype="float64")))[:, None]
+            rows, cols = np.nonzero(low - radii <= reach * (1 + 1e-9) + 1e-9)
+            counts = blocks[cols]
+            rows, cols = np.repeat(rows, counts), np.repeat(cols, counts)
+            part = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            fresh = (used[cols] != pdf["pivot"].to_numpy()[rows]) | (part != pdf["part"].to_numpy()[rows])
+            out = pdf.iloc[rows[fresh]]
+            yield pd.DataFrame({"pivot": used[cols[fresh]].astype("int32"), "part": part[fresh].astype("int32"), "qid": out["qid"].to_numpy(), "v": out["v"].to_numpy()})
+
+    bounded = first.join(bound, "qid", "left").select("pivot", "part", "qid", "v", "bound")
+    visits = bounded.mapInPandas(visit, T.StructType(visit_fields))
+    per_block = visits.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("n"))
+    after = per_block.groupBy("pivot").agg(F.max("n").alias("n"), F.sum("n").alias("visits")).collect()
+    if visited is not None:
+        queried = sum(loads.values())
+        visited |= {"blocks": int(blocks.sum()), "queries": queried, "visits": queried + sum(r["visits"] for r in after)}
+    loads = {r["pivot"]: r["n"] for r in after}
+    every = found.unionByName(searched(visits, loads)) if loads else found
     if exclude_self:
-        partial = partial.filter(F.col("qid") != F.col("pid"))
-    # at most (blocks visited * k) rows per query reach this step
-    ranked = partial.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "pid", "payload"))), 1, k).alias("nn"))
+        every = every.filter(F.col("qid") != F.col("pid"))
+    top = lambda rows, *keys: rows.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, k).alias("nn"))
+    lists = every.select("qid", F.pmod("block", F.lit(TOP_GROUPS)).alias("group"), F.array(F.struct("d2", "pid", "payload")).alias("nn"))
+    ranked = top(top(lists, "qid", "group"), "qid")
     return ranked.select("qid", F.explode("nn").alias("x")).select(
         F.col("qid").alias(query_id), F.col("x.pid").alias("neighbour"), F.sqrt("x.d2").alias("distance"), F.col("x.payload").alias(payload)
     )
@@ -424,10 +473,12 @@ class NeighbourScorer:
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``score`` (weight share of class 1) and ``predicted``; rows of one ``row_key`` are alike.
 
-        Training rows that repeat are points of their own.
+        Training rows that repeat are points of their own; of different ones at the
+        same distance the smaller hash of their content counts, so the result does
+        not depend on files or partitions.
         """
         vec = F.array(*[F.col(f"`{c}`").cast("double") for c in self.features])
-        points = self.train.select(F.monotonically_increasing_id().alias("pid0"), vec.alias("v"), (F.col(self.label).cast("int") >= 1).cast("int").alias("y"))
+        points = self.train.select(vec.alias("v"), (F.col(self.label).cast("int") >= 1).cast("int").alias("y")).withColumn("pid0", F.xxhash64("v", "y"))
         queries = df.select("row_key", vec.alias("v"))
         nn = nearest(queries, points, self.k, "row_key", "pid0", "v", "y")
         if self.weights == "distance":

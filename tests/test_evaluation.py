@@ -158,3 +158,31 @@ def test_experiment_row(scored):
     row = XP.run_experiment(data.drop("id"), data.drop("id", "only_train"), ["x", "only_train"], "y", ModelSpec("DTC", {"max_depth": 2}), "lax")
     assert row["features"] == ["x"] and row["train_rows_dropped"] == 40 and row["train_max_nulls"] == 40
     assert 0.5 < row["auc"] <= 1 and sum(row["confusion"].values()) == 360
+
+
+def test_neighbours_prune_and_bound_copies(spark):
+    """Clustered points: most blocks are never visited; repeated points and queries, null vectors and empty tables."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 6)) * 50
+    x = np.vstack([centres[i % 20] + rng.normal(size=6) for i in range(1500)] + [centres[0]] * 40)
+    rows = [(i, [float(a) for a in v], i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (9999, None, 1)], "id long, v array<double>, y int").repartition(5)
+    seen = {}
+    got = {}
+    for r in nearest(df, df, 5, "id", "id", "v", "y", block_rows=20, query_rows=30, visited=seen).collect():
+        got.setdefault(r.id, []).append((r.distance, r.neighbour))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(len(x)):
+        want = sorted((d[i, j], j) for j in range(len(x)))[:5]
+        assert [n for _, n in sorted(got[i])] == [j for _, j in want] or [round(a, 6) for a, _ in sorted(got[i])] == [round(a, 6) for a, _ in want]
+    assert seen["queries"] == len(x) and seen["visits"] < 0.3 * seen["queries"] * seen["blocks"]
+    none = df.limit(0)
+    assert nearest(df, none, 3, "id", "id", "v", "y").collect() == [] == nearest(none, df, 3, "id", "id", "v", "y").collect()
+    assert nearest(df, df, 3, "id", "id", "v", "y").columns == nearest(df, none, 3, "id", "id", "v", "y").columns
+
+
+def test_neighbour_ties_do_not_depend_on_partitions(spark):
+    train = spark.createDataFrame([(float(i % 3), int(i % 2)) for i in range(30)], "x double, y int")
+    test = spark.createDataFrame([(1, 0.5), (2, 1.5)], "row_key long, x double")
+    score = lambda t: sorted((r.row_key, r.score) for r in fit(ModelSpec("KNN", {"n_neighbors": 7}), t, ["x"], "y").score(test).collect())
+    assert score(train.repartition(1)) == score(train.repartition(6).orderBy("y"))
