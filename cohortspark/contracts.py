@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,13 @@ class ForeignKey:
     parent_column: str
 
 
+def _fitted(df: DataFrame, wanted: T.StructField) -> Column:
+    """A column in the wanted type, null where a value does not fit; a number for a date is read as text, a year say."""
+    numeric = isinstance(df.schema[wanted.name].dataType, T.NumericType) and isinstance(wanted.dataType, (T.DateType, T.TimestampType))
+    c = F.col(wanted.name)
+    return (c.cast("string") if numeric else c).try_cast(wanted.dataType)
+
+
 @dataclass(frozen=True)
 class TableContract:
     """Declared columns, row rules, unique keys and references of one table."""
@@ -104,19 +111,14 @@ class TableContract:
         """
         schema = schema or self.partner_schema()
         have = set(df.columns)
-        return df.select(
-            *[
-                (F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-                for f in schema.fields
-            ]
-        )
+        return df.select(*[(_fitted(df, f) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
     def lost_values(self, df: DataFrame, key: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
         """``(table, rule, key, value)`` for every known value that :meth:`conform` turns into null."""
         have = set(df.columns)
         cells = [
             F.when(
-                F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(),
+                F.col(f.name).isNotNull() & _fitted(df, f).isNull(),
                 F.struct(F.lit(f"{f.name}: fits {f.dataType.simpleString()}").alias("rule"), F.col(f.name).cast("string").alias("value")),
             )
             for f in (schema or self.partner_schema()).fields

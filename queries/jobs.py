@@ -7,14 +7,17 @@ blanks or symbols are renamed on the Spark side before the cleaner sees them.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import CONTRACTS
 from cohortspark.plans import integration as I
 from cohortspark.plans import profile_a as PA
 from cohortspark.plans import profile_b as PB
+from cohortspark.session import stored
 from cohortspark.sources.readers import mapping_frame
-from queries.base import AS_OF, VIEWS, oracle, query, raw, view
+from queries.base import AS_OF, ORACLES, VIEWS, oracle, query, raw, view
 
 _TEXT_DATE = "CAST(month({d}) AS STRING) || '/' || CAST(day({d}) AS STRING) || '/' || CAST(year({d}) AS STRING)"
 _BORN = "DATE '1965-01-01' + CAST(c_custkey % 4000 AS INT)"
@@ -235,13 +238,16 @@ FROM (SELECT *, coalesce(College_Type__c, '') AS t FROM raw_a_colleges) c LEFT J
 )
 def job_a_colleges(spark, sf):
     """C04."""
+    return PA.colleges(_college_database(spark, sf), _extra_colleges(spark, sf), _BLOCKED)
+
+
+def _extra_colleges(spark, sf):
     e = view(spark, sf, "raw_a_extra")
     names = {raw_name: "coord" for raw_name in PA.EXTRA_COLLEGE if raw_name not in ("STABBR", "Locale")}
-    extra = e.select(
+    return e.select(
         "UNITID", "STABBR", "SimpleBarrons", F.col("coord").cast("string").alias("Locale"), F.col("size_text").alias("Size Range"),
         *[F.col(c).alias(n) for n, c in names.items()], *[F.col("pct").alias(n) for n in PA.EXTRA_PERCENT],
     )
-    return PA.colleges(_college_database(spark, sf), extra, _BLOCKED)
 
 
 @query(
@@ -254,8 +260,12 @@ def job_a_colleges(spark, sf):
 )
 def job_a_acttests(spark, sf):
     """C05."""
+    return PA.acttests(_a_tests(spark, sf))
+
+
+def _a_tests(spark, sf):
     t = view(spark, sf, "raw_a_tests").withColumn("test_date", F.date_format("d", "M/d/yyyy"))
-    return PA.acttests(t.withColumns({s: F.col("score") for s in ("composite", "english", "math", "reading", "science")}))
+    return t.withColumns({s: F.col("score") for s in ("composite", "english", "math", "reading", "science")})
 
 
 @query(
@@ -328,8 +338,6 @@ FROM c LEFT JOIN gm ON gm.grp = c.grp LEFT JOIN om ON om.Contact__c = c.Contact_
 )
 def job_a_contacts(spark, sf):
     """C09."""
-    from datetime import date
-
     notes = view(spark, sf, "raw_a_notes").withColumn("Date_of_Contact__c", F.col("d").cast("string"))
     return PA.contacts(notes, _alumni(spark, sf), date(2024, 1, 20), ["BATCH"], ["School 2", "School 7"])
 
@@ -343,12 +351,14 @@ def job_a_contacts(spark, sf):
 )
 def job_a_aptests(spark, sf):
     """C10."""
-    majors, _ = _maps(spark, sf)
+    return PA.aptests(_a_ap_tests(spark, sf), _maps(spark, sf)[0])
+
+
+def _a_ap_tests(spark, sf):
     names = F.array(F.lit("5-low"), F.lit("1-urgent"), F.lit("2-high"), F.lit("3-medium"), F.lit(None))
-    t = view(spark, sf, "raw_a_tests").withColumns(
+    return view(spark, sf, "raw_a_tests").withColumns(
         {"test_date": F.col("d").cast("string"), "numscore": F.col("score") % 6, "testname": F.concat(F.lit("AP "), F.get(names, F.col("l_linenumber") % 5))}
     )
-    return PA.aptests(t, majors)
 
 
 @query(
@@ -363,8 +373,11 @@ FROM (SELECT DISTINCT High_School__c AS name FROM raw_a_students) n LEFT JOIN ra
 )
 def job_a_schools(spark, sf):
     """C11."""
-    years = view(spark, sf, "raw_school_codes").select(F.col("Campus").alias("name"), F.col("first_class").alias("year_of_first_graduating_class"))
-    return PA.schools(view(spark, sf, "raw_accounts"), _alumni(spark, sf), years)
+    return PA.schools(view(spark, sf, "raw_accounts"), _alumni(spark, sf), _founding_years(spark, sf))
+
+
+def _founding_years(spark, sf):
+    return view(spark, sf, "raw_school_codes").select(F.col("Campus").alias("name"), F.col("first_class").alias("year_of_first_graduating_class"))
 
 
 def _a_courses(spark, sf):
@@ -512,8 +525,12 @@ def job_b_contacts(spark, sf):
 )
 def job_b_acttests(spark, sf):
     """C21."""
+    return PB.acttests(_b_tests(spark, sf))
+
+
+def _b_tests(spark, sf):
     t = view(spark, sf, "raw_b_tests").withColumns({"date": F.col("d").cast("string"), "score_writing": F.col("writing")})
-    return PB.acttests(t.withColumns({f"score_{s}": F.col("score") for s in PB.ACT_PARTS if s != "writing"}))
+    return t.withColumns({f"score_{s}": F.col("score") for s in PB.ACT_PARTS if s != "writing"})
 
 
 @query(
@@ -529,9 +546,12 @@ def job_b_acttests(spark, sf):
 )
 def job_b_schools(spark, sf):
     """C22."""
+    return PB.schools(_b_schools(spark, sf), "Partner B")
+
+
+def _b_schools(spark, sf):
     s = view(spark, sf, "raw_b_schools").withColumn("year_of_first_graduating_class", 1990 + F.col("size"))
-    s = s.withColumns({c: F.col("size") for c in ("number_of_students", "avg_class_size", "number_of_staff", "number_of_counselors", "annual_budget")})
-    return PB.schools(s, "Partner B")
+    return s.withColumns({c: F.col("size") for c in ("number_of_students", "avg_class_size", "number_of_staff", "number_of_counselors", "annual_budget")})
 
 
 @query(
@@ -545,13 +565,16 @@ def job_b_schools(spark, sf):
 )
 def job_b_courses(spark, sf):
     """C23."""
-    c = view(spark, sf, "raw_b_courses").withColumns(
+    return PB.courses(_b_courses(spark, sf))
+
+
+def _b_courses(spark, sf):
+    return view(spark, sf, "raw_b_courses").withColumns(
         {
             "teacher_id": F.lit(None).cast("string"), "semester_taken": F.lit(1), "course_length": F.lit("year"), "course_level": F.lit(1),
             "credit_hours": F.lit(1.5), "was_honors": F.lit(False), "was_ap": F.lit(True),
         }
     )
-    return PB.courses(c)
 
 
 @query(
@@ -622,7 +645,7 @@ def job_foundation_acttests(spark, sf):
 
 # --- integration -------------------------------------------------------------------------
 
-def _partners(spark, sf):
+def _partners(spark, sf, as_of=AS_OF):
     """Both partners' clean tables, through the load manifests."""
     majors, degrees = _maps(spark, sf)
     students = view(spark, sf, "raw_a_students")
@@ -635,9 +658,10 @@ def _partners(spark, sf):
             "courses": _a_courses(spark, sf),
             "attendance": view(spark, sf, "raw_a_attendance").withColumn("ATT_DATE", F.col("d").cast("string")),
             "contact_notes": view(spark, sf, "raw_a_notes").withColumn("Date_of_Contact__c", F.col("d").cast("string")),
+            "tests": _a_tests(spark, sf), "ap_tests": _a_ap_tests(spark, sf), "extra_college_features": _extra_colleges(spark, sf),
+            "founding_years": _founding_years(spark, sf),
         },
-        {"as_of": AS_OF, "majors": majors, "degrees": degrees, "blocked": _BLOCKED, "placeholders": ["BATCH"], "shared_schools": ["School 2"]},
-        skip=("acttests", "aptests", "colleges", "schools"),
+        {"as_of": as_of, "majors": majors, "degrees": degrees, "subjects": majors, "blocked": _BLOCKED, "placeholders": ["BATCH"], "shared_schools": ["School 2", "School 7"]},
     )
     contacts = view(spark, sf, "raw_b_contacts")
     b = I.run_manifest(
@@ -646,14 +670,98 @@ def _partners(spark, sf):
             "students": view(spark, sf, "raw_b_students"), "enrolments": _b_enrolments(spark, sf), "yearly_gpa": view(spark, sf, "raw_b_gpa"),
             "contacts": contacts.withColumn("contact_date", F.unix_date("d").cast("bigint") * 86400 + F.col("seconds")),
             "attendance": view(spark, sf, "raw_b_attendance").withColumn("attendance_date", F.col("d").cast("string")),
+            "schools": _b_schools(spark, sf), "tests": _b_tests(spark, sf), "courses": _b_courses(spark, sf),
         },
         {"majors": majors, "own_organization": "Partner B"},
-        skip=("schoolid", "schools", "acttests", "courses"),
     )
     return a, b
 
 
-_E_COLS = [c for c in CONTRACTS["enrollments"].data_columns() if c != "living_on_campus"]
+#: How a table names its ids by what the partners know: id table -> natural key, and the jobs that deliver it.
+_NATURAL = {"studentid": "coalesce(a_sf_id, b_sf_id)", "schoolid": "coalesce(a_sf_school_id, b_sf_school_id)", "collegeid": "a_sf_college_id"}
+
+
+def _ids_sql() -> str:
+    parts = []
+    for table in _NATURAL:
+        types = ", ".join(f"NULL::{'INT' if c == 'ipedsid' else 'VARCHAR'} AS {c}" for c in CONTRACTS[table].data_columns())
+        rows = [f"SELECT * FROM ({ORACLES[f'job_{p}_{table}']})" for p in "ab" if f"job_{p}_{table}" in ORACLES]
+        parts.append(f"i_{table} AS (SELECT *, {_NATURAL[table]} AS nat FROM (SELECT {types} WHERE FALSE UNION ALL BY NAME {' UNION ALL BY NAME '.join(rows)}))")
+    return ", ".join(parts)
+
+
+#: A year stands for a date in this feed.
+_RETYPED = {("b", "schools"): "* REPLACE (make_date(CAST(year_of_first_graduating_class AS INT), 1, 1) AS year_of_first_graduating_class)"}
+
+
+def _columns(ddl: str) -> dict[str, str]:
+    """Column -> DuckDB type of a contract's column list."""
+    return {c: t.replace("STRING", "VARCHAR") for c, t in (part.split(" ", 1) for part in ddl.split(", "))}
+
+
+def _integrated_sql(table: str) -> str:
+    """An integrated table through its natural keys: both partners' clean tables, resolved, cast and united."""
+    contract = CONTRACTS[table]
+    wanted, partner = _columns(contract.data), _columns(contract.partner_ids)
+    ids = [c for c in contract.id_columns() if c != "enrollid"]
+    parts = [f"SELECT {', '.join([*[f'NULL::VARCHAR AS {c}' for c in ids], *[f'NULL::{t} AS {c}' for c, t in wanted.items()]])} WHERE FALSE"]
+    for p in "ab":
+        side = I.RESOLUTION[table].get(p)
+        if side is not None and f"job_{p}_{table}" in ORACLES:
+            joins = [
+                f"{'LEFT ' * (how == 'left')}JOIN i_{ids_of} x{i} ON CAST(x{i}.{id_col} AS VARCHAR) = CAST(j.{on} AS VARCHAR)"
+                for i, (ids_of, on, id_col, how) in enumerate(side.lookups)
+            ]
+            found = ", ".join(f"x{i}.nat AS {ids_of}" for i, (ids_of, *_) in enumerate(side.lookups))
+            rest = ", ".join(f"'{c}'" for c in partner)
+            rows = f"SELECT {_RETYPED.get((p, table), '*')} FROM ({ORACLES[f'job_{p}_{table}']})"
+            parts.append(f"SELECT COLUMNS(lambda c: c NOT IN ({rest})) FROM (SELECT j.*, {found} FROM ({rows}) j {' '.join(joins)})")
+    out = ", ".join([*ids, *[f"try_cast({c} AS {t}) AS {c}" for c, t in wanted.items()]])
+    return f"WITH {_ids_sql()} SELECT DISTINCT {out} FROM ({' UNION ALL BY NAME '.join(parts)})"
+
+
+def _integrated(spark, sf, table: str, as_of=AS_OF):
+    """An integrated table, and the id tables it was resolved against, which are written once."""
+    a, b = _partners(spark, sf, as_of)
+    ids = {t: stored(df, t) for t, df in I.integrate_ids(a, b).items()}
+    return I.integrate_table(table, a, b, ids), ids
+
+
+def _natural_ids(df, ids):
+    """The surrogate ids of a table replaced by the partners' own."""
+    for table, key in _NATURAL.items():
+        if table in df.columns:
+            names = ids[table].select(F.col(table).alias("__id"), F.expr(key).alias("__nat"))
+            df = df.join(names, F.col(table) == F.col("__id"), "left").withColumn(table, F.col("__nat")).drop("__id", "__nat")
+    return df.drop("enrollid")
+
+
+#: Averages are compared to four digits; the day up to which contacts count is that of the partner's own job query.
+_AVERAGES = {"gpa_cumulative": ("cumulative_weighted_gpa", "cumulative_unweighted_gpa")}
+_UP_TO = {"contacts": date(2024, 1, 20)}
+
+
+def _register_integrated(table: str, label: str):
+    rounded = _AVERAGES.get(table, ())
+    replaced = ", ".join(f"CAST(round({c}, 4) AS DOUBLE) AS {c}" for c in rounded)
+    sql = f"SELECT * REPLACE ({replaced}) FROM ({_integrated_sql(table)})" if rounded else _integrated_sql(table)
+
+    def run(spark, sf):
+        df, ids = _integrated(spark, sf, table, _UP_TO.get(table, AS_OF))
+        return _natural_ids(df, ids).withColumns({c: F.round(c, 4).cast("double") for c in rounded})
+
+    run.__doc__ = f"{label}, S02, S03: the integrated table {table}, every row and column, through natural keys."
+    return query(f"integrated_{table}", sql)(run)
+
+
+for _table, _label in (
+    ("students", "I04"), ("enrollments", "I05"), ("acttests", "I06"), ("aptests", "I07"), ("gpa_cumulative", "I08"), ("gpa_by_year", "I09"), ("attendance", "I10"),
+    ("hs_enrollment", "I11"), ("colleges", "I13"), ("schools", "I14"), ("contacts", "I15"), ("courses", "I16"),
+):
+    _register_integrated(_table, _label)
+
+
+_E_COLS = CONTRACTS["enrollments"].data_columns()
 
 
 @query(
@@ -672,9 +780,7 @@ def integrate_enrollments(spark, sf):
     """Manifests -> ids -> integrated enrolments, compared through natural keys."""
     a, b = _partners(spark, sf)
     ids = I.integrate_ids(a, b)
-    # living_on_campus is left out so that the check sees the distinct union of the other facts
-    drop = lambda p: {**p, "enrollments": p["enrollments"].withColumn("living_on_campus", F.lit(None).cast("boolean"))}
-    e = I.integrate_table("enrollments", drop(a), drop(b), ids)
+    e = I.integrate_table("enrollments", a, b, ids)
     student = ids["studentid"].select("studentid", F.coalesce("a_sf_id", "b_sf_id").alias("student"))
     college = ids["collegeid"].select("collegeid", F.col("a_sf_college_id").alias("college"))
     rows = e.join(student, "studentid", "left").join(college, "collegeid", "left")
@@ -686,16 +792,22 @@ def integrate_enrollments(spark, sf):
 
 @query(
     "integrate_summary",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", count(*) AS rows, count({c}) AS with_id, count(DISTINCT {c}) AS ids FROM ({_integrated_sql(t)})"
+        for t, c in ((t, next(c for c in CONTRACTS[t].id_columns() if c != "enrollid")) for t in I.RESOLUTION)
+    ),
 )
 def integrate_summary(spark, sf):
-    """Row and id counts of every other integrated table."""
+    """Rows of every integrated table, and how many of its first ids are known and differ."""
     a, b = _partners(spark, sf)
-    ids = I.integrate_ids(a, b)
+    ids = {t: stored(df, t) for t, df in I.integrate_ids(a, b).items()}
+    later = dict(zip(("a", "b"), _partners(spark, sf, _UP_TO["contacts"])))
     out = None
-    for table in ("students", "gpa_cumulative", "gpa_by_year", "attendance", "hs_enrollment", "contacts", "courses"):
-        df = I.integrate_table(table, a, b, ids)
-        part = df.agg(F.count(F.lit(1)).alias("rows"), F.count("studentid").alias("with_student"), F.count_distinct("studentid").alias("students"))
-        part = part.select(F.lit(table).alias("table"), "rows", "with_student", "students")
+    for table in I.RESOLUTION:
+        sides = (later["a"], later["b"]) if table in _UP_TO else (a, b)
+        c = next(c for c in CONTRACTS[table].id_columns() if c != "enrollid")
+        part = I.integrate_table(table, *sides, ids).agg(F.count(F.lit(1)).alias("rows"), F.count(c).alias("with_id"), F.count_distinct(c).alias("ids"))
+        part = part.select(F.lit(table).alias("table"), "rows", "with_id", "ids")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -721,8 +833,6 @@ SELECT student, y AS school_year, t AS attendance_type, count(*) AS n FROM u GRO
 def integrate_attendance(spark, sf):
     """Integrated attendance; the second partner has no school id."""
     a, b = _partners(spark, sf)
-    # school ids are unknown for every row here, so the union is over student and facts
-    a = {**a, "attendance": a["attendance"].withColumn("school_a_powerschoolid", F.lit(None).cast("string"))}
     ids = I.integrate_ids(a, b)
     t = I.integrate_table("attendance", a, b, ids)
     student = ids["studentid"].select("studentid", F.coalesce("a_sf_id", "b_sf_id").alias("student"))
