@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -148,6 +148,30 @@ class TableContract:
         return Q.all_violations(parts)
 
 
+def warehouse_violations(
+    tables: Mapping[str, DataFrame], as_of: date, keys: Mapping[str, Sequence[str]], parents: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Q01-Q10 over many tables: ``(table, rule, key, value)`` of everything that breaks its contract.
+
+    A table's row rules share one scan, and all references to one parent, from
+    whatever table, one anti join.  ``keys`` names the columns that show a row;
+    ``parents`` adds tables that are referred to but not checked.
+    """
+    known = {**(parents or {}), **tables}
+    parts, refs = [], {}
+    for name, df in tables.items():
+        contract, key = CONTRACTS[name], keys[name]
+        parts.append(replace(contract, references=()).violations(df, key, as_of))
+        wanted: dict[tuple[str, str], list[str]] = {}
+        for fk in contract.references:
+            if fk.table in known and fk.column in df.columns:
+                wanted.setdefault((fk.table, fk.parent_column), []).append(fk.column)
+        for parent, columns in wanted.items():
+            refs.setdefault(parent, []).append(Q.references(df, name, key, columns))
+    parts += [Q.probe(found, known[table], column) for (table, column), found in refs.items()]
+    return Q.all_violations(parts)
+
+
 def _record_ids(*columns: str) -> list[Q.Check]:
     return [Q.has_length(c, RECORD_ID) for c in columns]
 

@@ -18,26 +18,28 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Check:
-    """One row rule: ``condition(as_of)`` must not be false."""
+    """One row rule: ``condition(as_of)`` must not be false.  ``kind`` and ``args`` say which one it is."""
 
     column: str
     rule: str
     condition: Callable[[date], Column]
+    kind: str = ""
+    args: tuple = ()
 
 
 def has_length(column: str, n: int) -> Check:
     """Q01."""
-    return Check(column, f"length = {n}", lambda _: F.length(column) == n)
+    return Check(column, f"length = {n}", lambda _: F.length(column) == n, "length", (n,))
 
 
 def max_length(column: str, n: int) -> Check:
     """Q01, declared width of a text column."""
-    return Check(column, f"length <= {n}", lambda _: F.length(column) <= n)
+    return Check(column, f"length <= {n}", lambda _: F.length(column) <= n, "width", (n,))
 
 
 def one_of(column: str, values: Sequence) -> Check:
     """Q02."""
-    return Check(column, "allowed values", lambda _: F.col(column).isin(*values))
+    return Check(column, "allowed values", lambda _: F.col(column).isin(*values), "values", tuple(values))
 
 
 def in_range(column: str, lower=None, upper=None, open_lower: bool = False, open_upper: bool = False) -> Check:
@@ -49,42 +51,42 @@ def in_range(column: str, lower=None, upper=None, open_lower: bool = False, open
         if upper is not None:
             ok = ok & (c < upper if open_upper else c <= upper)
         return ok
-    return Check(column, f"range {lower}..{upper}", condition)
+    return Check(column, f"range {lower}..{upper}", condition, "range", (lower, upper, open_lower, open_upper))
 
 
 def multiple_of(column: str, step: int) -> Check:
     """Q03."""
-    return Check(column, f"multiple of {step}", lambda _: F.col(column) % step == 0)
+    return Check(column, f"multiple of {step}", lambda _: F.col(column) % step == 0, "multiple", (step,))
 
 
 def after(column: str, floor: date) -> Check:
     """Q04."""
-    return Check(column, f"after {floor}", lambda _: F.col(column) > F.lit(floor))
+    return Check(column, f"after {floor}", lambda _: F.col(column) > F.lit(floor), "after", (floor,))
 
 
 def not_after_today(column: str, days: int = 0) -> Check:
     """Q04: at most ``days`` days after the reference date."""
-    return Check(column, f"not after today + {days}", lambda d: F.col(column) <= F.date_add(F.lit(d), days))
+    return Check(column, f"not after today + {days}", lambda d: F.col(column) <= F.date_add(F.lit(d), days), "not_after", (days,))
 
 
 def before_months_ahead(column: str, months: int) -> Check:
     """Q04: earlier than the reference date plus some months."""
-    return Check(column, f"before today + {months} months", lambda d: F.col(column) < F.add_months(F.lit(d), months))
+    return Check(column, f"before today + {months} months", lambda d: F.col(column) < F.add_months(F.lit(d), months), "before_months", (months,))
 
 
 def satisfies(column: str, rule: str, condition: Column | str) -> Check:
     """Q05: any expression, typically across columns."""
-    return Check(column, rule, lambda _: F.expr(condition) if isinstance(condition, str) else condition)
+    return Check(column, rule, lambda _: F.expr(condition) if isinstance(condition, str) else condition, "sql", (condition,))
 
 
 def matches(column: str, pattern: str) -> Check:
     """Q06, case-insensitive."""
-    return Check(column, f"matches {pattern}", lambda _: F.col(column).rlike(f"(?i){pattern}"))
+    return Check(column, f"matches {pattern}", lambda _: F.col(column).rlike(f"(?i){pattern}"), "matches", (pattern,))
 
 
 def not_null(column: str) -> Check:
     """Q08."""
-    return Check(column, "not null", lambda _: F.col(column).isNotNull())
+    return Check(column, "not null", lambda _: F.col(column).isNotNull(), "known")
 
 
 def year_before(column: str, years_ahead: int = 0, inclusive: bool = False) -> Check:
@@ -92,7 +94,7 @@ def year_before(column: str, years_ahead: int = 0, inclusive: bool = False) -> C
     def condition(d):
         limit = F.lit(d.year + years_ahead)
         return F.col(column) <= limit if inclusive else F.col(column) < limit
-    return Check(column, f"year < now + {years_ahead}" if not inclusive else f"year <= now + {years_ahead}", condition)
+    return Check(column, f"year < now + {years_ahead}" if not inclusive else f"year <= now + {years_ahead}", condition, "year", (years_ahead, inclusive))
 
 
 _COLUMNS = ("table", "rule", "key", "value")
@@ -143,6 +145,23 @@ def fk_violations(df: DataFrame, table: str, key: Sequence[str], column: str, pa
     )
 
 
+def references(df: DataFrame, table: str, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Known references of a table as rows ``(table, rule, key, value)``, one per column, from one scan."""
+    cells = [
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(f"{c}: references").alias("rule"), F.col(c).cast("string").alias("value"))) for c in columns
+    ]
+    key_text = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+    return df.select(F.lit(table).alias("table"), key_text.alias("key"), F.explode(F.array_compact(F.array(*cells))).alias("__r")).select(
+        "table", "__r.rule", "key", "__r.value"
+    )
+
+
+def probe(refs: Sequence[DataFrame], parent: DataFrame, parent_column: str) -> DataFrame:
+    """Q09 for all references to one parent: one anti join, whatever the number of tables."""
+    known = parent.select(F.col(parent_column).cast("string").alias("value"))
+    return all_violations(refs).join(known, "value", "left_anti").select(*_COLUMNS)
+
+
 def fan_out(df: DataFrame, key: str) -> DataFrame:
     """Keys that would multiply rows when this frame is joined on ``key``."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import CONTRACTS
+from cohortspark.contracts import warehouse_violations as warehouse_contracts
 from cohortspark.plans import integration as I
 from cohortspark.plans import profile_a as PA
 from cohortspark.plans import profile_b as PB
@@ -812,6 +813,66 @@ def integrate_summary(spark, sf):
     return out
 
 
+def _rule_sql(check) -> str:
+    """A row rule of a contract as a DuckDB predicate that must not be false."""
+    c, day = check.column, f"DATE '{AS_OF}'"
+    lit = lambda v: f"DATE '{v}'" if isinstance(v, date) else f"'{v}'" if isinstance(v, str) else str(v)
+    if check.kind == "range":
+        lower, upper, open_lower, open_upper = check.args
+        sides = [f"{c} {'>' if open_lower else '>='} {lit(lower)}"] * (lower is not None) + [f"{c} {'<' if open_upper else '<='} {lit(upper)}"] * (upper is not None)
+        return " AND ".join(sides)
+    return {
+        "length": lambda n: f"length({c}) = {n}",
+        "width": lambda n: f"length({c}) <= {n}",
+        "values": lambda *v: f"{c} IN ({', '.join(map(lit, v))})",
+        "multiple": lambda n: f"{c} % {n} = 0",
+        "after": lambda d: f"{c} > {lit(d)}",
+        "not_after": lambda n: f"{c} <= {day} + {n}",
+        "before_months": lambda n: f"{c} < {day} + INTERVAL {n} MONTH",
+        "sql": lambda text: text,
+        "matches": lambda p: f"regexp_matches({c}, '(?i){p}')",
+        "known": lambda: f"{c} IS NOT NULL",
+        "year": lambda n, inclusive: f"{c} {'<=' if inclusive else '<'} {AS_OF.year + n}",
+    }[check.kind](*check.args)
+
+
+_PARENTS = {"studentid": "i_studentid", "schoolid": "i_schoolid", "collegeid": "i_collegeid", "lookup_majors": "lk", "lookup_apsubjects": "lk"}
+
+
+def _violations_sql() -> str:
+    """(table, rule, n) of every broken rule of the integrated tables, counted rule by rule."""
+    ctes, parts = [_ids_sql(), "lk AS (SELECT DISTINCT split_part(o_orderpriority, '-', 2) AS nat FROM orders WHERE o_orderpriority <> '5-LOW')"], []
+    for t in I.RESOLUTION:
+        contract = CONTRACTS[t]
+        have = [c for c in contract.id_columns() if c != "enrollid"] + contract.data_columns()
+        ctes.append(f"w_{t} AS MATERIALIZED ({_integrated_sql(t)})")
+        row = lambda rule, n: parts.append(f"SELECT '{t}' AS \"table\", '{rule}' AS rule, {n} AS n FROM w_{t}")
+        for check in contract.checks:
+            if check.column in have:
+                row(f"{check.column}: {check.rule}".replace("'", "''"), f"count(*) FILTER (NOT ({_rule_sql(check)}))")
+        for group in contract.unique:
+            if set(group) <= set(have):
+                by, known = ", ".join(group), " AND ".join(f"{c} IS NOT NULL" for c in group)
+                parts.append(f"SELECT '{t}', '{by}: unique', count(*) FROM (SELECT {by} FROM w_{t} WHERE {known} GROUP BY {by} HAVING count(*) > 1)")
+        for fk in contract.references:
+            if fk.table in _PARENTS and fk.column in have:
+                row(f"{fk.column}: references", f"count(*) FILTER ({fk.column} IS NOT NULL AND {fk.column} NOT IN (SELECT nat FROM {_PARENTS[fk.table]} WHERE nat IS NOT NULL))")
+    return f"WITH {', '.join(ctes)} SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+
+
+@query("warehouse_violations", _violations_sql())
+def warehouse_violations(spark, sf):
+    """Q01-Q10 over I02-I16: how often each rule of the contracts is broken in the integrated tables."""
+    a, b = _partners(spark, sf)
+    ids = {t: stored(df, t) for t, df in I.integrate_ids(a, b).items()}
+    later = dict(zip(("a", "b"), _partners(spark, sf, _UP_TO["contacts"])))
+    tables = {t: stored(I.integrate_table(t, *((later["a"], later["b"]) if t in _UP_TO else (a, b)), ids), t) for t in I.RESOLUTION}
+    lookup = raw(spark, sf, "orders").filter("o_orderpriority <> '5-LOW'").select(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)).alias("name")).distinct()
+    keys = {t: [c for c in CONTRACTS[t].id_columns()] for t in tables}
+    found = warehouse_contracts(tables, AS_OF, keys, {**ids, "lookup_majors": lookup, "lookup_apsubjects": lookup})
+    return found.groupBy("table", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 _ATT_COLS = "attendance_date, school_year, attendance_type"
 
 
