@@ -341,7 +341,7 @@ def bootstrap_auc_ci(spark, sf):
     oracle(
         "enrolment provider",
         f"""WITH {_WMATRIX}, lv AS (SELECT * FROM long WHERE feature <> 'spend'), {_auc_sql('lv', 'window_id, feature', 'y', 'value')},
-{_bootstrap_auc_sql('lv', 'window_id, feature', 'y', 'value', "'0|' || window_id || '|' || feature || '|' || CAST(value AS VARCHAR)")}
+{_bootstrap_auc_sql('lv', 'window_id, feature', 'y', 'value', "'0|' || window_id || '|' || feature || '|' || CAST(score AS VARCHAR)")}
 SELECT window_id, feature, round(a, 9) AS auc, CAST(np AS BIGINT) AS positives, CAST(nn AS BIGINT) AS negatives, round(lower, 9) AS lower, round(upper, 9) AS upper, replicates
 FROM aucs LEFT JOIN bi USING (window_id, feature)""",
     ),
