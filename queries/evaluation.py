@@ -500,6 +500,119 @@ def logit_scores(spark, sf):
     return scored.groupBy("x2").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("score"))
 
 
+_CELLS = "k AS (SELECT x2, x3, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p FROM d GROUP BY 1, 2)"
+
+
+def _newton_sql(penalty: float, steps: int = 25) -> str:
+    """CTEs that end in ``nw``: b0, b1, b2 of a penalised logistic regression on two binary features, by Newton steps over their four cells."""
+    cells = [(i, j) for i in (0, 1) for j in (0, 1)]
+    pick = lambda c, i, j: f"max(CASE WHEN x2 = {i} AND x3 = {j} THEN {c} ELSE 0 END) AS {c}{i}{j}"
+    prob = ", ".join(f"1 / (1 + exp(-(b0 + {i} * b1 + {j} * b2))) AS q{i}{j}" for i, j in cells)
+    total = lambda w, keep=lambda i, j: True: " + ".join(w.format(i=i, j=j) for i, j in cells if keep(i, j)) or "0"
+    err, bend = "(n{i}{j} * q{i}{j} - p{i}{j})", "n{i}{j} * q{i}{j} * (1 - q{i}{j})"
+    sums = {
+        "g0": total(err), "g1": f"{total(err, lambda i, j: i)} + {penalty} * b1", "g2": f"{total(err, lambda i, j: j)} + {penalty} * b2",
+        "h00": total(bend), "h01": total(bend, lambda i, j: i), "h02": total(bend, lambda i, j: j),
+        "h11": f"{total(bend, lambda i, j: i)} + {penalty}", "h12": total(bend, lambda i, j: i and j), "h22": f"{total(bend, lambda i, j: j)} + {penalty}",
+    }
+    det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+    s0 = "(g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2))"
+    s1 = "(h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02))"
+    s2 = "(h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02))"
+    return f"""{_CELLS}, kw AS (SELECT {', '.join(pick(c, i, j) for c in 'np' for i, j in cells)} FROM k),
+nr AS (SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, * FROM kw UNION ALL
+  SELECT step + 1, b0 - {s0} / {det}, b1 - {s1} / {det}, b2 - {s2} / {det}, * EXCLUDE (step, b0, b1, b2, {', '.join([*sums, *[f'q{i}{j}' for i, j in cells]])})
+  FROM (SELECT *, {', '.join(f'{e} AS {c}' for c, e in sums.items())} FROM (SELECT *, {prob} FROM nr WHERE step < {steps}))),
+nw AS (SELECT b0, b1, b2 FROM nr WHERE step = {steps})"""
+
+
+@query(
+    "logit_penalised",
+    f"""WITH RECURSIVE {_LABELLED}, {_newton_sql(20.0)} SELECT doc_id, round(1 / (1 + exp(-(b0 + b1 * x2 + b2 * x3))), 3) AS score FROM d, nw""",
+)
+def logit_penalised(spark, sf):
+    """Two features under a real penalty, row by row against Newton steps."""
+    d = _labelled(spark, sf)
+    scored = fit(ModelSpec("LogisticRegression", {"C": 0.05, "max_iter": 500}), d, ["x2", "x3"], "y").score(d)
+    return scored.select("doc_id", F.round("score", 3).alias("score"))
+
+
+@query("sgd_scores", f"WITH {_LABELLED}, s AS (SELECT x3, avg(y) AS score FROM d GROUP BY 1) SELECT doc_id, round(score, 3) AS score FROM d JOIN s USING (x3)")
+def sgd_scores(spark, sf):
+    """Logistic loss without a penalty to speak of on one binary feature gives the class shares."""
+    d = _labelled(spark, sf)
+    scored = fit(ModelSpec("SGD", {"loss": "log", "alpha": 1e-12, "max_iter": 500}), d, ["x3"], "y").score(d)
+    return scored.select("doc_id", F.round("score", 3).alias("score"))
+
+
+@query("forest_scores", f"WITH {_LABELLED}, {_CELLS} SELECT doc_id, round(p / n, 6) AS score, CAST(p / n > 0.5 AS INT) AS predicted FROM d JOIN k USING (x2, x3)")
+def forest_scores(spark, sf):
+    """Every tree of a forest without resampling holds the class shares of the feature cells."""
+    d = _labelled(spark, sf)
+    spec = ModelSpec("RandomForest", {"n_estimators": 100, "max_depth": 5, "max_features": None, "bootstrap": False})
+    return fit(spec, d, ["x2", "x3"], "y").score(d).select("doc_id", F.round("score", 6).alias("score"), "predicted")
+
+
+@query(
+    "gbc_scores",
+    f"""WITH RECURSIVE {_LABELLED}, {_CELLS},
+g AS (SELECT x2, x3, p / n AS s, 2 * p / n - 1 AS f, 1 AS trees FROM k UNION ALL
+  SELECT x2, x3, s, f + 0.1 * (4 * s / (1 + exp(2 * f)) - 4 * (1 - s) / (1 + exp(-2 * f))), trees + 1 FROM g WHERE trees < 100)
+SELECT doc_id, round(1 / (1 + exp(-2 * f)), 6) AS score, CAST(f > 0 AS INT) AS predicted FROM d JOIN g USING (x2, x3) WHERE trees = 100""",
+)
+def gbc_scores(spark, sf):
+    """100 rounds of gradient boosting; trees of depth 3 over two binary features make each of their cells a recursion of its own."""
+    d = _labelled(spark, sf)
+    spec = ModelSpec("GBC", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3})
+    return fit(spec, d, ["x2", "x3"], "y").score(d).select("doc_id", F.round("score", 6).alias("score"), "predicted")
+
+
+def _stumps_sql(rounds: int) -> str:
+    """CTEs that end in ``ab``: after the last round, per pair of feature values the weighted votes v and their total.
+
+    State: the weight of each (x2, x3, y) cell.  A round takes the feature with the
+    larger Gini gain; leaves of one class, or an error of a half, end it.
+    """
+    cells = [(i, j, y) for i in (0, 1) for j in (0, 1) for y in (0, 1)]
+    w = lambda keep: " + ".join(f"w{i}{j}{y}" for i, j, y in cells if keep(i, j, y))
+    first = ", ".join(f"max(CASE WHEN x2 = {i} AND x3 = {j} THEN {'p' if y else 'n - p'} ELSE 0 END) AS w{i}{j}{y}" for i, j, y in cells)
+    side = lambda f, v: (lambda i, j, y: (i, j)[f] == v)
+    impurity = lambda one, all_: f"(2 * ({one}) * (({all_}) - ({one})) / nullif({all_}, 0))"  # times the weight
+    sums = {f"a{f}{v}": w(side(f, v)) for f in (0, 1) for v in (0, 1)}
+    sums |= {f"o{f}{v}": w(lambda i, j, y, f=f, v=v: (i, j)[f] == v and y) for f in (0, 1) for v in (0, 1)}
+    sums["tot"] = w(lambda *_: True)
+    left = lambda f: " + ".join(f"coalesce({impurity(f'o{f}{v}', f'a{f}{v}')}, 0)" for v in (0, 1))
+    pickf = f"CASE WHEN {left(1)} < {left(0)} THEN 1 ELSE 0 END"
+    leaf = lambda v: f"CASE f WHEN 0 THEN CAST(o0{v} > a0{v} - o0{v} AS INT) ELSE CAST(o1{v} > a1{v} - o1{v} AS INT) END"
+    vote = lambda i, j: f"CASE CASE f WHEN 0 THEN {i} ELSE {j} END WHEN 0 THEN c0 ELSE c1 END"
+    miss = lambda i, j, y: f"CAST({vote(i, j)} <> {y} AS INT)"
+    bad = " + ".join(f"w{i}{j}{y} * {miss(i, j, y)}" for i, j, y in cells)
+    pairs = [(i, j) for i in (0, 1) for j in (0, 1)]
+    go = "c0 <> c1 AND err < 0.5"
+    return f"""{_CELLS}, ad AS (SELECT 0 AS step, FALSE AS done, 0.0::DOUBLE AS total, {', '.join(f'0.0::DOUBLE AS v{i}{j}' for i, j in pairs)}, {first} FROM k UNION ALL
+  SELECT step + 1, NOT ({go}) OR err = 0, total + CASE WHEN {go} THEN alpha ELSE 0 END,
+    {', '.join(f"v{i}{j} + CASE WHEN {go} THEN alpha * {vote(i, j)} ELSE 0 END" for i, j in pairs)},
+    {', '.join(f"CASE WHEN {go} THEN w{i}{j}{y} * exp(alpha * {miss(i, j, y)}) / tot ELSE w{i}{j}{y} END" for i, j, y in cells)}
+  FROM (SELECT *, CASE WHEN err > 0 AND err < 1 THEN ln((1 - err) / err) ELSE ln(1e10) END AS alpha FROM (SELECT *, ({bad}) / tot AS err FROM (SELECT *, {leaf(0)} AS c0, {leaf(1)} AS c1 FROM
+    (SELECT *, {pickf} AS f FROM (SELECT *, {', '.join(f'{e} AS {c}' for c, e in sums.items())} FROM ad WHERE step < {rounds} AND NOT done)))))),
+ab AS (SELECT * FROM ad ORDER BY step DESC LIMIT 1)"""
+
+
+@query(
+    "adaboost_scores",
+    f"""WITH RECURSIVE {_LABELLED.replace('quality AS y', 'CAST(n_chars % 10 < 2 + 3 * CAST(lang = ' + chr(39) + 'en' + chr(39) + ' AS INT) + 3 * CAST(n_chars > 1500 AS INT) AS INT) AS y')}, {_stumps_sql(50)}, r AS (SELECT doc_id, CASE WHEN x2 = 0 THEN CASE WHEN x3 = 0 THEN v00 ELSE v01 END ELSE CASE WHEN x3 = 0 THEN v10 ELSE v11 END END / CASE WHEN total = 0 THEN 1 ELSE total END AS v FROM d, ab)
+SELECT doc_id, round(v, 6) AS score, CAST(v > 0.5 AS INT) AS predicted FROM r""",
+)
+def adaboost_scores(spark, sf):
+    """50 rounds of boosted stumps on two binary features, against a recursion over the weights of their cells.
+
+    The label leans on both features, so that leaves have different classes for several rounds.
+    """
+    d = _labelled(spark, sf).withColumn("y", (F.col("x1") % 10 < 2 + 3 * F.col("x2") + 3 * F.col("x3")).cast("int"))
+    out = fit(ModelSpec("AdaBoost", {"n_estimators": 50}), d, ["x2", "x3"], "y").score(d)
+    return out.select("doc_id", F.round("score", 6).alias("score"), "predicted")
+
+
 @query(
     "tree_scores",
     f"""WITH {_LABELLED}, f AS (SELECT doc_id, 'x2' AS f, x2 AS x, y FROM d UNION ALL SELECT doc_id, 'x3', x3, y FROM d),
@@ -508,7 +621,7 @@ best AS (SELECT f FROM leaf GROUP BY f ORDER BY sum(n * p * (1 - p)), f LIMIT 1)
 SELECT doc_id, round(p, 9) AS score, CAST(p > 0.5 AS INT) AS predicted FROM f JOIN best USING (f) JOIN leaf USING (f, x)""",
 )
 def tree_scores(spark, sf):
-    """A tree of depth one, against a search of all splits."""
+    """A tree of depth one, against a search of all splits."""
     d = _labelled(spark, sf)
     return fit(ModelSpec("DTC", {"max_depth": 1}), d, ["x2", "x3"], "y").score(d).select("doc_id", F.round("score", 9).alias("score"), "predicted")
 
