@@ -220,8 +220,9 @@ def bootstrap_mean(
 def replicate_weight(key: str, replicate: int, seed: int = 0) -> Column:
     """The same Poisson(1) weight of a row in one replicate, as a column."""
     k1, k2 = weight_key(seed, [key])
-    square = lambda x: x * x % PRIME
-    mixed = lambda x: square(square(x)) * x % PRIME
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # no copies of the value in the plan
+    mixed = lambda x: once(x, lambda y: once(y * y % PRIME, lambda z: z * z % PRIME * y % PRIME))
     step = (F.lit(replicate * STREAMS + 1).cast("long") * STEP + k1) % PRIME
     u = (mixed((mixed(step) * SPREAD + k2) % PRIME) + 0.5) / PRIME
-    return sum((F.when(u >= F.lit(float(t)), 1.0).otherwise(0.0) for t in _thresholds(1)[:20]), F.lit(0.0))
+    below = F.array(*[F.lit(float(t)) for t in _thresholds(1)[:20]])
+    return once(u, lambda v: F.size(F.filter(below, lambda t: t <= v))).cast("double")
