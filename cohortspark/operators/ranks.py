@@ -48,10 +48,9 @@ def ordered_totals(
     ``slices``, a caller's monotone column of the value.
     """
     order = [order] if isinstance(order, str) else list(order)
-    if slices is None:
-        cut = ranged(cells, group, order, parts)
-    else:
-        cut = cells.withColumns({"__part": slices, "__k": F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0).alias("all"))})
+    if slices is not None:
+        return _sliced_totals(cells, group, order, sums, slices)
+    cut = ranged(cells, group, order, parts)
     per_part = cut.groupBy("__part", "__k").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     # a group has one row per part here
     earlier = W.partitionBy("__k").orderBy(F.col("__part").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
@@ -64,7 +63,7 @@ def ordered_totals(
     cut = cut.withColumn("__at", F.struct("__part"))
     inside = W.partitionBy("__at", "__k").orderBy(*[F.col(o).asc_nulls_last() for o in order]).rowsBetween(W.unboundedPreceding, -1)
     local = cut.withColumns({f"__l_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
-    if not group and slices is None:
+    if not group:
         offsets = F.broadcast(offsets)  # one row per partition
     joined = local.join(offsets, ["__at", "__k"])
     return joined.withColumns({f"{s}_before": F.col(f"__l_{s}") + F.col(f"__o_{s}") for s in sums}).drop(
@@ -72,6 +71,25 @@ def ordered_totals(
     )
 
 
+def _sliced_totals(cells: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str], slices: Column) -> DataFrame:
+    """:func:`ordered_totals` by the caller's slices; plain key columns, which sort faster than structs."""
+    sliced, keys = cells.withColumn("__slice", slices), [*group, "__slice"]
+    per_slice = sliced.groupBy(*keys).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    over_group = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
+    earlier = over_group.orderBy(F.col("__slice").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_slice.select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__o_{s}") for s in sums],
+        *[F.sum(f"__t_{s}").over(over_group).alias(f"{s}_total") for s in sums],
+    )
+    inside = W.partitionBy(*keys).orderBy(*[F.col(o).asc_nulls_last() for o in order]).rowsBetween(W.unboundedPreceding, -1)
+    local = sliced.withColumns({f"__l_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
+    joined = local.join(offsets, _null_safe(local, offsets, keys))
+    return joined.withColumns({f"{s}_before": F.col(f"__l_{s}") + F.col(f"__o_{s}") for s in sums}).drop(
+        "__slice", *[f"__r_{k}" for k in keys], *[f"__l_{s}" for s in sums], *[f"__o_{s}" for s in sums]
+    )
+
+
 def percent_rank_by(
     df: DataFrame, group: Sequence[str], value: str, out: str = "percent_rank", slices: Column | None = None
 ) -> DataFrame:
