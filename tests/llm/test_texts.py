@@ -354,6 +354,69 @@ def test_unclosed_head_hides_nothing(page):
     assert html.extract(page, dict(html.DEFAULT_WEIGHTS)) == "Body text of the page goes on"
 
 
+@pytest.mark.parametrize(
+    "names,boiler",
+    [
+        ("social-science", False), ("menu-recipe", False), ("cookie-history", False), ("lead", False), ("market-share", False), ("adventure", False), ("", False),
+        ("social-links", True), ("cookie-notice", True), ("ad ad-slot-3", True), ("siteHeader", True), ("post sidebar-left", True), ("comment-list", True), ("x newsletter", True),
+    ],
+)
+def test_names_of_boilerplate(names, boiler):
+    assert html.names_boiler(names) is boiler
+    page = f"<article><p>First words of it</p><div class='{names}'><p>The inner paragraph</p></div><p>Last words of it</p></article>"
+    assert html.extract(page, dict(html.DEFAULT_WEIGHTS)) == "First words of it\n" + "The inner paragraph\n" * (not boiler) + "Last words of it"
+
+
+def test_unspaced_words():
+    assert [html.n_words(t) for t in ("", "two words", "\u5929\u5730\u7384\u9ec4 a", "na\u00efve")] == [0, 2, 4, 1]
+
+
+def test_class_names_are_learned(spark):
+    """Pages that mark their article teach a class name of the rest; it then is cut out of unmarked pages, wherever its own sum is negative."""
+    rest = "<div class=zq><p>outside words of little use</p></div>"
+    marked = [(i, "u", f"<div class=wrap>{rest}<article><p>Story number {i} goes on</p><p class=lede>and on</p></article>{rest}</div>") for i in range(html.CLASS_PAGES)]
+    few = [(100, "u", "<div class=rare><p>seen once</p></div><article><p>words</p></article>")]
+    pages = spark.createDataFrame(marked + few, "page_id long, url string, html string")
+    weights = html.fit_weights(pages)
+    plain = html.weights_from(sum((html.labelled_counts(p[2]) for p in marked + few), Counter()))
+    assert weights == {k: v for k, v in plain.items() if k != "c:rare"}
+    assert weights["c:zq"] < -2 and "c:rare" not in weights and "c:lede" not in weights and abs(weights["c:wrap"]) < 0.2
+    story = "<p>First words of the story itself</p>"
+    page = f"<div class=wrap>{story}<div class=zq><p>to be cut here</p></div>{story}</div>"
+    assert html.extract(page, weights) == "\n".join(["First words of the story itself"] * 2)
+    # the name alone does not decide inside a marked article, nor over a marked article within
+    assert "to be kept" in html.extract(f"<article>{story}<div class=zq><p>to be kept</p></div></article>", weights)
+    assert html.extract(f"<div class=zq><article>{story}</article></div>", weights) == "First words of the story itself"
+
+
+def test_cut_out_by_brute_force():
+    """The nested sums against a recursive definition over random trees."""
+    rnd = random.Random(5)
+    weights = dict(html.DEFAULT_WEIGHTS, **{"c:a": -4.0, "c:b": -1.0, "c:c": 2.0})
+
+    def make(depth: int) -> str:
+        inner = "".join(make(depth - 1) if depth and rnd.random() < 0.5 else f"<p>{'w ' * rnd.randint(1, 6)}</p>" for _ in range(rnd.randint(1, 4)))
+        return f"<div class={rnd.choice('abcd')}>{inner}</div>"
+
+    for _ in range(60):
+        parents = [0]
+        parts = list(html.tokens(make(4), parents))
+
+        def total(i: int) -> float:
+            own = sum(html.score(t, weights) for t in parts if t.element == i)
+            return own + sum(total(j) for j in range(1, len(parents)) if parents[j] == i and not gone(j))
+
+        def gone(i: int) -> bool:
+            return total(i) < 0 and any(weights.get(f"c:{n}", 0.0) < 0 for t in parts if t.element == i for n in t.classes)
+
+        def dropped(i: int) -> bool:
+            return i > 0 and (gone(i) or dropped(parents[i]))
+
+        want = [dropped(t.element) for t in parts]
+        html.cut_out(parts, parents, weights)
+        assert [t.boiler for t in parts] == want
+
+
 def test_best_region():
     rnd = random.Random(2)
     for _ in range(200):
