@@ -28,10 +28,12 @@ PATTERNS = {
     "go away": r"(?i)\b(?:shut up|go to hell|drop dead|get lost|screw you)\b",
     "second person": r"(?i)\byou(?:r|rs)?\b",
 }
-#: Bounds of what is fitted: labelled rows, lexicon voters, shortest and longest stem.
-MAX_LABELLED, MAX_VOTERS, STEM_MIN, STEM_MAX = 12_000, 400, 4, 8
+#: Bounds of what is fitted: rows with and without an annotation, lexicon voters, shortest and longest stem.
+MAX_LABELLED, MAX_UNLABELLED, MAX_VOTERS, STEM_MIN, STEM_MAX = 12_000, 12_000, 400, 4, 8
 #: The least G statistic of a lexicon voter: what chance does not reach among many thousand words.
 LEAST_G = 24.0
+#: Rows added to each side of a firing rate (Laplace), and the doubt beyond which a row without annotation teaches the classifier nothing.
+SMOOTH, DOUBT = 1.0, 0.1
 #: Words whose voters a worker remembers.
 KNOWN_WORDS = 150_000
 _WORD = regex.compile(r"\p{L}+")
@@ -119,6 +121,11 @@ class Sparse:
         keep = place[self.at] >= 0
         return Sparse(np.r_[0, np.cumsum(keep)][self.ends], place[self.at[keep]], self.value[keep], len(columns))
 
+    def only(self, wanted: np.ndarray) -> Sparse:
+        """The rows where ``wanted`` holds."""
+        keep = wanted[self.row_of()]
+        return Sparse(np.r_[0, np.cumsum(np.diff(self.ends)[wanted])], self.at[keep], self.value[keep], self.width)
+
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row_of(), self.value * weights[self.at], self.rows)
 
@@ -140,47 +147,55 @@ class Sparse:
 
 @dataclass
 class LabelModel:
-    """Class-conditional firing rates of voters, and weights that discount correlated ones."""
+    """Class-conditional firing rates of voters, and weights that discount correlated ones, where they fire and where they do not."""
 
     prior: float
     fire_toxic: np.ndarray
     fire_clean: np.ndarray
     share: np.ndarray
+    share_off: np.ndarray
 
     def odds(self, votes: Sparse) -> np.ndarray:
         on = np.log(self.fire_toxic / self.fire_clean) * self.share
-        off = np.log((1 - self.fire_toxic) / (1 - self.fire_clean)) * self.share
+        off = np.log((1 - self.fire_toxic) / (1 - self.fire_clean)) * self.share_off
         return np.clip(np.log(self.prior / (1 - self.prior)) + off.sum() + votes.times(on - off), -30, 30)
 
 
 def fit_label_model(votes: Sparse, labels: np.ndarray, rounds: int = 15) -> tuple[LabelModel, np.ndarray]:
     """Expectation maximisation over the votes; the annotation is one more voter.
 
-    votes: rows x voters of 0/1; labels: 1, 0, or -1 where there is none.  The
+    votes: rows x voters of 0/1; labels: 1, 0, or -1 where there is none.  Rows
+    without an annotation get their posterior from the voters alone; they count from
+    the second round on, when the voters' rates are known from the others.  The
     annotation's accuracies are estimated like those of the other voters, but kept
     above three quarters, which ties the two classes to their meaning.  The
     correlation of two voters is that of their residuals within the classes; a voter
-    whose residuals go with those of others shares its evidence with them.
+    whose residuals go with those of others shares its evidence with them: by the
+    variance they have in common where it fires, and by the whole correlation where
+    it does not, since many silent voters of one subject say little more than one.
     Returns the model of the voters and the posterior of every row.
     """
     rows, m = votes.rows, votes.width
     given = labels >= 0
     p = np.where(given, np.where(labels == 1, 0.95, 0.05), 0.1)
-    share, model, post = np.ones(m), None, p
+    share, share_off, model, post = np.ones(m), np.ones(m), None, p
     for step in range(rounds):
-        w, v = post.sum() + 1e-9, (1 - post).sum() + 1e-9
-        prior = float(np.clip((post.sum() + 1) / (rows + 10), 1e-4, 0.9))
-        in_toxic, in_clean = votes.summed(post), votes.summed(1 - post)
-        hit, miss = np.clip((in_toxic + 0.05) / (w + 1), 1e-6, 1 - 1e-6), np.clip((in_clean + 0.05) / (v + 1), 1e-6, 1 - 1e-6)
+        counts = given.astype(float) if step == 0 and given.any() else np.ones(rows)
+        toxic, clean = post * counts, (1 - post) * counts
+        w, v = toxic.sum() + 1e-9, clean.sum() + 1e-9
+        prior = float(np.clip((toxic.sum() + 1) / (counts.sum() + 10), 1e-4, 0.9))
+        in_toxic, in_clean = votes.summed(toxic), votes.summed(clean)
+        hit, miss = np.clip((in_toxic + SMOOTH) / (w + 2 * SMOOTH), 1e-6, 1 - 1e-6), np.clip((in_clean + SMOOTH) / (v + 2 * SMOOTH), 1e-6, 1 - 1e-6)
         if step in (1, rounds // 2):  # correlations, from the residuals votes - post x hit - (1 - post) x miss, expanded
             mean = np.outer(in_toxic, hit) + np.outer(in_clean, miss)
             both = (post * (1 - post)).sum() * np.outer(hit, miss)
             fitted = (post * post).sum() * np.outer(hit, hit) + ((1 - post) ** 2).sum() * np.outer(miss, miss) + both + both.T
             cross = (votes.gram(np.ones(rows)) - mean - mean.T + fitted) / rows
             sd = np.sqrt(np.maximum(np.diag(cross), 0)) + 1e-9
-            corr = np.abs(cross / np.outer(sd, sd))
-            share = 1 / np.maximum(1, np.where(corr > 0.2, corr, 0).sum(1))
-        model = LabelModel(prior, hit, miss, share)
+            corr = cross / np.outer(sd, sd)
+            together = np.where(corr > 0.2, corr, 0)
+            share, share_off = 1 / np.maximum(1, (together**2).sum(1)), 1 / np.maximum(1, together.sum(1))
+        model = LabelModel(prior, hit, miss, share, share_off)
         sens = np.clip((post * (labels == 1)).sum() / max((post * given).sum(), 1e-9), 0.75, 0.995)
         spec = np.clip(((1 - post) * (labels == 0)).sum() / max(((1 - post) * given).sum(), 1e-9), 0.75, 0.995)
         says = np.where(labels == 1, np.log(sens / (1 - spec)), np.where(labels == 0, np.log((1 - sens) / spec), 0.0))
@@ -231,17 +246,27 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> DataFrame:
-    """(id, toxic, text) of at most about ``max_rows`` labelled rows that are not held out, by a hash of the id.
+def fitting_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int, max_unlabelled: int) -> DataFrame:
+    """(doc_id, toxic, text) of at most about ``max_labelled`` annotated rows and ``max_unlabelled`` without an annotation (toxic null).
 
-    An id with several labels counts as toxic if one of them says so.
+    Both are chosen by a hash of the id and none is held out.  An id with several
+    labels counts as toxic if one of them says so; of several texts of an id the one
+    with the least hash counts.
     """
-    use = labels.filter(~held_out("doc_id") & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1_000_000))
+    usable = ~held_out("doc_id") & F.col("doc_id").isNotNull()
+    use = labels.filter(usable & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     n = use.count()
-    cut = 1_000_000 if n <= max_rows else int(1_000_000 * max_rows / n)
-    use = use.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    cut = 1_000_000 if n <= max_labelled else int(1_000_000 * max_labelled / n)
+    known = use.filter(place(F.col("doc_id")) < cut).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = docs.select(col(id_col).alias("doc_id")).filter(usable)
+    rest = max(docs.count() - n, 1)  # held-out rows among them: fewer are chosen, never more
+    cut = 1_000_000 if rest <= max_unlabelled else int(1_000_000 * max_unlabelled / rest)
+    near = lambda df: df.select("doc_id").filter(place(F.col("doc_id")) < cut).distinct()
+    blank = near(ids).join(near(use), "doc_id", "left_anti").select("doc_id", F.lit(None).cast(use.schema["toxic"].dataType).alias("toxic"))
     texts = docs.select(col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    return texts.join(F.broadcast(use), "doc_id")  # max_rows bounds it
+    found = texts.join(F.broadcast(known.unionAll(blank)), "doc_id")  # the two bounds bound it
+    return found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def candidate_voters(sample: DataFrame, max_voters: int) -> list[str]:
@@ -260,6 +285,7 @@ def candidate_voters(sample: DataFrame, max_voters: int) -> list[str]:
                 [pa.array(part), pa.array([toxic[s] for s in part], pa.int64()), pa.array([clean[s] for s in part], pa.int64())], names=["stem", "a", "b"]
             )
 
+    sample = sample.filter(F.col("toxic").isNotNull())
     rows = sample.select("text", "toxic").mapInArrow(count, "stem string, a long, b long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = sample.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
     p, n = float(totals["p"] or 0), float(totals["n"])
@@ -275,14 +301,17 @@ def candidate_voters(sample: DataFrame, max_voters: int) -> list[str]:
     return [r["stem"] for r in best.collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS) -> Model:
-    """Voters from the lexicon and the labelled sample, label model, and classifier on its posteriors.
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS, max_unlabelled: int = MAX_UNLABELLED,
+) -> Model:
+    """Voters from the lexicon and the annotated rows, label model over rows with and without annotation, classifier on its posteriors.
 
-    Only the sample of at most about ``max_labelled`` labelled rows is read here; of
-    it the driver gets the votes (``max_voters`` a row at most), never the texts.
+    Only a sample of at most about ``max_labelled`` and ``max_unlabelled`` rows is read here;
+    of it the driver gets the votes (``max_voters`` a row at most), never the texts.
     Without labels of both classes the hand-written voters decide by themselves.
     """
-    sample = labelled_sample(docs, labels, id_col, text_col, max_labelled).persist()
+    sample = fitting_sample(docs, labels, id_col, text_col, max_labelled, max_unlabelled).persist()
     try:
         found = candidate_voters(sample, max_voters)
         voters = list(dict.fromkeys([*found, *[f"={w}" for w in LEXICON]]))
@@ -306,9 +335,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sample.unpersist()
     n, at = len(voters), got.column("at").combine_chunks()
     x = Sparse(at.offsets.to_numpy().astype(np.int64), at.values.to_numpy(), got.column("value").combine_chunks().values.to_numpy().astype(np.float64), 2 * n + len(PATTERNS))
-    labels_ = (got.column("toxic").to_numpy() == 1).astype(np.int64)
+    annotation = got.column("toxic").to_pandas()
+    labels_ = np.where(annotation.isna(), -1, annotation == 1).astype(np.int64)
     _, target = fit_label_model(x.part(np.r_[:n, 2 * n : x.width]), labels_)
-    weights, bias = fit_classifier(x, target)
+    sure = (labels_ >= 0) | (target < DOUBT) | (target > 1 - DOUBT)
+    weights, bias = fit_classifier(x.only(sure), target[sure])
     return Model(voters, weights, bias)
 
 

@@ -60,23 +60,29 @@ def features(text, names):
 
 
 def plain_em(votes, y):
+    """y: 1, 0, or -1 without an annotation."""
     n, m = votes.shape
-    post, share = np.where(y == 1, 0.95, 0.05), np.ones(m)
+    post, share = np.select([y == 1, y == 0], [0.95, 0.05], 0.1), np.ones(m)
+    silent = np.ones(m)
     for step in range(15):
-        prior = min(max((post.sum() + 1) / (n + 10), 1e-4), 0.9)
-        hit = np.clip((post @ votes + 0.05) / (post.sum() + 1), 1e-6, 1 - 1e-6)
-        miss = np.clip(((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1), 1e-6, 1 - 1e-6)
+        seen = np.flatnonzero(y >= 0) if step == 0 else np.arange(n)
+        p, rows = post[seen], votes[seen]
+        prior = min(max((p.sum() + 1) / (len(seen) + 10), 1e-4), 0.9)
+        hit = np.clip((p @ rows + 1) / (p.sum() + 2), 1e-6, 1 - 1e-6)
+        miss = np.clip(((1 - p) @ rows + 1) / ((1 - p).sum() + 2), 1e-6, 1 - 1e-6)
         if step in (1, 7):
             r = votes - np.outer(post, hit) - np.outer(1 - post, miss)
             sd = np.sqrt((r**2).mean(0)) + 1e-9
-            corr = np.abs(r.T @ r / n / np.outer(sd, sd))
-            share = 1 / np.maximum(1, np.where(corr > 0.2, corr, 0).sum(1))
+            corr = r.T @ r / n / np.outer(sd, sd)
+            share = 1 / np.maximum(1, np.where(corr > 0.2, corr**2, 0).sum(1))
+            silent = 1 / np.maximum(1, np.where(corr > 0.2, corr, 0).sum(1))
         odds = np.full(n, math.log(prior / (1 - prior)))
         for j in range(m):
-            odds += share[j] * np.where(votes[:, j] == 1, math.log(hit[j] / miss[j]), math.log((1 - hit[j]) / (1 - miss[j])))
-        sens = min(max((post * (y == 1)).sum() / post.sum(), 0.75), 0.995)
-        spec = min(max(((1 - post) * (y == 0)).sum() / (1 - post).sum(), 0.75), 0.995)
-        says = np.where(y == 1, math.log(sens / (1 - spec)), math.log((1 - sens) / spec))
+            odds += np.where(votes[:, j] == 1, share[j] * math.log(hit[j] / miss[j]), silent[j] * math.log((1 - hit[j]) / (1 - miss[j])))
+        given = y >= 0
+        sens = min(max((post * (y == 1)).sum() / (post * given).sum(), 0.75), 0.995)
+        spec = min(max(((1 - post) * (y == 0)).sum() / ((1 - post) * given).sum(), 0.75), 0.995)
+        says = np.select([y == 1, y == 0], [math.log(sens / (1 - spec)), math.log((1 - sens) / spec)], 0.0)
         post = 1 / (1 + np.exp(-np.clip(np.clip(odds, -30, 30) + says, -30, 30)))
     return post
 
@@ -95,17 +101,39 @@ def plain_logistic(x, t):
 
 def test_scores_equal_the_plain_version(spark):
     docs, labels = table()
-    use = [(t, y) for (i, t), (_, _, y) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5]
-    names = voters(use)
-    x = np.array([features(t, names) for t, _ in use])
+    labels = [r for r in labels if r[0] % 3]  # every third document has no annotation
+    truth = {i: y for i, _, y in labels}
+    in_training = [(t, truth.get(i, -1)) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    names = voters([(t, y) for t, y in in_training if y >= 0])
+    x = np.array([features(t, names) for t, _ in in_training])
+    y = np.array([y for _, y in in_training])
     n = len(names)
-    target = plain_em(np.hstack([x[:, :n], x[:, 2 * n :]]), np.array([y for _, y in use]))
-    w = plain_logistic(x, target)
+    post = plain_em(np.hstack([x[:, :n], x[:, 2 * n :]]), y)
+    sure = (y >= 0) | (post < 0.1) | (post > 0.9)
+    assert (y < 0).any() and not sure.all() and post[(y < 0) & sure].max() > 0.9
+    assert ((post >= 0.5) != (y == 1))[y >= 0].any()  # the voters outvote wrong annotations
+    w = plain_logistic(x[sure], post[sure])
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert sorted(model.voters) == sorted(names)
     got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
     for i, t in docs:
         assert got[i] == pytest.approx(1 / (1 + math.exp(-(np.array(features(t, names)) @ w[:-1] + w[-1]))), abs=1e-5)
-    held = [(got[i] >= 0.5, y) for (i, _), (_, _, y) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5 == 0]
+    held = [(got[i] >= 0.5, y) for i, y in truth.items() if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(a == b for a, b in held) / len(held) > 0.85
+
+
+def test_sample_of_both_kinds(spark):
+    docs = [(i, f"text {i}") for i in range(2000)] + [(7, "again"), (7, "again"), (None, "no id")]
+    labels = [(i, 1, i % 2) for i in range(0, 1000)] + [(3, 1, 0), (None, 1, 1), (1500, 1, None), (9_999, 1, 1)]
+    sample = lambda a, b: {
+        r.doc_id: (r.toxic, r.text)
+        for r in toxicity.fitting_sample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", "text", a, b).collect()
+    }
+    out = {i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = sample(10_000, 10_000)
+    assert set(got) == set(range(2000)) - out and got[7][1] in ("text 7", "again")
+    assert all(t == (i % 2 if i < 1000 else None) for i, (t, _) in got.items())
+    few = sample(100, 200)
+    assert 50 < sum(t is not None for t, _ in few.values()) < 160 and 80 < sum(t is None for t, _ in few.values()) < 260
+    assert set(few.items()) <= set(got.items())
