@@ -181,6 +181,18 @@ def test_neighbours_prune_and_bound_copies(spark):
     assert nearest(df, df, 3, "id", "id", "v", "y").columns == nearest(df, none, 3, "id", "id", "v", "y").columns
 
 
+def test_neighbours_out_of_no_order_travel_in_groups(spark):
+    """Points without clusters: nothing is passed over, and yet a query is copied once per cell, not once per block."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 24))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<double>, y int").repartition(4)
+    seen, got = {}, {}
+    for r in nearest(df, df, 3, "id", "id", "v", "y", True, block_rows=4, query_rows=90, visited=seen).collect():
+        got.setdefault(r.id, []).append((r.distance, r.neighbour))
+    assert {i: [j for _, j in sorted(n)] for i, n in got.items()} == _brute(list(enumerate(x)), 3)
+    assert seen["visits"] > 0.9 * seen["queries"] * seen["blocks"] > 100 * seen["queries"] and seen["copies"] <= 20 * seen["queries"]
+
+
 def test_neighbour_ties_do_not_depend_on_partitions(spark):
     train = spark.createDataFrame([(float(i % 3), int(i % 2)) for i in range(30)], "x double, y int")
     test = spark.createDataFrame([(1, 0.5), (2, 1.5)], "row_key long, x double")
