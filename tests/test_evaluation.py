@@ -1,6 +1,7 @@
 """Metrics, resampling, models: edge cases and brute-force comparisons."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -193,6 +194,24 @@ def test_neighbours_out_of_no_order_travel_in_groups(spark):
     assert seen["visits"] > 0.9 * seen["queries"] * seen["blocks"] > 100 * seen["queries"] and seen["copies"] <= 20 * seen["queries"]
 
 
+def test_neighbours_pass_over_all_points_of_their_id(spark):
+    """Ids that repeat more often than k, and null ids: still k others each."""
+    rows = [(i // 5, [float(i // 5), 0.0], i) for i in range(40)] + [(None, [0.1, 0.0], -1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    got = {}
+    for r in nearest(df, df, 3, "id", "id", "v", "y", exclude_self=True).collect():
+        got.setdefault(r.id, []).append((r.distance, r.neighbour))
+    assert got == {i: [(1.0, i - 1 if i else 1)] * 3 for i in range(8)}
+
+
+def test_frames_of_a_search_are_bounded():
+    from cohortspark.operators import models as MO
+
+    frame = pd.DataFrame({"x": range(10_000)})
+    parts = list(MO._slices([frame, frame.iloc[:0]], 1024))
+    assert pd.concat(parts).equals(frame) and max(map(len, parts)) * 1024 <= MO._SCRATCH
+
+
 def test_neighbour_ties_do_not_depend_on_partitions(spark):
     train = spark.createDataFrame([(float(i % 3), int(i % 2)) for i in range(30)], "x double, y int")
     test = spark.createDataFrame([(1, 0.5), (2, 1.5)], "row_key long, x double")
