@@ -63,16 +63,19 @@ def spread_null_key(key: Column, spread_on: Sequence[str]) -> Column:
     return F.coalesce(key.cast("string"), F.concat(F.lit("\u0000"), salt))
 
 
-def resolve_id(df: DataFrame, ids: DataFrame, on: str, id_col: str, id_name: str, how: str = "left") -> DataFrame:
-    """Add the surrogate id found through one external id; a null id never matches."""
+def resolve_id(df: DataFrame, ids: DataFrame, on: str, id_col: str, id_name: str, how: str = "left", keep: Sequence[str] = ()) -> DataFrame:
+    """Add the surrogate id found through one external id; a null id never matches.
+
+    ``keep`` names columns of ``ids`` to add too; with it the key stays as ``__key``.
+    """
     key = ids.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("string").alias("__key"), F.col(id_name)
+        F.col(id_col).cast("string").alias("__key"), F.col(id_name), *keep
     )
     if how == "inner":
         left = df.filter(F.col(on).isNotNull()).withColumn("__key", F.col(on).cast("string"))
     else:
         left = df.withColumn("__key", spread_null_key(F.col(on), df.columns))
-    return left.join(key, "__key", how).drop("__key")
+    return left.join(key, "__key", how).drop(*([] if keep else ["__key"]))
 
 
 @dataclass(frozen=True)
@@ -95,21 +98,47 @@ class PartnerSource:
     empty_ids: Sequence[str] = field(default_factory=tuple)
 
 
+def _reached_once(parts: Sequence[PartnerSource], id_name: str) -> DataFrame | None:
+    """``(id, __own)``: whether one key of one partner alone leads to the id; None where an id may come another way."""
+    found = [[lk for lk in part.lookups if lk.id_name == id_name] for part in parts]
+    for part, lks in zip(parts, found):
+        if len(lks) > 1 or (not lks and id_name in part.frame.columns and id_name not in part.empty_ids):
+            return None
+    keys = [lk.ids.filter(F.col(lk.id_col).isNotNull()).select(id_name) for lks in found for lk in lks]
+    if not keys:
+        return None
+    return reduce(lambda a, b: a.unionByName(b), keys).groupBy(id_name).agg((F.count(F.lit(1)) == 1).alias("__own"))
+
+
 def integrate(parts: Sequence[PartnerSource], id_columns: Sequence[str], data_columns: Sequence[str]) -> DataFrame:
     """Resolve each partner's ids, line columns up by name, distinct union.
 
-    The union also removes exact duplicate facts inside one partner.
+    The union also removes exact duplicate facts inside one partner.  Rows with an id
+    of their own, which one key of one partner alone leads to, can equal only rows of
+    that key; these meet where the key is joined, so only the others (unknown or shared
+    ids) are shuffled once more to meet across keys and partners.
     """
-    out = []
+    once = _reached_once(parts, id_columns[0]) if id_columns else None
+    own, other = [], []
     for part in parts:
-        df = part.frame
-        for lk in part.lookups:
-            df = resolve_id(df, lk.ids, lk.on, lk.id_col, lk.id_name, lk.how)
+        df, keyed = part.frame, False
+        # the first id last, so that rows lie by its key
+        for lk in sorted(part.lookups, key=lambda lk: lk.id_name == id_columns[0]) if once is not None else part.lookups:
+            keyed = once is not None and lk.id_name == id_columns[0]
+            ids = lk.ids.join(once, lk.id_name, "left") if keyed else lk.ids
+            df = resolve_id(df, ids, lk.on, lk.id_col, lk.id_name, lk.how, ["__own"] if keyed else ())
         for c in part.empty_ids:
             df = df.withColumn(c, F.lit(None).cast("bigint"))
         have = set(df.columns)
-        out.append(df.select(*[c for c in [*id_columns, *data_columns] if c in have]))
-    united = union_distinct(out)
+        wanted = [c for c in [*id_columns, *data_columns] if c in have]
+        if keyed:
+            # a filter on an aggregate's outcome stays above it, so that both readings share the shuffles below
+            rows = df.groupBy("__key", *wanted).agg(F.max("__own").alias("__own"))
+            own.append(rows.filter("__own").select(*wanted))
+            other.append(rows.filter("__own IS NOT TRUE").select(*wanted))
+        else:
+            other.append(df.select(*wanted))
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*own, union_distinct(other)])
     return united.select(*[c for c in [*id_columns, *data_columns] if c in united.columns])
 
 

@@ -808,7 +808,8 @@ def integrate_summary(spark, sf):
         sides = (later["a"], later["b"]) if table in _UP_TO else (a, b)
         c = next(c for c in CONTRACTS[table].id_columns() if c != "enrollid")
         part = I.integrate_table(table, *sides, ids).agg(F.count(F.lit(1)).alias("rows"), F.count(c).alias("with_id"), F.count_distinct(c).alias("ids"))
-        part = part.select(F.lit(table).alias("table"), "rows", "with_id", "ids")
+        # one table at a time: what it shuffled goes before the next one begins
+        part = stored(part.select(F.lit(table).alias("table"), "rows", "with_id", "ids"), f"summary-{table}")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -215,3 +215,37 @@ def test_repeated_updates_do_not_multiply_rows(spark):
     target = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (2, "c", 0)], "id int, v string, w int")
     updates = spark.createDataFrame([(2, 5), (2, 7), (3, 9)], "id int, w int")
     assert sorted(map(tuple, add_columns(target, updates, "id", ["w"]).collect())) == [(1, "a", 0), (2, "b", 7), (2, "c", 7)]
+
+
+def test_integrate_shuffles_rows_of_unknown_or_shared_ids_only(spark):
+    """Own, shared and unknown ids, copies inside and across partners: the distinct union, whatever way rows take."""
+    import itertools
+
+    ids = spark.createDataFrame([(1, "p", None), (2, "q", None), (3, "r", "x"), (4, None, "y"), (5, None, "z")], "studentid long, a_id string, b_id string")
+    a = spark.createDataFrame([*itertools.product(("p", "q", "r", "none", "no", None), (7, 8, None))] * 2, "ak string, v int")
+    b = spark.createDataFrame([*itertools.product(("x", "y", "z", "none", None), (7, 9, None))] * 3, "bk string, v int")
+    for how in ("left", "inner"):
+        parts = [J.PartnerSource(a, [J.IdLookup(ids, "ak", "a_id", "studentid", how)]), J.PartnerSource(b, [J.IdLookup(ids, "bk", "b_id", "studentid", how)])]
+        got = [tuple(r) for r in J.integrate(parts, ["studentid"], ["v"]).collect()]
+        at = {**{k: n for n, k, _ in ids.collect() if k}, **{k: n for n, _, k in ids.collect() if k}}
+        want = {(at.get(k), v) for k, v in [*a.collect(), *b.collect()] if how == "left" or k in at}
+        assert len(got) == len(set(got)) and set(got) == want
+    assert {r.studentid: r["__own"] for r in J._reached_once(parts, "studentid").collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_first_partitions_and_freed_shuffles(spark):
+    """A task's share does not follow the session's number of partitions; a stored table's shuffles are gone."""
+    from cohortspark import session
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert int(session.tune(spark).conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == session.FIRST_PARTITIONS > 3
+        spark.conf.set("spark.sql.shuffle.partitions", "1000")
+        assert int(session.tune(spark).conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        session.tune(spark)
+    held = spark.conf.get(session._CLEANUP)
+    kept = session.stored(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert kept.count() == 7 and spark.conf.get(session._CLEANUP) == held
