@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortspark.operators import metrics as E
+from cohortspark.operators import metrics as E  # noqa: F401 (read by tests as refit.E)
 from cohortspark.operators.resample import _interval, poisson_weights, weight_key
 from cohortspark.operators.rows import any_null, quoted
 from cohortspark.session import stored
@@ -28,6 +29,9 @@ BLOCK_NUMBERS, ROWS, FAN = 1 << 17, 1024, 32
 LEAST_PENALTY = 1e-9
 #: Scores are compared to this many digits: what differs less is a tie.
 SCORE_DIGITS = 9
+#: Distinct test rows scored at once, test rows of a range of one fit's scores (about), sampled rows that set a range's
+#: bounds, and fits in a batch of runs.
+CELLS, RANGE, RANGE_SAMPLE, RUN_FITS = 1 << 15, 1 << 17, 64, 16
 
 
 @dataclass(frozen=True)
@@ -77,6 +81,11 @@ def _rows(df: DataFrame, features: Sequence[str], label: str, extra: Sequence[Co
     )
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` on every core: few bytes, which adaptive execution would put into a task or two, but each row meets all fits."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -107,7 +116,7 @@ def fit_many(
     features = sorted({f for g in groups.values() for f in g})
     at = {name: [features.index(f) for f in g] for name, g in groups.items()}
     a, b = weighting.key(key)
-    rows = stored(_rows(train, features, label, [a.alias("a"), b.alias("b")]), "refit")
+    rows = stored(_dealt(_rows(train, features, label, [a.alias("a"), b.alias("b")])), "refit")
     n = weighting.fits
     state = {g: _State(n, len(cols) + 1, C) for g, cols in at.items()}
     for _ in range(max_iter):
@@ -192,6 +201,11 @@ def _pass(rows: DataFrame, features, at, moving, weighting: Weighting) -> dict[s
     return out
 
 
+def _test_cells(test: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(x, p, n): test rows of each class per feature vector."""
+    return _rows(test, features, label).groupBy("x").agg(F.count(F.when(F.col("y") == 1, 1)).alias("p"), F.count(F.when(F.col("y") == 0, 1)).alias("n"))
+
+
 def replicate_cells(test: DataFrame, groups: Mapping[str, Sequence[str]], label: str, coef: Mapping[str, np.ndarray]) -> DataFrame:
     """(feature_group, rep, score, p, n): test rows of each class per score of each fit.
 
@@ -199,7 +213,7 @@ def replicate_cells(test: DataFrame, groups: Mapping[str, Sequence[str]], label:
     exist only as distinct feature vectors x fits.
     """
     features = sorted({f for g in groups.values() for f in g})
-    cells = _rows(test, features, label).groupBy("x").agg(F.count(F.when(F.col("y") == 1, 1)).alias("p"), F.count(F.when(F.col("y") == 0, 1)).alias("n"))
+    cells = _test_cells(test, features, label)
     at = {name: [features.index(f) for f in g] for name, g in groups.items()}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +236,88 @@ def replicate_cells(test: DataFrame, groups: Mapping[str, Sequence[str]], label:
     return long.groupBy("feature_group", "rep", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
+def _summed(score: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct scores in ascending order (NaN equals NaN and comes last) and their counts."""
+    order = score.argsort(kind="stable")
+    score, p, n = score[order], p[order], n[order]
+    first = np.flatnonzero(np.r_[True, (score[1:] != score[:-1]) & ~np.isnan(score[:-1])])
+    return score[first], np.add.reduceat(p, first), np.add.reduceat(n, first)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows, the last one of fewer."""
+    held, count = [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            cut = batch.slice(lo, rows)
+            if count + cut.num_rows > rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, count = [], 0
+            held.append(cut)
+            count += cut.num_rows
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def replicate_aucs(test: DataFrame, groups: Mapping[str, Sequence[str]], label: str, coef: Mapping[str, np.ndarray]) -> DataFrame:
+    """(feature_group, rep, auc, positives, negatives): the exact AUC of every fit, as ``auc_of_cells`` of :func:`replicate_cells` has it.
+
+    A task sorts its test rows by the scores of each fit and sends them as runs,
+    packed, cut at bounds that a sample of the rows sets per fit; runs of a range
+    meet and are merged, and ranges add up by their totals.  So rows x fits travel
+    as numbers, not as rows of their own, and a task holds a range of one fit.
+    Writes the distinct test rows to the shared folder and runs a few small jobs when called.
+    """
+    features = sorted({f for g in groups.values() for f in g})
+    at = {name: [features.index(f) for f in g] for name, g in groups.items()}
+    names = list(groups)
+    cells = stored(_dealt(_test_cells(test, features, label)), "refit-cells")
+    ranges = max(1, -(-cells.count() // RANGE))
+    scores = lambda g, x, fits: np.round(x[:, [*at[g], -1]] @ coef[g][fits].T, SCORE_DIGITS) + 0.0
+    bounds = {g: np.empty((0, len(coef[g]))) for g in names}
+    if ranges > 1:
+        # the bounds say where rows meet, not what is counted
+        few = cells.select("x").orderBy(F.xxhash64("x"), "x").limit(ranges * RANGE_SAMPLE).collect()
+        few = np.column_stack([np.array([r["x"] for r in few]), np.ones(len(few))])
+        places = np.arange(1, ranges) * len(few) // ranges
+        bounds = {g: np.sort(scores(g, few, slice(None)), axis=0)[places] for g in names}
+    kind = pa.schema([("g", pa.int32()), ("rep", pa.int32()), ("at", pa.int32()), ("score", pa.binary()), ("p", pa.binary()), ("n", pa.binary())])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, CELLS):
+            x = np.column_stack([_matrix(batch, len(features)), np.ones(batch.num_rows)])
+            p, n = batch.column("p").to_numpy(), batch.column("n").to_numpy()
+            for i, g in enumerate(names):
+                for lo in range(0, len(coef[g]), RUN_FITS):
+                    z, out = scores(g, x, slice(lo, lo + RUN_FITS)), []
+                    for j in range(z.shape[1]):
+                        s, *counts = _summed(z[:, j], p, n)
+                        packed = np.uint8 if max(c.max() for c in counts) < 256 else np.int64
+                        a, b = (c.astype(packed) for c in counts)
+                        cut = [0, *np.searchsorted(s, bounds[g][:, lo + j], side="right"), len(s)]
+                        out += [(i, lo + j, r, s[u:v].tobytes(), a[u:v].tobytes(), b[u:v].tobytes()) for r, (u, v) in enumerate(zip(cut, cut[1:])) if u < v]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kind.types)], schema=kind)
+
+    def merge(t: pa.Table) -> pa.Table:
+        score = [np.frombuffer(v.as_buffer()) for v in t.column("score")]
+        count = lambda c: np.concatenate([np.frombuffer(v.as_buffer(), np.uint8 if v.as_buffer().size == len(s) else np.int64).astype(np.int64) for v, s in zip(t.column(c), score)])
+        _, p, n = _summed(np.concatenate(score), count("p"), count("n"))
+        # a pair of equal scores is half a win
+        wins = int((p * (2 * (np.cumsum(n) - n) + n)).sum()) / 2
+        return t.select(["g", "rep", "at"]).slice(0, 1).append_column("w", pa.array([wins])).append_column("p", pa.array([int(p.sum())])).append_column("n", pa.array([int(n.sum())]))
+
+    made = cells.mapInArrow(runs, "g int, rep int, at int, score binary, p binary, n binary")
+    made = made.groupBy("g", "rep", "at").applyInArrow(merge, "g int, rep int, at int, w double, p long, n long")
+    lower = W.partitionBy("g", "rep").orderBy("at").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    placed = made.withColumn("below", F.coalesce(F.sum("n").over(lower), F.lit(0)))
+    positives, negatives = F.sum("p"), F.sum("n")
+    pairs = positives.cast("double") * negatives
+    auc = F.when(pairs > 0, F.sum(F.col("w") + F.col("p").cast("double") * F.col("below")) / pairs)
+    found = placed.groupBy("g", "rep").agg(auc.alias("auc"), positives.alias("positives"), negatives.alias("negatives"))
+    named = F.get(F.array(*[F.lit(g) for g in names]), F.col("g"))
+    return found.select(named.alias("feature_group"), "rep", "auc", "positives", "negatives")
+
+
 def auc_by_feature_group(
     train: DataFrame, test: DataFrame, groups: Mapping[str, Sequence[str]], label: str, key: str, n_boot: int = 1500, alpha: float = 0.05, C: float = 1.0, seed: int = 0
 ) -> DataFrame:
@@ -231,8 +327,7 @@ def auc_by_feature_group(
     weights of the training rows; refits whose AUC is unknown are left out.
     """
     coef = fit_many(train, key, groups, label, Bootstrap(n_boot, seed), C)
-    aucs = E.auc_of_cells(replicate_cells(test, groups, label, coef), ["feature_group", "rep"])
-    aucs = stored(aucs, "refit-auc")  # fits x groups rows
+    aucs = stored(replicate_aucs(test, groups, label, coef), "refit-auc")  # fits x groups rows
     spread = _interval(aucs.filter("rep > 0"), ["feature_group"], "auc", alpha)
     return spread.join(aucs.filter("rep = 0").select("feature_group", "auc"), "feature_group").select("feature_group", "lower", "auc", "upper", "replicates")
 

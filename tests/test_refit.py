@@ -73,6 +73,30 @@ def test_replicate_cells_against_plain_scores(spark, data):
         assert got[r] == pytest.approx((pos[:, None] > neg).mean(), abs=1e-9)
 
 
+def test_aucs_of_packed_runs_equal_those_of_cells(spark, data, monkeypatch):
+    """Many ranges, short runs, ties, counts beyond a byte and unknown scores: the same AUC, bit by bit, and no row per test row and fit."""
+    groups = {"all": ["a", "b"], "cd": ["cd"]}
+    coef = refit.fit_many(data, "id", groups, "y", refit.Bootstrap(20))
+    coef["cd"][3] = np.nan
+    test = data.unionByName(data.select("id", F.round("a", 0).alias("a"), F.lit(1.0).alias("b"), "cd", "y").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(299)))))
+    want = {(r.feature_group, r.rep): tuple(r) for r in refit.E.auc_of_cells(refit.replicate_cells(test, groups, "y", coef), ["feature_group", "rep"]).collect()}
+    for rows, span in ((refit.CELLS, refit.RANGE), (50, 40)):
+        monkeypatch.setattr(refit, "CELLS", rows)
+        monkeypatch.setattr(refit, "RANGE", span)
+        out = refit.replicate_aucs(test, groups, "y", coef)
+        got = {(r.feature_group, r.rep): tuple(r) for r in out.collect()}
+        assert len(got) == 42 and got == want
+    assert got["cd", 3][2] == 0.5
+    monkeypatch.setattr(refit, "replicate_cells", None)
+    assert refit.auc_by_feature_group(data, test, groups, "y", "id", n_boot=5).count() == 2
+
+
+def test_fits_spread_over_all_cores(spark, data):
+    """Few bytes meet all fits: adaptive execution must not put them into one task."""
+    few = data.groupBy("id", "a", "b", "cd", "y").count()
+    assert refit._dealt(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_folds_in_one_solve_equal_single_fits(spark, data):
     spec = ModelSpec("LogisticRegression", {"C": 1.0, "max_iter": 500})
     scores = k_fold_scores(data, "id", ["a", "b"], "y", spec, k=3)
