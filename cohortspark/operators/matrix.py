@@ -15,6 +15,7 @@ from cohortspark.operators.features import CATALOGUE, FAMILIES, Bounds, Options,
 from cohortspark.operators.joins import left_joins
 from cohortspark.operators.labels import HALF_YEARS, LabelSpec, label_name, labelled
 from cohortspark.operators.post import PostPlan, learn
+from cohortspark.session import stored
 
 IDS = ("enrollid", "studentid", "collegeid")
 
@@ -167,15 +168,29 @@ def subset(matrix: DataFrame, spec: MatrixSpec, features: Sequence[str], row_key
     return matrix.select(*[f"`{c}`" for c in feature_columns(features)], spec.target.column, *key)
 
 
+def _written(train: DataFrame, test: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Both parts from one job, in which features they share are made once; parts of different columns from a job each."""
+    kind = lambda df: [(f.name, f.dataType) for f in df.schema.fields]
+    if test is None or kind(train) != kind(test):
+        return stored(train, "train"), None if test is None else stored(test, "test")
+    tagged = (df.withColumn("__test", F.lit(i)) for i, df in enumerate((train, test)))
+    both = stored(DataFrame.union(*tagged), "parts")
+    return tuple(both.filter(F.col("__test") == i).drop("__test") for i in (0, 1))
+
+
 def postprocess(train: DataFrame, test: DataFrame | None, features: Sequence[str]) -> tuple[DataFrame, DataFrame | None, PostPlan]:
-    """Encode both parts with what the training rows teach."""
+    """Encode both parts with what the training rows teach.
+
+    Both parts are read several times, to learn and to apply, so they are written once to the shared folder.
+    """
+    train, test = _written(train, test)
     plan = learn(train, postprocess_steps(features), test)
     return plan.apply(train), None if test is None else plan.apply(test), plan
 
 
 def analysis_frame(tables: Tables, spec: MatrixSpec, target_name: str = "persist") -> tuple[DataFrame, Mapping[str, list[str]]]:
     """Postprocessed training rows without keys, and feature column -> result columns."""
-    matrix = assemble(tables, replace(spec, test_end=None), "train")
+    matrix, _ = _written(assemble(tables, replace(spec, test_end=None), "train"), None)
     plan = learn(matrix, postprocess_steps(spec.features))
     frame = plan.apply(matrix).withColumnRenamed(spec.target.column, target_name)
     mapping = {c: plan.outputs(c) for c in feature_columns(spec.features)}

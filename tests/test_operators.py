@@ -249,3 +249,25 @@ def test_first_partitions_and_freed_shuffles(spark):
     held = spark.conf.get(session._CLEANUP)
     kept = session.stored(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count(), "t")
     assert kept.count() == 7 and spark.conf.get(session._CLEANUP) == held
+
+
+def test_postprocess_reads_the_parts_once(spark):
+    """Train and test are made once, however many jobs learn from them; parts of other columns are encoded too."""
+    from cohortspark.operators.matrix import postprocess
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    ddl = "enrollid long, ethnicity string, avgnetprice double"
+    train = spark.createDataFrame([(1, "x", None), (2, "y", 2.0), (2, "y", 2.0), (3, None, 4.0)], ddl).mapInArrow(seen, ddl)
+    test = spark.createDataFrame([(4, "y", None), (5, "z", 1.0), (5, "z", 1.0)], ddl).mapInArrow(seen, ddl)
+    a, b, _ = postprocess(train, test, ["StudentEthnicity", "avgNetPrice"])
+    assert sorted(map(tuple, a.collect())) == [(1, 0, 0.0, 1), (2, 1, 2.0, 0), (2, 1, 2.0, 0), (3, 0, 4.0, 0)]
+    assert sorted(map(tuple, b.collect())) == [(4, 1, 0.0, 1), (5, 0, 1.0, 0), (5, 0, 1.0, 0)]
+    assert reads.value == 7
+    other = postprocess(train, test.withColumn("more", F.lit(1)), ["StudentEthnicity", "avgNetPrice"])[1]
+    assert other.columns == [*b.columns, "more"] and other.count() == 3
