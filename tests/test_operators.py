@@ -271,3 +271,18 @@ def test_postprocess_reads_the_parts_once(spark):
     assert reads.value == 7
     other = postprocess(train, test.withColumn("more", F.lit(1)), ["StudentEthnicity", "avgNetPrice"])[1]
     assert other.columns == [*b.columns, "more"] and other.count() == 3
+
+
+def test_advisory_size_unless_the_session_names_one(spark):
+    """What a task reads, and so what it holds, is halved; a session's own size stays."""
+    from cohortspark import session
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    try:
+        spark.conf.unset(key)
+        assert session.tune(spark).conf.get(key) == session.ADVISORY_SIZE == "32m"
+        spark.conf.set(key, "8m")
+        assert session.tune(spark).conf.get(key) == "8m"
+    finally:
+        spark.conf.unset(key)
+        session.tune(spark)
