@@ -70,3 +70,22 @@ def test_ids_follow_content(setup):
         for s in (*specs, replace(specs[0], restrictions=())) for f in (FEATURES, FEATURES[:2]) for c in (0.1, 1) for p in ("lax", "strict")
     }
     assert len(ids) == 24 and XP.experiment_id(specs[0], list(FEATURES), ModelSpec("GNB", {}), "lax") == XP.experiment_id(specs[0], FEATURES, ModelSpec("GNB", {}), "lax")
+
+
+def test_model_grid_reads_small_folds_in_few_tasks(spark, tmp_path, monkeypatch):
+    """The many partitions of the folds are read as they lie only where a learner draws by partition."""
+    from queries import evaluation
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('a word. ', CAST(1 + id % 9 AS INT)) AS text", "'en' AS lang", "10 + id % 9 AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+
+    def look(train, test, features, target, model, policy, fit_rows=None):
+        seen.append((model.name, train.rdd.getNumPartitions(), test.rdd.getNumPartitions(), train.count() + test.count()))
+        assert fit_rows is None or sorted(fit_rows.collect()) == sorted(train.collect())
+        return {"classifier": model.name}
+
+    monkeypatch.setattr(evaluation.XP, "run_experiment", look)
+    evaluation.model_grid(spark, str(tmp_path))
+    assert len(seen) == 9 and {s[1:] for s in seen} == {(1, 1, 60)}
