@@ -30,16 +30,17 @@ def append_frames(frames: Sequence[DataFrame], distinct: bool = True) -> DataFra
     return out.distinct() if distinct else out
 
 
-def assign_ids(frames: Sequence[DataFrame], id_name: str, buckets: int = ID_BUCKETS) -> DataFrame:
+def assign_ids(frames: Sequence[DataFrame], id_name: str, buckets: int = ID_BUCKETS, along: Sequence[str] = ()) -> DataFrame:
     """Dense surrogate ids 1..n on the distinct union of external ids.
 
     Rows are hashed into ``buckets``; an id is the number of rows in earlier
     buckets plus the position inside the bucket.  The result depends on the content
     and on ``buckets`` only, not on the cluster, needs no global sort and no single-partition window over the rows:
-    the running offset is taken over at most ``buckets`` counts.
+    the running offset is taken over at most ``buckets`` counts.  Columns ``along`` follow
+    from the others and count for nothing.
     """
     ids = union_distinct(frames)
-    natural = ids.columns
+    natural = [c for c in ids.columns if c not in along]
     keyed = ids.withColumn("__bucket", F.pmod(F.xxhash64(*natural), F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -49,7 +50,7 @@ def assign_ids(frames: Sequence[DataFrame], id_name: str, buckets: int = ID_BUCK
     return (
         keyed.withColumn("__pos", position)
         .join(F.broadcast(offsets), "__bucket")
-        .select((F.col("__offset") + F.col("__pos")).alias(id_name), *natural)
+        .select((F.col("__offset") + F.col("__pos")).alias(id_name), *ids.columns)
     )
 
 
@@ -80,13 +81,14 @@ def resolve_id(df: DataFrame, ids: DataFrame, on: str, id_col: str, id_name: str
 
 @dataclass(frozen=True)
 class IdLookup:
-    """How one partner column resolves to a surrogate id."""
+    """How one partner column resolves to a surrogate id; ``names`` are columns of the id table that come with it."""
 
     ids: DataFrame
     on: str
     id_col: str
     id_name: str
     how: str = "left"
+    names: Sequence[str] = ()
 
 
 @dataclass(frozen=True)
@@ -116,9 +118,13 @@ def integrate(parts: Sequence[PartnerSource], id_columns: Sequence[str], data_co
     The union also removes exact duplicate facts inside one partner.  Rows with an id
     of their own, which one key of one partner alone leads to, can equal only rows of
     that key; these meet where the key is joined, so only the others (unknown or shared
-    ids) are shuffled once more to meet across keys and partners.
+    ids) are shuffled once more to meet across keys and partners.  The ``names`` of a
+    lookup, which follow from its id, come where the id is found, so that no second join
+    over all rows has to fetch them.
     """
     once = _reached_once(parts, id_columns[0]) if id_columns else None
+    names = list(dict.fromkeys(n for part in parts for lk in part.lookups for n in lk.names))
+    out = [*id_columns, *data_columns, *names]
     own, other = [], []
     for part in parts:
         df, keyed = part.frame, False
@@ -126,11 +132,13 @@ def integrate(parts: Sequence[PartnerSource], id_columns: Sequence[str], data_co
         for lk in sorted(part.lookups, key=lambda lk: lk.id_name == id_columns[0]) if once is not None else part.lookups:
             keyed = once is not None and lk.id_name == id_columns[0]
             ids = lk.ids.join(once, lk.id_name, "left") if keyed else lk.ids
-            df = resolve_id(df, ids, lk.on, lk.id_col, lk.id_name, lk.how, ["__own"] if keyed else ())
+            keep = [*lk.names, "__own"] if keyed else list(lk.names)
+            df = resolve_id(df, ids, lk.on, lk.id_col, lk.id_name, lk.how, keep)
+            df = df if keyed else df.drop("__key")
         for c in part.empty_ids:
             df = df.withColumn(c, F.lit(None).cast("bigint"))
         have = set(df.columns)
-        wanted = [c for c in [*id_columns, *data_columns] if c in have]
+        wanted = [c for c in out if c in have]
         if keyed:
             # a filter on an aggregate's outcome stays above it, so that both readings share the shuffles below
             rows = df.groupBy("__key", *wanted).agg(F.max("__own").alias("__own"))
@@ -139,7 +147,7 @@ def integrate(parts: Sequence[PartnerSource], id_columns: Sequence[str], data_co
         else:
             other.append(df.select(*wanted))
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*own, union_distinct(other)])
-    return united.select(*[c for c in [*id_columns, *data_columns] if c in united.columns])
+    return united.select(*[c for c in out if c in united.columns])
 
 
 def members(df: DataFrame, column: str, values: DataFrame, value_column: str) -> DataFrame:

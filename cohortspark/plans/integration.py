@@ -142,8 +142,14 @@ def integrate_ids(a: Mapping[str, DataFrame], b: Mapping[str, DataFrame]) -> dic
     return out
 
 
-def integrate_table(table: str, a: Mapping[str, DataFrame], b: Mapping[str, DataFrame], ids: Mapping[str, DataFrame]) -> DataFrame:
-    """One integrated table over both partners."""
+def integrate_table(
+    table: str, a: Mapping[str, DataFrame], b: Mapping[str, DataFrame], ids: Mapping[str, DataFrame], names: Mapping[str, str] | None = None
+) -> DataFrame:
+    """One integrated table over both partners.
+
+    ``names`` gives a column per id table that comes with the ids found there, after the contract's columns.
+    """
+    names = names or {}
     contract = CONTRACTS[table]
     parts = []
     for letter, partner in ((_A, a), (_B, b)):
@@ -151,14 +157,14 @@ def integrate_table(table: str, a: Mapping[str, DataFrame], b: Mapping[str, Data
         if side is None or table not in partner:
             continue
         # an id table no partner delivered resolves to unknown ids
-        lookups = [IdLookup(ids[t], on, id_col, t, how) for t, on, id_col, how in side.lookups if t in ids]
+        lookups = [IdLookup(ids[t], on, id_col, t, how, [names[t]] if t in names else []) for t, on, id_col, how in side.lookups if t in ids]
         unknown = [t for t, *_ in side.lookups if t not in ids]
         parts.append(PartnerSource(contract.conform(partner[table]), lookups, [*side.empty, *unknown]))
     id_columns = [c for c in contract.id_columns() if c != "enrollid"]
     out = integrate(parts, id_columns, contract.data_columns())
     if table == "enrollments":
         natural = out.columns
-        out = assign_ids([out], "enrollid").select("enrollid", *natural)
+        out = assign_ids([out], "enrollid", along=list(names.values())).select("enrollid", *natural)
     return out
 
 

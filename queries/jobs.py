@@ -721,19 +721,25 @@ def _integrated_sql(table: str) -> str:
     return f"WITH {_ids_sql()} SELECT DISTINCT {out} FROM ({' UNION ALL BY NAME '.join(parts)})"
 
 
+def _named(ids):
+    """Id tables with the partners' own key of each id, and the columns that hold these."""
+    return {t: df.withColumn(f"__{t}", F.expr(_NATURAL[t])) for t, df in ids.items()}, {t: f"__{t}" for t in ids}
+
+
 def _integrated(spark, sf, table: str, as_of=AS_OF):
-    """An integrated table, and the id tables it was resolved against, which are written once."""
+    """An integrated table with the partners' own keys beside its ids; the id tables it is resolved against are written once."""
     a, b = _partners(spark, sf, as_of)
-    ids = {t: stored(df, t) for t, df in I.integrate_ids(a, b).items()}
-    return I.integrate_table(table, a, b, ids), ids
+    ids, names = _named({t: stored(df, t) for t, df in I.integrate_ids(a, b).items()})
+    return I.integrate_table(table, a, b, ids, names)
 
 
-def _natural_ids(df, ids):
-    """The surrogate ids of a table replaced by the partners' own."""
-    for table, key in _NATURAL.items():
+def _natural_ids(df):
+    """The surrogate ids of a table replaced by the partners' own, which came where the ids were found."""
+    for table in _NATURAL:
         if table in df.columns:
-            names = ids[table].select(F.col(table).alias("__id"), F.expr(key).alias("__nat"))
-            df = df.join(names, F.col(table) == F.col("__id"), "left").withColumn(table, F.col("__nat")).drop("__id", "__nat")
+            name = f"__{table}"
+            # an id no partner looks up is unknown
+            df = df.withColumn(table, F.col(name) if name in df.columns else F.lit(None).cast("string")).drop(name)
     return df.drop("enrollid")
 
 
@@ -748,8 +754,8 @@ def _register_integrated(table: str, label: str):
     sql = f"SELECT * REPLACE ({replaced}) FROM ({_integrated_sql(table)})" if rounded else _integrated_sql(table)
 
     def run(spark, sf):
-        df, ids = _integrated(spark, sf, table, _UP_TO.get(table, AS_OF))
-        return _natural_ids(df, ids).withColumns({c: F.round(c, 4).cast("double") for c in rounded})
+        df = _natural_ids(_integrated(spark, sf, table, _UP_TO.get(table, AS_OF)))
+        return df.withColumns({c: F.round(c, 4).cast("double") for c in rounded})
 
     run.__doc__ = f"{label}, S02, S03: the integrated table {table}, every row and column, through natural keys."
     return query(f"integrated_{table}", sql)(run)
@@ -895,7 +901,6 @@ SELECT student, y AS school_year, t AS attendance_type, count(*) AS n FROM u GRO
 def integrate_attendance(spark, sf):
     """Integrated attendance; the second partner has no school id."""
     a, b = _partners(spark, sf)
-    ids = {t: stored(df, t) for t, df in I.integrate_ids(a, b).items()}
-    t = I.integrate_table("attendance", a, b, ids)
-    student = ids["studentid"].select("studentid", F.coalesce("a_sf_id", "b_sf_id").alias("student"))
-    return t.join(student, "studentid", "left").groupBy("student", "school_year", "attendance_type").agg(F.count(F.lit(1)).alias("n"))
+    ids, names = _named({t: stored(df, t) for t, df in I.integrate_ids(a, b).items()})
+    t = I.integrate_table("attendance", a, b, ids, names)
+    return t.groupBy(F.col("__studentid").alias("student"), "school_year", "attendance_type").agg(F.count(F.lit(1)).alias("n"))

@@ -233,6 +233,25 @@ def test_integrate_shuffles_rows_of_unknown_or_shared_ids_only(spark):
     assert {r.studentid: r["__own"] for r in J._reached_once(parts, "studentid").collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
 
 
+def test_integrated_rows_bring_the_names_of_their_ids(spark):
+    """Names come where ids are found, also with shared and unknown ids; no join follows the distinct union."""
+    from queries.catalogue import QUERIES
+
+    ids = spark.createDataFrame([(1, "p", None, "P"), (2, "q", None, None), (3, "r", "x", "R"), (4, None, "y", "Y")], "studentid long, a_id string, b_id string, name string")
+    a = spark.createDataFrame([(k, v) for k in ("p", "q", "r", "none", None) for v in (7, None)] * 2, "ak string, v int")
+    b = spark.createDataFrame([(k, v) for k in ("x", "y", "none", None) for v in (7, 9)] * 2, "bk string, v int")
+    parts = [J.PartnerSource(a, [J.IdLookup(ids, "ak", "a_id", "studentid", names=["name"])]), J.PartnerSource(b, [J.IdLookup(ids, "bk", "b_id", "studentid", names=["name"])])]
+    rows = [tuple(r) for r in J.integrate(parts, ["studentid"], ["v"]).select("studentid", "v", "name").collect()]
+    plain = [tuple(r) for r in J.integrate([J.PartnerSource(p.frame, [J.IdLookup(ids, lk.on, lk.id_col, "studentid") for lk in p.lookups]) for p in parts], ["studentid"], ["v"]).collect()]
+    names = {1: "P", 3: "R", 4: "Y"}
+    assert set(rows) == {(i, v, names.get(i)) for i, v in plain} and len(rows) == len(set(rows)) == len(plain)
+    for table in ("courses", "acttests", "attendance"):
+        node = QUERIES[f"integrated_{table}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        while node.children().size() == 1:
+            node = node.children().head()
+        assert node.nodeName() == "Union"
+
+
 def test_first_partitions_and_freed_shuffles(spark):
     """A task's share does not follow the session's number of partitions; a stored table's shuffles are gone."""
     from cohortspark import session
