@@ -233,6 +233,20 @@ def test_integrate_shuffles_rows_of_unknown_or_shared_ids_only(spark):
     assert {r.studentid: r["__own"] for r in J._reached_once(parts, "studentid").collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
 
 
+def test_integrate_aggregates_all_rows_of_a_key_once(spark):
+    """Rows of unknown or shared ids are told apart before an aggregate, so that all rows are held in one reading only."""
+    ids = spark.createDataFrame([(1, "p", None), (2, "q", None), (3, "r", "x"), (4, None, "y")], "studentid long, a_id string, b_id string")
+    a = spark.createDataFrame([("p", 1), ("p", 1), ("r", 1), ("r", 1), ("none", 1), (None, 1), (None, None)] * 2, "ak string, v int")
+    b = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), ("none", 1), (None, 3)] * 2, "bk string, v int")
+    known = {(1, 1), (3, 1), (3, 2), (4, 1)}
+    for how, want in (("left", known | {(None, 1), (None, None), (None, 3)}), ("inner", known)):
+        parts = [J.PartnerSource(a, [J.IdLookup(ids, "ak", "a_id", "studentid", how)]), J.PartnerSource(b, [J.IdLookup(ids, "bk", "b_id", "studentid", how)])]
+        out = J.integrate(parts, ["studentid"], ["v"])
+        rows = [tuple(r) for r in out.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [__key#") == len(parts)
+
+
 def test_integrated_rows_bring_the_names_of_their_ids(spark):
     """Names come where ids are found, also with shared and unknown ids; no join follows the distinct union."""
     from queries.catalogue import QUERIES
