@@ -266,6 +266,23 @@ def test_integrated_rows_bring_the_names_of_their_ids(spark):
         assert node.nodeName() == "Union"
 
 
+def test_a_task_reads_a_bounded_share_of_a_file(spark, tmp_path):
+    """Not the 128 MB of Spark where the session names no size; a size that it names stays."""
+    from cohortspark import session
+
+    key = "spark.sql.files.maxPartitionBytes"
+    other = spark.newSession()
+    session.tune(other)
+    assert other.conf.get(key) == session.READ_SIZE
+    spark.range(0, 24_000_000, 1, 1).select(F.xxhash64("id").alias("h")).write.option("parquet.block.size", 8 << 20).parquet(str(tmp_path / "t"))
+    # 190 MB, as if for one core
+    other.conf.set("spark.sql.files.minPartitionNum", "1")
+    assert other.read.parquet(str(tmp_path / "t")).rdd.getNumPartitions() >= 5
+    named = spark.newSession()
+    named.conf.set(key, "16m")
+    assert session.tune(named).conf.get(key) == "16m"
+
+
 def test_first_partitions_and_freed_shuffles(spark):
     """A task's share does not follow the session's number of partitions; a stored table's shuffles are gone."""
     from cohortspark import session
