@@ -6,7 +6,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from cohortspark.llm.components import components
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 #: Documents and tokens of a verification block; weights, in keys, of a chance match and of emitted light segments.
 BLOCK_DOCS, BLOCK_TOKENS, CHANCE, BLANK = 1000, 1_000_000, 50.0, 10_000.0
+#: What a task holds at once beside a tile: columns and rows of a comparison, rows that links are read from, rows and bytes of copies sent to tiles.
+HIT_COLUMNS, HIT_ROWS, NEAR_ROWS, PIECE_ROWS, PIECE_BYTES = 512, 256, 64, 128, 4_000_000
 #: Bounds of the sample that tells common shingles.
 SAMPLE_DOCS, MOST_COMMON = 6_000, 100_000
 
@@ -231,6 +233,29 @@ def star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(1, *[np.array([x], np.int64) for x in (key, low, low)])
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Tokens that every two sets share.  Beside this matrix and two copies of the tokens, only narrow pieces are held."""
+    count = len(sets)
+    flat = np.concatenate(sets)
+    flat.sort()
+    flat = np.unique(flat[1:][flat[1:] == flat[:-1]])  # the shared tokens; each is a column
+    cells = []
+    for i, s in enumerate(sets):
+        at = np.searchsorted(flat, s)
+        at = at[flat[np.minimum(at, len(flat) - 1)] == s] if len(flat) else at[:0]
+        cells.append(at << 32 | i)
+    cells = np.concatenate(cells)
+    cells.sort()  # by column
+    overlap = np.zeros((count, count), np.float32)
+    for lo in range(0, len(flat), HIT_COLUMNS):
+        a, b = np.searchsorted(cells, (lo << 32, (lo + HIT_COLUMNS) << 32))
+        hit = np.zeros((count, HIT_COLUMNS), np.float32)
+        hit[cells[a:b] & 0xFFFFFFFF, (cells[a:b] >> 32) - lo] = 1
+        for at in range(0, count, HIT_ROWS):
+            overlap[at : at + HIT_ROWS] += hit[at : at + HIT_ROWS] @ hit.T
+    return overlap
+
+
 def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
     """For each set the position of a set of its component, by exact overlaps of all sets given."""
     count = len(sets)
@@ -239,32 +264,53 @@ def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
         known = [set(s.tolist()) for s in sets]
         overlap = np.array([[len(a & b) for b in known] for a in known], np.int64)
     else:
-        flat, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(count), sizes)
-        shared = times[inverse] > 1
-        row, column = row[shared], np.cumsum(times > 1)[inverse[shared]] - 1
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        overlap = np.zeros((count, count), np.float32)
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-            a, b = np.searchsorted(column, (lo, lo + 2048))
-            hit = np.zeros((count, 2048), np.float32)
-            hit[row[a:b], column[a:b] - lo] = 1
-            overlap += hit @ hit.T
-        overlap = overlap.astype(np.int64)
-    near = 100 * overlap >= threshold * (sizes[:, None] + sizes[None, :] - overlap)
+        overlap = _overlaps(sets)
     root = np.full(count, -1)
     for i in range(count):
         if root[i] >= 0:
             continue
         root[i], reach = i, [i]
         while reach:
-            new = np.flatnonzero(near[reach].any(0) & (root < 0))
+            near = np.zeros(count, bool)
+            for at in range(0, len(reach), NEAR_ROWS):  # each row is looked at once: what it links with, a few rows at a time
+                rows = reach[at : at + NEAR_ROWS]
+                both = overlap[rows].astype(np.int64)
+                near |= (100 * both >= threshold * (sizes[rows][:, None] + sizes[None, :] - both)).any(0)
+            new = np.flatnonzero(near & (root < 0))
             root[new] = i
             reach = new.tolist()
     return root
 
 
+def tile_copies(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """A copy of each set (text, family, node, blocks) for every two blocks of its family it takes part in.
+
+    The copies of a huge family's sets are many times the texts of a batch, so they leave in pieces.
+    """
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def out(rows):
+        made = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=["family", "ti", "tj", "node", "tokens"])
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PIECE_ROWS):
+            part, rows, held = batch.slice(lo, PIECE_ROWS), [], 0
+            for text, family, node, count in zip(*(part.column(i).to_pylist() for i in range(4))):
+                tokens = shingle_set(text, n)
+                if xxh3_128_digest(tokens.tobytes()) != node:
+                    continue  # another text under the same id
+                mine, packed = int.from_bytes(node[8:], "little") % count, tokens.tobytes()
+                for other in range(count):
+                    rows.append((family, min(mine, other), max(mine, other), node, packed))
+                    held += len(packed)
+                    if held >= PIECE_BYTES:
+                        yield out(rows)
+                        rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+
 def verified(tiles: DataFrame, threshold: int) -> DataFrame:
     """(u, v) edges of the exact links inside each tile; tiles are bounded by the block sizes."""
 
@@ -327,22 +373,9 @@ def jaccard_components(
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     members = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumnRenamed("doc_id", "rep")
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, family, node, count in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                tokens = shingle_set(text, n)
-                if xxh3_128_digest(tokens.tobytes()) != node:
-                    continue  # another text under the same id
-                mine = int.from_bytes(node[8:], "little") % count
-                rows += [(family, min(mine, other), max(mine, other), node, tokens.tobytes()) for other in range(count)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            made = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=["family", "ti", "tj", "node", "tokens"])
-
     texts = docs.select(col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     texts = texts.join(members, F.expr("doc_id <=> rep")).select("text", "family", "node", "blocks")
-    tiles = texts.mapInArrow(expand, "family long, ti int, tj int, node binary, tokens binary")
+    tiles = texts.mapInArrow(partial(tile_copies, n=n), "family long, ti int, tj int, node binary, tokens binary")
     links = components(verified(tiles, threshold))
     classes = digests.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"))
     roots = classes.join(links, "node").groupBy("root").agg(F.min("lowest").alias("component"))

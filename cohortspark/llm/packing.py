@@ -20,7 +20,8 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(t.split()) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            # one text at a time, no second copy of a batch
+            n = [len(t.as_py().split()) for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = docs.select(col(id_col).alias("doc_id"), whole(text_col).alias("text"))
